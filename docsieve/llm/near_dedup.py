@@ -2,10 +2,12 @@
 
 A document's set holds its distinct 5-word shingles. Documents with equal sets are joined by a fingerprint
 of the set first, so that a group of copies is one node from then on. Nodes that share a band of their
-signature are candidates. Within a bucket no pairs are spelled out: a few pivots meet all members of other
-components, links join components, and pivots leave the bucket; this repeats until every bucket lies in one
-component or all its pairs are settled. A signature estimate drops hopeless pairs (six standard deviations
-below the threshold), all others are compared on their full shingle sets.
+signature are candidates. Within a bucket no pairs are spelled out. First every member meets the bucket's
+most central node, the one with most candidates overall, which joins most buckets to one component. In
+buckets that it does not join, the members outside the largest component are a query set against all other
+members; both are cut into blocks, and each pair of blocks is compared in arrays inside a task. A signature
+estimate drops hopeless pairs (six standard deviations below the threshold), all others are compared on
+their full shingle sets.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.llm.common import blobs, fits_broadcast, hash_words, saved, slices, text_bytes, window_hashes
@@ -26,8 +28,8 @@ BANDS, BAND_ROWS = 32, 4
 #: Pairs below this share of equal signature slots are not compared in full: at a similarity of 0.75 a
 #: share under 0.5 lies 6.5 standard deviations out.
 ESTIMATE = 0.5
-#: Pivots a bucket gets in each round; later rounds keep the last number.
-PIVOTS = (1, 2, 4, 8, 16, 32)
+#: Nodes in a block, about.
+BLOCK = 256
 
 _SEEDS = np.random.default_rng(20240229)
 _A = _SEEDS.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,31 +114,90 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of all similar pairs of nodes."""
     bands = band_keys(nodes)
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = saved(bands.join(shared, "key").select("key", "id"))
-    links, comp, round_ = None, None, 0
-    while True:
-        state = members.withColumn("comp", F.col("id")) if comp is None else members.join(comp, members.id == comp.node, "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        ranges = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first")).filter("lo < hi")
-        if round_ == 0:
-            open_ = state.join(ranges, "key")
-            pairs = open_.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-            rest = open_.filter("id <> first").select("key", "id")
-        else:
-            # a pivot for every row_number up to the round's number, in an order that differs by round
-            open_ = saved(state.join(ranges, "key").select("key", "id", "comp"))
-            if open_.isEmpty():
-                return links
-            order = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(round_)), "id")
-            many = PIVOTS[min(round_, len(PIVOTS) - 1)]
-            ranked = saved(open_.withColumn("place", F.row_number().over(order)))
-            pivots = ranked.filter(F.col("place") <= many).select("key", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.col("place").alias("place_a"))
-            pairs = ranked.join(pivots, "key").filter("place > place_a and comp <> comp_a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-            rest = ranked.filter(F.col("place") > many).select("key", "id")
-        found = saved(confirmed(saved(pairs), nodes, docs))
-        links = found if links is None else links.unionByName(found)
-        comp = saved(components(links))
-        members, round_ = saved(rest), round_ + 1
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = saved(bands.join(shared, "key").select("key", "id", "n"))
+    central = members.groupBy("id").agg(F.sum("n").alias("w"))
+    ranked = members.join(central, "id").select("key", "id", F.struct("w", -F.col("id")).alias("w"))
+    middle = ranked.groupBy("key").agg(F.max("w").alias("w")).select("key", (-F.col("w.col2")).alias("middle"))
+    met = saved(members.select("key", "id").join(middle, "key").filter("id <> middle"))
+    pairs = met.select(F.col("middle").alias("a"), F.col("id").alias("b")).distinct()
+    links = saved(confirmed(pairs, nodes, docs))
+    comp = saved(components(links))
+    # members of buckets that are not in one component; the middle has met all others of its bucket
+    state = met.select("key", "id").join(comp, met.id == comp.node, "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    sizes = state.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    hubs = sizes.groupBy("key").agg(F.max(F.struct("n", -F.col("comp"))).alias("w"), F.count("*").alias("comps")).filter("comps > 1").select("key", (-F.col("w.col2")).alias("hub"))
+    open_ = saved(state.join(hubs, "key").select("hub", "id", "comp").distinct())
+    return links if open_.isEmpty() else links.unionByName(saved(_block_links(open_, nodes, docs)))
+
+
+def _block_links(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Similar pairs among ``members`` (hub, id, comp): those outside the hub's component against all."""
+    queries, targets = members.filter("comp <> hub"), members
+    parts = members.groupBy("hub").agg(F.ceil(F.count_if(F.col("comp") != F.col("hub")) / BLOCK).alias("qs"), F.ceil(F.count("*") / BLOCK).alias("ts"))
+    spot = F.xxhash64("id", F.lit("block"))
+    q = queries.join(parts, "hub").select("hub", F.pmod(spot, "qs").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ts") - 1)).alias("tb"), F.lit(True).alias("query"), "id", "comp")
+    t = targets.join(parts.filter("qs > 0"), "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)).alias("qb"), F.pmod(spot, "ts").alias("tb"), F.lit(False).alias("query"), "id", "comp")
+    needed = members.select("id").distinct()
+    texts = text_bytes(docs, F.col("doc_id").cast("long").alias("id")).join(needed, "id", "left_semi")
+    bodies = saved(texts.join(nodes.select(F.col("doc_id").alias("id"), "sig"), "id"))
+    rows = q.unionByName(t).join(bodies, "id").select("hub", "qb", "tb", "query", "id", "comp", "sig", "text")
+    return rows.repartition("hub", "qb", "tb").sortWithinPartitions("hub", "qb", "tb").mapInArrow(_compare_blocks, "a long, b long").distinct()
+
+
+def _compare_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block pair; a block pair may go over batches."""
+    block, held, found = None, [], []
+    for batch in slices(batches):
+        for row in batch.to_pylist():
+            at = (row["hub"], row["qb"], row["tb"])
+            if at != block:
+                found += _similar(held)
+                block, held = at, []
+            held.append(row)
+        if found:
+            yield _edges(found)
+            found = []
+    yield _edges(found + _similar(held))
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
+
+
+def _similar(rows: list[dict]) -> list[tuple[int, int]]:
+    """Pairs of a query and a target of other components whose full sets are similar."""
+    qs, ts = [r for r in rows if r["query"]], [r for r in rows if not r["query"]]
+    if not qs or not ts:
+        return []
+    sig_t = np.stack([np.frombuffer(r["sig"], np.uint32) for r in ts])
+    comp_t, hub = np.array([r["comp"] for r in ts]), rows[0]["hub"]
+    id_t = np.array([r["id"] for r in ts])
+    hopeful = []
+    for i, r in enumerate(qs):
+        likely = (sig_t == np.frombuffer(r["sig"], np.uint32)).mean(axis=1) >= ESTIMATE
+        # a pair of two queries comes twice: the lesser id asks
+        likely &= (comp_t != r["comp"]) & ((comp_t == hub) | (id_t > r["id"]))
+        if likely.any():
+            hopeful.append((i, np.flatnonzero(likely)))
+    if not hopeful:
+        return []
+    shingles = lambda r: shingle_set(hash_words(r["text"].lower().split()))
+    wanted = np.unique(np.concatenate([x for _, x in hopeful]))
+    sets = [shingles(ts[j]) for j in wanted]
+    sizes = np.array([len(x) for x in sets])
+    known, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    out = []
+    for i, likely in hopeful:
+        own = shingles(qs[i])
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        mark = np.zeros(len(known), np.int64)
+        mark[at[known[at] == own]] = 1
+        shared = np.add.reduceat(mark[inverse], starts)
+        alike = 100 * shared >= 75 * (len(own) + sizes - shared)
+        out += [(qs[i]["id"], int(id_t[wanted[k]])) for k in np.flatnonzero(alike & np.isin(wanted, likely))]
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

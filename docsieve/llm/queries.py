@@ -5,17 +5,124 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docsieve.llm.common import table
-from docsieve.llm.near_dedup import near_duplicates
+from docsieve.llm import class_lm, decontaminate, lang_id, line_dedup, near_dedup, packing, quality, sharding, surrogates, token_count
+from docsieve.llm.common import crc_mod, table
+
+#: The key of the surrogates in op8. A real run takes its own from a secret store.
+DEMO_KEY = "demo-key"
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit_on(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = lang_id.fit_on(docs.filter(~held_out))
+    return lang_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = surrogates.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
+    return done.select("doc_id", F.col("_entities").alias("n_entities"), F.col("_types").alias("types"), "text")
+
+
+def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_near_dedup": op1_near_dedup,
+    f.__name__: f
+    for f in (op1_near_dedup, op2_class_lm, op3_decontaminate, op4_quality_rules, op5_packing, op6_token_counts, op7_language, op8_surrogates, op9_line_spread, op10_sharding)
 }
 
-ORACLES: dict[str, str] = {}
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op1_near_dedup": rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), shingles AS (
+  SELECT doc_id, unnest(s) AS g FROM sets
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b WHERE 100 * c >= 75 * (len(p.s) + len(q.s) - c)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) c ON c.doc_id = s.doc_id
+""",
+    "op3_decontaminate": rf"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item_words WHERE len(w) > 0)
+), doc_windows AS (
+  SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc_words, (SELECT DISTINCT k FROM item_windows) WHERE len(w) >= k)
+), hits AS (
+  SELECT doc_id, i, d.k, item_id FROM doc_windows d JOIN item_windows USING (k, g)
+), places AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY 1
+), items AS (
+  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY 1
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN places p USING (doc_id) LEFT JOIN items i USING (doc_id)
+""",
+    "op9_line_spread": f"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(l) AS line, unnest(range(len(l))) AS pos
+  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+), boilerplate AS (
+  SELECT line, min(doc_id) AS holder FROM lines WHERE length(line) >= {line_dedup.MIN_CHARS}
+  GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= {line_dedup.SITES}
+), marked AS (
+  SELECT doc_id, pos, l.line, b.line IS NOT NULL AND b.holder <> doc_id AS gone FROM lines l LEFT JOIN boilerplate b ON b.line = l.line
+), left_over AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS t FROM marked GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(removed, 0)::BIGINT AS n_removed, length(t)::BIGINT AS n_chars, sha256(t) AS text_sha256
+FROM documents d LEFT JOIN left_over USING (doc_id)
+""",
+}
