@@ -96,19 +96,37 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the distinct ``id``s, which are broadcast if their measured number allows."""
+    ids = ids.select(F.col("id").alias(key))
+    return rows.join(F.broadcast(ids) if fits_broadcast(ids.count(), 16) else ids, key, "left_semi")
+
+
+def _bodies(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, sig, text) of some nodes: what pairs are compared by."""
+    ids = saved(ids.distinct())
+    sig = _only(nodes.select(F.col("doc_id").alias("id"), "sig"), ids, "id")
+    return saved(_only(text_bytes(docs, F.col("doc_id").cast("long").alias("id")), ids, "id").join(sig, "id"))
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
-    sig = nodes.select(F.col("doc_id").alias("id"), "sig")
-    likely = saved(
-        pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .select("a", "b", "sig_a", "sig_b")
-        .mapInArrow(_alike, "a long, b long")
-    )
-    needed = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).join(needed, "doc_id", "left_semi")
-    full = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long").distinct()
+    """Those of the distinct pairs (a, b) whose full sets are similar enough. Pairs of one ``a`` may be many:
+    they are split into parts of about BLOCK pairs, each of which meets its own copy of ``a``."""
+    pairs = saved(pairs)
+    heavy = saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).filter("parts > 1"))
+    heavy = F.broadcast(heavy) if fits_broadcast(heavy.count(), 32) else heavy
+    bodies = _bodies(pairs.select(F.explode(F.array("a", "b")).alias("id")), nodes, docs)
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+
+    def meet(own: DataFrame, what: str) -> DataFrame:
+        """Pairs with ``what`` of both sides."""
+        left = own.join(heavy, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part"))
+        hubs = bodies.select(F.col("id").alias("a"), F.col(what).alias(f"{what}_a")).join(pairs.select("a").distinct(), "a", "left_semi")
+        copies = hubs.join(heavy, "a", "left").select("a", f"{what}_a", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+        return left.join(bodies.select(F.col("id").alias("b"), F.col(what).alias(f"{what}_b")), "b").join(copies, ["a", "part"]).select("a", "b", f"{what}_a", f"{what}_b")
+
+    likely = saved(meet(pairs, "sig").mapInArrow(_alike, "a long, b long"))
+    return meet(likely, "text").mapInArrow(_confirm, "a long, b long").distinct()
 
 
 def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -138,10 +156,7 @@ def _block_links(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataF
     spot = F.xxhash64("id", F.lit("block"))
     q = queries.join(parts, "hub").select("hub", F.pmod(spot, "qs").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ts") - 1)).alias("tb"), F.lit(True).alias("query"), "id", "comp")
     t = targets.join(parts.filter("qs > 0"), "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)).alias("qb"), F.pmod(spot, "ts").alias("tb"), F.lit(False).alias("query"), "id", "comp")
-    needed = members.select("id").distinct()
-    texts = text_bytes(docs, F.col("doc_id").cast("long").alias("id")).join(needed, "id", "left_semi")
-    bodies = saved(texts.join(nodes.select(F.col("doc_id").alias("id"), "sig"), "id"))
-    rows = q.unionByName(t).join(bodies, "id").select("hub", "qb", "tb", "query", "id", "comp", "sig", "text")
+    rows = q.unionByName(t).join(_bodies(members.select("id"), nodes, docs), "id").select("hub", "qb", "tb", "query", "id", "comp", "sig", "text")
     return rows.repartition("hub", "qb", "tb").sortWithinPartitions("hub", "qb", "tb").mapInArrow(_compare_blocks, "a long, b long").distinct()
 
 
@@ -209,8 +224,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     feats = saved(sketches(docs))
     full = feats.filter("print is not null and doc_id is not null")
-    groups = saved(full.groupBy("print").agg(F.min("doc_id").alias("first")))
-    nodes = saved(full.join(groups, (full["print"] == groups["print"]) & (full.doc_id == groups["first"]), "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id", "sig"]))
+    groups = saved(full.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    shared = groups.filter("n > 1").select("print", "first")
+    marked = full.join(F.broadcast(shared) if fits_broadcast(shared.count(), 48) else shared, "print", "left")
+    firsts = marked.filter(F.col("doc_id") == F.col("first")).dropDuplicates(["print"])
+    nodes = saved(marked.filter("first is null").unionByName(firsts).select("doc_id", "sig"))
     comp = components(_links(nodes, docs))
     of_print = groups.join(comp, groups["first"] == comp.node, "left").select("print", F.coalesce("component", "first").alias("component_id"))
     linked = full.select("doc_id", "n_shingles", "print").join(of_print, "print").select("doc_id", "n_shingles", "component_id")
