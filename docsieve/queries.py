@@ -235,7 +235,7 @@ def evidence_range_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def value_in_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("value"), F.array_join(F.slice(F.split("text", " "), 2, 6), " ").alias("evidence"))
-    return words.select("item_id", tx.supported(F.col("value"), F.col("evidence")).alias("in_tail"), tx.supported(F.col("value"), F.concat(F.upper("value"), F.lit(" "), "evidence")).alias("in_all"))
+    return words.select("item_id", tx.supported(F.col("value"), F.col("evidence")).alias("in_tail"), tx.supported(F.col("value"), F.concat("value", F.lit(" "), "evidence")).alias("in_all"))
 
 
 @query
