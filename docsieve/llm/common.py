@@ -47,6 +47,25 @@ def text_bytes(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.col("text").cast("string").cast("binary").alias("text"))
 
 
+def boxed(docs: DataFrame, *more: str) -> DataFrame:
+    """(row, text, more...): all columns but the text as one struct, so that no name of theirs can clash, the text
+    as bytes, and copies of the columns named in ``more``."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    row = F.struct(*rest) if rest else F.struct(F.lit(0).alias("_"))
+    return docs.select(row.alias("row"), F.col("text").cast("string").cast("binary").alias("text"), *more)
+
+
+def shape(df: DataFrame, more: str = "") -> str:
+    """The schema of ``df`` as text for mapInArrow, and more columns."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + more
+
+
+def unboxed(df: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
+    """The columns of ``docs`` from the result of steps on ``boxed`` rows, and more; these win over equal names."""
+    own = [F.col("text").cast("string").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in more]
+    return df.select(*own, *more)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``limit`` bytes of text at most."""
     for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import BROADCAST_BYTES, blobs, hash_words, slices, text_bytes, window_hashes
+from docsieve.llm.common import BROADCAST_BYTES, blobs, boxed, fits_broadcast, hash_words, saved, shape, slices, text_bytes, unboxed, window_hashes
 
 WINDOW = 10
 #: Bytes that a benchmark window takes at most in the broadcast table, its words aside.
@@ -100,14 +100,14 @@ def _scanner(windows: Windows) -> Callable[[Iterable[pa.RecordBatch]], Iterator[
 
 def _remover(windows: Windows) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_bytes"):
+        for batch in slices(batches):
             texts = []
-            for text in batch.column("_bytes").to_pylist():
+            for text in batch.column("text").to_pylist():
                 words = words_of(text or b"")
                 hit, _ = windows.hits(words, hash_words(words))
                 texts.append(without(text, hit) if hit.any() else text)
-            at = batch.schema.get_field_index("_bytes")
-            yield batch.set_column(at, "_bytes", pa.array(texts, pa.binary()))
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", pa.array(texts, pa.binary()))
 
     return remove
 
@@ -146,15 +146,13 @@ def _scan_by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows are told apart by a number given in a written copy of the texts, so repeated doc_ids stay apart.
     """
-    from docsieve.llm.common import saved
-
-    shape = "rid long, at long, k long, words binary"
-    items = text_bytes(benchmark, F.col("item_id").cast("long").alias("rid"), F.array(F.lit(WINDOW).cast("long")).alias("ks")).mapInArrow(_spell("item"), shape)
+    spelled = "rid long, at long, k long, words binary"
+    items = text_bytes(benchmark, F.col("item_id").cast("long").alias("rid"), F.array(F.lit(WINDOW).cast("long")).alias("ks")).mapInArrow(_spell("item"), spelled)
     known = saved(items.select("words", "k", F.col("rid").alias("item")).distinct())
     lengths = [r["k"] for r in known.select("k").distinct().collect()]  # WINDOW values at most
     rows = saved(text_bytes(docs, F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id")))
     wanted = F.array(*[F.lit(k).cast("long") for k in lengths]) if lengths else F.array().cast("array<long>")
-    met = rows.select("rid", "text", wanted.alias("ks")).mapInArrow(_spell("doc"), shape).join(known, ["words", "k"])
+    met = rows.select("rid", "text", wanted.alias("ks")).mapInArrow(_spell("doc"), spelled).join(known, ["words", "k"])
     found = met.groupBy("rid").agg(F.collect_set(F.struct("at", "k")).alias("places"), F.collect_set("item").alias("items"), F.max(F.lit(True)).alias("met"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,15 +186,12 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with hit words cut out of their texts; the benchmark must fit the broadcast bound."""
     if not _fits(benchmark):
         raise ValueError("the benchmark is above the broadcast bound; use remove_documents")
-    raw = docs.withColumn("_bytes", F.col("text").cast("string").cast("binary")).drop("text")
-    cut = raw.mapInArrow(_remover(_windows(benchmark)), raw.schema)
-    return cut.withColumn("text", F.decode("_bytes", "UTF-8")).select(*docs.columns)
+    raw = boxed(docs)
+    return unboxed(raw.mapInArrow(_remover(_windows(benchmark)), shape(raw)), docs)
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents in which a benchmark window occurs (by doc_id)."""
-    from docsieve.llm.common import fits_broadcast, saved
-
     gone = saved(scan(docs, benchmark).filter("contaminated and doc_id is not null").select("doc_id").distinct())
     few = fits_broadcast(gone.count(), 16)
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)

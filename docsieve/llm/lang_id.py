@@ -150,8 +150,8 @@ def fit_on(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     # a language's ids that hash below its share: about as many as wanted, the surplus goes by hash order
     want = F.lit(False)
     for r in counts:
-        want = want | ((F.col("lang") == r["lang"]) & (F.shiftright(F.abs(F.xxhash64("doc_id")), 1) <= F.lit(int(span * min(1.0, 1.2 * each / r["count"])))))
-    rows = usable.filter(want).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample)
+        want = want | ((F.col("lang") == r["lang"]) & (F.shiftrightunsigned(F.xxhash64("doc_id"), 2) <= F.lit(int(span * min(1.0, 1.2 * each / r["count"])))))
+    rows = usable.filter(want).orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 2), "doc_id", "text").limit(2 * sample)
     found = rows.collect()  # 2 * sample rows at most
     languages = sorted(r["lang"] for r in counts)
     taken: dict[str, list] = {}

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import fits_broadcast, saved, slices
+from docsieve.llm.common import boxed, fits_broadcast, saved, shape, slices, unboxed
 
 #: A line on this many distinct sites is boilerplate.
 SITES = 10
@@ -49,16 +49,16 @@ def boilerplate(docs: DataFrame, sites: int = SITES, min_chars: int = MIN_CHARS)
 
 def _strip(held: dict[bytes, int | None]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def strip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_bytes"):
+        for batch in slices(batches):
             texts, lines_, removed = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("_bytes").to_pylist(), strict=True):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 lines = [] if text is None else text.split(b"\n")
                 left = [x for x in lines if x not in held or held[x] == doc]
                 texts.append(text if len(left) == len(lines) else b"\n".join(left))
                 lines_.append(len(lines))
                 removed.append(len(lines) - len(left))
-            at = batch.schema.get_field_index("_bytes")
-            out = batch.set_column(at, "_bytes", pa.array(texts, pa.binary()))
+            at = batch.schema.get_field_index("text")
+            out = batch.set_column(at, "text", pa.array(texts, pa.binary()))
             yield out.append_column("_lines", pa.array(lines_, pa.int64())).append_column("_removed", pa.array(removed, pa.int64()))
 
     return strip
@@ -73,18 +73,18 @@ def strip_boilerplate(docs: DataFrame, lines: DataFrame) -> DataFrame:
     lines = saved(lines.select("line", "holder"))
     size = lines.agg(F.coalesce(F.sum(F.octet_length("line").cast("long") + 128), F.lit(0)).alias("n")).first()["n"]
     if fits_broadcast(size, 1):
-        raw = docs.withColumn("_bytes", F.col("text").cast("string").cast("binary")).drop("text")
-        shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in raw.schema) + ", _lines long, _removed long"
+        raw = boxed(docs, F.col("doc_id").cast("long").alias("doc_id"))
         held = {r["line"].encode(): r["holder"] for r in lines.toLocalIterator()}
-        return raw.mapInArrow(_strip(held), shape).withColumn("text", F.decode("_bytes", "UTF-8")).select(*docs.columns, "_lines", "_removed")
+        return unboxed(raw.mapInArrow(_strip(held), shape(raw, ", _lines long, _removed long")), docs, "_lines", "_removed")
     parts = F.split(F.col("text").cast("string"), "\n", -1)
-    met = docs.select("doc_id", F.explode(parts).alias("line")).join(lines, "line").filter("not (doc_id <=> holder)")
-    cuts = met.groupBy("doc_id").agg(F.collect_set("line").alias("_cut"))
-    both = docs.join(cuts, docs.doc_id.eqNullSafe(cuts.doc_id), "left").select(*[docs[c] for c in docs.columns], "_cut").withColumn("_parts", parts)
-    left = F.when(F.col("_cut").isNull(), F.col("_parts")).otherwise(F.filter("_parts", lambda x: ~F.array_contains("_cut", x)))
-    out = both.withColumn("_left", left).withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n")))
-    lines_n = F.coalesce(F.size("_parts").cast("long"), F.lit(0).cast("long"))
-    return out.withColumn("_lines", F.when(F.col("_parts").isNull(), F.lit(0).cast("long")).otherwise(lines_n)).withColumn("_removed", F.when(F.col("_cut").isNull(), F.lit(0).cast("long")).otherwise(F.size("_parts").cast("long") - F.size("_left").cast("long"))).select(*docs.columns, "_lines", "_removed")
+    raw = boxed(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("parts", parts)
+    met = raw.select("doc_id", F.explode("parts").alias("line")).join(lines, "line").filter("not (doc_id <=> holder)")
+    cuts = met.groupBy("doc_id").agg(F.collect_set("line").alias("cut")).withColumnRenamed("doc_id", "cut_id")
+    both = raw.join(cuts, F.col("doc_id").eqNullSafe(F.col("cut_id")), "left")
+    left = both.withColumn("kept", F.when(F.col("cut").isNull(), F.col("parts")).otherwise(F.filter("parts", lambda x: ~F.array_contains("cut", x))))
+    size = lambda c: F.coalesce(F.nullif(F.size(c), F.lit(-1)), F.lit(0)).cast("long")
+    out = left.withColumns({"text": F.array_join("kept", "\n"), "_lines": size("parts"), "_removed": size("parts") - size("kept")})
+    return unboxed(out, docs, "_lines", "_removed")
 
 
 def dedup_lines(docs: DataFrame, sites: int = SITES, min_chars: int = MIN_CHARS) -> DataFrame:

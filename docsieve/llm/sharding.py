@@ -16,7 +16,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import saved
+from docsieve.llm.common import boxed, saved, unboxed
 
 SHARDS = 24
 #: Rows that a block holds about, and how many blocks there are at least and at most.
@@ -107,10 +107,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> Dat
 
     Rows that repeat a doc_id and text are told apart by a running number, any order of which is the same.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    twin = Window.partitionBy("_id", "_crc").orderBy(F.lit(0))
-    places = assign(docs, shards, seed).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    places = places.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy("_shard", "_slot")))
-    own = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_crc", F.crc32(text.cast("binary"))).withColumn("_nth", F.row_number().over(twin))
-    met = own.join(places, own["_id"].eqNullSafe(places["_id"]) & (own["_crc"] == places["_crc"]) & (own["_nth"] == places["_nth"]))
-    return met.select(*[own[c] for c in docs.columns], "_shard", "_slot")
+    crc = F.crc32(F.coalesce("text", F.lit(b"")))
+    same = Window.partitionBy("id", "crc")
+    places = assign(docs, shards, seed).select(F.col("doc_id").alias("id"), F.col("text_crc32").alias("crc"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    places = places.withColumn("nth", F.row_number().over(same.orderBy("_shard", "_slot")))
+    own = boxed(docs, F.col("doc_id").cast("long").alias("id")).withColumn("crc", crc)
+    own = own.withColumn("nth", F.row_number().over(same.orderBy(F.lit(0))))
+    met = own.alias("o").join(places.alias("p"), F.expr("o.id <=> p.id and o.crc = p.crc and o.nth = p.nth"))
+    return unboxed(met.select("row", "text", "_shard", "_slot"), docs, "_shard", "_slot")

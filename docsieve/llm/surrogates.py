@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import fits_broadcast, saved
+from docsieve.llm.common import boxed, fits_broadcast, saved, unboxed
 
 #: Draws after which an entity without a free surrogate is an error.
 MAX_DRAWS = 64
@@ -189,20 +189,20 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     Null and empty texts have no mentions and stay as they are; repeated rows are replaced alike; a document
     with a null doc_id is treated like any other. Equal entities get equal surrogates in all documents.
     """
-    text = F.col("text").cast("string")
-    rows = docs.withColumn("_found", F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    has = F.size("_found") > 0
-    plain = docs.withColumn("_found", F.when(text.rlike(_HINT) & text.rlike(_ANY), True).otherwise(False)).filter("not _found").drop("_found")
-    plain = plain.withColumn("_entities", F.lit(0).cast("long")).withColumn("_types", F.lit("")).select(*docs.columns, "_entities", "_types")
-    marked = saved(rows.filter(has).withColumn("_key", F.monotonically_increasing_id()))
-    mentions = marked.select("_key", F.posexplode("_found").alias("_pos", "mention"))
+    raw = boxed(docs).withColumn("text", F.col("text").cast("string"))
+    text, hinted = F.col("text"), F.col("text").rlike(_HINT)
+    found = raw.withColumn("found", F.when(hinted, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    plain = raw.filter(~F.coalesce(hinted & text.rlike(_ANY), F.lit(False))).withColumns({"_entities": F.lit(0).cast("long"), "_types": F.lit("")})
+    marked = saved(found.filter(F.size("found") > 0).withColumn("key", F.monotonically_increasing_id()))
+    mentions = marked.select("key", F.posexplode("found").alias("pos", "mention"))
     typed = saved(_typed(mentions.select("mention").distinct()))
     named = typed.join(surrogates(typed, key), ["type", "entity"])
-    written = saved(named.select("mention", "type", _written().alias("_new")))
+    written = saved(named.select("mention", "type", _written().alias("new")))
     size = written.agg(F.coalesce(F.sum(F.octet_length("mention").cast("long") * 2 + 64), F.lit(0)).alias("n")).first()["n"]
     met = mentions.join(F.broadcast(written) if fits_broadcast(size, 1) else written, "mention")
-    new = met.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_pos", "_new"))).alias("_news"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("_types"))
-    pieces = F.split(F.col("text").cast("string"), _ANY, -1)
-    spelled = F.array_join(F.zip_with(pieces, F.concat(F.transform("_news", lambda n: n["_new"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    changed = marked.join(new, "_key").withColumn("text", spelled).withColumn("_entities", F.size("_news").cast("long"))
-    return plain.unionByName(changed.select(*docs.columns, "_entities", "_types"))
+    new = met.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("news"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("_types"))
+    pieces = F.split(text, _ANY, -1)
+    spelled = F.array_join(F.zip_with(pieces, F.concat(F.transform("news", lambda n: n["new"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    changed = marked.join(new, "key").withColumns({"text": spelled, "_entities": F.size("news").cast("long")})
+    both = plain.select("row", "text", "_entities", "_types").unionByName(changed.select("row", "text", "_entities", "_types"))
+    return unboxed(both, docs, "_entities", "_types")
