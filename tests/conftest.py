@@ -11,8 +11,6 @@ ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"  # Python workers import the package too
 
-DATA = "/root/testdata"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

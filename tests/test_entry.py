@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from conftest import ROOT
+from paths import ROOT
 
 
 def test_entry_runs(spark):
