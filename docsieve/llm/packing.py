@@ -27,8 +27,8 @@ from docsieve.llm.common import blobs, saved, slices, text_bytes
 from docsieve.llm.pieces import Uneven, careful_cut, is_even, plain_cut
 
 LENGTH = 2048
-#: Pieces of text that a worker keeps the ids of.
-CACHE = 500_000
+#: Pieces of text that a task keeps the ids of, and the bytes of text that it encodes at once.
+CACHE, SLICE = 250_000, 1 << 20
 #: Buckets that pieces of one length are dealt to for ranking.
 BUCKETS = 256
 #: fixed values of the tokenizer: its special string and id, and the id that ends a document here
@@ -55,9 +55,10 @@ class Encoder:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Drop the cached pieces: an idle worker holds the vocabulary alone."""
         self.ids, self.starts = array("I"), array("q", [0])
         self.first, self.spaced = _Known(self, b""), _Known(self, b" ")
         self.feed, self.end = self.add(b"\n"), self._put([END])
@@ -88,7 +89,7 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Each text's ids with the end id."""
         if len(self.starts) > CACHE:
-            self._reset()
+            self.forget()
         pieces = [self._pieces(t) for t in texts]
         flat = np.fromiter((x for p in pieces for x in p), np.int64, sum(map(len, pieces)))
         ids, starts = np.frombuffer(self.ids, np.uint32), np.frombuffer(self.starts, np.int64)
@@ -107,14 +108,17 @@ def _encoder(path: str) -> Encoder:
 def _cut(path: str, length: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        for batch in slices(batches):
-            rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(blobs(batch)), strict=True):
-                start, piece, stop = 0, 0, len(ids) % length or min(length, len(ids))
-                while start < len(ids):
-                    rows.append((doc, piece, start, stop - start, zlib.crc32(ids[start:stop].astype("<u4").tobytes())))
-                    start, stop, piece = stop, stop + length, piece + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        try:
+            for batch in slices(batches, limit=SLICE):
+                rows = []
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(blobs(batch)), strict=True):
+                    start, piece, stop = 0, 0, len(ids) % length or min(length, len(ids))
+                    while start < len(ids):
+                        rows.append((doc, piece, start, stop - start, zlib.crc32(ids[start:stop].astype("<u4").tobytes())))
+                        start, stop, piece = stop, stop + length, piece + 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            encoder.forget()
 
     return cut
 
