@@ -1,10 +1,14 @@
 """Class-based n-gram scoring: exchange clustering of words, class transitions, word emissions.
 
-Counts cover every training token. The units of clustering are the most frequent words, then the most
-frequent word endings for words that are no unit, then hash buckets for the rest: how many units there are
-is fixed, so their bigram counts are a bounded matrix that the driver clusters by exchange. A word's class
-is that of its unit, which its spelling alone decides, so transitions are scored where the text is. Emissions need the word's own count: a bounded head of the
-vocabulary is broadcast, the rest meets the vocabulary in a join of the words of each document.
+Counts cover every training token, and every word of the vocabulary has a class of its own choice. To begin
+with, units (the most frequent words, frequent word endings, hash buckets of the rest) are clustered by exchange
+of their bounded matrix on the driver, and a word takes the class of its unit. Then the exchange goes on over
+the whole vocabulary in rounds: a bounded head of words is broadcast with its classes, the bigrams of all other
+words are a table by word, and each word chooses by its own left and right class counts (see ``refine``). Words
+that training has not seen take the class of their ending.
+
+Scoring broadcasts the head's classes and counts; the other words of each document meet the vocabulary in a
+join, and the transitions next to them are added up after it.
 
 Probabilities sum to one: in each class an absolute discount of its words' counts is left for words that
 training has not seen, and transitions are smoothed towards the classes' own shares.
@@ -12,6 +16,7 @@ training has not seen, and transitions are smoothed towards the classes' own sha
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -19,10 +24,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import blobs, crc_mod, saved, slices, text_bytes
+from docsieve.llm.common import blobs, crc_mod, saved, shared_dir, slices, text_bytes
 
 #: Frequent words and frequent endings that are units of their own, buckets for the rest, and classes.
 WORD_UNITS, ENDING_UNITS, BUCKETS, CLASSES = 160, 544, 64, 48
@@ -36,6 +42,9 @@ ROUNDS, SMOOTH = 6, 5.0
 FLUSH = 400_000
 END_UNIT = WORD_UNITS + ENDING_UNITS + BUCKETS
 START = CLASSES + 1
+#: Classes with the end and the start of a text, and the cell of a word's pairs with itself.
+WIDE = CLASSES + 2
+SELF = 2 * WIDE
 
 
 def unit_of(word: bytes, units: dict[bytes, int], endings: dict[bytes, int]) -> int:
@@ -146,12 +155,216 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
     return of
 
 
+def tail_id(word: bytes) -> int:
+    """The id of a word outside the head, below 0: 63 bits of its hash. Words that share one share a class."""
+    return (xxhash.xxh64_intdigest(word) & ((1 << 63) - 1)) - (1 << 63)
+
+
+class _Ids(dict):
+    """Word -> its place in the head, or its ``tail_id``."""
+
+    def __init__(self, head: dict[bytes, int]):
+        self.head = head
+
+    def __missing__(self, word: bytes) -> int:
+        known = self.head.get(word)
+        self[word] = known = tail_id(word) if known is None else known
+        return known
+
+
+def _bigrams(head: dict[bytes, int]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """All bigrams: head words as ints a, b (behind them the end and the start of a text), others as ta, tb."""
+    end, start, many = len(head), len(head) + 1, len(head) + 2
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Ids(head)
+        for batch in slices(batches):
+            flat: list[int] = []
+            for text in blobs(batch):
+                flat.append(start)
+                flat.extend(map(known.__getitem__, text.lower().split()))
+                flat.append(end)
+            ids = np.array(flat, np.int64)
+            a, b = ids[:-1], ids[1:]
+            inside = a != end
+            both = (a >= 0) & (b >= 0)
+            pairs, n = np.unique(a[both & inside] * many + b[both & inside], return_counts=True)
+            a, b = a[inside & ~both], b[inside & ~both]
+            a, b, n = np.concatenate((pairs // many, a)), np.concatenate((pairs % many, b)), np.concatenate((n, np.ones(len(a), np.int64)))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.maximum(a, 0).astype(np.int32), mask=a < 0), pa.array(np.maximum(b, 0).astype(np.int32), mask=b < 0), pa.array(a, mask=a >= 0), pa.array(b, mask=b >= 0), pa.array(n),
+            ], ["a", "b", "ta", "tb", "n"])
+            if len(known) > FLUSH:
+                known = _Ids(head)
+
+    return count
+
+
+def _head_cells(of_head: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(w, cell, n) of both words of each pair of head words."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b", "n"))
+            same, inner = a == b, b < len(of_head) - 2
+            w = np.concatenate((a, b[inner & ~same]))
+            cell = np.concatenate((np.where(same, SELF, of_head[b]), WIDE + of_head[a[inner & ~same]]))
+            key, place = np.unique(w * (SELF + 1) + cell, return_inverse=True)
+            total = np.bincount(place, np.concatenate((n, n[inner & ~same])), len(key)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key // (SELF + 1)), pa.array((key % (SELF + 1)).astype(np.int32)), pa.array(total)], ["w", "cell", "n"])
+
+    return count
+
+
+def _g(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def choose(pairs: np.ndarray, of: np.ndarray, word: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The best class of each word, all other words staying where they are.
+
+    ``of`` has the words' classes; word, cell and n are their counts: cell k of classes to the right, WIDE + k of
+    classes to the left, SELF of the word beside itself. A class is judged by what the word's counts add to the
+    likelihood there (in its own class, by what they add to the rest of it), each cell of ``pairs`` by itself.
+    """
+    key, place = np.unique(word * (SELF + 1) + cell, return_inverse=True)
+    n = np.bincount(place, n, len(key))
+    word, cell = key // (SELF + 1), key % (SELF + 1)
+    # row c of at: the cells of pairs that a word of class c has its counts in
+    at = np.concatenate((pairs[:CLASSES], pairs[:, :CLASSES].T, np.diag(pairs)[:CLASSES, None]), 1)
+    gain = np.zeros((len(of), CLASSES))
+    for start in range(0, len(key), 1 << 15):
+        part = slice(start, start + (1 << 15))
+        w, j, m = word[part], cell[part], n[part]
+        base = at[:, j].T
+        own = np.arange(len(w)), of[w]
+        base[own] = np.maximum(base[own] - m, 0)
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[first]] += np.add.reduceat(_g(base + m[:, None]) - _g(base), first, axis=0)
+    one = np.arange(len(of)), of
+    for total, drop in ((pairs.sum(1), (cell >= WIDE) & (cell < SELF)), (pairs.sum(0), cell < WIDE)):
+        mass = np.bincount(word, np.where(drop, 0, n), len(of))
+        base = np.repeat(total[None, :CLASSES], len(of), 0)
+        base[one] = np.maximum(base[one] - mass, 0)
+        gain -= _g(base + mass[:, None]) - _g(base)
+    gain = np.round(gain, 6)
+    best = gain.argmax(1)
+    return np.where(gain[one] < gain[np.arange(len(of)), best], best, of)
+
+
+def _chooser(pairs: np.ndarray, share: int, turn: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(w, cls) after the words whose hash is ``turn`` modulo ``share`` have chosen, from (w, cls, turn, cells, more)."""
+
+    def move(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column("cls").to_numpy(zero_copy_only=False).astype(np.int64)
+            chosen = batch.column("turn").to_numpy(zero_copy_only=False) % share == turn
+            word, cell, n = [], [], []
+            for name in ("cells", "more"):
+                lists = batch.column(name)
+                flat = lists.flatten()
+                word.append(np.repeat(np.arange(len(of)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+                cell.append(flat.field("cell").to_numpy(zero_copy_only=False).astype(np.int64))
+                n.append(flat.field("n").to_numpy(zero_copy_only=False).astype(float))
+            word, cell, n = map(np.concatenate, (word, cell, n))
+            mine = chosen[word] if len(word) else np.zeros(0, bool)
+            found = choose(pairs, of, word[mine], cell[mine], n[mine]) if mine.any() else of
+            yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(np.where(chosen, found, of).astype(np.int32))], ["w", "cls"])
+
+    return move
+
+
+def _by_word(df: DataFrame) -> DataFrame:
+    """``df`` written in buckets of w: joins and groups by w need no exchange then."""
+    spark = df.sparkSession
+    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"docsieve_{uuid.uuid4().hex}"
+    df.repartition(parts, "w").write.format("parquet").option("path", f"{shared_dir(spark)}/{name}.parquet").bucketBy(parts, "w").sortBy("w").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    return out
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    return float(_g(pairs).sum() - _g(pairs.sum(1)).sum() - _g(pairs.sum(0)).sum())
+
+
+def refine(training: DataFrame, head: dict[bytes, int], of_head: np.ndarray, tail: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """Exchange over the whole vocabulary: classes of the head, (w, cls) of all other words, class pair counts.
+
+    ``head`` has the places of the most frequent words, ``of_head`` their classes to begin with and ``tail`` those
+    of the other words, by ``tail_id``. In a round half of the words, by hash, choose at once from the counts
+    that the round begins with. A round that lowers the likelihood is taken back, and the share that moves at once
+    is halved; the classes returned are those of the greatest likelihood. Bigrams of two
+    head words are summed up against the broadcast classes; those of the other words lie by word, and only pairs of two such words and the cells of the head are exchanged.
+    """
+    spark = training.sparkSession
+    turns = np.fromiter((tail_id(w) & 63 for w in head), np.int64, len(head))
+    edges = saved(text_bytes(training).mapInArrow(_bigrams(head), "a int, b int, ta long, tb long, n long"))
+    heads = edges.filter("ta is null and tb is null").select("a", "b", "n")
+    row = lambda w, side, other: F.struct(F.col(w).alias("w"), side.cast("int").alias("side"), other.alias("other"), "n")
+    alike = F.col("ta").eqNullSafe(F.col("tb"))
+    ends = F.array(
+        F.when(F.col("ta").isNotNull(), row("ta", F.when(alike, 2).otherwise(0), F.coalesce("tb", F.col("b").cast("long")))),
+        F.when(F.col("tb").isNotNull() & ~alike, row("tb", F.lit(1), F.coalesce("ta", F.col("a").cast("long")))),
+    )
+    links = _by_word(edges.filter("ta is not null or tb is not null").select(F.explode(ends).alias("e")).filter("e is not null").select("e.*"))
+    tail = _by_word(tail)
+    side = lambda s, c: F.when(F.col("side") == 2, SELF).otherwise(s * WIDE + c).cast("int").alias("cell")
+    listed = lambda df, name: df.groupBy("w").agg(F.collect_list(F.struct("cell", "n")).alias(name))
+    end = len(head)
+    best, still, share = None, 0, 2
+    for at in range(rounds + 1):
+        full = np.concatenate((of_head, [CLASSES, START]))
+        known = F.broadcast(spark.createDataFrame(pa.table({"other": np.arange(end + 2), "of_other": full.astype(np.int32)})))
+        placed = links.join(tail, "w")
+        near = placed.filter("other >= 0")
+        cells = heads.mapInArrow(_head_cells(full), "w long, cell int, n long")
+        cells = cells.unionByName(near.filter(F.col("other") != end).select(F.col("other").alias("w"), side(1 - F.col("side"), F.col("cls")), "n"))
+        cells = saved(cells.groupBy("w", "cell").agg(F.sum("n").alias("n")))
+        sent = placed.filter("other < 0").select(F.when(F.col("side") == 2, F.col("w")).otherwise(F.col("other")).alias("w"), side(1 - F.col("side"), F.col("cls")), "n")
+        sent = saved(sent.groupBy("w", "cell").agg(F.sum("n").alias("n")))
+        # each pair once, at its left word
+        mine = F.when(F.col("cell") == SELF, F.col("left")).otherwise(F.col("cell"))
+        of_known = known.select(F.col("other").alias("w"), F.col("of_other").alias("left"))
+        of_tail = tail.withColumnRenamed("cls", "left")
+        flat = (
+            cells.join(of_known, "w").filter((F.col("cell") < WIDE) | (F.col("cell") == SELF)).select("left", mine.alias("right"), "n")
+            .unionByName(near.filter("side = 0").join(known, "other").select(F.col("cls").alias("left"), F.col("of_other").alias("right"), "n"))
+            .unionByName(sent.join(of_tail, "w").filter((F.col("cell") < WIDE) | (F.col("cell") == SELF)).select("left", mine.alias("right"), "n"))
+        )
+        pairs = np.zeros((WIDE, WIDE))
+        for r in flat.groupBy("left", "right").agg(F.sum("n").alias("n")).collect():  # WIDE * WIDE at most
+            pairs[r["left"], r["right"]] = r["n"]
+        value = likelihood(pairs)
+        if best is None or value > best[0]:
+            best, still = (value, of_head, tail, pairs, cells, sent, known), 0
+        elif value < best[0]:
+            share *= 2
+        else:
+            still += 1
+        if at == rounds or still == share or share > 64:
+            break
+        _, of_head, tail, pairs, cells, sent, known = best
+        move = _chooser(pairs, share, at % share)
+        own = spark.createDataFrame(pa.table({"w": np.arange(end), "cls": of_head.astype(np.int32), "turn": turns})) if end else None
+        none = F.lit(None).cast("array<struct<cell:int,n:bigint>>").alias("more")
+        if own is not None:
+            chosen = listed(cells, "cells").join(F.broadcast(own), "w").select("w", "cls", "turn", "cells", none)
+            of_head = of_head.copy()
+            for r in chosen.mapInArrow(move, "w long, cls int").toLocalIterator():  # HEAD at most
+                of_head[r["w"]] = r["cls"]
+        near_cells = listed(links.filter("other >= 0").join(known, "other").select("w", side(F.col("side"), F.col("of_other")), "n"), "cells")
+        state = tail.join(near_cells, "w", "left").join(listed(sent, "more"), "w", "left")
+        tail = _by_word(state.select("w", "cls", F.col("w").bitwiseAND(F.lit(63)).alias("turn"), "cells", "more").mapInArrow(move, "w long, cls int"))
+    return best[1], best[2], best[3]
+
+
 @dataclass
 class Model:
-    """What scoring needs, all of bounded size; ``vocabulary`` (word, n) stays a table."""
+    """What scoring needs, all of bounded size; ``vocabulary`` (word, n, cls) stays a table."""
 
-    units: dict[bytes, int]
-    endings: dict[bytes, int]
+    units: dict[bytes, int]  # all words of the head
+    endings: dict[bytes, int]  # for words unseen in training
     of_unit: np.ndarray  # unit -> class; the end of text is class CLASSES
     transitions: np.ndarray  # log10, (CLASSES + 2) x (CLASSES + 1), the last row from the start of a text
     emission_base: np.ndarray  # log10 of a class's tokens
@@ -180,6 +393,12 @@ def _head_threshold(counts: DataFrame) -> int:
     return threshold
 
 
+def _with_ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = [tail_id(w) for w in batch.column("word").to_pylist()]
+        yield batch.append_column("w", pa.array(ids, pa.int64()))
+
+
 def fit(training: DataFrame) -> Model:
     """Count all of ``training`` (its text column) and cluster. No rows give a model without known words."""
     spark: SparkSession = training.sparkSession
@@ -194,8 +413,6 @@ def fit(training: DataFrame) -> Model:
     endings = {bytes(r["ending"]): WORD_UNITS + i for i, r in enumerate(frequent)}
     ends = spark.createDataFrame([(bytearray(w), u) for w, u in endings.items()], "ending binary, of_ending long")
     unit = F.coalesce("own", "of_ending", F.crc32("ending") % BUCKETS + (WORD_UNITS + ENDING_UNITS))
-    once = F.count_if(F.col("n") == 1)
-    stats = placed.join(F.broadcast(ends), "ending", "left").groupBy(unit.alias("unit")).agg(F.count("*").alias("types"), F.sum("n").alias("n"), once.alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()
     many = END_UNIT + 2
     flat = np.zeros(many * many)
     found = text_bytes(training).mapInArrow(_unit_bigrams(units, endings), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -203,12 +420,23 @@ def fit(training: DataFrame) -> Model:
         flat[r["pair"]] = r["n"]
     bigrams = flat.reshape(many, many)
     of_unit = np.append(exchange(bigrams[:END_UNIT, :END_UNIT], CLASSES), [CLASSES, START])
-    one = np.eye(CLASSES + 2)[of_unit]
-    pairs = (one.T @ bigrams @ one)[:, : CLASSES + 1]
+    head = {bytes(r["word"]): i for i, r in enumerate(head_rows)}
+    of_head = of_unit[[unit_of(w, units, endings) for w in head]] if head else np.zeros(0, np.int64)
+    initial = F.element_at(F.array(*[F.lit(int(c)) for c in of_unit]), (unit + 1).cast("int"))
+    ranks = spark.createDataFrame([(bytearray(w), i) for w, i in head.items()], "word binary, rank long")
+    lettered = placed.join(F.broadcast(ends), "ending", "left").join(F.broadcast(ranks), "word", "left").select("word", "n", "rank", initial.alias("cls"))
+    rest = saved(lettered.filter("rank is null").select("word", "n", "cls").mapInArrow(_with_ids, "word binary, n long, cls int, w long"))
+    of_head, of_tail, pairs = refine(training, head, of_head, rest.groupBy("w").agg(F.min("cls").alias("cls")))
+    final = spark.createDataFrame([(bytearray(w), head_rows[i]["n"], int(of_head[i])) for w, i in head.items()], "word binary, n long, cls int")
+    counts = saved(final.unionByName(rest.select("word", "n", "w").join(of_tail, "w").select("word", "n", "cls")))
+    stats = counts.groupBy("cls").agg(F.count("*").alias("types"), F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()
+    units = {w: END_UNIT + 2 + int(of_head[i]) for w, i in head.items()}
+    of_unit = np.concatenate((of_unit, np.arange(CLASSES)))
+    pairs = pairs[:, : CLASSES + 1]
     words, types = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     for r in stats:
-        words[of_unit[r["unit"]]] += r["n"]
-        types[of_unit[r["unit"]]] += r["types"]
+        words[r["cls"]] += r["n"]
+        types[r["cls"]] += r["types"]
     n1, n2 = sum(r["n1"] for r in stats), sum(r["n2"] for r in stats)
     discount = min(max(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.1), 0.9)
     share = (np.append(words[:CLASSES], documents) + 0.1) / (words.sum() + documents + 0.1 * (CLASSES + 1))
@@ -234,11 +462,14 @@ class _Heads(dict):
         return found
 
 
-_PARTS = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, cls: int, times: int>>"
+_PARTS = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, cls: int, times: int>>, links array<long>"
 _TAIL = pa.list_(pa.struct([("word", pa.binary()), ("cls", pa.int32()), ("times", pa.int32())]))
 
 
 def _score(model: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The sums over the words of the head; ``tail`` has the other words with the class of their ending, and
+    ``links`` the transitions next to them: left << 32 | right, each a class or WIDE and the place in ``tail``."""
+
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Heads(model)
         end_known = model.documents > 0
@@ -246,27 +477,53 @@ def _score(model: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
         for batch in slices(batches):
             if len(known) > FLUSH:
                 known.clear()
-            tokens, knowns, bases, scores, tails = [], [], [], [], []
+            tokens, knowns, bases, scores, tails, links = [], [], [], [], [], []
             for text in blobs(batch):
                 words = text.lower().split()
                 pairs = np.array(list(map(known.__getitem__, words)), np.int64).reshape(-1, 2)
                 cls, n = pairs[:, 0], pairs[:, 1]
-                path = np.concatenate(([START], cls, [CLASSES]))
                 head = n > 0
-                score_ = model.transitions[path[:-1], path[1:]].sum() + (np.log10(n[head] - model.discount) - model.emission_base[cls[head]]).sum()
-                tail = Counter(words[i] for i in np.flatnonzero(~head))
+                away = np.flatnonzero(~head)
+                tail = Counter(words[i] for i in away)
+                place = {w: WIDE + j for j, w in enumerate(tail)}
+                path = np.concatenate(([START], cls, [CLASSES]))
+                path[away + 1] = [place[words[i]] for i in away]
+                left, right = path[:-1], path[1:]
+                near = (left < WIDE) & (right < WIDE)
+                score_ = model.transitions[left[near], right[near]].sum() + (np.log10(n[head] - model.discount) - model.emission_base[cls[head]]).sum()
                 tails.append([{"word": w, "cls": known[w][0], "times": t} for w, t in tail.items()])
+                links.append(left[~near] << 32 | right[~near])
                 tokens.append(len(words) + 1)
                 knowns.append(int(head.sum()) + end_known)
                 bases.append(float(model.base(n[head]).sum()) + end_base)
                 scores.append(float(score_))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(knowns, pa.int64()), pa.array(bases), pa.array(scores), pa.array(tails, _TAIL)], ["doc_id", "rid", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(knowns, pa.int64()), pa.array(bases), pa.array(scores), pa.array(tails, _TAIL), pa.array(links, pa.list_(pa.int64()))], ["doc_id", "rid", "held_out", "n_tokens", "n_known", "base", "score", "tail", "links"])
 
     return score
 
 
-def _per_class(values: np.ndarray) -> F.Column:
-    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("cls") + 1)
+def _add_tail(model: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The sums of ``_score`` with what the met words add: their base, emissions and transitions."""
+    unseen = model.base(np.zeros(1))[0]
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            knowns, bases, scores = (batch.column(c).to_pylist() for c in ("n_known", "base", "score"))
+            for i, (met, links) in enumerate(zip(batch.column("met"), batch.column("links"), strict=True)):
+                if not met.is_valid:
+                    continue
+                place, cls, n, times = (met.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("place", "cls", "n", "times"))
+                of = np.arange(WIDE + len(place))
+                of[WIDE + place] = cls
+                seen = n > 0
+                knowns[i] += int(times[seen].sum())
+                bases[i] += float((times * np.where(seen, model.base(n), unseen)).sum())
+                emission = np.where(seen, np.log10(np.maximum(n - model.discount, 1e-300)) - model.emission_base[cls], model.unseen[cls])
+                pairs = links.values.to_numpy(zero_copy_only=False)
+                scores[i] += float((times * emission).sum() + model.transitions[of[pairs >> 32], of[pairs & 0xFFFFFFFF]].sum())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "n_tokens")), pa.array(knowns, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return add
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -276,20 +533,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts are the end token alone. Rows are told apart by a number that is written with the
     partial sums, so repeated rows are scored alike. Other columns are not looked at.
     """
-    parts = saved(text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), "held_out").mapInArrow(_score(replace(model, vocabulary=None)), _PARTS))
-    tail = parts.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.cls", "t.times")
+    bounded = replace(model, vocabulary=None)
+    parts = saved(text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), "held_out").mapInArrow(_score(bounded), _PARTS))
+    tail = parts.select("rid", F.posexplode("tail").alias("place", "t")).select("rid", "place", "t.word", F.col("t.cls").alias("ending_cls"), "t.times")
     # words of the head never come here
-    met = tail.join(model.vocabulary, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    emission = F.when(F.col("c") > 0, F.log10(F.col("c") - F.lit(model.discount)) - _per_class(model.emission_base)).otherwise(_per_class(model.unseen))
-    base = F.log10((F.col("c") + 0.1) / F.lit(model.tokens + 0.1 * (model.types + 1)))
-    sums = met.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(base * F.col("times")).alias("b"), F.sum(emission * F.col("times")).alias("s"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    out = parts.drop("tail").join(sums, "rid", "left")
-    total = F.col("score") + zero("s")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("k")).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("b")).alias("base_score"), total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
-    )
+    found = tail.join(model.vocabulary, "word", "left").groupBy("rid").agg(F.collect_list(F.struct("place", F.coalesce("cls", "ending_cls").alias("cls"), F.coalesce("n", F.lit(0)).alias("n"), "times")).alias("met"))
+    out = parts.drop("tail").join(found, "rid", "left").mapInArrow(_add_tail(replace(bounded, units={}, endings={}, head={})), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

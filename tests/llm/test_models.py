@@ -48,6 +48,42 @@ def test_class_lm_tail_is_joined(tricky, monkeypatch):
         assert r["score"] == pytest.approx(want[r["doc_id"], r["n_tokens"]], rel=1e-9)
 
 
+def test_class_lm_classes_by_context(spark, monkeypatch):
+    """Rare words of one ending get classes by their neighbours, in the head and beyond it alike."""
+    rng = np.random.default_rng(3)
+    often, rare = ([[f"{name}{k}x{i}{end}" for i in range(n)] for k in range(3)] for name, n, end in (("f", 50, ""), ("r", 40, "end")))
+    texts = [" ".join(str(rng.choice((rare if rng.random() < 0.15 else often)[(at + i) % 3])) for i in range(40)) for at in range(600)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    found = []
+    for head in (100_000, 200):
+        monkeypatch.setattr(class_lm, "HEAD", head)
+        model = class_lm.fit(docs)
+        assert (len(model.head) < 270) == (head == 200)
+        of = {bytes(r["word"]).decode(): r["cls"] for r in model.vocabulary.collect()}
+        assert set(of) == {w for k in (*often, *rare) for w in k}
+        main = [max(sum(of[w] == c for w in k) for k in rare) for c in range(class_lm.CLASSES)]
+        assert sum(main) > 0.6 * 120  # one class by the ending alone: a third
+        found.append(of)
+    assert found[0] == found[1]
+
+
+def test_class_lm_pairs_are_counted_whole(spark, tricky, monkeypatch):
+    """The class pair counts of the rounds are those of the texts under the classes of the words."""
+    for head in (100_000, 200):
+        monkeypatch.setattr(class_lm, "HEAD", head)
+        kept = {}
+        refine = class_lm.refine
+        monkeypatch.setattr(class_lm, "refine", lambda *a, f=refine, k=kept: k.setdefault("r", f(*a)))
+        model = class_lm.fit(tricky.select("text"))
+        monkeypatch.setattr(class_lm, "refine", refine)
+        of = {bytes(r["word"]): r["cls"] for r in model.vocabulary.collect()}
+        want = np.zeros((class_lm.WIDE, class_lm.WIDE))
+        for r in tricky.collect():
+            path = [class_lm.START, *(of[w] for w in brute.words(r["text"])), class_lm.CLASSES]
+            np.add.at(want, (path[:-1], path[1:]), 1)
+        assert (kept["r"][2] == want).all()
+
+
 def test_class_lm_beats_single_words(docs):
     held = class_lm.score_documents(docs).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert held["s"] > held["b"]
