@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.schemas import TRANSITIONS
 
+#: log2 of the events in a chunk at most, and of the chunks that a level puts together at most. Behind these levels
+#: a key has a chunk or two in each task that has events of it.
+CHUNK_BITS, LEVELS = 14, (17,)
+
 
 def allowed(state: Column, target: Column, transitions: dict[str, list[str]] = TRANSITIONS) -> Column:
     out = F.lit(False)
@@ -16,23 +22,54 @@ def allowed(state: Column, target: Column, transitions: dict[str, list[str]] = T
     return out
 
 
+def chunks(events: DataFrame, key: str, order: list[str], target: str) -> DataFrame:
+    """(key, at, _e): each key's events with a target, in order, cut into chunks of 2 ** CHUNK_BITS at most.
+
+    Events are dealt out by ranges of key and order, so a key with many of them lies on many tasks; ``at`` rises
+    with the order.
+    """
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [key, *order, "_to"]
+    dealt = events.filter(F.col(target).isNotNull()).select(key, *order, F.col(target).alias("_to")).repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    placed = dealt.withColumn("at", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS))
+    return placed.groupBy(key, "at").agg(F.array_sort(F.collect_list(F.struct(*order, "_to"))).alias("_e"))
+
+
 def replay(events: DataFrame, key: str, order: list[str], target: str, start: str = "pending", transitions: dict[str, list[str]] = TRANSITIONS) -> DataFrame:
     """Per key: final state, accepted and rejected events, and retries (entries from blocked).
 
-    Events without a target are left out. A key's events are gathered in its row: the fold needs their order.
+    Events without a target are left out. Chunks of a key's events are folded side by side from every state they
+    could begin in; what a chunk makes of each state is then put together, in order and in levels, so that no row
+    grows with a key.
     """
-    steps = events.filter(F.col(target).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(target).alias("_to")))).alias("_e"))
-    zero = F.struct(F.lit(start).alias("state"), F.lit(0).cast("bigint").alias("accepted"), F.lit(0).cast("bigint").alias("rejected"), F.lit(0).cast("bigint").alias("retries"))
+    states = sorted({start, *transitions, *(t for targets in transitions.values() for t in targets)})
+    zero = lambda s: F.struct(F.lit(s).alias("state"), *[F.lit(0).cast("bigint").alias(c) for c in ("accepted", "rejected", "retries")])
+    one = lambda c: c.cast("bigint")
 
     def step(acc: Column, e: Column) -> Column:
         ok = allowed(acc["state"], e["_to"], transitions)
-        one = lambda c: c.cast("bigint")
         return F.struct(
             F.when(ok, e["_to"]).otherwise(acc["state"]).alias("state"), (acc["accepted"] + one(ok)).alias("accepted"),
             (acc["rejected"] + one(~ok)).alias("rejected"), (acc["retries"] + one(ok & (acc["state"] == "blocked"))).alias("retries"),
         )
 
-    return steps.select(key, F.aggregate("_e", zero, step).alias("_s")).select(key, "_s.*")
+    def join(acc: Column, e: Column) -> Column:
+        then = F.element_at(e["_m"], acc["state"])
+        return F.struct(then["state"].alias("state"), *[(acc[c] + then[c]).alias(c) for c in ("accepted", "rejected", "retries")])
+
+    def from_all(step: Callable[[Column, Column], Column]) -> Column:
+        return F.map_from_arrays(F.array(*[F.lit(s) for s in states]), F.array(*[F.aggregate("_e", zero(s), step) for s in states])).alias("_m")
+
+    done = chunks(events, key, order, target).select(key, "at", from_all(step))
+    for bits in LEVELS:
+        done = _listed(done.withColumn("up", F.shiftright("at", bits)), key, "up").select(key, F.col("up").alias("at"), from_all(join))
+    return _listed(done, key).select(key, F.aggregate("_e", zero(start), join).alias("_s")).select(key, "_s.*")
+
+
+def _listed(done: DataFrame, *by: str) -> DataFrame:
+    """The chunks of each group in order; maps cannot be compared, and ``at`` alone tells chunks apart."""
+    before = lambda x, y: F.when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).otherwise(0)
+    return done.groupBy(*by).agg(F.collect_list(F.struct("at", "_m")).alias("_e")).withColumn("_e", F.array_sort("_e", before))
 
 
 def retry_action(stage: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from docsieve.functions import text as tx
-from docsieve.operators import extract
+from docsieve.operators import extract, state
 from docsieve.plans import packs, review_plan
 from docsieve.queries import CONTRACT_BLOCKS, contract
+from docsieve.schemas import TRANSITIONS
 
 
 def facts(spark, blocks):
@@ -82,3 +85,21 @@ def test_supported(spark):
 def test_fingerprint_ignores_order(spark):
     rows = spark.createDataFrame([(["b", "a"],), (["a", "b"],)], "p array<string>")
     assert len({r["f"] for r in rows.select(tx.set_fingerprint(F.col("p")).alias("f")).collect()}) == 1
+
+
+def test_replay_in_chunks(spark, monkeypatch):
+    """A key with a third of all events is cut into chunks, and what they make is put together in order."""
+    rng = random.Random(4)
+    targets = ["parsing", "reviewing", "blocked", "done", "nowhere", None]
+    rows = [(rng.choice([1, 1, 2, 3, None, 5]), rng.randrange(800), i % 500, rng.choice(targets)) for i in range(4000)]
+    monkeypatch.setattr(state, "CHUNK_BITS", 3)
+    monkeypatch.setattr(state, "LEVELS", (2, 3))
+    events = spark.createDataFrame(rows, "k long, ts long, id long, t string")
+    cut = state.chunks(events, "k", ["ts", "id"], "t").filter("k = 1").select(F.size("_e").alias("n")).collect()
+    assert max(r["n"] for r in cut) <= 8 and len(cut) > 100
+    want = {}
+    for k, _, _, to in sorted((r for r in rows if r[3]), key=lambda r: (r[1], r[2], r[3])):
+        now, *n = want.get(k, ("pending", 0, 0, 0))
+        ok = to in TRANSITIONS.get(now, [])
+        want[k] = (to if ok else now, n[0] + ok, n[1] + (not ok), n[2] + (ok and now == "blocked"))
+    assert {r["k"]: tuple(r)[1:] for r in state.replay(events, "k", ["ts", "id"], "t").collect()} == want
