@@ -1,11 +1,13 @@
 """Class-based n-gram scoring: exchange clustering of words, class transitions, word emissions.
 
-Counts cover every training token, and every word of the vocabulary has a class of its own choice. To begin
-with, units (the most frequent words, frequent word endings, hash buckets of the rest) are clustered by exchange
-of their bounded matrix on the driver, and a word takes the class of its unit. Then the exchange goes on over
-the whole vocabulary in rounds: a bounded head of words is broadcast with its classes, the bigrams of all other
-words are a table by word, and each word chooses by its own left and right class counts (see ``refine``). Words
-that training has not seen take the class of their ending.
+Counts cover every training token, and every word of the vocabulary gets a class by the words beside it.
+Training texts are written once as short unit numbers: the most frequent words are units of their own, any other
+word is written as the unit of its ending and its hash. Units are clustered by exchange: the most frequent of
+them on the driver from their own bounded bigram matrix, then all of them in rounds, in each of which every
+unit's counts of left and right classes are gathered from the whole corpus and half of the units choose at
+once. Then each of the other words, however many, leaves the unit of its ending and takes the class that its own
+left and right class counts fit best: its contexts are gathered by word, and no key is larger than those of the
+least frequent unit. Words that training has not seen take the class of their ending's unit.
 
 Scoring broadcasts the head's classes and counts; the other words of each document meet the vocabulary in a
 join, and the transitions next to them are added up after it.
@@ -16,8 +18,8 @@ training has not seen, and transitions are smoothed towards the classes' own sha
 
 from __future__ import annotations
 
-import uuid
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
@@ -28,23 +30,31 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import blobs, crc_mod, saved, shared_dir, slices, text_bytes
+from docsieve.llm.common import blobs, crc_mod, saved, slices, text_bytes
 
-#: Frequent words and frequent endings that are units of their own, buckets for the rest, and classes.
-WORD_UNITS, ENDING_UNITS, BUCKETS, CLASSES = 160, 544, 64, 48
+#: Words and endings that are units of their own at most (the most frequent), buckets for the rest, and classes.
+WORD_UNITS, ENDING_UNITS, BUCKETS, CLASSES = 32_000, 4_096, 64, 48
+#: Units that are clustered first, one by one, at most.
+SEEDS = 512
 #: Words whose counts are broadcast for scoring, at most (the most frequent).
 HEAD = 100_000
 #: Bytes of a word's ending.
 ENDING = 3
 #: Rounds of exchange, and the weight of the classes' own shares in a transition.
-ROUNDS, SMOOTH = 6, 5.0
-#: Distinct words that a task holds before it passes their counts on.
-FLUSH = 400_000
-END_UNIT = WORD_UNITS + ENDING_UNITS + BUCKETS
+ROUNDS, SMOOTH = 4, 5.0
+#: Distinct words that a task holds before it passes their counts on, and tail words that it sorts at once.
+FLUSH, SORTED = 300_000, 2_000_000
+#: Units whose counts are one row.
+BLOCK = 512
+UNITS = WORD_UNITS + ENDING_UNITS + BUCKETS
+END_ID, START_ID = UNITS, UNITS + 1
 START = CLASSES + 1
-#: Classes with the end and the start of a text, and the cell of a word's pairs with itself.
+#: Classes with the end and the start of a text, the cell of a unit's pairs with itself, and the cells of a unit.
 WIDE = CLASSES + 2
 SELF = 2 * WIDE
+CELLS = SELF + 1
+#: Rows of ``gathered`` that hold class pairs: of all neighbours, and of those that are words of their own.
+ALL_PAIRS, WORD_PAIRS = -1, -2
 
 
 def unit_of(word: bytes, units: dict[bytes, int], endings: dict[bytes, int]) -> int:
@@ -75,40 +85,48 @@ def vocabulary(training: DataFrame) -> DataFrame:
     return text_bytes(training).mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _unit_bigrams(units: dict[bytes, int], endings: dict[bytes, int]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = END_UNIT + 2  # the last stands for the start of a text
-        total = np.zeros(many * many, np.int64)
-        known = _Units(units, endings)
+class _Places(dict):
+    """Word -> its unit, or for other words -1 - k where ``hashes`` and ``units`` have the word's at k."""
+
+    def __init__(self, words: dict[bytes, int], endings: dict[bytes, int]):
+        self.words, self.endings = words, endings
+        self.hashes, self.units = array("Q"), array("H")
+
+    def __missing__(self, word: bytes) -> int:
+        place = self.words.get(word)
+        if place is None:
+            place = -1 - len(self.hashes)
+            self.hashes.append(xxhash.xxh64_intdigest(word, 42))  # as the SQL function xxhash64 has it
+            self.units.append(unit_of(word, {}, self.endings))
+        self[word] = place
+        return place
+
+
+def _encode(words: dict[bytes, int], endings: dict[bytes, int]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (ids, tails): the units of a run of texts with START_ID and END_ID around each, and the hashes of the
+    words that are no units, in order."""
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Places(words, endings)
+        first, last = np.array([START_ID]), np.array([END_ID])
         for batch in slices(batches):
-            flat: list[int] = []
+            parts = []
             for text in blobs(batch):
-                flat.append(END_UNIT + 1)
-                flat.extend(map(known.__getitem__, text.lower().split()))
-                flat.append(END_UNIT)
-            a = np.array(flat, np.int64)
-            pairs = a[:-1] * many + a[1:]
-            total += np.bincount(pairs[a[:-1] != END_UNIT], minlength=many * many)
+                own = text.lower().split()
+                parts += [first, np.fromiter(map(known.__getitem__, own), np.int64, len(own)), last]
+            ids = np.concatenate(parts)
+            at = np.flatnonzero(ids < 0)
+            place = -1 - ids[at]
+            hashes, units = np.array(known.hashes, np.uint64), np.array(known.units, np.int64)
+            ids[at] = units[place]
+            yield pa.RecordBatch.from_arrays([pa.array([ids.astype(np.uint16).tobytes()], pa.binary()), pa.array([hashes[place].tobytes()], pa.binary())], ["ids", "tails"])
             if len(known) > FLUSH:
-                known = _Units(units, endings)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
-
-    return count
-
+                known = _Places(words, endings)
 
-class _Units(dict):
-    """Word -> unit, filled as words are asked for."""
+    return encode
 
-    def __init__(self, units: dict[bytes, int], endings: dict[bytes, int]):
-        self.units, self.endings = units, endings
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = unit = unit_of(word, self.units, self.endings)
-        return unit
-
-
-def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int, rounds: int = 6) -> np.ndarray:
     """Class of each unit: units move, one by one, to the class that raises the likelihood of the bigrams most.
 
     Units start dealt out by frequency. The likelihood of class bigrams is the sum of n log n over class pairs
@@ -122,7 +140,6 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
     one = np.eye(classes)[of]
     pairs = one.T @ n @ one
     left, right = pairs.sum(1), pairs.sum(0)
-    g = lambda x: x * np.log(np.maximum(x, 1e-300))
     for _ in range(rounds):
         moved = 0
         for u in order:
@@ -138,10 +155,10 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
             left[c] -= out_.sum() + self_
             right[c] -= in_.sum() + self_
             # joining class k adds out_ to its row, in_ to its column, and both with self_ where these cross
-            gain = (g(pairs + out_[None, :]) - g(pairs)).sum(1) + (g(pairs + in_[:, None]) - g(pairs)).sum(0)
+            gain = (_g(pairs + out_[None, :]) - _g(pairs)).sum(1) + (_g(pairs + in_[:, None]) - _g(pairs)).sum(0)
             d = np.diag(pairs)
-            gain += g(d + out_ + in_ + self_) - g(d + out_) - g(d + in_) + g(d)
-            gain -= g(left + out_.sum() + self_) - g(left) + g(right + in_.sum() + self_) - g(right)
+            gain += _g(d + out_ + in_ + self_) - _g(d + out_) - _g(d + in_) + _g(d)
+            gain -= _g(left + out_.sum() + self_) - _g(left) + _g(right + in_.sum() + self_) - _g(right)
             k = int(gain.argmax()) if gain.max() > gain[c] + 1e-9 else c
             of[u] = k
             moved += k != c
@@ -155,208 +172,299 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
     return of
 
 
-def tail_id(word: bytes) -> int:
-    """The id of a word outside the head, below 0: 63 bits of its hash. Words that share one share a class."""
-    return (xxhash.xxh64_intdigest(word) & ((1 << 63) - 1)) - (1 << 63)
+def _g(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
 
 
-class _Ids(dict):
-    """Word -> its place in the head, or its ``tail_id``."""
+def choose(pairs: np.ndarray, of: np.ndarray | None, word: np.ndarray, cell: np.ndarray, n: np.ndarray, many: int) -> np.ndarray:
+    """The best class of each of ``many`` words, all other words staying where they are.
+
+    word, cell and n are their counts: cell k of classes to the right, WIDE + k of classes to the left, SELF of
+    the word beside itself. A class is judged by what the word's counts add to the likelihood there, each cell of
+    ``pairs`` by itself; in its own class (``of``, None for words that are in no class yet) by what they add to
+    the rest of it.
+    """
+    key, place = np.unique(word * CELLS + cell, return_inverse=True)
+    n = np.bincount(place, n, len(key))
+    word, cell = key // CELLS, key % CELLS
+    # row c of at: the cells of pairs that a word of class c has its counts in
+    at = np.concatenate((pairs[:CLASSES], pairs[:, :CLASSES].T, np.diag(pairs)[:CLASSES, None]), 1)
+    gain = np.zeros((many, CLASSES))
+    for start in range(0, len(key), 1 << 15):
+        part = slice(start, start + (1 << 15))
+        w, j, m = word[part], cell[part], n[part]
+        base = at[:, j].T
+        if of is not None:
+            own = np.arange(len(w)), of[w]
+            base[own] = np.maximum(base[own] - m, 0)
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[first]] += np.add.reduceat(_g(base + m[:, None]) - _g(base), first, axis=0)
+    one = np.arange(many), of
+    for total, drop in ((pairs.sum(1), (cell >= WIDE) & (cell < SELF)), (pairs.sum(0), cell < WIDE)):
+        mass = np.bincount(word, np.where(drop, 0, n), many)
+        base = np.repeat(total[None, :CLASSES], many, 0)
+        if of is not None:
+            base[one] = np.maximum(base[one] - mass, 0)
+        gain -= _g(base + mass[:, None]) - _g(base)
+    gain = np.round(gain, 6)
+    best = gain.argmax(1)
+    return best if of is None else np.where(gain[one] < gain[np.arange(many), best], best, of)
 
-    def __init__(self, head: dict[bytes, int]):
-        self.head = head
 
-    def __missing__(self, word: bytes) -> int:
-        known = self.head.get(word)
-        self[word] = known = tail_id(word) if known is None else known
-        return known
+def _ids_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for blob in batch.column("ids").to_pylist():
+        yield np.frombuffer(blob, np.uint16).astype(np.int64)
 
 
-def _bigrams(head: dict[bytes, int]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """All bigrams: head words as ints a, b (behind them the end and the start of a text), others as ta, tb."""
-    end, start, many = len(head), len(head) + 1, len(head) + 2
+def _seed_bigrams(place: np.ndarray, many: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(pair, n): bigrams of the seeds, whose places in the matrix are given by unit (-1 for other units)."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Ids(head)
-        for batch in slices(batches):
-            flat: list[int] = []
-            for text in blobs(batch):
-                flat.append(start)
-                flat.extend(map(known.__getitem__, text.lower().split()))
-                flat.append(end)
-            ids = np.array(flat, np.int64)
-            a, b = ids[:-1], ids[1:]
-            inside = a != end
-            both = (a >= 0) & (b >= 0)
-            pairs, n = np.unique(a[both & inside] * many + b[both & inside], return_counts=True)
-            a, b = a[inside & ~both], b[inside & ~both]
-            a, b, n = np.concatenate((pairs // many, a)), np.concatenate((pairs % many, b)), np.concatenate((n, np.ones(len(a), np.int64)))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.maximum(a, 0).astype(np.int32), mask=a < 0), pa.array(np.maximum(b, 0).astype(np.int32), mask=b < 0), pa.array(a, mask=a >= 0), pa.array(b, mask=b >= 0), pa.array(n),
-            ], ["a", "b", "ta", "tb", "n"])
-            if len(known) > FLUSH:
-                known = _Ids(head)
+        total = np.zeros(many * many, np.int64)
+        for batch in batches:
+            for ids in _ids_of(batch):
+                a, b = place[ids[:-1]], place[ids[1:]]
+                near = (a >= 0) & (b >= 0)
+                total += np.bincount(a[near] * many + b[near], minlength=many * many)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
     return count
 
 
-def _head_cells(of_head: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(w, cell, n) of both words of each pair of head words."""
+def _cells(of: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(block, cells): the counts by cell of all units, a row for BLOCK of them, and two rows of class pairs.
+    Neighbours without a class (-1) are left out."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, pairs, words = np.zeros(UNITS * CELLS, np.int64), np.zeros(WIDE * WIDE, np.int64), np.zeros(WIDE * WIDE, np.int64)
         for batch in batches:
-            a, b, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b", "n"))
-            same, inner = a == b, b < len(of_head) - 2
-            w = np.concatenate((a, b[inner & ~same]))
-            cell = np.concatenate((np.where(same, SELF, of_head[b]), WIDE + of_head[a[inner & ~same]]))
-            key, place = np.unique(w * (SELF + 1) + cell, return_inverse=True)
-            total = np.bincount(place, np.concatenate((n, n[inner & ~same])), len(key)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key // (SELF + 1)), pa.array((key % (SELF + 1)).astype(np.int32)), pa.array(total)], ["w", "cell", "n"])
+            for ids in _ids_of(batch):
+                a, b = ids[:-1], ids[1:]
+                inside = a != END_ID
+                a, b = a[inside], b[inside]
+                left, right = of[a], of[b]
+                known = right >= 0
+                near = known & (a < UNITS)
+                total += np.bincount(a[near] * CELLS + np.where(a == b, SELF, right)[near], minlength=len(total))
+                near = (left >= 0) & (b < UNITS) & (a != b)
+                total += np.bincount(b[near] * CELLS + WIDE + left[near], minlength=len(total))
+                near = (left >= 0) & known
+                pair = left * WIDE + right
+                pairs += np.bincount(pair[near], minlength=len(pairs))
+                near &= ~_is_tail(a) & ~_is_tail(b)
+                words += np.bincount(pair[near], minlength=len(words))
+        rows = [(ALL_PAIRS, pairs), (WORD_PAIRS, words)]
+        rows += [(i // (BLOCK * CELLS), total[i : i + BLOCK * CELLS]) for i in range(0, len(total), BLOCK * CELLS)]
+        rows = [(i, zlib.compress(x.tobytes(), 1)) for i, x in rows if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["block", "cells"])
 
     return count
 
 
-def _g(x: np.ndarray) -> np.ndarray:
-    return x * np.log(np.maximum(x, 1e-300))
+def _is_tail(ids: np.ndarray) -> np.ndarray:
+    return (ids >= WORD_UNITS) & (ids < UNITS)
 
 
-def choose(pairs: np.ndarray, of: np.ndarray, word: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The best class of each word, all other words staying where they are.
+def _add_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the rows of each block, which come one after another."""
+    at, total = None, np.zeros(0, np.int64)
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["block", "cells"])
+    for batch in batches:
+        for block, blob in zip(batch.column("block").to_pylist(), batch.column("cells"), strict=True):
+            cells = np.frombuffer(zlib.decompress(blob.as_py()), np.int64)
+            if block == at:
+                total = total + cells
+            else:
+                if at is not None:
+                    yield row()
+                at, total = block, cells
+    if at is not None:
+        yield row()
 
-    ``of`` has the words' classes; word, cell and n are their counts: cell k of classes to the right, WIDE + k of
-    classes to the left, SELF of the word beside itself. A class is judged by what the word's counts add to the
-    likelihood there (in its own class, by what they add to the rest of it), each cell of ``pairs`` by itself.
-    """
-    key, place = np.unique(word * (SELF + 1) + cell, return_inverse=True)
-    n = np.bincount(place, n, len(key))
-    word, cell = key // (SELF + 1), key % (SELF + 1)
-    # row c of at: the cells of pairs that a word of class c has its counts in
-    at = np.concatenate((pairs[:CLASSES], pairs[:, :CLASSES].T, np.diag(pairs)[:CLASSES, None]), 1)
-    gain = np.zeros((len(of), CLASSES))
-    for start in range(0, len(key), 1 << 15):
-        part = slice(start, start + (1 << 15))
-        w, j, m = word[part], cell[part], n[part]
-        base = at[:, j].T
-        own = np.arange(len(w)), of[w]
-        base[own] = np.maximum(base[own] - m, 0)
-        first = np.flatnonzero(np.diff(w, prepend=-1))
-        gain[w[first]] += np.add.reduceat(_g(base + m[:, None]) - _g(base), first, axis=0)
-    one = np.arange(len(of)), of
-    for total, drop in ((pairs.sum(1), (cell >= WIDE) & (cell < SELF)), (pairs.sum(0), cell < WIDE)):
-        mass = np.bincount(word, np.where(drop, 0, n), len(of))
-        base = np.repeat(total[None, :CLASSES], len(of), 0)
-        base[one] = np.maximum(base[one] - mass, 0)
-        gain -= _g(base + mass[:, None]) - _g(base)
-    gain = np.round(gain, 6)
-    best = gain.argmax(1)
-    return np.where(gain[one] < gain[np.arange(len(of)), best], best, of)
 
+def gathered(encoded: DataFrame, of: np.ndarray) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The written counts of all units under the classes ``of``, and their two matrices of class pairs."""
+    out = saved(encoded.select("ids").mapInArrow(_cells(of), "block int, cells binary").repartition("block").sortWithinPartitions("block").mapInArrow(_add_blocks, "block int, cells binary"))
+    found = {r["block"]: np.frombuffer(zlib.decompress(r["cells"]), np.int64).reshape(WIDE, WIDE) for r in out.filter("block < 0").collect()}  # two rows
+    none = np.zeros((WIDE, WIDE), np.int64)
+    return out.filter("block >= 0"), found.get(ALL_PAIRS, none), found.get(WORD_PAIRS, none)
 
-def _chooser(pairs: np.ndarray, share: int, turn: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(w, cls) after the words whose hash is ``turn`` modulo ``share`` have chosen, from (w, cls, turn, cells, more)."""
+
+def _chooser(pairs: np.ndarray, of: np.ndarray, share: int, turn: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(unit, cls) of the units that move: those in no class yet, or those whose turn it is."""
 
     def move(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = batch.column("cls").to_numpy(zero_copy_only=False).astype(np.int64)
-            chosen = batch.column("turn").to_numpy(zero_copy_only=False) % share == turn
-            word, cell, n = [], [], []
-            for name in ("cells", "more"):
-                lists = batch.column(name)
-                flat = lists.flatten()
-                word.append(np.repeat(np.arange(len(of)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
-                cell.append(flat.field("cell").to_numpy(zero_copy_only=False).astype(np.int64))
-                n.append(flat.field("n").to_numpy(zero_copy_only=False).astype(float))
-            word, cell, n = map(np.concatenate, (word, cell, n))
-            mine = chosen[word] if len(word) else np.zeros(0, bool)
-            found = choose(pairs, of, word[mine], cell[mine], n[mine]) if mine.any() else of
-            yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(np.where(chosen, found, of).astype(np.int32))], ["w", "cls"])
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                cells = np.frombuffer(zlib.decompress(blob), np.int64).reshape(-1, CELLS)
+                units = block * BLOCK + np.arange(len(cells))
+                own = of[units]
+                if share:
+                    cells = np.where((_spread(units) % share == turn)[:, None], cells, 0)
+                else:
+                    cells = np.where((own < 0)[:, None], cells, 0)
+                word, cell = np.nonzero(cells)
+                found = choose(pairs, own if share else None, word, cell, cells[word, cell].astype(float), len(cells))
+                moved = np.flatnonzero(cells.any(axis=1) & (found != own))
+                yield pa.RecordBatch.from_arrays([pa.array(units[moved].astype(np.int32)), pa.array(found[moved].astype(np.int32))], ["unit", "cls"])
 
     return move
 
 
-def _by_word(df: DataFrame) -> DataFrame:
-    """``df`` written in buckets of w: joins and groups by w need no exchange then."""
-    spark = df.sparkSession
-    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"docsieve_{uuid.uuid4().hex}"
-    df.repartition(parts, "w").write.format("parquet").option("path", f"{shared_dir(spark)}/{name}.parquet").bucketBy(parts, "w").sortBy("w").saveAsTable(name)
-    out = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # its files stay
-    return out
+def _spread(units: np.ndarray) -> np.ndarray:
+    return (units * 2654435761 & 0xFFFFFFFF) >> 9
 
 
 def likelihood(pairs: np.ndarray) -> float:
     return float(_g(pairs).sum() - _g(pairs.sum(1)).sum() - _g(pairs.sum(0)).sum())
 
 
-def refine(training: DataFrame, head: dict[bytes, int], of_head: np.ndarray, tail: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, DataFrame, np.ndarray]:
-    """Exchange over the whole vocabulary: classes of the head, (w, cls) of all other words, class pair counts.
+def cluster(encoded: DataFrame, frequency: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of all units (and of START_ID and END_ID), with the two matrices of class pairs under them.
 
-    ``head`` has the places of the most frequent words, ``of_head`` their classes to begin with and ``tail`` those
-    of the other words, by ``tail_id``. In a round half of the words, by hash, choose at once from the counts
-    that the round begins with. A round that lowers the likelihood is taken back, and the share that moves at once
-    is halved; the classes returned are those of the greatest likelihood. Bigrams of two
-    head words are summed up against the broadcast classes; those of the other words lie by word, and only pairs of two such words and the cells of the head are exchanged.
+    ``frequency`` has the units' counts. A round that lowers the likelihood is taken back, and the share of the
+    units that moves at once is halved; the classes returned are those of the greatest likelihood.
     """
-    spark = training.sparkSession
-    turns = np.fromiter((tail_id(w) & 63 for w in head), np.int64, len(head))
-    edges = saved(text_bytes(training).mapInArrow(_bigrams(head), "a int, b int, ta long, tb long, n long"))
-    heads = edges.filter("ta is null and tb is null").select("a", "b", "n")
-    row = lambda w, side, other: F.struct(F.col(w).alias("w"), side.cast("int").alias("side"), other.alias("other"), "n")
-    alike = F.col("ta").eqNullSafe(F.col("tb"))
-    ends = F.array(
-        F.when(F.col("ta").isNotNull(), row("ta", F.when(alike, 2).otherwise(0), F.coalesce("tb", F.col("b").cast("long")))),
-        F.when(F.col("tb").isNotNull() & ~alike, row("tb", F.lit(1), F.coalesce("ta", F.col("a").cast("long")))),
-    )
-    links = _by_word(edges.filter("ta is not null or tb is not null").select(F.explode(ends).alias("e")).filter("e is not null").select("e.*"))
-    tail = _by_word(tail)
-    side = lambda s, c: F.when(F.col("side") == 2, SELF).otherwise(s * WIDE + c).cast("int").alias("cell")
-    listed = lambda df, name: df.groupBy("w").agg(F.collect_list(F.struct("cell", "n")).alias(name))
-    end = len(head)
-    best, still, share = None, 0, 2
+    seeds = np.argsort(-frequency, kind="stable")[:SEEDS]
+    seeds = seeds[frequency[seeds] > 0]
+    place = np.full(UNITS + 2, -1)
+    place[seeds] = np.arange(len(seeds))
+    flat = np.zeros(len(seeds) ** 2)
+    if len(seeds):
+        found = encoded.select("ids").mapInArrow(_seed_bigrams(place, len(seeds)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # SEEDS * SEEDS at most
+        flat[found["pair"].to_numpy()] = found["n"].to_numpy()
+    of = np.full(UNITS + 2, -1)
+    of[seeds] = exchange(flat.reshape(len(seeds), -1), CLASSES) if len(seeds) else 0
+    of[[END_ID, START_ID]] = CLASSES, START
+    cells, pairs, words = gathered(encoded, of)
+
+    def moved(share: int, turn: int) -> np.ndarray:
+        out = of.copy()
+        found = cells.mapInArrow(_chooser(pairs, of, share, turn), "unit int, cls int").toArrow()  # UNITS at most
+        out[found["unit"].to_numpy()] = found["cls"].to_numpy()
+        return out
+
+    of = moved(0, 0)
+    of[of < 0] = 0  # units that nothing stands beside
+    best, share = None, 2
     for at in range(rounds + 1):
-        full = np.concatenate((of_head, [CLASSES, START]))
-        known = F.broadcast(spark.createDataFrame(pa.table({"other": np.arange(end + 2), "of_other": full.astype(np.int32)})))
-        placed = links.join(tail, "w")
-        near = placed.filter("other >= 0")
-        cells = heads.mapInArrow(_head_cells(full), "w long, cell int, n long")
-        cells = cells.unionByName(near.filter(F.col("other") != end).select(F.col("other").alias("w"), side(1 - F.col("side"), F.col("cls")), "n"))
-        cells = saved(cells.groupBy("w", "cell").agg(F.sum("n").alias("n")))
-        sent = placed.filter("other < 0").select(F.when(F.col("side") == 2, F.col("w")).otherwise(F.col("other")).alias("w"), side(1 - F.col("side"), F.col("cls")), "n")
-        sent = saved(sent.groupBy("w", "cell").agg(F.sum("n").alias("n")))
-        # each pair once, at its left word
-        mine = F.when(F.col("cell") == SELF, F.col("left")).otherwise(F.col("cell"))
-        of_known = known.select(F.col("other").alias("w"), F.col("of_other").alias("left"))
-        of_tail = tail.withColumnRenamed("cls", "left")
-        flat = (
-            cells.join(of_known, "w").filter((F.col("cell") < WIDE) | (F.col("cell") == SELF)).select("left", mine.alias("right"), "n")
-            .unionByName(near.filter("side = 0").join(known, "other").select(F.col("cls").alias("left"), F.col("of_other").alias("right"), "n"))
-            .unionByName(sent.join(of_tail, "w").filter((F.col("cell") < WIDE) | (F.col("cell") == SELF)).select("left", mine.alias("right"), "n"))
-        )
-        pairs = np.zeros((WIDE, WIDE))
-        for r in flat.groupBy("left", "right").agg(F.sum("n").alias("n")).collect():  # WIDE * WIDE at most
-            pairs[r["left"], r["right"]] = r["n"]
+        cells, pairs, words = gathered(encoded, of)
         value = likelihood(pairs)
         if best is None or value > best[0]:
-            best, still = (value, of_head, tail, pairs, cells, sent, known), 0
+            best = value, of, cells, pairs, words
         elif value < best[0]:
             share *= 2
+            _, of, cells, pairs, words = best
         else:
-            still += 1
-        if at == rounds or still == share or share > 64:
             break
-        _, of_head, tail, pairs, cells, sent, known = best
-        move = _chooser(pairs, share, at % share)
-        own = spark.createDataFrame(pa.table({"w": np.arange(end), "cls": of_head.astype(np.int32), "turn": turns})) if end else None
-        none = F.lit(None).cast("array<struct<cell:int,n:bigint>>").alias("more")
-        if own is not None:
-            chosen = listed(cells, "cells").join(F.broadcast(own), "w").select("w", "cls", "turn", "cells", none)
-            of_head = of_head.copy()
-            for r in chosen.mapInArrow(move, "w long, cls int").toLocalIterator():  # HEAD at most
-                of_head[r["w"]] = r["cls"]
-        near_cells = listed(links.filter("other >= 0").join(known, "other").select("w", side(F.col("side"), F.col("of_other")), "n"), "cells")
-        state = tail.join(near_cells, "w", "left").join(listed(sent, "more"), "w", "left")
-        tail = _by_word(state.select("w", "cls", F.col("w").bitwiseAND(F.lit(63)).alias("turn"), "cells", "more").mapInArrow(move, "w long, cls int"))
-    return best[1], best[2], best[3]
+        if at < rounds:
+            of = moved(share, at % share)
+    return best[1], best[3], best[4]
+
+
+#: Codes of a tail word's neighbours: its left class, + WIDE if the neighbour is a tail word too; 2 * WIDE more on the right.
+CODES = 4 * WIDE
+
+
+def _contexts(of: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(w, codes): the neighbours' codes of each word that is no unit, two bytes an occurrence."""
+
+    def out(hashes: list[np.ndarray], codes: list[np.ndarray]) -> pa.RecordBatch:
+        w, code = np.concatenate(hashes), np.concatenate(codes)
+        order = np.argsort(w, kind="stable")
+        w, code = w[order], code[order]
+        first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        ends = np.append(first, len(w)).astype(np.int32) * 2
+        lists = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(code.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(w[first]), lists], ["w", "codes"])
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, codes, held = [], [], 0
+        for batch in batches:
+            for ids, tails in zip(_ids_of(batch), batch.column("tails").to_pylist(), strict=True):
+                tail = _is_tail(ids)
+                code = of[ids] + WIDE * tail
+                at = np.flatnonzero(tail)
+                if len(at):
+                    hashes.append(np.frombuffer(tails, np.int64))
+                    codes.append(np.stack((code[at - 1], code[at + 1] + 2 * WIDE), 1).astype(np.uint8))
+                    held += len(at)
+                if held > SORTED:
+                    yield out(hashes, codes)
+                    hashes, codes, held = [], [], 0
+        if held:
+            yield out(hashes, codes)
+
+    return gather
+
+
+def _place_tail(pairs: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (w, cls) of words whose contexts come one after another, and (null, cls, right, n): the class pairs
+    that they make with neighbours that are units of their own."""
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(WIDE * WIDE, np.int64)
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def settle(words: np.ndarray, owner: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            cls = choose(pairs, None, owner, np.where(code < 2 * WIDE, WIDE, 0) + code % WIDE, n.astype(float), len(words))
+            own, other, real = cls[owner], code % WIDE, code // WIDE % 2 == 0
+            pair = np.where(code < 2 * WIDE, other * WIDE + own, own * WIDE + other)
+            np.add(total, np.bincount(pair[real], n[real], len(total)).astype(np.int64), out=total)
+            none = pa.nulls(len(words), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(cls.astype(np.int32)), none, pa.nulls(len(words), pa.int64())], ["w", "cls", "right", "n"])
+
+        for batch in batches:
+            w = batch.column("w").to_numpy()
+            lists = batch.column("codes")
+            sizes = pa.compute.binary_length(lists).to_numpy()
+            owner = np.concatenate((held[0], np.repeat(w, sizes)))
+            codes = np.frombuffer(b"".join(lists.to_pylist()), np.uint8).astype(np.int64)
+            codes, n = np.concatenate((held[1], codes)), np.concatenate((held[2], np.ones(len(codes), np.int64)))
+            words, owner = np.unique(owner, return_inverse=True)
+            key, again = np.unique(owner * CODES + codes, return_inverse=True)
+            n = np.bincount(again, n, len(key)).astype(np.int64)
+            owner, codes = key // CODES, key % CODES
+            # the last word may go on in the next batch
+            last = owner == len(words) - 1 if w[-1] == words[-1] else owner == np.searchsorted(words, w[-1])
+            held = words[owner[last]], codes[last], n[last]
+            rest = np.delete(np.arange(len(words)), np.searchsorted(words, w[-1]))
+            if len(rest):
+                yield settle(words[rest], np.searchsorted(rest, owner[~last]), codes[~last], n[~last])
+        if len(held[0]):
+            yield settle(held[0][:1], np.zeros(len(held[0]), np.int64), held[1], held[2])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array((at // WIDE).astype(np.int32)), pa.array((at % WIDE).astype(np.int32)), pa.array(total[at])], ["w", "cls", "right", "n"])
+
+    return place
+
+
+def _tail_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lw, w): two words beside each other that are no units."""
+    for batch in batches:
+        for ids, tails in zip(_ids_of(batch), batch.column("tails").to_pylist(), strict=True):
+            tail, hashes = _is_tail(ids), np.frombuffer(tails, np.int64)
+            at = np.cumsum(tail) - 1
+            left = at[np.flatnonzero(tail[:-1] & tail[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[left]), pa.array(hashes[left + 1])], ["lw", "w"])
+
+
+def refine(encoded: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """Exchange over the whole vocabulary: classes of the units, (w, cls) of all other words, class pair counts.
+
+    The pair counts are those of the training texts under the classes of their words.
+    """
+    of, pairs, words = cluster(encoded, frequency, rounds)
+    placed = saved(encoded.mapInArrow(_contexts(of), "w long, codes binary").repartition("w").sortWithinPartitions("w").mapInArrow(_place_tail(pairs), "w long, cls int, right int, n long"))
+    tail = placed.filter("w is not null").select("w", "cls")
+    of_w, of_left = tail.withColumnRenamed("cls", "right"), tail.withColumnRenamed("w", "lw")
+    both = encoded.mapInArrow(_tail_pairs, "lw long, w long").join(of_w, "w").groupBy("lw", "right").agg(F.count("*").alias("n"))
+    flat = both.join(of_left, "lw").select("cls", "right", "n").unionByName(placed.filter("w is null").select("cls", "right", "n"))
+    out = words.astype(float)
+    for r in flat.groupBy("cls", "right").agg(F.sum("n").alias("n")).collect():  # WIDE * WIDE at most
+        out[r["cls"], r["right"]] += r["n"]
+    return of, tail, out
 
 
 @dataclass
@@ -380,23 +488,26 @@ class Model:
         return np.log10((n + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
 
 
-def _head_threshold(counts: DataFrame) -> int:
-    """The least count, of steps an eighth of an octave apart, that HEAD words at most reach."""
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most ``most`` words with their counts: all words above a count, then words of the step of counts below
+    it (an eighth of an octave) by their hash, so that ties never empty or overfill the list. By count, then word."""
     step = F.floor(F.log2("n") * 8)
-    steps = sorted(((r["s"], r["words"], r["least"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()), reverse=True)
-    words, threshold = 0, 1 << 62
-    for _, many, least in steps:
-        words += many
-        if words > HEAD:
+    words, above, share = 0, 1 << 62, 0.0
+    for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("s")).collect():  # 8 rows an octave
+        if words + r["words"] > most:
+            share = (most - words) / r["words"]
+            below = F.col("n").between(r["least"], above - 1) & (F.shiftrightunsigned(F.xxhash64("word", F.lit("head")), 2) < F.lit(int(share * (1 << 62))))
             break
-        threshold = least
-    return threshold
+        words, above, below = words + r["words"], r["least"], F.lit(False)
+    else:
+        below = F.lit(False)
+    found = counts.filter((F.col("n") >= above) | below).select("word", "n").toArrow()  # ``most``, give or take the spread of the hash
+    return sorted(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))[:most]
 
 
-def _with_ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [tail_id(w) for w in batch.column("word").to_pylist()]
-        yield batch.append_column("w", pa.array(ids, pa.int64()))
+def _words_table(spark: SparkSession, words: Iterable[bytes], **more: np.ndarray) -> DataFrame:
+    """A bounded list of words as a table to broadcast."""
+    return F.broadcast(spark.createDataFrame(pa.table({"word": pa.array(list(words), pa.binary()), **more})))
 
 
 def fit(training: DataFrame) -> Model:
@@ -404,49 +515,41 @@ def fit(training: DataFrame) -> Model:
     spark: SparkSession = training.sparkSession
     counts = saved(vocabulary(training))
     documents = training.count()
-    head_rows = sorted(counts.filter(F.col("n") >= _head_threshold(counts)).collect(), key=lambda r: (-r["n"], bytes(r["word"])))  # HEAD at most
-    units = {bytes(r["word"]): i for i, r in enumerate(head_rows[:WORD_UNITS])}
+    head_rows = most_frequent(counts, max(HEAD, WORD_UNITS))
+    words = {w: i for i, (w, _) in enumerate(head_rows[:WORD_UNITS])}
     ending = F.expr(f"substring(word, greatest(octet_length(word) - {ENDING - 1}, 1), {ENDING})")
-    own = spark.createDataFrame([(bytearray(w), u) for w, u in units.items()], "word binary, own long")
-    placed = counts.join(F.broadcast(own), "word", "left").withColumn("ending", ending)
-    frequent = placed.filter("own is null").groupBy("ending").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ending").limit(ENDING_UNITS).collect()
-    endings = {bytes(r["ending"]): WORD_UNITS + i for i, r in enumerate(frequent)}
-    ends = spark.createDataFrame([(bytearray(w), u) for w, u in endings.items()], "ending binary, of_ending long")
-    unit = F.coalesce("own", "of_ending", F.crc32("ending") % BUCKETS + (WORD_UNITS + ENDING_UNITS))
-    many = END_UNIT + 2
-    flat = np.zeros(many * many)
-    found = text_bytes(training).mapInArrow(_unit_bigrams(units, endings), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    for r in found.toLocalIterator():  # many * many cells at most
-        flat[r["pair"]] = r["n"]
-    bigrams = flat.reshape(many, many)
-    of_unit = np.append(exchange(bigrams[:END_UNIT, :END_UNIT], CLASSES), [CLASSES, START])
-    head = {bytes(r["word"]): i for i, r in enumerate(head_rows)}
-    of_head = of_unit[[unit_of(w, units, endings) for w in head]] if head else np.zeros(0, np.int64)
-    initial = F.element_at(F.array(*[F.lit(int(c)) for c in of_unit]), (unit + 1).cast("int"))
-    ranks = spark.createDataFrame([(bytearray(w), i) for w, i in head.items()], "word binary, rank long")
-    lettered = placed.join(F.broadcast(ends), "ending", "left").join(F.broadcast(ranks), "word", "left").select("word", "n", "rank", initial.alias("cls"))
-    rest = saved(lettered.filter("rank is null").select("word", "n", "cls").mapInArrow(_with_ids, "word binary, n long, cls int, w long"))
-    of_head, of_tail, pairs = refine(training, head, of_head, rest.groupBy("w").agg(F.min("cls").alias("cls")))
-    final = spark.createDataFrame([(bytearray(w), head_rows[i]["n"], int(of_head[i])) for w, i in head.items()], "word binary, n long, cls int")
-    counts = saved(final.unionByName(rest.select("word", "n", "w").join(of_tail, "w").select("word", "n", "cls")))
+    rest = counts.join(_words_table(spark, words), "word", "left_anti").withColumn("w", F.xxhash64("word"))
+    by_ending = saved(rest.groupBy(ending.alias("ending")).agg(F.sum("n").alias("n")))
+    frequent = most_frequent(by_ending.withColumnRenamed("ending", "word"), ENDING_UNITS)
+    endings = {e: WORD_UNITS + i for i, (e, _) in enumerate(frequent)}
+    frequency = np.zeros(UNITS, np.int64)
+    frequency[: len(words)] = [n for _, n in head_rows[: len(words)]]
+    frequency[WORD_UNITS : WORD_UNITS + len(frequent)] = [n for _, n in frequent]
+    head_rows = head_rows[:HEAD]
+    encoded = saved(text_bytes(training).mapInArrow(_encode(words, endings), "ids binary, tails binary"))
+    of, of_tail, pairs = refine(encoded, frequency)
+    final = _words_table(spark, words, n=frequency[: len(words)], cls=of[: len(words)].astype(np.int32))
+    counts = saved(final.unionByName(rest.join(of_tail, "w").select("word", "n", "cls")))
+    late = counts.join(_words_table(spark, (w for w, _ in head_rows[len(words) :])), "word", "left_semi").toArrow()  # HEAD at most
+    of_head = dict(zip(words, of.tolist(), strict=False)) | dict(zip(late["word"].to_pylist(), late["cls"].to_pylist(), strict=True))
     stats = counts.groupBy("cls").agg(F.count("*").alias("types"), F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()
-    units = {w: END_UNIT + 2 + int(of_head[i]) for w, i in head.items()}
-    of_unit = np.concatenate((of_unit, np.arange(CLASSES)))
+    units = {w: UNITS + 2 + of_head[w] for w, _ in head_rows}
+    of_unit = np.concatenate((of, np.arange(CLASSES)))
     pairs = pairs[:, : CLASSES + 1]
-    words, types = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
+    tokens, types = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     for r in stats:
-        words[r["cls"]] += r["n"]
+        tokens[r["cls"]] += r["n"]
         types[r["cls"]] += r["types"]
     n1, n2 = sum(r["n1"] for r in stats), sum(r["n2"] for r in stats)
     discount = min(max(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.1), 0.9)
-    share = (np.append(words[:CLASSES], documents) + 0.1) / (words.sum() + documents + 0.1 * (CLASSES + 1))
+    share = (np.append(tokens[:CLASSES], documents) + 0.1) / (tokens.sum() + documents + 0.1 * (CLASSES + 1))
     share /= share.sum()
     # from the end of a text nothing follows; that row is unused
     transitions = np.log10((pairs + SMOOTH * share[None, :]) / (pairs.sum(1, keepdims=True) + SMOOTH))
-    unseen = np.log10(np.where(words > 0, discount * types / np.maximum(words, 1), 1.0))
+    unseen = np.log10(np.where(tokens > 0, discount * types / np.maximum(tokens, 1), 1.0))
     return Model(
-        units, endings, of_unit, transitions, np.log10(np.maximum(words, 1)), unseen, discount,
-        {bytes(r["word"]): r["n"] for r in head_rows}, int(words.sum()) + documents, int(types.sum()) + (documents > 0), documents, counts,
+        units, endings, of_unit, transitions, np.log10(np.maximum(tokens, 1)), unseen, discount,
+        dict(head_rows), int(tokens.sum()) + documents, int(types.sum()) + (documents > 0), documents, counts,
     )
 
 

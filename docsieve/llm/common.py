@@ -42,9 +42,18 @@ def fits_broadcast(rows: int, bytes_per_row: int) -> bool:
     return rows * bytes_per_row <= BROADCAST_BYTES
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out to all cores where they come from fewer files than there are cores.
+
+    A file can be a single row group, which one task must read; many files are left as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows
+
+
 def text_bytes(docs: DataFrame, *keep: str) -> DataFrame:
     """The kept columns and the text as UTF-8 bytes (null stays null)."""
-    return docs.select(*keep, F.col("text").cast("string").cast("binary").alias("text"))
+    return spread(docs.select(*keep, F.col("text").cast("string").cast("binary").alias("text")))
 
 
 def boxed(docs: DataFrame, *more: str) -> DataFrame:
@@ -52,7 +61,7 @@ def boxed(docs: DataFrame, *more: str) -> DataFrame:
     as bytes, and copies of the columns named in ``more``."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     row = F.struct(*rest) if rest else F.struct(F.lit(0).alias("_"))
-    return docs.select(row.alias("row"), F.col("text").cast("string").cast("binary").alias("text"), *more)
+    return spread(docs.select(row.alias("row"), F.col("text").cast("string").cast("binary").alias("text"), *more))
 
 
 def shape(df: DataFrame, more: str = "") -> str:

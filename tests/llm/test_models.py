@@ -84,6 +84,57 @@ def test_class_lm_pairs_are_counted_whole(spark, tricky, monkeypatch):
         assert (kept["r"][2] == want).all()
 
 
+def test_class_lm_other_words_choose_by_their_contexts(spark, tricky, monkeypatch):
+    """Words beyond the units get classes by their neighbours too, and their pairs are counted whole."""
+    rng = np.random.default_rng(3)
+    often, rare = ([[f"{name}{k}x{i}{end}" for i in range(n)] for k in range(3)] for name, n, end in (("f", 50, ""), ("r", 40, "end")))
+    texts = [" ".join(str(rng.choice((rare if rng.random() < 0.15 else often)[(at + i) % 3])) for i in range(40)) for at in range(600)]
+    monkeypatch.setattr(class_lm, "most_frequent", lambda counts, most, f=class_lm.most_frequent: f(counts, 150 if most > class_lm.ENDING_UNITS else most))
+    for docs in (spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), tricky.select("text")):
+        kept = {}
+        refine = class_lm.refine
+        monkeypatch.setattr(class_lm, "refine", lambda *a, f=refine, k=kept: k.setdefault("r", f(*a)))
+        model = class_lm.fit(docs)
+        monkeypatch.setattr(class_lm, "refine", refine)
+        assert 100 < len(model.head) <= 150 and kept["r"][1].count() > 100
+        of = {bytes(r["word"]): r["cls"] for r in model.vocabulary.collect()}
+        want = np.zeros((class_lm.WIDE, class_lm.WIDE))
+        for r in docs.collect():
+            path = [class_lm.START, *(of[w] for w in brute.words(r["text"])), class_lm.CLASSES]
+            np.add.at(want, (path[:-1], path[1:]), 1)
+        assert (kept["r"][2] == want).all()
+        if len(of) == 270:
+            main = [max(sum(of[w.encode()] == c for w in k) for k in rare) for c in range(class_lm.CLASSES)]
+            assert sum(main) > 0.6 * 120
+
+
+def test_class_lm_score_by_the_letter(tricky, tricky_rows, monkeypatch):
+    """The score, worked out word by word from the model's parts."""
+    monkeypatch.setattr(class_lm, "HEAD", 200)
+    training = tricky.filter(crc_mod("doc_id", 10) != 0).select("text")
+    model = class_lm.fit(training)
+    known = {bytes(r["word"]): (r["cls"], r["n"]) for r in model.vocabulary.collect()}
+    want = []
+    for r in tricky_rows:
+        total, before = 0.0, class_lm.START
+        for w in brute.words(r[1]):
+            cls, n = known.get(w) or (int(model.of_unit[class_lm.unit_of(w, {}, model.endings)]), 0)
+            emission = np.log10(n - model.discount) - model.emission_base[cls] if n else model.unseen[cls]
+            total += model.transitions[before, cls] + emission
+            before = cls
+        want.append((str(r[0]), round(total + model.transitions[before, class_lm.CLASSES], 4)))
+    rows = class_lm.score(tricky.select("doc_id", "text", F.lit(False).alias("held_out")), model).collect()
+    assert sorted((str(r["doc_id"]), round(r["score"], 4)) for r in rows) == sorted(want)
+
+
+def test_most_frequent_takes_ties_by_hash(spark):
+    counts = spark.createDataFrame([(bytearray(b"w%d" % i), 1) for i in range(3000)] + [(bytearray(b"often"), 9)], "word binary, n long")
+    found = class_lm.most_frequent(counts, 500)
+    assert found[0] == (b"often", 9) and 400 < len(found) <= 500
+    assert found == class_lm.most_frequent(counts.repartition(7), 500)
+    assert len(class_lm.most_frequent(counts, 4000)) == 3001
+
+
 def test_class_lm_beats_single_words(docs):
     held = class_lm.score_documents(docs).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert held["s"] > held["b"]
