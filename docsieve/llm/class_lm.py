@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import blobs, crc_mod, saved, slices, text_bytes
+from docsieve.llm.common import blobs, crc_mod, forget, saved, slices, text_bytes
 
 #: Words and endings that are units of their own at most (the most frequent), buckets for the rest, and classes.
 WORD_UNITS, ENDING_UNITS, BUCKETS, CLASSES = 32_000, 4_096, 64, 48
@@ -256,12 +256,22 @@ def _cells(of: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
                 words += np.bincount(pair[near], minlength=len(words))
         rows = [(ALL_PAIRS, pairs), (WORD_PAIRS, words)]
         rows += [(i // (BLOCK * CELLS), total[i : i + BLOCK * CELLS]) for i in range(0, len(total), BLOCK * CELLS)]
-        rows = [(i, zlib.compress(x.tobytes(), 1)) for i, x in rows if x.any()]
+        rows = [(i, _packed(x)) for i, x in rows if x.any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["block", "cells"])
 
     return count
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, deflated behind that number of bytes."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max()) < 1 << 8 * w)
+    return bytes([width]) + zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob[1:]), f"<u{blob[0]}").astype(np.int64)
+
+
 def _is_tail(ids: np.ndarray) -> np.ndarray:
     return (ids >= WORD_UNITS) & (ids < UNITS)
 
@@ -269,10 +279,10 @@ def _is_tail(ids: np.ndarray) -> np.ndarray:
 def _add_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sums of the rows of each block, which come one after another."""
     at, total = None, np.zeros(0, np.int64)
-    row = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["block", "cells"])
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_packed(total)], pa.binary())], ["block", "cells"])
     for batch in batches:
         for block, blob in zip(batch.column("block").to_pylist(), batch.column("cells"), strict=True):
-            cells = np.frombuffer(zlib.decompress(blob.as_py()), np.int64)
+            cells = _unpacked(blob.as_py())
             if block == at:
                 total = total + cells
             else:
@@ -286,9 +296,9 @@ def _add_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def gathered(encoded: DataFrame, of: np.ndarray) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """The written counts of all units under the classes ``of``, and their two matrices of class pairs."""
     out = saved(encoded.select("ids").mapInArrow(_cells(of), "block int, cells binary").repartition("block").sortWithinPartitions("block").mapInArrow(_add_blocks, "block int, cells binary"))
-    found = {r["block"]: np.frombuffer(zlib.decompress(r["cells"]), np.int64).reshape(WIDE, WIDE) for r in out.filter("block < 0").collect()}  # two rows
+    found = {r["block"]: _unpacked(r["cells"]).reshape(WIDE, WIDE) for r in out.filter("block < 0").collect()}  # two rows
     none = np.zeros((WIDE, WIDE), np.int64)
-    return out.filter("block >= 0"), found.get(ALL_PAIRS, none), found.get(WORD_PAIRS, none)
+    return out, found.get(ALL_PAIRS, none), found.get(WORD_PAIRS, none)
 
 
 def _chooser(pairs: np.ndarray, of: np.ndarray, share: int, turn: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -297,7 +307,7 @@ def _chooser(pairs: np.ndarray, of: np.ndarray, share: int, turn: int) -> Callab
     def move(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-                cells = np.frombuffer(zlib.decompress(blob), np.int64).reshape(-1, CELLS)
+                cells = _unpacked(blob).reshape(-1, CELLS)
                 units = block * BLOCK + np.arange(len(cells))
                 own = of[units]
                 if share:
@@ -341,25 +351,30 @@ def cluster(encoded: DataFrame, frequency: np.ndarray, rounds: int) -> tuple[np.
 
     def moved(share: int, turn: int) -> np.ndarray:
         out = of.copy()
-        found = cells.mapInArrow(_chooser(pairs, of, share, turn), "unit int, cls int").toArrow()  # UNITS at most
+        found = cells.filter("block >= 0").mapInArrow(_chooser(pairs, of, share, turn), "unit int, cls int").toArrow()  # UNITS at most
         out[found["unit"].to_numpy()] = found["cls"].to_numpy()
         return out
 
     of = moved(0, 0)
     of[of < 0] = 0  # units that nothing stands beside
+    forget(cells)
     best, share = None, 2
     for at in range(rounds + 1):
         cells, pairs, words = gathered(encoded, of)
         value = likelihood(pairs)
         if best is None or value > best[0]:
+            if best is not None:
+                forget(best[2])
             best = value, of, cells, pairs, words
-        elif value < best[0]:
+        else:
+            forget(cells)
+            if value == best[0]:
+                break
             share *= 2
             _, of, cells, pairs, words = best
-        else:
-            break
         if at < rounds:
             of = moved(share, at % share)
+    forget(best[2])
     return best[1], best[3], best[4]
 
 
@@ -554,19 +569,29 @@ def fit(training: DataFrame) -> Model:
 
 
 class _Heads(dict):
-    """Word -> (class, count in the head or 0 if it is not there)."""
+    """Word -> its number here, by which ``words``, ``cls`` and ``n`` have it, its class and its count in the head
+    (0 if it is not there; the class is that of its ending then)."""
 
     def __init__(self, model: Model):
         self.model = model
+        self.words: list[bytes] = []
+        self.cls, self.n = array("h"), array("q")
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         m = self.model
-        self[word] = found = (int(m.of_unit[unit_of(word, m.units, m.endings)]), m.head.get(word, 0))
-        return found
+        self[word] = place = len(self.words)
+        self.words.append(word)
+        self.cls.append(int(m.of_unit[unit_of(word, m.units, m.endings)]))
+        self.n.append(m.head.get(word, 0))
+        return place
 
 
 _PARTS = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, cls: int, times: int>>, links array<long>"
-_TAIL = pa.list_(pa.struct([("word", pa.binary()), ("cls", pa.int32()), ("times", pa.int32())]))
+
+
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    """Lists of the given sizes that the values fill in order."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), values)
 
 
 def _score(model: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -579,28 +604,37 @@ def _score(model: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
         end_base = float(model.base(np.array(model.documents)))
         for batch in slices(batches):
             if len(known) > FLUSH:
-                known.clear()
-            tokens, knowns, bases, scores, tails, links = [], [], [], [], [], []
-            for text in blobs(batch):
-                words = text.lower().split()
-                pairs = np.array(list(map(known.__getitem__, words)), np.int64).reshape(-1, 2)
-                cls, n = pairs[:, 0], pairs[:, 1]
-                head = n > 0
-                away = np.flatnonzero(~head)
-                tail = Counter(words[i] for i in away)
-                place = {w: WIDE + j for j, w in enumerate(tail)}
-                path = np.concatenate(([START], cls, [CLASSES]))
-                path[away + 1] = [place[words[i]] for i in away]
-                left, right = path[:-1], path[1:]
-                near = (left < WIDE) & (right < WIDE)
-                score_ = model.transitions[left[near], right[near]].sum() + (np.log10(n[head] - model.discount) - model.emission_base[cls[head]]).sum()
-                tails.append([{"word": w, "cls": known[w][0], "times": t} for w, t in tail.items()])
-                links.append(left[~near] << 32 | right[~near])
-                tokens.append(len(words) + 1)
-                knowns.append(int(head.sum()) + end_known)
-                bases.append(float(model.base(n[head]).sum()) + end_base)
-                scores.append(float(score_))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(knowns, pa.int64()), pa.array(bases), pa.array(scores), pa.array(tails, _TAIL), pa.array(links, pa.list_(pa.int64()))], ["doc_id", "rid", "held_out", "n_tokens", "n_known", "base", "score", "tail", "links"])
+                known = _Heads(model)
+            split = [text.lower().split() for text in blobs(batch)]
+            sizes = np.array([len(x) for x in split], np.int64)
+            docs = len(sizes)
+            word = np.concatenate([np.fromiter(map(known.__getitem__, x), np.int64, len(x)) for x in split])
+            del split
+            cls, n, doc = np.array(known.cls, np.int64)[word], np.array(known.n, np.int64)[word], np.repeat(np.arange(docs), sizes)
+            head = n > 0
+            tail, place, times = np.unique(doc[~head] * len(known) + word[~head], return_inverse=True, return_counts=True)
+            many = np.bincount(tail // len(known), minlength=docs) if len(tail) else np.zeros(docs, np.int64)
+            first = np.concatenate(([0], np.cumsum(many)[:-1]))
+            # texts end to end, each with its start and its end
+            begin = np.concatenate(([0], np.cumsum(sizes + 2)))
+            path, of = np.full(begin[-1], START), np.repeat(np.arange(docs), sizes + 2)
+            path[begin[1:] - 1] = CLASSES
+            at = np.arange(len(word)) + 2 * doc + 1
+            path[at] = cls
+            path[at[~head]] = WIDE + place - first[doc[~head]]
+            inside = np.ones(len(path) - 1, bool)
+            inside[begin[1:-1] - 1] = False
+            left, right = path[:-1], path[1:]
+            near = (left < WIDE) & (right < WIDE)
+            far, near = inside & ~near, inside & near
+            scores = np.bincount(of[:-1][near], model.transitions[left[near], right[near]], docs)
+            scores += np.bincount(doc[head], np.log10(n[head] - model.discount) - model.emission_base[cls[head]], docs)
+            bases = np.bincount(doc[head], model.base(n[head]), docs) + end_base
+            met = tail % len(known) if len(tail) else tail
+            tails = pa.StructArray.from_arrays([pa.array([known.words[i] for i in met], pa.binary()), pa.array(np.array(known.cls, np.int32)[met]), pa.array(times.astype(np.int32))], ["word", "cls", "times"])
+            links = _lists(np.bincount(of[:-1][far], minlength=docs), pa.array(left[far] << 32 | right[far]))
+            knowns = np.bincount(doc[head], minlength=docs) + end_known
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), batch.column("held_out"), pa.array(sizes + 1), pa.array(knowns), pa.array(bases), pa.array(scores), _lists(many, tails), links], ["doc_id", "rid", "held_out", "n_tokens", "n_known", "base", "score", "tail", "links"])
 
     return score
 

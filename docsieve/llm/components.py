@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import saved
+from docsieve.llm.common import forget, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     """Map the nodes of an undirected edge table (a, b) to (node, component), the least node reachable.
 
     Self loops, repeated edges and edges with a null end are ignored; an empty table gives no rows. Every
-    round is written to the shared folder, so a lost executor costs one round at most.
+    round is written to the shared folder, so a lost executor costs one round at most; the round before goes then.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, before = saved(edges), None
@@ -36,5 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
-        before = digest
+        before, last = digest, edges
         edges = saved(_small_star(_large_star(edges).distinct()).distinct())
+        forget(last)

@@ -1,10 +1,10 @@
 """Benchmark decontamination: test n-grams in a broadcast hash set, scanned over training token windows.
 
 Words are runs of ASCII letters and digits and of all non-ASCII characters, lower-cased in A-Z. A window is
-ten consecutive words of an item; an item of fewer words is one window. The windows' hashes go to the
-executors as a sorted array if they fit the broadcast bound, which is checked; every hit is then verified
-word by word against the item. A larger benchmark takes the other way: window hashes of both sides meet in
-a shuffle join and only their matching positions are verified.
+ten consecutive words of an item; an item of fewer words is one window. The windows go to the executors as
+sorted hashes with their words in one blob; every hit is verified word by word. What is broadcast at once is
+bounded: the windows of a larger benchmark are dealt by their hashes to as many parts as it takes, and the
+documents are scanned once for each part, carrying the words that were hit so far. No step exchanges rows.
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import BROADCAST_BYTES, blobs, boxed, fits_broadcast, hash_words, saved, shape, slices, text_bytes, unboxed, window_hashes
+from docsieve.llm.common import blobs, boxed, hash_words, saved, shape, slices, text_bytes, unboxed, window_hashes
 
 WINDOW = 10
-#: Bytes that a benchmark window takes at most in the broadcast table, its words aside.
-WINDOW_BYTES = 64
+#: Bytes of windows that are broadcast at once, and what a byte of an item's text makes of them at most, about.
+PART_BYTES, PER_BYTE = 48 << 20, 20
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -33,42 +33,47 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The benchmark's windows: for each length the sorted hashes, their words and the items that hold them."""
+    """A part of the benchmark's windows: for each length the sorted hashes, their words in a blob, and the items
+    that hold them (those with an id)."""
 
-    def __init__(self, items: Iterable[tuple[int | None, bytes | None]]):
-        found: dict[int, dict[tuple[bytes, ...], set]] = {}
+    def __init__(self, items: Iterable[tuple[int | None, bytes | None]], part: int = 0, parts: int = 1):
+        found: dict[int, dict[bytes, tuple[int, set]]] = {}
         for item, text in items:
             words = words_of(text or b"")
             k = min(WINDOW, len(words))
-            for i in range(len(words) - k + 1 if k else 0):
-                found.setdefault(k, {}).setdefault(tuple(words[i : i + k]), set()).add(item)
+            if not k:
+                continue
+            own = found.setdefault(k, {})
+            hashes = window_hashes(hash_words(words), k)
+            for i in np.flatnonzero(hashes % np.uint64(parts) == part):
+                own.setdefault(b" ".join(words[i : i + k]), (int(hashes[i]), set()))[1].add(item)
         self.by_length = {}
         for k, windows in found.items():
-            hashes = np.array([window_hashes(hash_words(list(w)), k)[0] for w in windows], np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            texts = list(windows)
-            self.by_length[k] = (hashes[order], [texts[i] for i in order], [windows[texts[i]] for i in order])
-
-    def hits(self, words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, set]:
+            rows = sorted((h, w, sorted(x for x in items if x is not None)) for w, (h, items) in windows.items())
+            ends = lambda sizes: np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+            self.by_length[k] = (
+                np.array([h for h, _, _ in rows], np.uint64), ends([len(w) for _, w, _ in rows]), b"".join(w for _, w, _ in rows),
+                ends([len(o) for _, _, o in rows]), np.array([x for _, _, o in rows for x in o], np.int64),
+            )
+
+    def hits(self, words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, set[int]]:
         """Which words lie inside an occurrence of a window, and the items that occur."""
         hit, items = np.zeros(len(words), bool), set()
-        for k, (known, texts, owners) in self.by_length.items():
+        for k, (known, ends, blob, owned, owners) in self.by_length.items():
+            if not len(known):
+                continue
             h = window_hashes(hashes, k)
             place = np.searchsorted(known, h)
             for i in np.flatnonzero(known[np.minimum(place, len(known) - 1)] == h):
-                at, window = int(place[i]), tuple(words[i : i + k])
+                at, window = int(place[i]), b" ".join(words[i : i + k])
                 while at < len(known) and known[at] == h[i]:
-                    if texts[at] == window:
+                    if blob[ends[at] : ends[at + 1]] == window:
                         hit[i : i + k] = True
-                        items |= owners[at]
+                        items.update(owners[owned[at] : owned[at + 1]].tolist())
                     at += 1
         return hit, items
 
 
-def item_digest(items: set) -> str:
-    return hashlib.sha256(",".join(sorted(str(x) for x in items if x is not None)).encode()).hexdigest()
-
-
 def without(text: bytes, hit: np.ndarray) -> bytes:
     """The text without its hit words; a run of them goes with what stands between them."""
     spans = [m.span() for m in _WORD.finditer(text)]
@@ -80,94 +85,57 @@ def without(text: bytes, hit: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-SCAN = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<long>"
-
-
-def _scanner(windows: Windows) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = []
-            for text in blobs(batch):
-                words = words_of(text)
-                hit, items = windows.hits(words, hash_words(words))
-                ids = sorted(x for x in items if x is not None)
-                rows.append((len(words), int(hit.sum()), len(ids), item_digest(items), bool(hit.any()), ids))
-            n, h, c, s, b, i = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(s), pa.array(b), pa.array(i, pa.list_(pa.int64()))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"])
-
-    return scan
-
-
-def _remover(windows: Windows) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text or b"")
-                hit, _ = windows.hits(words, hash_words(words))
-                texts.append(without(text, hit) if hit.any() else text)
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array(texts, pa.binary()))
+def _parts(benchmark: DataFrame) -> int:
+    """Parts that the benchmark's windows are dealt to, so that each fits the bound."""
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string")).cast("long")), F.lit(0)).alias("n")).first()["n"]
+    return max(1, -(-size * PER_BYTE // PART_BYTES))
 
-    return remove
 
+def _windows(benchmark: DataFrame, part: int, parts: int) -> Windows:
+    """The windows of one part; the items come to the driver one by one."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    return Windows(((r["item_id"], r["text"]) for r in items.toLocalIterator()), part, parts)
 
-def _fits(benchmark: DataFrame) -> bool:
-    """Whether the benchmark's windows, and so its texts, are small enough to broadcast."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") * WINDOW_BYTES), F.lit(0)).alias("n")).first()["n"]
-    return size <= 8 * BROADCAST_BYTES
 
+_MARKS = ", n_words long, hit array<int>, item_ids array<long>"
 
-def _windows(benchmark: DataFrame) -> Windows:
-    return Windows((r["item_id"], r["text"]) for r in text_bytes(benchmark, F.col("item_id").cast("long").alias("item_id")).toLocalIterator())
 
+def _marker(windows: Windows, last: bool, keep_text: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with the words hit and the items met so far; the last pass may leave the text out."""
 
-def _spell(kind: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (rid, at, k, key, words) of all windows of the lengths that each row carries in ``ks``."""
-
-    def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1 << 18):
-            rid, at, ks, spelled = [], [], [], []
-            for r, text, wanted in zip(batch.column("rid").to_pylist(), blobs(batch), batch.column("ks").to_pylist(), strict=True):
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            before = [batch.column(c).to_pylist() if c in batch.schema.names else None for c in ("hit", "item_ids")]
+            n, hits, ids = [], [], []
+            for i, text in enumerate(blobs(batch)):
                 words = words_of(text)
-                for k in [min(WINDOW, len(words))] if kind == "item" else wanted:
-                    for i in range(len(words) - k + 1 if k else 0):
-                        rid.append(r)
-                        at.append(i)
-                        ks.append(k)
-                        spelled.append(b" ".join(words[i : i + k]))
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(at, pa.int64()), pa.array(ks, pa.int64()), pa.array(spelled, pa.binary())], ["rid", "at", "k", "words"])
+                hit, items = windows.hits(words, hash_words(words))
+                if before[0]:
+                    hit[before[0][i]] = True
+                    items.update(before[1][i])
+                n.append(len(words))
+                hits.append(np.flatnonzero(hit).astype(np.int32))
+                ids.append(sorted(items))
+            own = [c for c in batch.schema.names if c not in ("n_words", "hit", "item_ids") and (c != "text" or keep_text or not last)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int64()))], [*own, "n_words", "hit", "item_ids"])
 
-    return spell
+    return mark
 
 
-def _scan_by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The same rows as the broadcast scan, by a shuffle join on the windows' words: nothing is broadcast.
+def _marked(rows: DataFrame, benchmark: DataFrame, keep_text: bool) -> DataFrame:
+    """``rows`` (with text as bytes) plus n_words, hit (places of hit words) and item_ids."""
+    parts, names = _parts(benchmark), rows
+    for part in range(parts):
+        last = part == parts - 1
+        own = shape(names if keep_text or not last else names.drop("text"))
+        rows = rows.mapInArrow(_marker(_windows(benchmark, part, parts), last, keep_text), own + _MARKS)
+        rows = rows if last else saved(rows)
+    return rows
 
-    Rows are told apart by a number given in a written copy of the texts, so repeated doc_ids stay apart.
-    """
-    spelled = "rid long, at long, k long, words binary"
-    items = text_bytes(benchmark, F.col("item_id").cast("long").alias("rid"), F.array(F.lit(WINDOW).cast("long")).alias("ks")).mapInArrow(_spell("item"), spelled)
-    known = saved(items.select("words", "k", F.col("rid").alias("item")).distinct())
-    lengths = [r["k"] for r in known.select("k").distinct().collect()]  # WINDOW values at most
-    rows = saved(text_bytes(docs, F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id")))
-    wanted = F.array(*[F.lit(k).cast("long") for k in lengths]) if lengths else F.array().cast("array<long>")
-    met = rows.select("rid", "text", wanted.alias("ks")).mapInArrow(_spell("doc"), spelled).join(known, ["words", "k"])
-    found = met.groupBy("rid").agg(F.collect_set(F.struct("at", "k")).alias("places"), F.collect_set("item").alias("items"), F.max(F.lit(True)).alias("met"))
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out = []
-            for doc, text, places, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places", "items")), strict=True):
-                words = words_of(text or b"")
-                hit = np.zeros(len(words), bool)
-                for p in places or []:
-                    hit[p["at"] : p["at"] + p["k"]] = True
-                ids = sorted(ids or [])
-                out.append({"doc_id": doc, "n_words": len(words), "n_hit": int(hit.sum()), "n_items": len(ids), "items_sha256": item_digest(set(ids)), "contaminated": bool(hit.any()), "item_ids": ids})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("item_ids", pa.list_(pa.int64()))]))
 
-    return rows.join(found, "rid", "left").select("doc_id", "text", "places", "items").mapInArrow(count, SCAN)
+def item_digest() -> Column:
+    """SHA-256 of the items' ids, sorted as texts and joined by commas."""
+    return F.sha2(F.array_join(F.array_sort(F.col("item_ids").cast("array<string>")), ","), 256)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -175,23 +143,39 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts have no words and no hits; the digest of no items is that of an empty string. Items
     without words never occur; items with a null id hit words but are not counted. Repeated items count once.
-    Other columns are ignored; empty tables give an empty result or no hits.
+    Repeated rows and rows with a null id are scanned like any other. Other columns are ignored; empty tables
+    give an empty result or no hits.
     """
-    if not _fits(benchmark):
-        return _scan_by_join(docs, benchmark)
-    return text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_scanner(_windows(benchmark)), SCAN)
+    found = _marked(text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")), benchmark, False)
+    n_hit = F.size("hit").cast("long")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), item_digest().alias("items_sha256"), (n_hit > 0).alias("contaminated"), "item_ids")
+
+
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        texts = []
+        for text, n, places in zip(batch.column("text").to_pylist(), batch.column("n_words").to_pylist(), batch.column("hit"), strict=True):
+            hit = np.zeros(n, bool)
+            hit[places.values.to_numpy(zero_copy_only=False)] = True
+            texts.append(without(text, hit) if hit.any() else text)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary())], ["row", "text"])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with hit words cut out of their texts; the benchmark must fit the broadcast bound."""
-    if not _fits(benchmark):
-        raise ValueError("the benchmark is above the broadcast bound; use remove_documents")
+    """``docs`` with hit words cut out of their texts, each row by its own text.
+
+    A run of hit words goes with what stands between them. Nulls stay null, texts without a hit stay as they are;
+    a text may be left empty. Columns and the number of rows are unchanged, whatever the ids; an empty table gives
+    an empty table.
+    """
     raw = boxed(docs)
-    return unboxed(raw.mapInArrow(_remover(_windows(benchmark)), shape(raw)), docs)
+    return unboxed(_marked(raw, benchmark, True).mapInArrow(_cut, shape(raw)), docs)
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents in which a benchmark window occurs (by doc_id)."""
-    gone = saved(scan(docs, benchmark).filter("contaminated and doc_id is not null").select("doc_id").distinct())
-    few = fits_broadcast(gone.count(), 16)
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows in whose text a benchmark window occurs.
+
+    Rows are judged one by one: a null or repeated doc_id makes no difference, and a row goes only by its own text.
+    Null and empty texts stay. The columns are unchanged; an empty table gives an empty table.
+    """
+    return unboxed(_marked(boxed(docs), benchmark, True).filter(F.size("hit") == 0), docs)

@@ -4,8 +4,8 @@ A word's subwords are its character n-grams with word ends marked. Each hashes t
 table; a text is the average over its subwords, and a linear layer with a softmax gives the languages.
 Embeddings and layer are trained together by stochastic gradient descent in numpy on a bounded sample of
 labelled documents; a temperature fitted on a held-back part of it calibrates the probabilities, and the
-score below which a prediction counts as rejected is a quantile there. For prediction the layer is applied
-to the embedding rows once, so that a word is a sum of table rows which workers cache.
+score below which a prediction counts as rejected is a quantile there. For prediction a word is the sum of its
+table rows, which workers cache; where languages are fewer than dimensions the layer is applied to the rows first.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from docsieve.llm.common import blobs, mix, slices, text_bytes
 
-#: Labelled documents that a fit reads at most, and the languages it may tell apart.
-SAMPLE, MAX_LANGUAGES = 4000, 200
+#: Labelled documents that a fit learns from at most (one for each language where these are more).
+SAMPLE = 4000
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4)
 #: Share of correct held-back predictions that the rejection threshold lets through.
 ACCEPT = 0.995
@@ -62,13 +62,14 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # BUCKETS x languages: embedding rows through the linear layer
+    table: np.ndarray  # BUCKETS x dimensions: embedding rows
+    layer: np.ndarray  # dimensions x languages
     bias: np.ndarray
     temperature: float
     threshold: float
 
     def probabilities(self, sums: np.ndarray, n: np.ndarray) -> np.ndarray:
-        z = (sums / np.maximum(n, 1)[:, None] + self.bias) / self.temperature
+        z = (sums / np.maximum(n, 1)[:, None] @ self.layer + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
@@ -82,7 +83,7 @@ class _Words:
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.sums, self.sizes = np.empty((0, len(self.model.languages)), np.float32), np.empty(0, np.int64)
+        self.sums, self.sizes = np.empty((0, self.model.table.shape[1]), np.float32), np.empty(0, np.int64)
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.place]
@@ -91,21 +92,23 @@ class _Words:
         rows, owner = subwords(new)
         values = self.model.table[rows]
         sums = np.stack([np.bincount(owner, values[:, i], len(new)) for i in range(values.shape[1])], 1)
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        self.sums = np.concatenate([self.sums, sums.astype(np.float32)])
-        self.sizes = np.concatenate([self.sizes, np.bincount(owner, minlength=len(new))])
-
-
-def train(texts: list[np.ndarray], y: np.ndarray, languages: list[str], epochs: int = 6, rate: float = 0.5, seed: int = 1) -> Model:
-    """Fit on documents given as the buckets of all their subwords. The last fifth is held back to calibrate."""
+        begin, end = len(self.place), len(self.place) + len(new)
+        self.place.update(zip(new, range(begin, end), strict=True))
+        if end > len(self.sizes):
+            room = max(end, 2 * len(self.sizes)) - len(self.sizes)
+            self.sums = np.concatenate([self.sums, np.zeros((room, self.sums.shape[1]), np.float32)])
+            self.sizes = np.concatenate([self.sizes, np.zeros(room, np.int64)])
+        self.sums[begin:end], self.sizes[begin:end] = sums, np.bincount(owner, minlength=len(new))
+
+
+def train(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: list[str], epochs: int = 6, rate: float = 0.5, seed: int = 1) -> Model:
+    """Fit on documents given as the buckets of their subwords and how often each stands there. The last fifth is
+    held back to calibrate."""
     rng = np.random.default_rng(seed)
     k = len(languages)
     embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (DIM, k)).astype(np.float32), np.zeros(k, np.float32)
-    bags = []
-    for buckets in texts:
-        rows, times = np.unique(buckets, return_counts=True)
-        bags.append((rows, (times / max(times.sum(), 1)).astype(np.float32)))
+    bags = [(rows, (times / max(times.sum(), 1)).astype(np.float32)) for rows, times in texts]
     cut = len(bags) - len(bags) // 5 if len(bags) >= 20 else len(bags)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -120,7 +123,8 @@ def train(texts: list[np.ndarray], y: np.ndarray, languages: list[str], epochs:
             layer -= step * np.outer(mean, p)
             bias -= step * 0.1 * p
             embed[rows] -= step * len(rows) * weight[:, None] * back[None, :] / max(1.0, np.sqrt(len(rows)))
-    model = Model(languages, (embed @ layer).astype(np.float32), bias, 1.0, 0.0)
+    few = k < DIM
+    model = Model(languages, (embed @ layer).astype(np.float32) if few else embed, np.eye(k, dtype=np.float32) if few else layer, bias, 1.0, 0.0)
     held = range(cut, len(bags))
     if len(held):
         sums = np.stack([bags[i][1] @ model.table[bags[i][0]] for i in held])
@@ -137,32 +141,40 @@ def train(texts: list[np.ndarray], y: np.ndarray, languages: list[str], epochs:
     return model
 
 
+def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        rows, times = zip(*(np.unique(subwords(text.split())[0].astype(np.int32), return_counts=True) for text in blobs(batch)), strict=True)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("lang", "h", "doc_id")), pa.array(rows, pa.list_(pa.int32())), pa.array([t.astype(np.int32) for t in times], pa.list_(pa.int32()))], ["lang", "h", "doc_id", "rows", "times"])
+
+
 def fit_on(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on ``sample`` rows at most of those with a lang, a text and an id: in each language those whose ids
-    hash lowest, in equal numbers as far as they go. Languages beyond MAX_LANGUAGES (the rarest) are not
-    learned. None if there is nothing to learn from."""
+    hash lowest, in equal numbers as far as they go, and one at least. Every language is learned.
+
+    The driver gets a document as counts by bucket, BUCKETS of them at most however long the text is. None if there
+    is nothing to learn from.
+    """
     usable = docs.filter("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").toArrow().to_pylist()  # one for each language
     if not counts:
         return None
     each = max(1, sample // len(counts))
-    span = float(1 << 62)
     # a language's ids that hash below its share: about as many as wanted, the surplus goes by hash order
-    want = F.lit(False)
-    for r in counts:
-        want = want | ((F.col("lang") == r["lang"]) & (F.shiftrightunsigned(F.xxhash64("doc_id"), 2) <= F.lit(int(span * min(1.0, 1.2 * each / r["count"])))))
-    rows = usable.filter(want).orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 2), "doc_id", "text").limit(2 * sample)
-    found = rows.collect()  # 2 * sample rows at most
-    languages = sorted(r["lang"] for r in counts)
-    taken: dict[str, list] = {}
-    for r in found:
-        own = taken.setdefault(r["lang"], [])
+    below = [(r["lang"], int((1 << 62) * min(1.0, 1.2 * (each + 8) / r["n"]))) for r in counts]
+    share = docs.sparkSession.createDataFrame(pa.table({"lang": [x for x, _ in below], "below": [y for _, y in below]}))
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 2)
+    rows = usable.join(F.broadcast(share), "lang").filter(h <= F.col("below")).select("lang", h.alias("h"), "doc_id", F.col("text").cast("binary").alias("text"))
+    found = rows.mapInArrow(_bags, "lang string, h long, doc_id long, rows array<int>, times array<int>").toArrow()
+    keys = sorted(zip(found["h"].to_pylist(), found["doc_id"].to_pylist(), found["lang"].to_pylist(), range(found.num_rows), strict=True))
+    bag = lambda i: tuple(found[c][i].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rows", "times"))
+    languages, taken = [r["lang"] for r in counts], {}
+    for _, _, lang, i in keys:
+        own = taken.setdefault(lang, [])
         if len(own) < each:
-            own.append(r["text"])
-    pairs = [(i, lang, text) for lang, texts in sorted(taken.items()) for i, text in enumerate(texts)]
+            own.append(bag(i))
+    pairs = [(i, lang, b) for lang, bags in sorted(taken.items()) for i, b in enumerate(bags)]
     pairs.sort(key=lambda p: p[:2])
-    bags = [subwords(text.encode().split())[0] for _, _, text in pairs]
-    return train(bags, np.array([languages.index(p[1]) for p in pairs], np.int64), languages)
+    return train([p[2] for p in pairs], np.array([languages.index(p[1]) for p in pairs], np.int64), languages)
 
 
 PREDICTION = "doc_id long, lang_pred string, score double, rejected boolean"

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import blobs, fits_broadcast, hash_words, saved, slices, text_bytes, window_hashes
+from docsieve.llm.common import blobs, boxed, fits_broadcast, hash_words, saved, slices, text_bytes, unboxed, window_hashes
 from docsieve.llm.components import components
 
 SHINGLE = 5
@@ -28,8 +28,8 @@ BANDS, BAND_ROWS = 32, 4
 #: Pairs below this share of equal signature slots are not compared in full: at a similarity of 0.75 a
 #: share under 0.5 lies 6.5 standard deviations out.
 ESTIMATE = 0.5
-#: Nodes in a block, about.
-BLOCK = 256
+#: Nodes in a block, and shingles of its texts, about.
+BLOCK, BLOCK_SHINGLES = 256, 500_000
 
 _SEEDS = np.random.default_rng(20240229)
 _A = _SEEDS.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,19 +61,19 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append(len(shingles))
             prints.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
             signatures.append(signature(shingles).tobytes() if len(shingles) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "print", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary())], ["rid", "doc_id", "n_shingles", "print", "sig"])
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, the set's fingerprint and its signature (both null for an empty set)."""
-    return text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_sketch, "doc_id long, n_shingles long, print binary, sig binary")
+def sketches(rows: DataFrame) -> DataFrame:
+    """Per row (rid, doc_id, text): n_shingles, the set's fingerprint and its signature (both null for an empty set)."""
+    return rows.mapInArrow(_sketch, "rid long, doc_id long, n_shingles long, print binary, sig binary")
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
     """(key, id) for each band of each node's signature."""
     width = 4 * BAND_ROWS
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(BANDS)])
-    return nodes.select(F.col("doc_id").alias("id"), F.explode(keys).alias("key"))
+    return nodes.select("id", F.explode(keys).alias("key"))
 
 
 def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,20 +102,19 @@ def _only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if fits_broadcast(ids.count(), 16) else ids, key, "left_semi")
 
 
-def _bodies(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _bodies(ids: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, sig, text) of some nodes: what pairs are compared by."""
     ids = saved(ids.distinct())
-    sig = _only(nodes.select(F.col("doc_id").alias("id"), "sig"), ids, "id")
-    return saved(_only(text_bytes(docs, F.col("doc_id").cast("long").alias("id")), ids, "id").join(sig, "id"))
+    return saved(_only(rows.select(F.col("rid").alias("id"), "text"), ids, "id").join(_only(nodes.select("id", "sig"), ids, "id"), "id"))
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets are similar enough. Pairs of one ``a`` may be many:
     they are split into parts of about BLOCK pairs, each of which meets its own copy of ``a``."""
     pairs = saved(pairs)
     heavy = saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).filter("parts > 1"))
     heavy = F.broadcast(heavy) if fits_broadcast(heavy.count(), 32) else heavy
-    bodies = _bodies(pairs.select(F.explode(F.array("a", "b")).alias("id")), nodes, docs)
+    bodies = _bodies(pairs.select(F.explode(F.array("a", "b")).alias("id")), nodes, rows)
     parts = F.coalesce("parts", F.lit(1).cast("long"))
 
     def meet(own: DataFrame, what: str) -> DataFrame:
@@ -129,7 +128,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return meet(likely, "text").mapInArrow(_confirm, "a long, b long").distinct()
 
 
-def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of all similar pairs of nodes."""
     bands = band_keys(nodes)
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -139,25 +138,29 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     middle = ranked.groupBy("key").agg(F.max("w").alias("w")).select("key", (-F.col("w.col2")).alias("middle"))
     met = saved(members.select("key", "id").join(middle, "key").filter("id <> middle"))
     pairs = met.select(F.col("middle").alias("a"), F.col("id").alias("b")).distinct()
-    links = saved(confirmed(pairs, nodes, docs))
+    links = saved(confirmed(pairs, nodes, rows))
     comp = saved(components(links))
     # members of buckets that are not in one component; the middle has met all others of its bucket
     state = met.select("key", "id").join(comp, met.id == comp.node, "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     sizes = state.groupBy("key", "comp").agg(F.count("*").alias("n"))
     hubs = sizes.groupBy("key").agg(F.max(F.struct("n", -F.col("comp"))).alias("w"), F.count("*").alias("comps")).filter("comps > 1").select("key", (-F.col("w.col2")).alias("hub"))
     open_ = saved(state.join(hubs, "key").select("hub", "id", "comp").distinct())
-    return links if open_.isEmpty() else links.unionByName(saved(_block_links(open_, nodes, docs)))
+    return links if open_.isEmpty() else links.unionByName(saved(_block_links(open_, nodes, rows)))
 
 
-def _block_links(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Similar pairs among ``members`` (hub, id, comp): those outside the hub's component against all."""
+def _block_links(members: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links among ``members`` (hub, id, comp): those outside the hub's component against all. A block has about
+    BLOCK nodes, or BLOCK_SHINGLES shingles where these are long."""
     queries, targets = members.filter("comp <> hub"), members
-    parts = members.groupBy("hub").agg(F.ceil(F.count_if(F.col("comp") != F.col("hub")) / BLOCK).alias("qs"), F.ceil(F.count("*") / BLOCK).alias("ts"))
+    sized = members.join(nodes.select("id", "n_shingles"), "id")
+    many = lambda rows, size: F.ceil(F.greatest(rows / BLOCK, F.coalesce(size, F.lit(0)) / BLOCK_SHINGLES))
+    query = F.col("comp") != F.col("hub")
+    parts = sized.groupBy("hub").agg(many(F.count_if(query), F.sum(F.when(query, F.col("n_shingles")))).alias("qs"), many(F.count("*"), F.sum("n_shingles")).alias("ts"))
     spot = F.xxhash64("id", F.lit("block"))
     q = queries.join(parts, "hub").select("hub", F.pmod(spot, "qs").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ts") - 1)).alias("tb"), F.lit(True).alias("query"), "id", "comp")
     t = targets.join(parts.filter("qs > 0"), "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)).alias("qb"), F.pmod(spot, "ts").alias("tb"), F.lit(False).alias("query"), "id", "comp")
-    rows = q.unionByName(t).join(_bodies(members.select("id"), nodes, docs), "id").select("hub", "qb", "tb", "query", "id", "comp", "sig", "text")
-    return rows.repartition("hub", "qb", "tb").sortWithinPartitions("hub", "qb", "tb").mapInArrow(_compare_blocks, "a long, b long").distinct()
+    met = q.unionByName(t).join(_bodies(members.select("id"), nodes, rows), "id").select("hub", "qb", "tb", "query", "id", "comp", "sig", "text")
+    return met.repartition("hub", "qb", "tb").sortWithinPartitions("hub", "qb", "tb").mapInArrow(_compare_blocks, "a long, b long").distinct()
 
 
 def _compare_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +184,8 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _similar(rows: list[dict]) -> list[tuple[int, int]]:
-    """Pairs of a query and a target of other components whose full sets are similar."""
+    """Links between components of the block whose sets are similar: as many as join what is joined by all pairs
+    of a query and a target of another component, so a crowd of similar texts gives no square of links."""
     qs, ts = [r for r in rows if r["query"]], [r for r in rows if not r["query"]]
     if not qs or not ts:
         return []
@@ -191,7 +195,7 @@ def _similar(rows: list[dict]) -> list[tuple[int, int]]:
     hopeful = []
     for i, r in enumerate(qs):
         likely = (sig_t == np.frombuffer(r["sig"], np.uint32)).mean(axis=1) >= ESTIMATE
-        # a pair of two queries comes twice: the lesser id asks
+        # a pair of two queries comes twice: the lesser asks
         likely &= (comp_t != r["comp"]) & ((comp_t == hub) | (id_t > r["id"]))
         if likely.any():
             hopeful.append((i, np.flatnonzero(likely)))
@@ -203,47 +207,85 @@ def _similar(rows: list[dict]) -> list[tuple[int, int]]:
     sizes = np.array([len(x) for x in sets])
     known, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    out = []
+    out, joined = [], _Joined()
     for i, likely in hopeful:
+        likely = likely[[joined.top(int(comp_t[j])) != joined.top(qs[i]["comp"]) for j in likely]]
+        if not len(likely):
+            continue
         own = shingles(qs[i])
         at = np.minimum(np.searchsorted(known, own), len(known) - 1)
         mark = np.zeros(len(known), np.int64)
         mark[at[known[at] == own]] = 1
         shared = np.add.reduceat(mark[inverse], starts)
         alike = 100 * shared >= 75 * (len(own) + sizes - shared)
-        out += [(qs[i]["id"], int(id_t[wanted[k]])) for k in np.flatnonzero(alike & np.isin(wanted, likely))]
+        for k in wanted[np.flatnonzero(alike & np.isin(wanted, likely))]:
+            if joined.join(qs[i]["comp"], int(comp_t[k])):
+                out.append((qs[i]["id"], int(id_t[k])))
     return out
 
 
+class _Joined:
+    """Which components of a block its links have joined so far."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while x in self.up:
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = sorted((self.top(x), self.top(y)))
+        if x != y:
+            self.up[y] = x
+        return x != y
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """Per row (rid, doc_id, text): rid, doc_id, n_shingles, and ``best``: the least (id, rid) of its group.
+
+    Nodes are numbered by rows, not by ids, so rows that repeat an id are judged by their own texts. Rows without
+    an id are a group of their own; rows without a shingle are one with those of the same id.
+    """
+    feats = saved(sketches(rows))
+    full = feats.filter("print is not null and doc_id is not null")
+    groups = saved(full.groupBy("print").agg(F.min(F.struct(F.col("doc_id").alias("id"), "rid")).alias("best"), F.count("*").alias("n")))
+    shared = groups.filter("n > 1").select("print", F.col("best.rid").alias("first"))
+    marked = full.join(F.broadcast(shared) if fits_broadcast(shared.count(), 48) else shared, "print", "left")
+    nodes = saved(marked.filter("first is null or first = rid").select(F.col("rid").alias("id"), "n_shingles", "sig"))
+    comp = saved(components(_links(nodes, rows)))
+    placed = saved(groups.join(comp, groups["best.rid"] == comp.node, "left").select("print", "best", "component"))
+    least = placed.filter("component is not null").groupBy("component").agg(F.min("best").alias("least"))
+    least = F.broadcast(least) if fits_broadcast(comp.count(), 48) else least
+    of_print = placed.join(least, "component", "left").select("print", F.coalesce("least", "best").alias("best"))
+    linked = full.select("rid", "doc_id", "n_shingles", "print").join(of_print, "print").select("rid", "doc_id", "n_shingles", "best")
+    nameless = feats.filter("doc_id is null").select("rid", "doc_id", "n_shingles", F.struct(F.col("doc_id").alias("id"), "rid").alias("best"))
+    empty = feats.filter("print is null and doc_id is not null").select("rid", "doc_id", "n_shingles")
+    first = empty.groupBy("doc_id").agg(F.min("rid").alias("first"))
+    return linked.unionByName(nameless).unionByName(empty.join(first, "doc_id").select("rid", "doc_id", "n_shingles", F.struct(F.col("doc_id").alias("id"), F.col("first").alias("rid")).alias("best")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Nulls and empty texts have no shingles and are linked with nothing. Rows that repeat a doc_id are judged
-    by their own texts. A null doc_id takes no part: its component_id is null and it is kept. Other columns
-    of ``docs`` are not looked at. An empty table gives an empty table.
+    by their own texts, and linked by them alone. A null doc_id takes no part: its component_id is null and it is
+    kept. Other columns of ``docs`` are not looked at. An empty table gives an empty table.
     """
-    feats = saved(sketches(docs))
-    full = feats.filter("print is not null and doc_id is not null")
-    groups = saved(full.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    shared = groups.filter("n > 1").select("print", "first")
-    marked = full.join(F.broadcast(shared) if fits_broadcast(shared.count(), 48) else shared, "print", "left")
-    firsts = marked.filter(F.col("doc_id") == F.col("first")).dropDuplicates(["print"])
-    nodes = saved(marked.filter("first is null").unionByName(firsts).select("doc_id", "sig"))
-    comp = components(_links(nodes, docs))
-    of_print = groups.join(comp, groups["first"] == comp.node, "left").select("print", F.coalesce("component", "first").alias("component_id"))
-    linked = full.select("doc_id", "n_shingles", "print").join(of_print, "print").select("doc_id", "n_shingles", "component_id")
-    alone = feats.filter("print is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    rows = saved(text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("rid", F.monotonically_increasing_id()))
+    judged = _judged(rows).select("doc_id", "n_shingles", F.col("best.id").alias("component_id"))
+    return judged.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near duplicates the one with the least doc_id.
 
-    Rows that repeat a kept doc_id with the same text are reduced to one. The columns are unchanged.
+    Rows are numbered when they are written, and dropped by number. So of rows that repeat a doc_id, each goes or
+    stays by its own text: repeated texts (nulls and empty ones too) are reduced to one row, other texts stay. Null
+    and empty texts of distinct ids, and all rows with a null doc_id, stay. The columns are unchanged; an empty table gives an empty table.
     """
-    marks = saved(near_duplicates(docs))
-    gone = marks.filter("not kept").select("doc_id").distinct()
+    raw = saved(boxed(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("rid", F.monotonically_increasing_id()))
+    gone = saved(_judged(raw.select("rid", "doc_id", "text")).filter(F.col("best.rid") != F.col("rid")).select("rid"))
     few = fits_broadcast(gone.count(), 16)
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = marks.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    return unboxed(raw.join(F.broadcast(gone) if few else gone, "rid", "left_anti"), docs)

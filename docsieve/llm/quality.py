@@ -160,17 +160,18 @@ def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Fit on ``sample`` labelled documents at most: those whose ids hash lowest, so the choice is repeatable.
+    """Fit on ``sample`` labelled ids at most: those that hash lowest, so the choice is repeatable.
 
-    Rows without a label or an id are not used; no usable rows give a model that keeps everything.
+    Of labels that contradict each other for one id the worst counts. Each distinct row of a repeated id is
+    learned from. Rows without a label or an id are not used; no usable rows give a model that keeps everything.
     """
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter("doc_id is not null and label is not null").dropDuplicates(["doc_id"])
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     # ids that hash below the sample's share, then the exact number of them: tasks send few rows each
     share = min(1.0, 1.2 * sample / max(usable.count(), 1))
     likely = usable.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 2) <= F.lit(int((1 << 62) * share)))
     chosen = likely.orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 2), "doc_id").limit(sample)
     rows = text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(_measure, "doc_id long, label int, x array<double>")
-    found = sorted({r["doc_id"]: (r["doc_id"], r["label"], r["x"]) for r in rows.toLocalIterator()}.values())
+    found = sorted({(r["doc_id"], r["label"], tuple(r["x"])) for r in rows.toLocalIterator()})
     x = np.array([r[2] for r in found], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r[1] > 0 for r in found], float), {FEATURES.index(k): v for k, v in MONOTONE.items()})
 
@@ -178,39 +179,43 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 VERDICT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality double, kept boolean"
 
 
-def _judge(trees: Trees) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _judge(trees: Trees, keep_above: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [statistics(t) for t in blobs(batch)]
             counts = np.array([c for c, _ in found], np.int64)
             quality = trees.score(np.array([x for _, x in found], float))
             failed = (counts[:, 0] < 10) | (100 * counts[:, 4] > 20 * counts[:, 0])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(counts[:, i]) for i in range(5)), pa.array(failed), pa.array(quality), pa.array(~failed & (quality >= KEEP_ABOVE))], ["doc_id", *COUNTS, "base_failed", "quality", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(counts[:, i]) for i in range(5)), pa.array(failed), pa.array(quality), pa.array(~failed & (quality >= keep_above))], ["doc_id", *COUNTS, "base_failed", "quality", "kept"])
 
     return judge
 
 
-def judge(docs: DataFrame, trees: Trees) -> DataFrame:
+def judge(docs: DataFrame, trees: Trees, keep_above: float = KEEP_ABOVE) -> DataFrame:
     """Per row of ``docs``: doc_id, the counts, base_failed, quality (probability of good) and kept.
 
     Null and empty texts have no words, so they fail. Repeated rows are judged one by one; other columns are
     not looked at; an empty table gives an empty table.
     """
-    return text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_judge(trees), VERDICT)
+    return text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_judge(trees, keep_above), VERDICT)
 
 
-def _filter(trees: Trees) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _filter(trees: Trees, keep_above: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [statistics(t) for t in blobs(batch)]
             counts = np.array([c for c, _ in found], np.int64)
-            good = (counts[:, 0] >= 10) & (100 * counts[:, 4] <= 20 * counts[:, 0]) & (trees.score(np.array([x for _, x in found], float)) >= KEEP_ABOVE)
+            good = (counts[:, 0] >= 10) & (100 * counts[:, 4] <= 20 * counts[:, 0]) & (trees.score(np.array([x for _, x in found], float)) >= keep_above)
             yield batch.filter(pa.array(good))
 
     return keep
 
 
-def keep_good(docs: DataFrame, trees: Trees) -> DataFrame:
-    """The rows of ``docs`` that the rules and the model keep, columns unchanged, in one pass without a join."""
+def keep_good(docs: DataFrame, trees: Trees, keep_above: float = KEEP_ABOVE) -> DataFrame:
+    """The rows of ``docs`` that the rules and the model keep, columns unchanged, in one pass without a join.
+
+    Null and empty texts have no words and go. Rows are judged one by one, so repeated rows and repeated or null
+    ids make no difference; an empty table gives an empty table.
+    """
     raw = boxed(docs)
-    return unboxed(raw.mapInArrow(_filter(trees), shape(raw)), docs)
+    return unboxed(raw.mapInArrow(_filter(trees, keep_above), shape(raw)), docs)

@@ -1,12 +1,15 @@
 """Surrogates for personal data: keyed, type-consistent replacements, the same for every mention of an entity.
 
-Mentions are found by patterns. A mention's canonical form is its entity: e-mail addresses in lower case,
-numbers by their digits, secrets by their value. Each entity draws a candidate from a keyed digest, of its
-own type, length and characters: numbers stay numbers (cards keep the Luhn rule, phones their country code
-and plan), addresses stay valid, names keep number of parts, script and the gender of their title. A draw
-that another entity has, or that is itself an entity of the corpus, is drawn again, so that distinct
-entities stay distinct. The replacement is then written in the format of each mention. Only DataFrame
-functions are used, and only documents with a mention are exchanged.
+Mentions are found by patterns, in one scan of each text. A mention's canonical form is its entity: e-mail
+addresses in lower case, numbers by their digits (phones with their country code), secrets by their value. A
+name behind a title is made of entities, one for each part: so ``Mr. Karl Stein`` and a later ``Mr. Stein`` keep
+the same surname. Each entity draws a candidate from a keyed digest, of its own type, length and characters:
+numbers stay numbers (cards keep the Luhn rule, phones their country code), addresses stay valid and private
+ones private, names keep script and the gender of their title. A draw that another entity has, or that is itself
+an entity of the corpus, is drawn again, so that distinct entities stay distinct; names and e-mail addresses
+grow with the draw, and where a fixed format has too few values left, its last entities are exchanged among
+themselves. The replacement is then written in the format of each mention. Only DataFrame functions are used,
+and only documents with a mention are exchanged.
 """
 
 from __future__ import annotations
@@ -16,11 +19,14 @@ from pyspark.sql import functions as F
 
 from docsieve.llm.common import boxed, fits_broadcast, saved, unboxed
 
-#: Draws after which an entity without a free surrogate is an error.
-MAX_DRAWS = 64
+#: Draws after which the entities of a format that have no free surrogate yet are exchanged among themselves.
+DRAWS = 48
+#: Draws after which e-mail addresses begin to grow.
+SAME_LENGTH = 6
 
 _TITLES_F = r"Mrs|Ms|Miss|Madam|Madame|Mme|Frau|Señora|Sra|Госпожа|Κυρία"
 _TITLES_M = r"Mr|Sir|Monsieur|Herr|Señor|Sr|Господин|Κύριος"
+_TITLES_N = r"Dr|Prof"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Type -> pattern, in order of precedence. Every pattern has a fixed start, so a scan stays linear.
 PATTERNS = {
@@ -32,11 +38,13 @@ PATTERNS = {
     "ssn": r"(?<![\d.+-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\w.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4})(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:{_TITLES_F}|{_TITLES_M})\.? \p{{Lu}}[\p{{L}}’'-]+(?: \p{{Lu}}[\p{{L}}’'-]+)?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLES_F}|{_TITLES_M}|{_TITLES_N})\.? \p{{Lu}}[\p{{L}}’'-]+(?: \p{{Lu}}[\p{{L}}’'-]+)?",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Documents without any of these have no mention.
-_HINT = rf"@|\d\d|[=:]|AKIA|ASIA|(?:{_TITLES_F}|{_TITLES_M})\.? \p{{Lu}}"
+_HINT = rf"@|\d\d|[=:]|AKIA|ASIA|(?:{_TITLES_F}|{_TITLES_M}|{_TITLES_N})\.? \p{{Lu}}"
+# fixed values: country codes of telephone numbers (those of three digits are what is left)
+_COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 # fixed values: syllables of surrogate names by script, with the endings of either gender
 _SYLLABLES = {
@@ -79,17 +87,15 @@ def _luhn(digits: Column) -> Column:
 
 
 def _name(entity: Column) -> Column:
-    """A name of as many parts, of the entity's script; a given name ends as its gender does."""
-    def spelled(part: Column, i: Column, script: str) -> Column:
+    """A name of the entity's script. One of a gender ends as its gender does; each draw adds a syllable."""
+    def spelled(script: str) -> Column:
         syllables, female, male = (F.array(*[F.lit(x) for x in s.split()]) for s in _SYLLABLES[script])
-        pick = lambda a, k, n: F.element_at(a, _number(i * 8 + k, n) + 1)
-        stem = F.concat(*[pick(syllables, k, len(_SYLLABLES[script][0].split())) for k in range(3)])
-        end = F.when(entity.startswith("f:"), pick(female, 3, len(_SYLLABLES[script][1].split()))).otherwise(pick(male, 4, len(_SYLLABLES[script][2].split())))
-        return F.initcap(F.concat(stem, F.when(i == 0, end).otherwise(F.lit(""))))
+        pick = lambda a, at: F.element_at(a, F.pmod(F.xxhash64("digest", at), F.size(a)).cast("int") + 1)
+        stem = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2) + F.col("draw")), lambda i: pick(syllables, i)), "")
+        end = F.when(entity.startswith("f:"), pick(female, F.lit(-1))).when(entity.startswith("m:"), pick(male, F.lit(-1))).when(entity.startswith("n:"), pick(F.concat(female, male), F.lit(-1))).otherwise("")
+        return F.initcap(F.concat(stem, end))
 
-    parts = F.split(F.substring_index(entity, ":", -1), " ")
-    joined = lambda s: F.array_join(F.transform(parts, lambda p, i: spelled(p, i, s)), " ")
-    return F.when(entity.rlike(r"\p{IsCyrillic}"), joined("cyrillic")).when(entity.rlike(r"\p{IsGreek}"), joined("greek")).otherwise(joined("latin"))
+    return F.when(entity.rlike(r"\p{IsCyrillic}"), spelled("cyrillic")).when(entity.rlike(r"\p{IsGreek}"), spelled("greek")).otherwise(spelled("latin"))
 
 
 def _candidate() -> Column:
@@ -97,12 +103,15 @@ def _candidate() -> Column:
     e = F.col("entity")
     local, host = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     top = F.substring_index(host, ".", -1)
-    email = F.concat(_scramble(local), F.lit("@"), _scramble(F.expr("substring(substring_index(entity, '@', -1), 1, greatest(0, length(substring_index(entity, '@', -1)) - length(substring_index(entity, '.', -1)) - 1))"), shift=1000), F.lit("."), top)
+    more = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.col("draw") - SAME_LENGTH, F.lit(0))), lambda i: F.when(i > 0, _one_of("abcdefghijklmnopqrstuvwxyz", i + 2000)).otherwise("")), "")
+    email = F.concat(_scramble(local), more, F.lit("@"), _scramble(F.expr("substring(substring_index(entity, '@', -1), 1, greatest(0, length(substring_index(entity, '@', -1)) - length(substring_index(entity, '.', -1)) - 1))"), shift=1000), F.lit("."), top)
     body = F.concat(F.substring(e, 1, 1), F.expr("substring(scrambled, 2, length(scrambled) - 2)"))
     check = F.pmod(10 - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
     card = F.concat(body, F.when(F.pmod(_luhn(e), F.lit(10)) == 0, check).otherwise(F.substring("scrambled", -1, 1)))
-    ip = F.array_join(F.transform(F.split(e, r"\."), lambda o, i: (_number(i, 254) + 1).cast("string")), ".")
-    phone = F.when(F.length(e) == 10, F.concat(_one_of("23456789", F.lit(100)), F.substring("scrambled", 2, 2), _one_of("23456789", F.lit(101)), F.substring("scrambled", 5, 6))).otherwise(F.col("scrambled"))
+    kept = F.when(e.rlike(r"^(?:10|127)\."), 1).when(e.rlike(r"^(?:192\.168|172\.(?:1[6-9]|2\d|3[01])|169\.254)\."), 2).otherwise(0)
+    ip = F.array_join(F.transform(F.split(e, r"\."), lambda o, i: F.when(i < kept, o).otherwise((_number(i, 254) + 1).cast("string"))), ".")
+    country = F.regexp_extract(e, _COUNTRY, 0)
+    phone = F.when(F.length(country) > 0, F.concat(country, F.substring("scrambled", F.length(country) + 1, F.length("scrambled")))).otherwise(F.concat(_one_of("23456789", F.lit(100)), F.substring("scrambled", 2, 2), _one_of("23456789", F.lit(101)), F.substring("scrambled", 5, 6)))
     return (
         F.when(F.col("type") == "email", email)
         .when(F.col("type") == "ip", ip)
@@ -111,7 +120,7 @@ def _candidate() -> Column:
         .when(F.col("type") == "key", F.concat(F.substring(e, 1, 4), F.expr("substring(scrambled, 5, length(scrambled) - 4)")))
         .when(F.col("type") == "iban", F.concat(F.substring(e, 1, 2), F.expr("substring(scrambled, 3, length(scrambled) - 2)")))
         .when(F.col("type") == "secret", F.when(e.rlike("^[0-9a-f]+$"), _scramble(e, "abcdef")).otherwise(F.col("scrambled")))
-        .when(F.col("type") == "name", _name(e))
+        .when(F.col("type").isin("given", "surname"), _name(e))
         .otherwise(F.col("scrambled"))
     )
 
@@ -122,31 +131,36 @@ def _draw(entities: DataFrame, key: str) -> DataFrame:
 
 
 _SECRET_LEAD = r"^\w+\s{0,3}[=:]\s{0,3}[\"']?"
+_TITLE_LEAD = r"^\p{L}+\.? "
 
 
 def _typed(mentions: DataFrame) -> DataFrame:
-    """``mention`` plus type and entity (canonical form)."""
+    """``mention`` plus its type and ``parts``: the (type, entity) it is made of, one but for names."""
     m = F.col("mention")
     kind = F.lit("other")
     for name, pattern in reversed(PATTERNS.items()):
         kind = F.when(m.rlike(rf"^(?:{pattern})$"), name).otherwise(kind)
     digits = F.regexp_replace(m, r"\D", "")
-    woman = m.rlike(rf"^(?:{_TITLES_F})\b")
+    gender = F.when(m.rlike(rf"^(?:{_TITLES_F})\b"), "f:").when(m.rlike(rf"^(?:{_TITLES_N})\b"), "n:").otherwise("m:")
+    names = F.split(F.regexp_replace(m, _TITLE_LEAD, ""), " ")
+    part = lambda kind, entity: F.struct(F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), entity.alias("entity"))
+    # a number with the code of the plan that ten digits alone belong to is the same number
+    phone = F.when(~m.startswith("+"), digits).when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(F.concat(F.lit("+"), digits))
     entity = (
         F.when(F.col("type") == "email", F.lower(m))
         .when(F.col("type") == "secret", F.regexp_replace(m, _SECRET_LEAD, ""))
         .when(F.col("type").isin("card", "ssn"), digits)
-        .when(F.col("type") == "phone", F.when(F.length(digits) > 10, F.substring(digits, -10, 10)).otherwise(digits))
+        .when(F.col("type") == "phone", phone)
         .when(F.col("type") == "iban", F.regexp_replace(m, " ", ""))
-        .when(F.col("type") == "name", F.concat(F.when(woman, "f:").otherwise("m:"), F.regexp_replace(m, r"^\p{L}+\.? ", "")))
         .otherwise(m)
     )
-    return mentions.withColumn("type", kind).withColumn("entity", entity)
+    named = F.transform(names, lambda n, i: F.when((i == 0) & (F.size(names) > 1), part("given", F.concat(gender, n))).otherwise(part("surname", n)))
+    return mentions.withColumn("type", kind).withColumn("parts", F.when(F.col("type") == "name", named).otherwise(F.array(part(F.col("type"), entity))))
 
 
 def _written() -> Column:
     """The surrogate in the format of its mention: what the canonical form dropped comes back."""
-    m, s = F.col("mention"), F.col("surrogate")
+    m, s = F.col("mention"), F.regexp_replace("surrogate", r"^\+", "")
     kept = F.length(F.regexp_replace(m, r"[^A-Z0-9]", "")) - F.length(s)  # country code digits before the entity
 
     def fill(c: Column, i: Column) -> Column:
@@ -157,47 +171,62 @@ def _written() -> Column:
     return (
         F.when(F.col("type").isin("card", "ssn", "phone", "iban"), filled)
         .when(F.col("type") == "secret", F.concat(F.regexp_extract(m, _SECRET_LEAD, 0), s))
-        .when(F.col("type") == "name", F.concat(F.regexp_extract(m, r"^\p{L}+\.? ", 0), s))
+        .when(F.col("type") == "name", F.concat(F.regexp_extract(m, _TITLE_LEAD, 0), s))
         .otherwise(s)
     )
 
 
+def _plain(entity: str = "entity") -> Column:
+    """An entity as its surrogate would be written: without the mark of its gender."""
+    return F.when(F.col("type") == "given", F.expr(f"substring({entity}, 3)")).otherwise(F.col(entity))
+
+
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(type, entity, surrogate) with distinct surrogates in each type, none of them an entity of the table."""
+    """(type, entity, surrogate) with distinct surrogates in each type.
+
+    None of them is an entity of the table, but for formats that have too few values: what has no free surrogate
+    after DRAWS draws is exchanged within its format, each for the next one in a keyed order. Repeated rows count
+    once; an empty table gives an empty table.
+    """
     entities = saved(entities.select("type", "entity").distinct())
     # a draw is settled when it is no entity and the first of its equals; the others draw again
-    chosen, open_ = None, entities.withColumn("draw", F.lit(0))
-    for _ in range(MAX_DRAWS):
+    chosen, open_ = entities.select("type", "entity", F.lit("").alias("surrogate")).filter("false"), entities.withColumn("draw", F.lit(0))
+    own = entities.select("type", _plain().alias("surrogate"))
+    for _ in range(DRAWS):
         drawn = _draw(open_, key)
-        taken = entities.select("type", F.when(F.col("type") == "name", F.substring_index("entity", ":", -1)).otherwise(F.col("entity")).alias("surrogate")).distinct()
-        if chosen is not None:
-            taken = taken.unionByName(chosen.select("type", "surrogate")).distinct()
+        taken = own.unionByName(chosen.select("type", "surrogate")).distinct()
         order = Window.partitionBy("type", "surrogate").orderBy("entity")
         drawn = drawn.withColumn("_nth", F.row_number().over(order)).join(taken.withColumn("_taken", F.lit(True)), ["type", "surrogate"], "left")
         drawn = saved(drawn.select("type", "entity", "draw", "surrogate", (F.col("_taken").isNull() & (F.col("_nth") == 1)).alias("_free")))
-        free = drawn.filter("_free").select("type", "entity", "surrogate")
-        chosen = free if chosen is None else chosen.unionByName(free)
+        chosen = chosen.unionByName(drawn.filter("_free").select("type", "entity", "surrogate"))
         open_ = drawn.filter("not _free").select("type", "entity", (F.col("draw") + 1).alias("draw"))
         if open_.isEmpty():
             return chosen
-    raise ValueError(f"no free surrogate after {MAX_DRAWS} draws")
+    shape = F.regexp_replace(F.regexp_replace("entity", "[0-9]", "0"), "[a-z]", "a")
+    order = Window.partitionBy("type", "_shape").orderBy(F.sha2(F.concat_ws("\u0001", F.lit(key), "entity"), 256))
+    left = open_.withColumn("_shape", shape).withColumn("_next", F.lead(_plain()).over(order)).withColumn("_first", F.first(_plain()).over(order))
+    other = F.coalesce("_next", F.when(F.col("_first") != _plain(), F.col("_first")), F.raise_error(F.lit("a format has one value and no other")).cast("string"))
+    return chosen.unionByName(left.select("type", "entity", other.alias("surrogate")))
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with every mention replaced, plus _entities (mentions replaced) and _types (their types, sorted).
 
     Null and empty texts have no mentions and stay as they are; repeated rows are replaced alike; a document
-    with a null doc_id is treated like any other. Equal entities get equal surrogates in all documents.
+    with a null doc_id is treated like any other. Equal entities get equal surrogates in all documents. An empty
+    table gives an empty table.
     """
     raw = boxed(docs).withColumn("text", F.col("text").cast("string"))
-    text, hinted = F.col("text"), F.col("text").rlike(_HINT)
-    found = raw.withColumn("found", F.when(hinted, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    plain = raw.filter(~F.coalesce(hinted & text.rlike(_ANY), F.lit(False))).withColumns({"_entities": F.lit(0).cast("long"), "_types": F.lit("")})
-    marked = saved(found.filter(F.size("found") > 0).withColumn("key", F.monotonically_increasing_id()))
+    text = F.col("text")
+    found = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))
+    scanned = saved(raw.withColumn("found", F.coalesce(found, F.array().cast("array<string>"))).withColumn("key", F.monotonically_increasing_id()))
+    plain = scanned.filter(F.size("found") == 0).withColumns({"_entities": F.lit(0).cast("long"), "_types": F.lit("")})
+    marked = scanned.filter(F.size("found") > 0)
     mentions = marked.select("key", F.posexplode("found").alias("pos", "mention"))
     typed = saved(_typed(mentions.select("mention").distinct()))
-    named = typed.join(surrogates(typed, key), ["type", "entity"])
-    written = saved(named.select("mention", "type", _written().alias("new")))
+    parts = typed.select("mention", F.posexplode("parts").alias("at", "part")).select("mention", "at", "part.type", "part.entity")
+    drawn = parts.join(surrogates(parts, key), ["type", "entity"]).groupBy("mention").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]), " ").alias("surrogate"))
+    written = saved(typed.select("mention", "type").join(drawn, "mention").select("mention", "type", _written().alias("new")))
     size = written.agg(F.coalesce(F.sum(F.octet_length("mention").cast("long") * 2 + 64), F.lit(0)).alias("n")).first()["n"]
     met = mentions.join(F.broadcast(written) if fits_broadcast(size, 1) else written, "mention")
     new = met.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("news"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("_types"))

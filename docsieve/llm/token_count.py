@@ -2,13 +2,16 @@
 
 A batch's distinct pre-tokens lie end to end in one symbol array. In each round every sequence merges its
 own lowest-ranked pair wherever that stands in it, all sequences at once; sequences without a ranked pair
-leave with their symbol count. Counts of pieces are cached in the worker, up to ``CACHE`` pieces.
+leave with their symbol count. Long sequences (an unbroken text can be one) go through the same merges by rank,
+but from a queue of the places of each rank, so that a round costs what it merges and not what it passes over.
+Counts of pieces are cached in the worker, up to ``CACHE`` pieces and ``CACHE_BYTES`` bytes of them.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from functools import lru_cache
 
 import numpy as np
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 from docsieve.llm.common import blobs, slices, text_bytes
 from docsieve.llm.pieces import careful_cut, is_even, plain_cut
 
-#: Pieces that a worker keeps the counts of.
-CACHE = 700_000
+#: Pieces that a worker keeps the counts of, and bytes of these pieces.
+CACHE, CACHE_BYTES = 700_000, 32 << 20
+#: Bytes from which a sequence is merged from the queue.
+LONG = 192
 LIMIT = 512
 _NONE = np.iinfo(np.int32).max
 
@@ -57,6 +62,12 @@ class Merges:
     def lengths(self, tokens: list[bytes]) -> np.ndarray:
         """Symbols that survive of each pre-token."""
         out = np.array([len(t) for t in tokens], np.int64)
+        long = np.flatnonzero(out >= LONG)
+        if len(long):
+            short = np.flatnonzero(out < LONG)
+            out[long] = self._queued([tokens[i] for i in long])
+            out[short] = self.lengths([tokens[i] for i in short])
+            return out
         if not len(out):
             return out
         symbols = self.of_byte[np.frombuffer(b"".join(tokens), np.uint8)]
@@ -85,6 +96,53 @@ class Merges:
         return out
 
 
+    def _queued(self, tokens: list[bytes]) -> np.ndarray:
+        """``lengths`` of long pre-tokens: the places of each rank wait in a queue by rank."""
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        n = int(sizes.sum())
+        symbols = np.append(self.of_byte[np.frombuffer(b"".join(tokens), np.uint8)], 0)
+        start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[np.append(start[1:], n) - 1] = n  # place n stands behind every last symbol
+        before[start] = -1
+        lives, ranks = np.ones(n + 1, bool), np.full(n + 1, _NONE, np.int32)
+        places: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            right = after[at]
+            ranks[at] = np.where(right < n, self.rank(symbols[at], symbols[right]), _NONE)
+            at = at[ranks[at] != _NONE]
+            at = at[np.argsort(ranks[at], kind="stable")]
+            cuts = np.flatnonzero(np.diff(ranks[at])) + 1
+            for group in np.split(at, cuts) if len(at) else []:
+                rank = int(ranks[group[0]])
+                if rank not in places:
+                    places[rank] = []
+                    heappush(queue, rank)
+                places[rank].append(group)
+
+        put(np.arange(n))
+        heapify(queue)
+        while queue:
+            rank = heappop(queue)
+            at = np.unique(np.concatenate(places.pop(rank)))
+            at = at[lives[at] & (ranks[at] == rank)]
+            if not len(at):
+                continue
+            # of pairs that overlap (a symbol's run), every second one from the left
+            k = np.arange(len(at))
+            begin = np.maximum.accumulate(np.where(np.concatenate(([True], at[1:] != after[at[:-1]])), k, 0))
+            at = at[(k - begin) % 2 == 0]
+            right = after[at]
+            symbols[at], lives[right], ranks[right] = self.made[rank], False, _NONE
+            after[at] = after[right]
+            before[after[at]] = at
+            left = before[at]
+            put(np.union1d(at, left[left >= 0]))
+        return np.add.reduceat(lives[:n].astype(np.int64), start)
+
+
 @lru_cache(maxsize=4)
 def _merges(path: str) -> Merges:
     return Merges(path)
@@ -99,6 +157,7 @@ class Counter:
         self.special = regex.compile("|".join(regex.escape(x.decode()) for x in self.merges.special) or r"(?!)")
         self.first: dict[bytes, int] = {}
         self.spaced: dict[bytes, int] = {}
+        self.held = 0
 
     def _learn(self, pieces: list[bytes], into: dict[bytes, int], keys: list[bytes]) -> None:
         place: dict[bytes, int] = {}
@@ -112,11 +171,13 @@ class Counter:
         n = self.merges.lengths(list(place))
         for i, key in enumerate(keys):
             into[key] = int(extra[i] + sum(n[j] for j in of_piece[i]))
+            self.held += len(key)
 
     def counts(self, texts: list[bytes]) -> list[int]:
-        if len(self.first) + len(self.spaced) > CACHE:
+        if len(self.first) + len(self.spaced) > CACHE or self.held > CACHE_BYTES:
             self.first.clear()
             self.spaced.clear()
+            self.held = 0
         first, spaced, cuts = set(), set(), []
         for text in texts:
             lines = plain_cut(text)
@@ -172,6 +233,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     """Per row of ``docs``: doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens).
 
     ``path`` is a byte-level BPE tokenizer file that every executor has. Null and empty texts have no
-    tokens; repeated rows are counted alike; other columns are not looked at.
+    tokens; repeated rows are counted alike; other columns are not looked at; an empty table gives an empty table.
+    A text of one unbroken run, however long, takes time in proportion to its length, about.
     """
     return text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_count(path or public_tokenizers.path("byte_bpe_50k.json"), limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

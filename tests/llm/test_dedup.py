@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import brute
 from pyspark.sql import functions as F
 
@@ -37,6 +39,32 @@ def test_deduplicate(tricky, tricky_rows):
     assert sorted(ids) == sorted(i for i, v in want.items() if v[1] == i)
 
 
+def test_rows_of_one_id_go_by_their_own_text(spark):
+    """A row goes only for its own text; another row of its id has no part in that."""
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(80))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (5, a + " more"), (5, b), (6, c), (6, d), (6, d), (None, a), (None, None), (7, None), (7, None)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, rid string, best int")
+    kept = near_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(map(str, [(1, a), (5, b), (6, c), (6, d), (None, a), (None, None), (7, None)]))
+
+
+def test_crowd_of_near_copies_in_blocks(spark, monkeypatch):
+    """Blocks give a forest of links, not a square."""
+    rng = random.Random(4)
+    base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
+    texts = [" ".join([*base[: 5 * i % 190], f"w{i}", *base[5 * i % 190 + 1 :]]) for i in range(60)]
+    rows = near_dedup.saved(spark.createDataFrame(list(enumerate(texts)), "rid long, text string").selectExpr("rid", "rid as doc_id", "cast(text as binary) as text"))
+    nodes = near_dedup.saved(near_dedup.sketches(rows).selectExpr("rid as id", "n_shingles", "sig"))
+    monkeypatch.setattr(near_dedup, "BLOCK", 10)
+    members = nodes.selectExpr("0 as hub", "id", "id as comp").withColumn("hub", F.col("hub").cast("long"))
+    links = near_dedup._block_links(members, nodes, rows)
+    assert {r["component"] for r in components(links).collect()} == {0}
+    assert components(links).count() == 60 and links.count() < 700  # of 1,770 pairs
+
+
 def test_empty_table(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     assert near_dedup.deduplicate(empty).columns == empty.columns
