@@ -2,7 +2,9 @@
 
 A line can only be on ``sites`` sites if it occurs that often, so a count by line hash leaves the few lines
 worth a sketch. Their HyperLogLog sketches of the sites merge by aggregation; lines whose estimate is near
-the threshold get an exact distinct count. A boilerplate line stays in the document with the least doc_id
+the threshold get an exact distinct count. A long line does not recur by chance: it is boilerplate if it stands
+in a few distinct surroundings (the lines before and behind it), whatever the sites, while in copies of one
+document, which are not this operator's matter, its surroundings are the same. A boilerplate line stays in the document with the least doc_id
 that has it and goes from all others, so its content is never lost altogether.
 """
 
@@ -11,40 +13,54 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.llm.common import boxed, fits_broadcast, saved, shape, slices, unboxed
 
 #: A line on this many distinct sites is boilerplate.
 SITES = 10
+#: A line with so many spaces is long, and in so many distinct surroundings boilerplate.
+LONG_SPACES, SURROUNDINGS = 50, 3
 #: Shorter lines (in characters) are never boilerplate: they recur by chance.
 MIN_CHARS = 20
 #: log2 of a sketch's registers (error 1.6 %), and how near to the threshold an estimate gets an exact count.
 LG_K, NEAR = 12, 0.1
 
 
+def _is_long(line: Column) -> Column:
+    return F.length(line) - F.length(F.translate(line, " ", "")) >= LONG_SPACES
+
+
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.explode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line"))
-    return lines.filter(F.length("line") >= min_chars)
+    """(doc_id, line, place): where each line stands, a site or for long lines their surroundings."""
+    lines = F.split(F.col("text").cast("string"), "\n", -1)
+    beside = lambda i: F.coalesce(F.get("lines", i), F.lit("\u0000"))
+    around = lambda x, i: F.when(_is_long(x), F.xxhash64(beside(i - 1), beside(i + 1)).cast("string")).otherwise(F.col("site"))
+    placed = F.filter(F.transform("lines", lambda x, i: F.struct(x.alias("line"), around(x, i).alias("place"))), lambda x: F.length(x["line"]) >= min_chars)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), lines.alias("lines"))
+    return rows.select("doc_id", F.explode(placed).alias("x")).select("doc_id", "x.line", "x.place")
 
 
 def boilerplate(docs: DataFrame, sites: int = SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(line, holder, spread): lines on at least ``sites`` sites, the least doc_id that has each, its sites.
+    """(line, holder, spread): lines on at least ``sites`` sites, or long ones in SURROUNDINGS surroundings, the
+    least doc_id that has each, and how many of these it has.
 
     ``spread`` is exact near the threshold, else the sketch's estimate. A null source counts as one site.
     """
     occurrences = _occurrences(docs, min_chars)
+    least = F.when(_is_long(F.col("line")), SURROUNDINGS).otherwise(sites)
     hashed = occurrences.withColumn("h", F.xxhash64("line"))
-    often = saved(hashed.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= sites).select("h"))
+    often = saved(hashed.groupBy("h").agg(F.count("*").alias("n"), F.min(least).alias("least")).filter("n >= least").select("h"))
     few = fits_broadcast(often.count(), 16)
     common = hashed.join(F.broadcast(often) if few else often, "h")
-    sketched = saved(common.groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min("doc_id").alias("holder")).select("line", "holder", F.hll_sketch_estimate("sketch").alias("spread")))
-    clear = sketched.filter(F.col("spread") > sites * (1 + NEAR))
-    near = sketched.filter(F.col("spread").between(int(sites * (1 - NEAR)), sites * (1 + NEAR))).select("line", "holder")
-    few = fits_broadcast(near.count(), 256)
-    exact = occurrences.join(F.broadcast(near) if few else near, "line").select("line", "holder", "site").distinct().groupBy("line", "holder").agg(F.count("*").alias("spread")).filter(F.col("spread") >= sites)
-    return clear.unionByName(exact)
+    sketched = common.groupBy("line").agg(F.hll_sketch_agg("place", LG_K).alias("sketch"), F.min("doc_id").alias("holder"))
+    sketched = saved(sketched.select("line", "holder", F.hll_sketch_estimate("sketch").alias("spread")).withColumn("least", least))
+    clear = sketched.filter(F.col("spread") > F.col("least") * (1 + NEAR)).select("line", "holder", "spread")
+    near = sketched.filter(F.col("spread").between(F.floor(F.col("least") * (1 - NEAR)), F.col("least") * (1 + NEAR))).select("line", "holder", "least")
+    size = near.agg(F.coalesce(F.sum(F.octet_length("line").cast("long") + 128), F.lit(0)).alias("n")).first()["n"]
+    exact = occurrences.join(F.broadcast(near) if fits_broadcast(size, 1) else near, "line").select("line", "holder", "least", "place").distinct().groupBy("line", "holder", "least").agg(F.count("*").alias("spread")).filter("spread >= least")
+    return clear.unionByName(exact.select("line", "holder", "spread"))
 
 
 def _strip(held: dict[bytes, int | None]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -9,7 +9,6 @@ their slot by their rank among pieces of equal length, which is counted per buck
 
 from __future__ import annotations
 
-import base64
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -19,9 +18,9 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from docsieve.llm.common import blobs, saved, slices, text_bytes
 from docsieve.llm.pieces import Uneven, careful_cut, is_even, plain_cut
@@ -29,10 +28,10 @@ from docsieve.llm.pieces import Uneven, careful_cut, is_even, plain_cut
 LENGTH = 2048
 #: Pieces of text that a task keeps the ids of, and the bytes of text that it encodes at once.
 CACHE, SLICE = 250_000, 1 << 20
-#: Buckets that pieces of one length are dealt to for ranking.
-BUCKETS = 256
-#: fixed values of the tokenizer: its special string and id, and the id that ends a document here
-SPECIAL, SPECIAL_ID, END = "<|endoftext|>", 50256, 0
+#: Pieces of one length that are ranked in one bucket, about.
+BUCKET = 20_000
+#: The id that ends a document.
+END = 0
 
 
 class _Known(dict):
@@ -51,10 +50,8 @@ class _Known(dict):
 class Encoder:
     """Token ids of texts, with a cache of the ids of pieces in one ragged array."""
 
-    def __init__(self, ranks_path: str):
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
+    def __init__(self, path: str):
+        self.library = Tokenizer.from_file(path)
         self.forget()
 
     def forget(self) -> None:
@@ -69,8 +66,7 @@ class Encoder:
         return len(self.starts) - 2
 
     def add(self, piece: bytes) -> int:
-        text = piece.decode("utf-8", "replace")
-        return self._put(self.bpe.encode(text, allowed_special="all") if "<|" in text else self.bpe.encode_ordinary(text))
+        return self._put(self.library.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
     def _pieces(self, text: bytes) -> list[int]:
         if not text:
@@ -123,10 +119,11 @@ def _cut(path: str, length: int) -> Callable[[Iterable[pa.RecordBatch]], Iterato
     return cut
 
 
-def pieces(docs: DataFrame, length: int = LENGTH, ranks_path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and end id, cut only above ``length``;
-    then the first piece takes the remainder and may be shorter."""
-    path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    then the first piece takes the remainder and may be shorter. ``path`` is a tokenizer file of the tokenizers
+    library that every executor has."""
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
     return text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_cut(path, length), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -229,17 +226,20 @@ def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, int, i
 def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     """``cut`` (any table with doc_id, piece, start, length, ids_crc32) plus sequence_id and offset.
 
-    The driver sees one count for each length, at most ``length`` of them. Pieces of one length are ranked
-    within hash buckets, so that a length which a third of all pieces have is ranked in many tasks.
+    The driver sees one count for each length, at most ``length`` of them. Pieces are numbered as they are
+    written and dealt by these numbers to buckets of about BUCKET pieces of one length, so that a length which a
+    third of all pieces have, or a crowd of equal pieces, is ranked in many tasks.
     """
-    cut = saved(cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS))))
+    spark = cut.sparkSession
+    cut = saved(cut.withColumn("_no", F.monotonically_increasing_id()))
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    many = F.broadcast(spark.createDataFrame([(s, -(-n // BUCKET)) for s, n in counts.items()], "length long, _many long"))
+    cut = cut.join(many, "length").withColumn("_bucket", F.pmod(F.xxhash64("_no"), F.col("_many")))
     sizes = saved(cut.groupBy("length", "_bucket").agg(F.count("*").alias("n")))
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = sizes.withColumn("_before", F.sum("n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("length", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"))
-    spark = cut.sparkSession
     slots = spark.createDataFrame(plan(counts, length), "length long, _from long, _to long, _bin long, _per long, _at long")
-    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_no")) - 1)
     ranked = ranked.join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     met = ranked.join(F.broadcast(slots), "length").filter("_rank >= _from and _rank < _to").withColumn("_k", F.col("_rank") - F.col("_from"))
     return met.select(
@@ -249,10 +249,10 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, length: int = LENGTH, ranks_path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
     """Every document's pieces with their sequence and place in it.
 
     A null or empty text is the end id alone. Repeated rows are packed each for itself. Other columns are
     not looked at; an empty table gives an empty table.
     """
-    return pack(pieces(docs, length, ranks_path), length)
+    return pack(pieces(docs, length, path), length)

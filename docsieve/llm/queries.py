@@ -114,9 +114,12 @@ FROM doc_words d LEFT JOIN places p USING (doc_id) LEFT JOIN items i USING (doc_
 WITH lines AS (
   SELECT doc_id, source, unnest(l) AS line, unnest(range(len(l))) AS pos
   FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+), placed AS (
+  SELECT doc_id, source, line, lag(line) OVER w AS above, lead(line) OVER w AS below FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
 ), boilerplate AS (
-  SELECT line, min(doc_id) AS holder FROM lines WHERE length(line) >= {line_dedup.MIN_CHARS}
-  GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= {line_dedup.SITES}
+  SELECT line, min(doc_id) AS holder FROM placed WHERE length(line) >= {line_dedup.MIN_CHARS}
+  GROUP BY line HAVING CASE WHEN length(line) - length(replace(line, ' ', '')) >= {line_dedup.LONG_SPACES}
+    THEN count(DISTINCT row(above, below)) >= {line_dedup.SURROUNDINGS} ELSE count(DISTINCT coalesce(source, '')) >= {line_dedup.SITES} END
 ), marked AS (
   SELECT doc_id, pos, l.line, b.line IS NOT NULL AND b.holder <> doc_id AS gone FROM lines l LEFT JOIN boilerplate b ON b.line = l.line
 ), left_over AS (

@@ -2,7 +2,8 @@
 
 Documents lie in blocks (a keyed hash of the row). The driver draws, from the block sizes alone, how many
 rows of each block go to each shard: a matrix whose margins are the block and the shard sizes, drawn row by
-row from the multivariate hypergeometric law that a uniform shuffle would follow. Each block is permuted by
+row from the multivariate hypergeometric law that a uniform shuffle would follow. Blocks are hashes of the rows
+and not of their places, so that the same documents are dealt alike however they are stored. Each block is permuted by
 a keyed order and dealt out by its row of the matrix; after the exchange each shard is permuted again by
 another key. Shard sizes differ by one at most. Only DataFrame functions touch the documents.
 """
@@ -10,9 +11,9 @@ another key. Shard sizes differ by one at most. Only DataFrame functions touch t
 from __future__ import annotations
 
 import json
-import math
 import random
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,27 +27,20 @@ BLOCK_ROWS, MIN_BLOCKS, MAX_BLOCKS = 50_000, 256, 65_536
 def hypergeometric(u: float, good: int, bad: int, n: int) -> int:
     """The draw that ``u`` (uniform on [0, 1)) stands for: marked items among ``n`` of good + bad.
 
-    Probabilities are summed outwards from the mode until they pass ``u``.
+    Weights go out from the mode by the ratios of neighbours, as far as a weight counts, and are divided by their
+    sum: no factorial is needed, so nothing is lost to the size of the numbers.
     """
     low, high = max(0, n - bad), min(n, good)
-    up = down = min(max((n + 1) * (good + 1) // (good + bad + 2), low), high)
-    choose = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
-    p_up = p_down = math.exp(choose(good, up) + choose(bad, n - up) - choose(good + bad, n))
-    mode, u = up, u - p_up
-    while u >= 0 and (up < high or down > low):
-        if up < high:
-            p_up *= (good - up) * (n - up) / ((up + 1) * (bad - n + up + 1))
-            up += 1
-            u -= p_up
-            if u < 0:
-                return up
-        if down > low:
-            p_down *= down * (bad - n + down) / ((good - down + 1) * (n - down + 1))
-            down -= 1
-            u -= p_down
-            if u < 0:
-                return down
-    return mode
+    mode = min(max((n + 1) * (good + 1) // (good + bad + 2), low), high)
+    many = good + bad
+    span = int(10 * (n * (good / many) * (bad / many)) ** 0.5) + 30 if many else 0
+    up = np.arange(mode, min(high, mode + span), dtype=float)
+    down = np.arange(mode, max(low, mode - span), -1, dtype=float)
+    above = np.cumprod((good - up) * (n - up) / ((up + 1) * (bad - n + up + 1)))
+    below = np.cumprod(down * (bad - n + down) / ((good - down + 1) * (n - down + 1)))
+    weights = np.cumsum(np.concatenate((below[::-1], [1.0], above)))
+    at = int(np.searchsorted(weights, u * weights[-1], side="right"))
+    return mode - len(below) + min(at, len(weights) - 1)
 
 
 def matrix(block_sizes: list[int], shard_sizes: list[int], seed: int) -> list[list[int]]:
@@ -67,16 +61,18 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataFrame:
     """Per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     ``size`` is the text's bytes (null: none) plus 8. The law is ``rows``: shard sizes differ by one at most,
-    so grown_shard is null. Repeated rows are dealt out one by one; other columns are not looked at; an
-    empty table gives an empty table.
+    so grown_shard is null. Repeated rows are dealt out one by one; rows without a doc_id, which may be many, go
+    to their blocks by the number that they are written with. Other columns are not looked at; an empty table
+    gives an empty table.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = saved(rows)
+    number = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)
+    rows = saved(rows.withColumn("_no", number))
     total = rows.count()
     blocks = min(MAX_BLOCKS, max(MIN_BLOCKS, -(-total // BLOCK_ROWS)))
-    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32"), F.lit(blocks))
+    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "_no"), F.lit(blocks))
     rows = rows.withColumn("_block", place)
     sizes = {r["_block"]: r["n"] for r in rows.groupBy("_block").agg(F.count("*").alias("n")).collect()}  # MAX_BLOCKS at most
     wanted = [total // shards + (s < total % shards) for s in range(shards)]
@@ -85,16 +81,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataFrame:
     for block, row in zip(order, matrix([sizes[b] for b in order], wanted, seed), strict=True):
         ends.append({"b": block, "e": [sum(row[: i + 1]) for i in range(shards)]})
     dealt = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(ends)), "array<struct<b: long, e: array<long>>>"))).select(F.col("b").alias("_block"), F.col("e").alias("_ends"))
-    local = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "text_crc32"), "doc_id", "text_crc32")
+    local = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "text_crc32", "_no"), "doc_id", "text_crc32", "_no")
     rows = rows.withColumn("_rank", F.row_number().over(local) - 1).join(F.broadcast(dealt), "_block")
     rows = rows.withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))))
     parts = -(-blocks // shards)
-    key = F.xxhash64(F.lit(seed + 2), "doc_id", "text_crc32")
-    rows = saved(rows.withColumn("_part", F.pmod(key, F.lit(parts))).select("doc_id", "size", "text_crc32", "shard", "_part"))
+    key = F.xxhash64(F.lit(seed + 2), "doc_id", "text_crc32", "_no")
+    rows = saved(rows.withColumn("_part", F.pmod(key, F.lit(parts))).select("doc_id", "size", "text_crc32", "_no", "shard", "_part"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "_part").agg(F.count("*").alias("n"))  # blocks + shards rows at most
     starts = counts.withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("shard", "_part", "_start")
-    again = Window.partitionBy("shard", "_part").orderBy(key, "doc_id", "text_crc32")
+    again = Window.partitionBy("shard", "_part").orderBy(key, "doc_id", "text_crc32", "_no")
     return (
         rows.withColumn("_rank", F.row_number().over(again) - 1)
         .join(F.broadcast(starts), ["shard", "_part"])

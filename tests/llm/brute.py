@@ -73,16 +73,18 @@ def quality_counts(text):
     return [len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(repeated)]
 
 
-def without_boilerplate(rows, sites, min_chars):
+def without_boilerplate(rows, sites, min_chars, spaces=50, surroundings=3):
     """[(doc_id, source, text)] -> texts in order."""
     spread, holder = defaultdict(set), {}
     for i, source, text in rows:
-        for line in (text or "").split("\n") if text is not None else []:
+        lines = text.split("\n") if text is not None else []
+        for at, line in enumerate(lines):
             if len(line) >= min_chars:
-                spread[line].add(source or "")
+                around = (lines[at - 1] if at else None, lines[at + 1] if at + 1 < len(lines) else None)
+                spread[line].add(around if line.count(" ") >= spaces else source or "")
                 if i is not None:
                     holder[line] = min(holder.get(line, i), i)
-    gone = {line for line, s in spread.items() if len(s) >= sites}
+    gone = {line for line, s in spread.items() if len(s) >= (surroundings if line.count(" ") >= spaces else sites)}
     return [None if t is None else "\n".join(x for x in t.split("\n") if x not in gone or holder.get(x) == i) for i, _, t in rows]
 
 

@@ -98,6 +98,16 @@ def test_line_dedup(tricky, tricky_rows):
     assert done.filter(F.col("_removed") > 0).count() >= 20
 
 
+def test_long_lines_by_their_surroundings(spark):
+    """A passage of over 50 words in unlike documents of one site goes from all but one; copies stay as they are."""
+    passage, other, pair = (" ".join(f"{x}{i}" for i in range(60)) for x in "pqr")
+    rows = [(i, f"opening {i}\n{passage}\nending {i}", "one") for i in range(4)]
+    rows += [(10 + i, f"a title\n{other}", "one") for i in range(5)] + [(20 + i, f"lead {i}\n{pair}", "one") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    done = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert done == {i: t if i == 0 or i >= 10 else f"opening {i}\nending {i}" for i, t, _ in rows}
+
+
 def test_line_spread_near_the_threshold(spark):
     """9, 10 and 11 sites: the sketch is not trusted there."""
     rows = [(100 * s + i, f"a line that stands on {s} different sites", f"site{i}") for s in (9, 10, 11, 40) for i in range(s)]

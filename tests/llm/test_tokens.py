@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections import defaultdict
 
@@ -45,7 +46,7 @@ def test_any_text(text):
     test_any_text.library = library
     ids = library.encode(text, add_special_tokens=False).ids
     assert token_count.Counter(PATH).counts([text.encode()]) == [len(ids)]
-    encoder = packing._encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoder = packing._encoder(PATH)
     assert encoder.encode([text.encode()])[0].tolist() == [*ids, 0]
 
 
@@ -95,6 +96,21 @@ def test_plan_places_every_rank():
             assert sum(3 * n > 2048 for _, n in own) <= 2
 
 
+def test_long_unbroken_texts(spark, library):
+    """Runs without a cut go through the queue of places; a million letters take seconds."""
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list(a), n)) for a in ("ab", "abcdefghijklmnop", "éx漢🙂") for n in (191, 192, 193, 700, 20_000)]
+    texts += ["a" * n for n in (300, 301, 20_001)] + [" ".join(texts[:6])]
+    counter = token_count.Counter(PATH)
+    assert counter.counts([t.encode() for t in texts]) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    merges = token_count._merges(PATH)
+    tokens = [t.encode() for t in texts[:4]]
+    assert merges._queued(tokens).tolist() == [merges.lengths([t])[0] if len(t) < token_count.LONG else merges._queued([t])[0] for t in tokens]
+    start = time.perf_counter()
+    docs = spark.createDataFrame([(1, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 1_000_000)))], "doc_id long, text string")
+    assert token_count.token_counts(docs).first()["n_tokens"] > 500_000 and time.perf_counter() - start < 60
+
+
 def test_empty(empty):
     assert packing.pack_documents(empty).count() == 0
     assert token_count.token_counts(empty).count() == 0
