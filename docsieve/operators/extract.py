@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.functions.once import stage
-from docsieve.functions.text import UNICODE, first_group, iso_date, strip
-from docsieve.operators.segment import sections
+from docsieve.functions.text import first_group, iso_date, regex, strip
+from docsieve.operators.segment import lines, sections
 from docsieve.schemas import CANDIDATE, FACT
 
 
@@ -35,30 +35,38 @@ class Field:
 
 @dataclass(frozen=True)
 class Pack:
-    """Fields and sections as data. ``sections`` maps names to heading keywords, in order."""
+    """Fields and sections as data. ``sections`` maps names to heading keywords, in order; ``unread`` are those
+    whose headings end other sections but whose own facts are not asked for."""
 
     fields: tuple[Field, ...]
     sections: dict[str, list[str]]
     numbered: str | None = None
     basic: str = "basic_info"
     clauses: str = "clauses"
+    unread: frozenset[str] = frozenset()
 
     def paths(self) -> list[tuple[str, str]]:
-        return [(self.basic, f.name) for f in self.fields] + [(self.clauses, s) for s in self.sections]
+        return [(self.basic, f.name) for f in self.fields] + [(self.clauses, s) for s in self.sections if s not in self.unread]
+
+    def only(self, paths: set[str]) -> Pack:
+        """The pack with the facts of the given ``section.field`` paths alone; unknown paths are an error."""
+        known = {f"{s}.{f}" for s, f in self.paths()}
+        if paths - known:
+            raise ValueError(f"no such field path: {', '.join(sorted(paths - known))}")
+        return replace(self, fields=tuple(f for f in self.fields if f"{self.basic}.{f.name}" in paths), unread=frozenset(s for s in self.sections if f"{self.clauses}.{s}" not in paths))
 
 
 def _candidate(value: Column, block: Column) -> Column:
     at, page = block["block_index"], block["page_number"]
     position = F.struct(at.alias("block_start"), at.alias("block_end"), page.alias("page_start"), page.alias("page_end"))
-    return F.struct(value.alias("value"), strip(block["text"]).alias("source_text"), position.alias("position")).cast(CANDIDATE)
+    return F.struct(value.alias("value"), block["text"].alias("source_text"), position.alias("position")).cast(CANDIDATE)
 
 
-def candidates(blocks: Column, spec: Field) -> Column:
-    """The field's candidates in block order, one a block (keywords: one a value)."""
-    ordered = F.array_sort(blocks, lambda a, b: a["block_index"] - b["block_index"])
+def candidates(ordered: Column, spec: Field) -> Column:
+    """The field's candidates in block order, one a block (keywords: one a value). ``ordered`` comes from ``lines``."""
     if spec.kind == "keywords":
         def values(b: Column) -> Column:
-            text = strip(b["text"])
+            text = b["text"]
             gate = F.lit(not spec.gates)
             for g in spec.gates:
                 gate = gate | text.contains(g)
@@ -72,10 +80,13 @@ def candidates(blocks: Column, spec: Field) -> Column:
 
         return F.flatten(F.transform(ordered, values))
     if spec.kind == "block":
-        value = lambda t: F.when((F.length(t) <= spec.longest) & t.rlike(UNICODE + spec.pattern), t)
+        fits = lambda t: (F.length(t) <= spec.longest) & t.rlike(regex(spec.pattern))
+        value = lambda t: t
     else:
+        fits = lambda t: t.rlike(regex(spec.pattern))
         value = lambda t: strip(first_group(t, spec.pattern))
-    return F.filter(F.transform(ordered, lambda b: _candidate(value(strip(b["text"])), b)), lambda c: c["value"].isNotNull())
+    found = F.transform(F.filter(ordered, lambda b: fits(b["text"])), lambda b: _candidate(value(b["text"]), b))
+    return F.filter(found, lambda c: c["value"].isNotNull())
 
 
 def resolve(found: Column, method: str) -> Column:
@@ -110,13 +121,17 @@ def _finish(fact: Column, after: str) -> Column:
 
 def facts(docs: DataFrame, pack: Pack) -> DataFrame:
     """``docs`` (with blocks) plus ``facts``: a struct of the pack's two sections of facts."""
-    found = stage(docs, **{f"_c_{f.name}": candidates(F.col("blocks"), f) for f in pack.fields}, _sections=sections(F.col("blocks"), pack.sections, pack.numbered))
+    read = [s for s in pack.sections if s not in pack.unread]
+    found = stage(docs, _lines=lines(F.col("blocks")))
+    parts = {"_sections": sections(F.col("_lines"), pack.sections, pack.numbered)} if read else {}
+    found = stage(found, **{f"_c_{f.name}": candidates(F.col("_lines"), f) for f in pack.fields}, **parts)
     of = lambda s: F.transform(F.filter("_sections", lambda x: x["name"] == s), lambda x: x["candidate"])
-    found = stage(found, **{f"_s_{s}": of(s) for s in pack.sections})
-    found = stage(found, **{f"_f_{f.name}": resolve(F.col(f"_c_{f.name}"), f.method) for f in pack.fields}, **{f"_f_{s}": resolve(F.col(f"_s_{s}"), "heading_keyword") for s in pack.sections})
+    found = stage(found, **{f"_s_{s}": of(s) for s in read}) if read else found
+    found = stage(found, **{f"_f_{f.name}": resolve(F.col(f"_c_{f.name}"), f.method) for f in pack.fields}, **{f"_f_{s}": resolve(F.col(f"_s_{s}"), "heading_keyword") for s in read})
     basic = [_finish(F.col(f"_f_{f.name}"), f.after).alias(f.name) for f in pack.fields]
-    clauses = [F.col(f"_f_{s}").alias(s) for s in pack.sections]
-    return stage(found, facts=F.struct(F.struct(*basic).alias(pack.basic), F.struct(*clauses).alias(pack.clauses))).select(*docs.columns, "facts")
+    clauses = [F.col(f"_f_{s}").alias(s) for s in read]
+    both = [F.struct(*part).alias(name) for part, name in ((basic, pack.basic), (clauses, pack.clauses)) if part]
+    return stage(found, facts=F.struct(*both)).select(*docs.columns, "facts")
 
 
 def long_facts(with_facts: DataFrame, pack: Pack, *keys: str) -> DataFrame:

@@ -52,6 +52,12 @@ def _fact(pack: Pack, path: str) -> Column:
     return F.col(f"facts.{path}")
 
 
+def paths_of(rules: Iterable[Rule]) -> set[str]:
+    """The fact paths that the deterministic run of the rules reads."""
+    own = [r.config for r in rules if r.rule_status == "active" and r.match_mode not in OTHER_MODES]
+    return {p for c in own for p in [*c.get("fields", ()), *([c["field"]] if "field" in c else ())]}
+
+
 def is_missing(fact: Column) -> Column:
     """not_found, failed, or without a value: an ambiguous fact is missing too."""
     return fact["extract_status"].isin("not_found", "failed") | (F.coalesce(fact["value"], F.lit("")) == "")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsieve.functions.once import bind
-from docsieve.functions.text import strip
+from docsieve.functions.text import regex, strip
 from docsieve.schemas import BLOCKS, CANDIDATE
 
 
@@ -36,17 +36,21 @@ def collect_blocks(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.transform(blocks, lambda b: F.struct(b["text"], b["page_number"], b["block_index"])).cast(BLOCKS).alias("blocks"))
 
 
+def lines(blocks: Column) -> Column:
+    """The blocks in order, as (block_index, page_number, text) with the text stripped: what facts are read from."""
+    return F.array_sort(F.transform(blocks, lambda b: F.struct(b["block_index"].alias("block_index"), b["page_number"].alias("page_number"), strip(b["text"]).alias("text"))))
+
+
 def is_heading(text: Column, keyword: str, numbered: str | None) -> Column:
-    """A block starts a section if it starts with the keyword, or is numbered and has it."""
-    clean = strip(text)
-    starts = clean.startswith(keyword)
-    return starts | (clean.rlike("(?Ud)^" + numbered) & clean.contains(keyword)) if numbered else starts
+    """A stripped block starts a section if it starts with the keyword, or is numbered and has it."""
+    starts = text.startswith(keyword)
+    return starts | (text.contains(keyword) & text.rlike(regex("^" + numbered))) if numbered else starts
 
 
-def sections(blocks: Column, headings: dict[str, list[str]], numbered: str | None = None) -> Column:
+def sections(ordered: Column, headings: dict[str, list[str]], numbered: str | None = None) -> Column:
     """(name, candidate) of each section: from a heading block to the block before the next heading of any name.
 
-    ``headings`` maps names to keywords; the first name in order that fits labels the block. Blocks before
+    ``ordered`` comes from ``lines``. ``headings`` maps names to keywords; the first name in order that fits labels the block. Blocks before
     the first heading belong to none. A section's pages are its first and last page that is known.
     """
 
@@ -63,7 +67,7 @@ def sections(blocks: Column, headings: dict[str, list[str]], numbered: str | Non
         end = F.coalesce(F.get(marks, i + 1)["at"], F.size(ordered))
 
         def of(own: Column) -> Column:
-            text = F.array_join(F.transform(own, lambda b: strip(b["text"])), "\n")
+            text = F.array_join(F.transform(own, lambda b: b["text"]), "\n")
             pages = F.filter(F.transform(own, lambda b: b["page_number"]), lambda p: p.isNotNull())
             last = F.get(own, F.size(own) - 1)
             position = bind(pages, lambda p: F.struct(F.get(own, F.lit(0))["block_index"].alias("block_start"), last["block_index"].alias("block_end"), F.get(p, F.lit(0)).alias("page_start"), F.get(p, F.size(p) - 1).alias("page_end")))
@@ -75,11 +79,9 @@ def sections(blocks: Column, headings: dict[str, list[str]], numbered: str | Non
         labels = F.transform(ordered, lambda b, i: F.struct(label(b["text"]).alias("name"), i.alias("at")))
         return bind(F.filter(labels, lambda m: m["name"].isNotNull()), lambda marks: F.transform(marks, lambda m, i: section(ordered, marks, m, i)))
 
-    return bind(F.array_sort(F.transform(blocks, lambda b: F.struct(b["block_index"], b["page_number"], b["text"]))), marked)
+    return marked(ordered)
 
 
 def runs(rows: DataFrame, key: str, order: str, starts: Column) -> DataFrame:
     """``rows`` of a long table with ``section``: how many starting rows there were so far; 0 is the preamble."""
-    from pyspark.sql import Window
-
     return rows.withColumn("section", F.sum(starts.cast("int")).over(Window.partitionBy(key).orderBy(order)).cast("bigint"))

@@ -23,9 +23,16 @@ def with_facts(docs: DataFrame, pack: extract.Pack = packs.CORPUS) -> DataFrame:
     return extract.facts(staged, pack).withColumn("parse_status", extract.parse_status(pack))
 
 
-def with_hits(docs: DataFrame, pack: extract.Pack = packs.CORPUS, rule_set: Iterable[rules.Rule] = packs.CORPUS_RULES, metrics: dict[str, str] = packs.CORPUS_METRICS, wording: rules.Wording = packs.CORPUS_WORDING) -> DataFrame:
-    """``with_facts`` plus the rule hits."""
-    return stage(with_facts(docs, pack), hits=rules.hits(rule_set, pack, metrics, wording))
+def with_hits(docs: DataFrame, pack: extract.Pack = packs.CORPUS, rule_set: Iterable[rules.Rule] = packs.CORPUS_RULES, metrics: dict[str, str] = packs.CORPUS_METRICS, wording: rules.Wording = packs.CORPUS_WORDING, every_fact: bool = True) -> DataFrame:
+    """``with_facts`` plus the rule hits. Without ``every_fact`` only the facts that the rules name are worked out,
+    and there is no parse_status."""
+    rule_set = tuple(rule_set)
+    if every_fact:
+        found = with_facts(docs, pack)
+    else:
+        pack = pack.only(rules.paths_of(rule_set))
+        found = extract.facts(docs if "blocks" in docs.columns else with_blocks(docs), pack)
+    return stage(found, hits=rules.hits(rule_set, pack, metrics, wording))
 
 
 def reviewed(docs: DataFrame, phrases: review.Phrases = packs.CORPUS_PHRASES, **kwargs) -> DataFrame:

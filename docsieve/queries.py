@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from docsieve.functions import text as tx
 from docsieve.functions.once import stage
 from docsieve.operators import extract, history, review, semantic, state
-from docsieve.operators.segment import runs, sections
+from docsieve.operators.segment import lines, runs, sections
 from docsieve.plans import packs, review_plan
+from docsieve.sources.tables import spread
+from docsieve.sources.tables import table as _table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,12 +24,8 @@ def query(f: Query) -> Query:
     return f
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query
@@ -61,7 +59,7 @@ def ambiguous_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def section_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = review_plan.with_blocks(_docs(spark, sf_dir))
-    found = blocks.select("doc_id", F.explode(sections(F.col("blocks"), packs.CORPUS.sections)).alias("s"))
+    found = stage(blocks.select("doc_id", "blocks"), ordered=lines(F.col("blocks"))).select("doc_id", F.explode(sections(F.col("ordered"), packs.CORPUS.sections)).alias("s"))
     return found.select("doc_id", F.col("s.name").alias("section"), "s.candidate.position.block_start", "s.candidate.position.block_end", F.sha2("s.candidate.value", 256).alias("text_sha256"))
 
 
@@ -73,14 +71,14 @@ def conversation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rule_hits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = review_plan.hit_rows(review_plan.with_hits(_docs(spark, sf_dir)), "doc_id")
+    hits = review_plan.hit_rows(review_plan.with_hits(_docs(spark, sf_dir), every_fact=False), "doc_id")
     return hits.select("doc_id", "rule_id", "rule_code", "risk_level", "evidence_type", "evidence_text", "actual_value", "expected_value", "evidence_position.block_start", "evidence_position.block_end")
 
 
 def _rules_of(mode: tuple[str, ...]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = [r for r in packs.CORPUS_RULES if r.match_mode in mode]
-        hits = review_plan.hit_rows(review_plan.with_hits(_docs(spark, sf_dir), rule_set=own), "doc_id")
+        hits = review_plan.hit_rows(review_plan.with_hits(_docs(spark, sf_dir), rule_set=own, every_fact=False), "doc_id")
         return hits.select("doc_id", "rule_code", "actual_value", "expected_value", "evidence_text")
 
     return run
@@ -93,25 +91,25 @@ QUERIES["rule_keyword_presence"] = _rules_of(("keyword", "presence"))
 
 @query
 def risk_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = review_plan.reviewed(_docs(spark, sf_dir))
+    done = review_plan.reviewed(_docs(spark, sf_dir), every_fact=False)
     return done.select("doc_id", *[F.col(f"{x}_count").cast("bigint").alias(f"{x}_count") for x in ("high", "medium", "low")], "overall_risk_level")
 
 
 @query
 def focus_points_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = review_plan.reviewed(_docs(spark, sf_dir))
+    done = review_plan.reviewed(_docs(spark, sf_dir), every_fact=False)
     point = F.posexplode(F.slice("hits", 1, 3)).alias("i", "h")
     return done.select("doc_id", point).select("doc_id", (F.col("i") + 1).alias("place"), "h.rule_code", "h.risk_level")
 
 
 @query
 def review_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review_plan.reviewed(_docs(spark, sf_dir)).select("doc_id", "overall_risk_level", "summary_text", "comment_text")
+    return review_plan.reviewed(_docs(spark, sf_dir), every_fact=False).select("doc_id", "overall_risk_level", "summary_text", "comment_text")
 
 
 @query
 def risk_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = review_plan.reviewed(_docs(spark, sf_dir)).select("doc_id", "overall_risk_level")
+    done = review_plan.reviewed(_docs(spark, sf_dir), every_fact=False).select("doc_id", "overall_risk_level")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
     return done.join(labels, "doc_id", "left").groupBy("quality", "overall_risk_level").agg(F.count("*").alias("n_docs"))
 
@@ -127,7 +125,7 @@ def rule_set_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hit_set_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = review_plan.hit_rows(review_plan.with_hits(_docs(spark, sf_dir)), "doc_id")
+    hits = review_plan.hit_rows(review_plan.with_hits(_docs(spark, sf_dir), every_fact=False), "doc_id")
     return review.hit_set_fingerprint(hits.withColumn("hit_id", F.col("doc_id") * 100 + F.col("rule_id")), "doc_id")
 
 
