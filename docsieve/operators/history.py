@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+class IdentityConflict(ValueError):
+    """A batch names a known task by another code, or a known code with another task."""
+
+
+def pending(items: DataFrame, position: str, limit: int) -> DataFrame:
+    """The first ``limit`` items by position, as they come: repeats among them are merged later. None below one."""
+    return items.orderBy(position).limit(max(limit, 0))
+
+
 def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The row with the greatest ``order`` of each key; aggregated before the exchange, so hot keys are cheap."""
     rest = [c for c in rows.columns if c not in keys]
@@ -42,19 +51,27 @@ def seed_missing(existing: DataFrame, defaults: DataFrame, key: str) -> DataFram
 
 def upsert(state: DataFrame, incoming: DataFrame, key: str, other_key: str, update: list[str], position: str, initial: dict[str, Column]) -> DataFrame:
     """``state`` after a batch: unseen keys enter with ``initial`` values, known ones get ``update`` from the last
-    row of the batch. The other columns of a known row stay. Identity conflicts raise (``conflicts`` lists them)."""
-    last = latest(incoming, [key], position)
-    both = state.alias("s").join(last.alias("n"), key, "full")
+    row of the batch, nulls included. The other columns of a known row stay.
+
+    If the batch disagrees with the state, or with itself, about which key goes with which ``other_key``, all of it
+    is refused: this looks for one such pair before it returns, and raises ``IdentityConflict``.
+    """
+    named = state.select(key, other_key).unionByName(incoming.select(key, other_key)).distinct()
+    clash = conflicts(named, key, other_key).take(1)
+    if clash:
+        raise IdentityConflict(f"{clash[0]['side']} {clash[0]['value']} stands with {clash[0]['others']} others")
+    last = latest(incoming, [key], position).withColumn("_in", F.lit(True))
+    both = state.withColumn("_was", F.lit(True)).alias("s").join(last.alias("n"), key, "full")
     columns = []
     for c in state.columns:
         if c == key:
             columns.append(F.col(key))
         elif c in update:
-            columns.append(F.coalesce(F.when(F.col(f"n.{other_key}").isNotNull(), F.col(f"n.{c}")), F.col(f"s.{c}")).alias(c))
+            columns.append(F.when(F.col("n._in"), F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")).alias(c))
         elif c in initial:
-            columns.append(F.when(F.col(f"s.{other_key}").isNull(), initial[c]).otherwise(F.col(f"s.{c}")).alias(c))
+            columns.append(F.when(F.col("s._was").isNull(), initial[c]).otherwise(F.col(f"s.{c}")).alias(c))
         else:
-            columns.append(F.coalesce(F.col(f"s.{c}"), F.col(f"n.{c}")).alias(c))
+            columns.append(F.when(F.col("s._was"), F.col(f"s.{c}")).otherwise(F.col(f"n.{c}")).alias(c))
     return both.select(*columns)
 
 
@@ -100,12 +117,17 @@ def select_parse(attachments: DataFrame, snapshots: DataFrame, parses: DataFrame
 
 
 def select_result(results: DataFrame, current: DataFrame) -> DataFrame:
-    """Per parse: the latest result whose two fingerprints are the current ones (its version is not compared)."""
+    """Per parse: the latest completed or partial result whose two fingerprints are the current ones (its version is
+    not compared)."""
     keys = ["contract_parse_id", "rule_set_fingerprint", "rule_hit_fingerprint"]
-    return results.join(current.select(*keys), keys).groupBy("contract_parse_id").agg(F.max("review_result_id").alias("review_result_id"))
+    return results.filter(F.col("review_status").isin("completed", "partial")).join(current.select(*keys), keys).groupBy("contract_parse_id").agg(F.max("review_result_id").alias("review_result_id"))
 
 
-def write_comments(attempts: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
-    """One comment per (instance_id, review_id): repeats and what was written before are left out."""
-    once = attempts.dropDuplicates(["instance_id", "review_id"])
-    return once if earlier is None else once.join(earlier, ["instance_id", "review_id"], "left_anti")
+def write_comments(attempts: DataFrame, earlier: DataFrame | None = None, order: str = "attempt_id") -> DataFrame:
+    """One comment per (instance_id, review_id), the first by ``order``: repeats and what was written before are
+    left out."""
+    keys = ["instance_id", "review_id"]
+    rest = [c for c in attempts.columns if c not in (*keys, order)]
+    first = attempts.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("_r"))
+    once = first.select(*[c if c in keys else F.col(f"_r.{c}").alias(c) for c in attempts.columns])
+    return once if earlier is None else once.join(earlier, keys, "left_anti")

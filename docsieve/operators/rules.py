@@ -39,11 +39,28 @@ class Wording:
 
 #: Modes that the deterministic run leaves to others.
 OTHER_MODES = ("future_llm", "llm_semantic")
+#: Rules that are compiled into one plan, at most, and the keys that each mode's config must have.
+MAX_RULES = 1000
+NEEDED = {
+    "field_missing": ("fields", "hit_message"), "numeric_threshold": ("field", "metric", "operator", "threshold", "hit_message"), "keyword": ("fields", "keywords", "hit_message"),
+    "presence": ("fields", "keywords", "hit_message"), "llm_semantic": ("target_clause",),
+}
 
 
 def read_rules(table: DataFrame) -> list[Rule]:
-    """Rules of a rule table, by id. The table is a small dimension: it is read to the driver to be compiled."""
-    return [Rule(r["rule_id"], r["rule_code"], r["rule_name"], r["risk_level"], r["match_mode"], json.loads(r["match_text"]), r["suggestion_text"], r["rule_version"], r["rule_status"]) for r in table.orderBy("rule_id").collect()]
+    """Rules of a rule table, by id, read to the driver to be compiled: MAX_RULES at most, more are an error.
+
+    A rule whose ``match_text`` is no object, or lacks a key that its mode needs, is an error too.
+    """
+    found = table.orderBy("rule_id").limit(MAX_RULES + 1).collect()
+    if len(found) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    rules = [Rule(r["rule_id"], r["rule_code"], r["rule_name"], r["risk_level"], r["match_mode"], json.loads(r["match_text"]), r["suggestion_text"], r["rule_version"], r["rule_status"]) for r in found]
+    for rule in rules:
+        missing = [k for k in NEEDED.get(rule.match_mode, ()) if not isinstance(rule.config, dict) or k not in rule.config]
+        if missing:
+            raise ValueError(f"rule {rule.rule_code} has no {', '.join(missing)}")
+    return rules
 
 
 def _fact(pack: Pack, path: str) -> Column:

@@ -58,7 +58,8 @@ def merge_answers(facts: DataFrame, answers: DataFrame, blocks: DataFrame, key:
 
 def evaluation_fingerprint(rule_version: Column, engine: str, provider: str | None, model: str | None) -> Column:
     """Digest of what decides an evaluation; without a provider its own fixed variant."""
-    parts = [rule_version, F.lit(engine), F.lit(provider or "unconfigured"), F.lit(model or "unconfigured")]
+    # fixed values: what stands for a provider and a model that are not configured
+    parts = [rule_version, F.lit(engine), F.lit(provider or "not_configured"), F.lit(model or "not_configured")]
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
@@ -74,7 +75,7 @@ def evaluate_semantic(clauses: DataFrame, rules: DataFrame, responses: DataFrame
     an error is degraded without a decision; a hit whose range is not whole or leaves the clause is rejected
     and uncertain.
     """
-    grid = clauses.join(F.broadcast(rules.select("rule_id", "target_clause")), F.col("field") == F.col("target_clause"))
+    grid = clauses.join(rules.select("rule_id", "target_clause"), F.col("field") == F.col("target_clause"))
     met = grid.join(responses, [key, "rule_id"], "left").join(blocks.select(key, "blocks"), key, "left")
     usable = (F.col("extract_status") == "found") & F.col("position").isNotNull()
     ev = evidence(F.col("blocks"), F.col("block_start"), F.col("block_end"))

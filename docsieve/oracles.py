@@ -101,6 +101,7 @@ def _mode(*modes: str) -> str:
 
 _TARGET = "CASE event_type WHEN 'view' THEN 'parsing' WHEN 'click' THEN 'reviewing' WHEN 'error' THEN 'blocked' WHEN 'purchase' THEN 'done' END"
 _OK = "((a.state = 'pending' AND x.t = 'parsing') OR (a.state = 'parsing' AND x.t IN ('reviewing', 'blocked')) OR (a.state = 'reviewing' AND x.t IN ('blocked', 'done')) OR (a.state = 'blocked' AND x.t IN ('parsing', 'reviewing')))"
+# fixed values: what ``functions.text.folded`` leaves out
 _FOLD_SUPPORT = r"""regexp_replace({0}, '[\s,，。；;：:（）()￥¥$\-年月日/]', '', 'g')"""
 
 
@@ -114,6 +115,46 @@ _GOLDEN_BASIC = (("contract_title", "软件采购合同", 0), ("contract_number"
 _GOLDEN_CLAUSES = (("payment_clause", 7, 9, 1), ("delivery_clause", 10, 11, 2), ("acceptance_clause", 12, 13, 2), ("breach_clause", 14, 15, 2), ("confidentiality_clause", 16, 17, 2), ("data_clause", 18, 19, 2), ("intellectual_property_clause", 20, 21, 2), ("dispute_resolution_clause", 22, 23, 2))
 _GOLDEN = ", ".join([f"('basic_info', '{f}', '{v}', 'found', {b}, {b}, 1, 1)" for f, v, b in _GOLDEN_BASIC] + [f"('clauses', '{f}', NULL, 'found', {a}, {b}, {p}, 2)" for f, a, b, p in _GOLDEN_CLAUSES])
 
+_LADDER = f"""
+WITH lines AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2),
+rules AS (SELECT * FROM (VALUES {", ".join("(" + str(r[0]) + "::BIGINT, " + ", ".join(_q(x) for x in r[1:]) + ")" for r in packs.LADDER_RULES)}) t(rule_id, rule_code, risk_level, rule_status, match_mode, rule_version)),
+hits AS (
+  SELECT l_orderkey * 10 + l_linenumber AS hit_id, l_orderkey AS contract_parse_id, l_linenumber AS rule_id, CASE WHEN l_linenumber >= 6 THEN '1.0-abc' WHEN l_returnflag = 'R' THEN '0.9' ELSE '1.0' END AS rule_version, 'rule ' || l_linenumber AS rule_name FROM lines),
+first_evals AS (
+  SELECT (l_orderkey * 10 + l_linenumber) * 2 AS evaluation_id, l_orderkey AS contract_parse_id, l_linenumber AS rule_id, CASE WHEN l_suppkey % 10 = 0 THEN '0.9' ELSE '1.0' END AS rule_version, 'fp' || (l_suppkey % 2) AS fp, 'success' AS status, 'hit' AS decision, l_orderkey * 10 + l_linenumber AS hit_id, l_partkey, l_linestatus
+  FROM lines WHERE l_linenumber >= 6),
+evaluations AS (
+  SELECT evaluation_id, contract_parse_id, rule_id, rule_version, fp, status, decision, hit_id FROM first_evals
+  UNION ALL SELECT evaluation_id + 1, contract_parse_id, rule_id, rule_version, fp, CASE WHEN l_partkey % 3 = 1 THEN 'degraded' ELSE 'success' END, CASE l_partkey % 3 WHEN 0 THEN 'not_hit' WHEN 2 THEN 'uncertain' END, NULL FROM first_evals WHERE l_linestatus = 'F'),
+latest AS (
+  SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY contract_parse_id, e.rule_id ORDER BY evaluation_id DESC) AS rn FROM evaluations e JOIN rules r ON r.rule_id = e.rule_id AND r.rule_version = e.rule_version AND rule_status = 'active' AND match_mode = 'llm_semantic') WHERE rn = 1),
+current_hits AS (
+  SELECT h.* FROM hits h JOIN rules r ON r.rule_id = h.rule_id AND r.rule_version = h.rule_version AND rule_status = 'active' AND match_mode <> 'llm_semantic'
+  UNION ALL SELECT h.* FROM hits h WHERE hit_id IN (SELECT hit_id FROM latest WHERE hit_id IS NOT NULL)),
+partials AS (
+  SELECT o_orderkey AS contract_parse_id, count(l.rule_id) FILTER (status = 'success' AND decision <> 'uncertain') < (SELECT count(*) FROM rules WHERE rule_status = 'active' AND match_mode = 'llm_semantic') AS partial
+  FROM orders LEFT JOIN latest l ON l.contract_parse_id = o_orderkey GROUP BY 1),
+rule_set AS (SELECT sha256(string_agg(rule_code || '@' || rule_version, chr(10) ORDER BY rule_code)) AS rule_set_fingerprint FROM rules WHERE rule_status = 'active'),
+hit_parts AS (SELECT contract_parse_id, string_agg(p, chr(10) ORDER BY p) AS h FROM (SELECT contract_parse_id, hit_id || '@' || rule_id || '@' || rule_version AS p FROM current_hits) GROUP BY 1),
+eval_parts AS (SELECT contract_parse_id, string_agg(p, chr(10) ORDER BY p) AS e FROM (SELECT contract_parse_id, rule_id || '@' || rule_version || '@' || fp || '@' || status || '@' || coalesce(decision, 'None') AS p FROM latest) GROUP BY 1),
+marks AS (
+  SELECT o_orderkey AS contract_parse_id, o_custkey AS task_id, rule_set_fingerprint, sha256(coalesce(h, '') || CASE WHEN e IS NULL THEN '' ELSE chr(10) || '--semantic--' || chr(10) || e END) AS rule_hit_fingerprint
+  FROM orders CROSS JOIN rule_set LEFT JOIN hit_parts hp ON hp.contract_parse_id = o_orderkey LEFT JOIN eval_parts ep ON ep.contract_parse_id = o_orderkey),
+results AS (SELECT contract_parse_id + 7 AS review_result_id, contract_parse_id, CASE WHEN contract_parse_id % 3 = 0 THEN 'failed' ELSE 'completed' END AS review_status, rule_set_fingerprint, rule_hit_fingerprint FROM marks WHERE contract_parse_id % 4 = 1),
+levels AS (SELECT h.*, r.rule_code, r.risk_level, CASE r.risk_level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS w FROM current_hits h JOIN rules r ON r.rule_id = h.rule_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY contract_parse_id ORDER BY w DESC, rule_code, rule_id) AS place FROM levels),
+rolled AS (
+  SELECT m.contract_parse_id, m.task_id, m.rule_set_fingerprint, m.rule_hit_fingerprint, any_value(p.partial) AS partial, any_value(x.review_result_id) AS review_result_id, count(h.hit_id) AS n,
+    count(*) FILTER (risk_level = 'high') AS hi, count(*) FILTER (risk_level = 'medium') AS me, count(*) FILTER (risk_level = 'low') AS lo, CASE coalesce(max(w), 1) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS risk,
+    string_agg(rule_name, ', ' ORDER BY place) FILTER (place <= 3) AS names, string_agg(place || '. ' || rule_name || ': hit of ' || rule_name, chr(10) ORDER BY place) AS focus, string_agg(place || '. mend ' || rule_name, chr(10) ORDER BY place) AS advice,
+    coalesce(string_agg(hit_id::VARCHAR, ',' ORDER BY hit_id), '') AS hit_ids
+  FROM marks m JOIN partials p ON p.contract_parse_id = m.contract_parse_id LEFT JOIN placed h ON h.contract_parse_id = m.contract_parse_id
+    LEFT JOIN results x ON x.contract_parse_id = m.contract_parse_id AND x.review_status = 'completed' GROUP BY 1, 2, 3, 4),
+told AS (
+  SELECT *, CASE WHEN contract_parse_id % 5 = 0 THEN 'RULE_REVIEW_NOT_FOUND' WHEN review_result_id IS NOT NULL THEN 'REVIEW_RESULT_REUSED' ELSE 'REVIEW_RESULT_CREATED' END AS outcome,
+    CASE WHEN n = 0 THEN 'no rule hit, risk low' ELSE n || ' hits: ' || hi || ' high, ' || me || ' medium, ' || lo || ' low; first ' || names END AS summary FROM rolled)"""
+_MADE = "CASE WHEN outcome = 'REVIEW_RESULT_CREATED' THEN "
+
 ORACLES: dict[str, str] = {
     "block_segmentation": f"WITH {_BLOCKS}\nSELECT doc_id, idx AS block_index, length(raw)::INTEGER AS n_chars, length(regexp_replace(raw, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 10 AS meaningful FROM blocks",
     "field_extraction": f"{_ALL}\nSELECT doc_id, field, value, source_text, status AS extract_status, 'regex' AS extract_method, block_start, block_end FROM facts WHERE field IN ({', '.join(_q(n) for n in _PATTERNS)})",
@@ -135,7 +176,7 @@ ORACLES: dict[str, str] = {
     "latest_order_per_customer": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1",
     "latest_supersedes": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_type IN ('error', 'view')) WHERE rn = 1 AND event_type = 'error'",
     "main_choice_by_priority": "SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY p, o_orderkey) AS rn FROM (SELECT *, CASE WHEN contains(o_orderpriority, 'URGENT') THEN 1 WHEN o_orderstatus = 'F' THEN 2 END AS p FROM orders) WHERE p IS NOT NULL) WHERE rn = 1",
-    "reuse_vs_new": "SELECT doc_id, first_id, CASE WHEN doc_id = first_id THEN 'created' ELSE 'reused' END AS outcome FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id FROM documents)",
+    "reuse_vs_new": "SELECT doc_id, first_id, CASE WHEN doc_id = first_id THEN 'created' ELSE 'reused' END AS outcome FROM (SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY sha256(text)) END AS first_id FROM documents)",
     "reuse_against_history": "SELECT doc_id, CASE WHEN sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) THEN 'reused' ELSE 'created' END AS outcome FROM documents WHERE doc_id % 2 = 1",
     "seed_missing_only": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 2)",
     "dedup_upsert": """
@@ -171,4 +212,42 @@ SELECT page_id, CASE WHEN n IN ('', '.', '..') THEN 'file' ELSE n END AS name, r
     "contract_golden_hits": "SELECT 'DISPUTE_JURISDICTION_PRESENT' AS rule_code, 'low' AS overall_risk_level, '人民法院' AS actual_value, 22 AS block_start, 23 AS block_end",
     "llm_merge": "SELECT 1::BIGINT AS doc_id, * FROM (VALUES ('a', 'HT-1', 'No. HT' || chr(10) || '-1 end', 'found', 'llm_verified'), ('b', 'x', 'x', 'found', 'LLM_EXTRACTION_CONFLICT'), ('c', NULL, '-1 end', 'ambiguous', 'VALUE_NOT_IN_EVIDENCE'), ('d', NULL, NULL, 'failed', 'INVALID_BLOCK_RANGE'), ('e', NULL, NULL, 'failed', 'LLM_EXTRACTION_CONFLICT'), ('f', NULL, NULL, 'not_found', 'unchanged')) t(field, value, source_text, extract_status, note)",
     "semantic_evaluation": "SELECT rule_id::BIGINT AS rule_id, evaluation_status, decision, is_hit FROM (VALUES (10, 'success', 'hit', true), (11, 'rejected', 'uncertain', false), (12, 'success', 'not_hit', false), (13, 'degraded', NULL, false)) t(rule_id, evaluation_status, decision, is_hit)",
+    "limit_before_merge": "SELECT CASE WHEN rn = 1 THEN 'created' ELSE 'updated' END AS event, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000)) GROUP BY 1",
+    "current_hits": f"{_LADDER}\nSELECT contract_parse_id, hit_id, rule_id::BIGINT AS rule_id, rule_version FROM current_hits",
+    "hits_of_tasks": f"{_LADDER}\nSELECT c_nationkey::BIGINT AS task_id, rule_code, risk_level, count(*) AS n_hits, max(hit_id) AS last_hit FROM hits h JOIN orders ON o_orderkey = contract_parse_id JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT * FROM rules WHERE rule_id <> 4) r ON r.rule_id = h.rule_id GROUP BY 1, 2, 3",
+    "semantic_incomplete": f"{_LADDER}\nSELECT contract_parse_id, partial FROM partials",
+    "rule_review": f"""{_LADDER},
+own AS (SELECT h.contract_parse_id, CASE WHEN EXISTS (SELECT 1 FROM hits k WHERE k.hit_id = h.hit_id AND k.rule_version = '1.0') THEN 'reused' ELSE 'created' END AS hit, NULL AS event FROM hits h WHERE rule_id <= 4),
+earlier AS (SELECT contract_parse_id, rule_id, rule_version, arg_max(coalesce(hit_id, -1), evaluation_id) AS hit_id FROM evaluations WHERE status <> 'degraded' AND fp = 'fp1' GROUP BY 1, 2, 3),
+said AS (
+  SELECT e.contract_parse_id, CASE WHEN p.rule_id IS NOT NULL THEN CASE WHEN p.hit_id > 0 THEN 'reused' END WHEN e.rule_id = 6 AND e.contract_parse_id % 2 = 0 THEN 'created' END,
+    CASE WHEN p.rule_id IS NOT NULL THEN 'reused' WHEN e.rule_id = 7 THEN 'degraded' WHEN e.contract_parse_id % 2 = 1 THEN 'uncertain' ELSE 'evaluated' END
+  FROM evaluations e LEFT JOIN earlier p ON p.contract_parse_id = e.contract_parse_id AND p.rule_id = e.rule_id AND p.rule_version = e.rule_version WHERE e.hit_id IS NOT NULL),
+counted AS (
+  SELECT o_orderkey AS contract_parse_id, count(*) FILTER (hit = 'created') AS created_hit_count, count(*) FILTER (hit = 'reused') AS reused_hit_count, count(*) FILTER (event = 'evaluated') AS semantic_evaluated_count,
+    count(*) FILTER (event = 'degraded') AS semantic_degraded_count, count(*) FILTER (event = 'uncertain') AS semantic_uncertain_count, count(*) FILTER (event = 'reused') AS semantic_reused_count
+  FROM orders LEFT JOIN (SELECT * FROM own UNION ALL SELECT * FROM said) b ON b.contract_parse_id = o_orderkey GROUP BY 1)
+SELECT *, 1::BIGINT AS skipped_future_llm_count, CASE WHEN reused_hit_count > 0 AND created_hit_count = 0 THEN 'RULE_REVIEW_REUSED' ELSE 'RULE_REVIEW_COMPLETED' END AS log_type FROM counted""",
+    "review_result": f"""{_LADDER}
+SELECT task_id, contract_parse_id, outcome, rule_set_fingerprint, rule_hit_fingerprint, CASE WHEN outcome = 'REVIEW_RESULT_REUSED' THEN review_result_id END AS review_result_id,
+  {_MADE} CASE WHEN partial THEN 'partial' ELSE 'completed' END END AS review_status, {_MADE} risk END AS overall_risk_level, {_MADE} summary || CASE WHEN partial THEN 'Some rules are open.' ELSE '' END END AS summary_text,
+  {_MADE} 'review: ' || risk || chr(10) || chr(10) || summary || CASE WHEN n = 0 THEN chr(10) || chr(10) || 'nothing found' ELSE chr(10) || chr(10) || 'focus:' || chr(10) || focus || chr(10) || chr(10) || 'advice:' || chr(10) || advice END
+    || CASE WHEN partial THEN chr(10) || chr(10) || 'Note: Some rules are open.' ELSE '' END END AS comment_text, {_MADE} hit_ids END AS hit_ids FROM told""",
+    "result_hit_links": f"{_LADDER}\nSELECT contract_parse_id, hit_id FROM told JOIN current_hits USING (contract_parse_id) WHERE outcome = 'REVIEW_RESULT_CREATED'",
+    "failed_results": f"{_LADDER}\nSELECT contract_parse_id, risk AS overall_risk_level, '' AS summary_text, '' AS comment_text, 'failed' AS review_status, 'REVIEW_RESULT_GENERATION_FAILED: no words' AS review_error FROM rolled",
+    "results_with_hits": f"{_LADDER}\nSELECT review_result_id, any_value(review_status) AS review_status, coalesce(string_agg(hit_id || ':' || rule_code, ',' ORDER BY hit_id), '') AS hits FROM results x LEFT JOIN (SELECT hits.*, rule_code FROM hits JOIN rules USING (rule_id) WHERE hit_id % 3 = 0) h ON h.contract_parse_id = x.contract_parse_id GROUP BY 1",
+    "current_result_choice": f"{_LADDER}\nSELECT contract_parse_id, review_result_id + CASE WHEN contract_parse_id % 8 = 1 THEN 0 ELSE 1000000000 END AS review_result_id FROM results WHERE review_status <> 'failed'",
+    "parse_choice": """
+WITH lines AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2),
+mains AS (SELECT o_custkey AS task_id, min(o_orderkey) AS attachment_id, arg_min(o_orderpriority, o_orderkey) AS sha FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderstatus = 'O' GROUP BY 1),
+reads AS (SELECT task_id, max(l_orderkey * 10 + l_linenumber) AS snap FROM mains JOIN lines ON l_orderkey = attachment_id WHERE l_partkey % 7 <> 0 AND l_partkey % 5 <> 0 GROUP BY 1)
+SELECT task_id, snap * 2 AS contract_parse_id FROM reads JOIN lines ON l_orderkey * 10 + l_linenumber = snap WHERE l_returnflag <> 'R'""",
+    "comments_once": "SELECT user_id AS instance_id, event_type AS review_id, min(event_id) AS attempt_id FROM events WHERE event_id % 2 = 1 AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 10 = 0) GROUP BY 1, 2",
+    "outcome_ladders": """
+SELECT read, prepared, comment, retry, count(*) AS n FROM (SELECT
+  CASE WHEN l_partkey % 11 = 0 THEN 'DOCUMENT_FILE_NOT_FOUND' WHEN l_partkey % 7 = 0 THEN 'DOCUMENT_READ_REUSED' WHEN l_partkey % 5 = 0 THEN 'DOCUMENT_READ_FAILED' WHEN l_suppkey % 7 = 0 THEN 'DOCUMENT_FILE_NOT_FOUND' WHEN l_suppkey % 5 = 0 THEN 'DOCUMENT_READ_FAILED'
+    WHEN l_suppkey % 3 = 0 THEN 'DOCUMENT_FILE_EMPTY' WHEN l_partkey % 2 = 0 THEN 'DOCUMENT_OCR_REQUIRED' ELSE 'DOCUMENT_READ_SUCCESS' END AS read,
+  CASE WHEN l_partkey % 9 = 0 THEN 'ATTACHMENT_NOT_FOUND' WHEN l_partkey % 8 = 0 THEN 'MAIN_CONTRACT_NOT_FOUND' WHEN l_suppkey % 4 = 0 THEN 'UNSUPPORTED_ATTACHMENT_TYPE' WHEN l_suppkey % 6 = 0 THEN 'ATTACHMENT_DOWNLOAD_FAILED' WHEN l_suppkey % 2 = 0 THEN 'ATTACHMENT_REUSED' ELSE 'ATTACHMENT_UPDATED' END AS prepared,
+  CASE WHEN l_partkey % 10 = 0 THEN 'REVIEW_RESULT_NOT_FOUND' WHEN l_partkey % 9 = 0 THEN 'COMMENT_WRITE_REUSED' WHEN l_partkey % 8 = 0 THEN 'COMMENT_TEXT_EMPTY' WHEN l_suppkey % 7 = 0 THEN 'COMMENT_WRITE_FAILED' WHEN l_suppkey % 5 = 0 THEN 'COMMENT_RESPONSE_INVALID' ELSE 'COMMENT_WRITE_SUCCEEDED' END AS comment,
+  CASE l_partkey % 4 WHEN 0 THEN 'write_comment' WHEN 3 THEN NULL ELSE 'prepare_attachments' END AS retry FROM lineitem) GROUP BY 1, 2, 3, 4""",
 }

@@ -30,12 +30,16 @@ CONTRACT = Pack(
     },
     numbered=r"第[^\s]{1,8}条",
 )
+# fixed values of the contract domain
 CONTRACT_METRICS = {
     "prepayment_ratio": r"(?:预付款(?:比例)?(?:为|[:：])?\s*(\d+(?:\.\d+)?)\s*%|(\d+(?:\.\d+)?)\s*%\s*(?:的)?预付款)",
     "payment_period_days": r"(?:付款|支付|款项)[^。；\n]{0,40}?(\d+)\s*(?:个)?(?:自然日|工作日|日|天)|(\d+)\s*(?:个)?(?:自然日|工作日|日|天)[^。；\n]{0,20}?(?:付款|支付|款项)",
 }
+# fixed values of the contract domain
 CONTRACT_WORDING = Wording("字段应可明确提取", "不高于 ", {"percent": "%", "days": "天"})
+# fixed values of the contract domain
 MAIN_KEYWORDS = ("合同", "协议", "contract", "agreement")
+# fixed values of the contract domain
 FILE_TYPES = ("pdf", "docx", "jpg", "jpeg", "png")
 
 
@@ -43,6 +47,7 @@ def _missing(*paths: str, message: str) -> dict:
     return {"fields": list(paths), "trigger": "any", "hit_message": message}
 
 
+# fixed values of the contract domain
 CONTRACT_RULES = (
     Rule(1, "SUBJECT_INFO_MISSING", "合同主体信息缺失", "high", "field_missing", _missing("basic_info.signing_party", "basic_info.counterparty", message="未提取到甲方或乙方信息"), "请补充并核对合同双方的完整法定名称。"),
     Rule(2, "AMOUNT_MISSING", "合同金额缺失", "medium", "field_missing", _missing("basic_info.amount", message="未提取到合同金额"), "请明确合同总金额及计价口径。"),
@@ -58,6 +63,7 @@ CONTRACT_RULES = (
     Rule(12, "DATA_PROCESSING_RISK", "数据处理责任需重点确认", "high", "llm_semantic", {"target_clause": "data_clause"}, "建议人工确认数据用途、保存期限、第三方共享及安全责任边界。"),
     Rule(13, "DISPUTE_RESOLUTION_RISK", "特殊争议解决约定需确认", "medium", "llm_semantic", {"target_clause": "dispute_resolution_clause"}, "建议人工评估约定机构、地点、适用规则及争议处理成本。"),
 )
+# fixed values of the contract domain
 CONTRACT_PHRASES = Phrases(
     no_hits="本合同未命中当前确定性风险规则，整体风险等级为低。",
     summary="本合同共命中 {n} 条风险规则，其中高风险 {high} 条、中风险 {medium} 条、低风险 {low} 条。建议重点关注{names}。",
@@ -78,6 +84,11 @@ CORPUS = Pack(
     ),
     sections={"the_part": ["The "], "of_part": ["Of "], "and_part": ["And "]},
 )
+#: Rules with every mode and status, for the result tables: (rule_id, rule_code, risk_level, rule_status, match_mode, rule_version).
+LADDER_RULES = (
+    (1, "R1", "high", "active", "field_missing", "1.0"), (2, "R2", "medium", "active", "numeric_threshold", "1.0"), (3, "R3", "low", "inactive", "keyword", "1.0"), (4, "R4", "medium", "active", "presence", "1.0"),
+    (5, "R5", "low", "active", "future_llm", "1.0"), (6, "R6", "high", "active", "llm_semantic", "1.0"), (7, "R7", "medium", "active", "llm_semantic", "1.0"),
+)
 CORPUS_METRICS = {"version": r"(?:[Vv]ersion ([0-9]+(?:\.[0-9]+)?)|BY-NC ([0-9]+(?:\.[0-9]+)?))"}
 CORPUS_WORDING = Wording("a clear value", "at most ", {})
 CORPUS_RULES = (

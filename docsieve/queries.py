@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.functions import text as tx
 from docsieve.functions.once import stage
-from docsieve.operators import extract, history, review, semantic, state
+from docsieve.operators import extract, history, results, review, semantic, state
 from docsieve.operators.segment import lines, runs, sections
 from docsieve.plans import packs, review_plan
 from docsieve.sources.tables import spread
@@ -156,9 +156,10 @@ def main_choice_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reuse_vs_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).withColumn("sha", F.sha2("text", 256))
-    first = F.min("doc_id").over(Window.partitionBy("sha"))
-    return docs.select("doc_id", "sha").withColumn("first_id", first).select("doc_id", "first_id", F.when(F.col("doc_id") == F.col("first_id"), "created").otherwise("reused").alias("outcome"))
+    docs = _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("sha"))  # a null text is a copy of nothing
+    shared = docs.filter("sha is not null").groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = docs.join(shared, "sha", "left").select("doc_id", F.coalesce("first_id", "doc_id").alias("first_id"))
+    return met.withColumn("outcome", F.when(F.col("doc_id") == F.col("first_id"), "created").otherwise("reused"))
 
 
 @query
@@ -189,6 +190,14 @@ def upsert_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("event").agg(F.count("*").alias("n"))
 
 
+@query
+def limit_before_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pull takes its first rows as they come; repeats among them are updates."""
+    rows = history.pending(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 1000)
+    events = history.upsert_events(rows.select("o_custkey").limit(0), rows, "o_custkey", "o_orderkey")
+    return events.groupBy("event").agg(F.count("*").alias("n"))
+
+
 @query
 def identity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("n"), "c_mktsegment")
@@ -248,7 +257,7 @@ def date_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", tx.iso_date(F.col("written")).alias("iso"))
 
 
-#: The main fixture of the contract domain: 24 blocks, the first nine on page 1.
+# fixed values: the main fixture of the contract domain, 24 blocks, the first nine on page 1
 CONTRACT_BLOCKS = (
     "软件采购合同", "合同编号：HT-2026-0098", "甲方：星河科技有限公司（虚构）", "乙方：远航软件服务有限公司（虚构）", "合同总金额为人民币500000元整。", "生效日期：2026年10月1日", "到期日期：2027年9月30日",
     "第一条 付款条款", "甲方应在合同生效后十个工作日内支付首期款。", "剩余款项在项目验收合格后三十日内支付。", "第二条 交付条款", "乙方应于2026年11月30日前完成软件交付。",
@@ -291,3 +300,138 @@ def semantic_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = spark.createDataFrame([(1, 10, "hit", 14, 15, None), (1, 11, "hit", 999, 999, None), (1, 12, "not_hit", None, None, None)], "doc_id bigint, rule_id bigint, decision string, block_start int, block_end int, error string")
     done = semantic.evaluate_semantic(facts.select("doc_id", "field", "extract_status", "position"), rules, answers, contract(spark), "doc_id")
     return done.select("rule_id", "evaluation_status", "decision", "is_hit")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line for each number of an order: numbers repeat."""
+    lines = _table(spark, sf_dir, "lineitem")
+    return lines.groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_returnflag", "l_linestatus", "l_partkey", "l_suppkey")])
+
+
+class ReviewTables:
+    """Review tables of the size of ``lineitem``: an order is a parse, its line numbers are hits of rule 1 to 7."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        lines = _lines(spark, sf_dir)
+        self.rules = spark.createDataFrame(list(packs.LADDER_RULES), "rule_id bigint, rule_code string, risk_level string, rule_status string, match_mode string, rule_version string")
+        n, hit_id = F.col("l_linenumber"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint")
+        name = F.concat(F.lit("rule "), n.cast("string"))
+        version = F.when(n >= 6, "1.0-abc").when(F.col("l_returnflag") == "R", "0.9").otherwise("1.0")
+        self.hits = lines.select(hit_id.alias("hit_id"), F.col("l_orderkey").cast("bigint").alias("contract_parse_id"), n.cast("bigint").alias("rule_id"), version.alias("rule_version"), name.alias("rule_name"), F.concat(F.lit("hit of "), name).alias("hit_message"), F.concat(F.lit("mend "), name).alias("suggestion"))
+        semantic_ = lines.filter("l_linenumber >= 6")
+        kind = F.col("l_partkey") % 3
+        later = lambda a, b, c: F.when(kind == 0, a).when(kind == 1, b).otherwise(c)
+        common = [F.col("l_orderkey").cast("bigint").alias("contract_parse_id"), n.cast("bigint").alias("rule_id"), F.when(F.col("l_suppkey") % 10 == 0, "0.9").otherwise("1.0").alias("rule_version"), F.concat(F.lit("fp"), (F.col("l_suppkey") % 2).cast("string")).alias("evaluation_fingerprint")]
+        first = semantic_.select((hit_id * 2).alias("evaluation_id"), *common, F.lit("success").alias("evaluation_status"), F.lit("hit").alias("decision"), hit_id.alias("hit_id"))
+        second = semantic_.filter("l_linestatus = 'F'").select((hit_id * 2 + 1).alias("evaluation_id"), *common, later("success", "degraded", "success").alias("evaluation_status"), later("not_hit", F.lit(None), "uncertain").alias("decision"), F.lit(None).cast("bigint").alias("hit_id"))
+        self.evaluations = first.unionByName(second)
+        orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("contract_parse_id"), F.col("o_custkey").cast("bigint").alias("task_id"))
+        self.parses = orders
+        mark = results.checkpoint_mark(F.col("contract_parse_id"), review.rule_set_fingerprint(self.rules).scalar())
+        kind = F.when(F.col("contract_parse_id") % 5 == 0, "RULE_REVIEW_STARTED").otherwise("RULE_REVIEW_COMPLETED")
+        self.logs = orders.select("task_id", kind.alias("log_type"), F.concat(F.lit("done, "), mark, F.lit("hits")).alias("log_content"))
+        marks = results.fingerprints(orders, self.current(), self.evaluations, self.rules).filter("contract_parse_id % 4 = 1")
+        self.results = marks.select((F.col("contract_parse_id") + 7).alias("review_result_id"), "contract_parse_id", F.when(F.col("contract_parse_id") % 3 == 0, "failed").otherwise("completed").alias("review_status"), F.lit("1.0").alias("review_version"), "rule_set_fingerprint", "rule_hit_fingerprint")
+
+    def current(self) -> DataFrame:
+        return results.current_hits(self.hits, self.evaluations, self.rules)
+
+
+@query
+def current_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ReviewTables(spark, sf_dir).current().select("contract_parse_id", "hit_id", "rule_id", "rule_version")
+
+
+@query
+def hits_of_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hits of an order's lines with their customer's task and rule, through two joins; some rules are gone."""
+    t = ReviewTables(spark, sf_dir)
+    parses = t.parses.select("contract_parse_id", F.col("contract_parse_id").alias("document_read_snapshot_id"))
+    snapshots = t.parses.select(F.col("contract_parse_id").alias("document_read_snapshot_id"), F.col("task_id").alias("attachment_id"))
+    attachments = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("attachment_id"), F.col("c_nationkey").cast("bigint").alias("task_id"))
+    found = results.hits_of_tasks(t.hits, parses, snapshots, attachments, t.rules.filter("rule_id <> 4"))
+    return found.groupBy("task_id", "rule_code", "risk_level").agg(F.count("*").alias("n_hits"), F.max("hit_id").alias("last_hit"))
+
+
+@query
+def semantic_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ReviewTables(spark, sf_dir)
+    return results.incomplete(t.parses, t.evaluations, t.rules)
+
+
+@query
+def rule_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run's matches are lines 1 to 5 in version 1.0, its semantic outcomes those of the odd fingerprint."""
+    t = ReviewTables(spark, sf_dir)
+    matches = t.hits.filter("rule_id <= 4").select("contract_parse_id", "rule_id", F.lit("1.0").alias("rule_version"))
+    outcomes = t.evaluations.filter("hit_id is not null").select("contract_parse_id", "rule_id", "rule_version", F.lit("fp1").alias("evaluation_fingerprint"), F.when(F.col("rule_id") == 7, "degraded").otherwise("success").alias("evaluation_status"), F.when(F.col("rule_id") == 6, F.when(F.col("contract_parse_id") % 2 == 0, "hit").otherwise("uncertain")).alias("decision")).withColumn("is_hit", F.coalesce(F.col("decision") == "hit", F.lit(False)))
+    return results.rule_review(t.parses, matches, outcomes, t.hits, t.evaluations, t.rules)
+
+
+def _results(t: ReviewTables) -> DataFrame:
+    return results.review_results(t.parses, t.hits, t.evaluations, t.rules, t.logs, t.results, packs.CORPUS_PHRASES, "1.0", "Some rules are open.", "\n\nNote: ")
+
+
+@query
+def review_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _results(ReviewTables(spark, sf_dir)).withColumn("hit_ids", F.array_join("hit_ids", ","))
+
+
+@query
+def result_hit_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.result_hits(_results(ReviewTables(spark, sf_dir)))
+
+
+@query
+def failed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ReviewTables(spark, sf_dir)
+    return results.failed_results(t.parses, results.with_rules(t.current(), t.rules), F.lit("no words"))
+
+
+@query
+def results_with_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earlier results with the hits they are linked to; links repeat."""
+    t = ReviewTables(spark, sf_dir)
+    links = t.hits.filter("hit_id % 3 = 0").select((F.col("contract_parse_id") + 7).alias("review_result_id"), "hit_id")
+    done = results.with_hits(t.results.select("review_result_id", "review_status"), links.unionByName(links), t.hits, t.rules)
+    return done.select("review_result_id", "review_status", F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["hit_id"].cast("string"), h["rule_code"])), ",").alias("hits"))
+
+
+@query
+def current_result_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per parse the latest result whose fingerprints are current, whatever its version."""
+    t = ReviewTables(spark, sf_dir)
+    marks = results.fingerprints(t.parses, t.current(), t.evaluations, t.rules)
+    more = t.results.withColumn("review_result_id", F.col("review_result_id") + 1_000_000_000).withColumn("rule_hit_fingerprint", F.when(F.col("contract_parse_id") % 8 == 1, F.lit("old")).otherwise(F.col("rule_hit_fingerprint")))
+    return history.select_result(t.results.unionByName(more), marks)
+
+
+@query
+def parse_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers are tasks, orders attachments, lines reads and parses of them."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("task_id"), F.col("o_orderkey").alias("attachment_id"), F.col("o_orderpriority").alias("sha256"), (F.col("o_orderkey") % 3 != 0).alias("is_main_contract"), F.when(F.col("o_orderstatus") == "O", "success").otherwise("failed").alias("download_status"))
+    lines = _lines(spark, sf_dir)
+    priorities = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("p"))
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint")
+    met = lines.join(priorities, "l_orderkey")
+    snapshots = met.select(key.alias("document_read_snapshot_id"), F.col("l_orderkey").alias("attachment_id"), F.when(F.col("l_partkey") % 7 == 0, "old").otherwise(F.col("p")).alias("file_sha256"), F.when(F.col("l_partkey") % 5 == 0, "failed").otherwise("success").alias("read_status"))
+    parses = met.select((key * 2).alias("contract_parse_id"), key.alias("document_read_snapshot_id"), F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_partkey") % 2 == 0, "partial").otherwise("success").alias("parse_status"))
+    return history.select_parse(orders, snapshots, parses)
+
+
+@query
+def comments_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attempts = _table(spark, sf_dir, "events").select(F.col("event_id").alias("attempt_id"), F.col("user_id").alias("instance_id"), F.col("event_type").alias("review_id"), F.col("value").alias("text"))
+    return history.write_comments(attempts.filter("attempt_id % 2 = 1"), attempts.filter("attempt_id % 10 = 0").select("instance_id", "review_id")).select("instance_id", "review_id", "attempt_id")
+
+
+@query
+def outcome_ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of reading, preparing, writing back and retrying, with a line's numbers for conditions."""
+    x = _table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    read = state.read_outcome(p % 11 != 0, p % 7 == 0, F.when(p % 5 != 0, "sha"), s % 7 != 0, s % 5 != 0, s % 3, F.when(p % 2 == 0, "DOCUMENT_OCR_REQUIRED"))
+    prepared = state.attachment_outcome(p % 9, F.when(p % 8 != 0, F.when(s % 4 == 0, "txt").otherwise("pdf")), packs.FILE_TYPES, s % 6 == 0, F.when(s % 2 == 0, "REUSED").otherwise("UPDATED"))
+    comment = state.comment_outcome(p % 10 != 0, p % 9 == 0, F.when(p % 8 == 0, " ").otherwise("text"), s % 7 != 0, F.when(s % 5 == 0, "").otherwise("id"))
+    stage_ = F.when(p % 4 == 0, "comment_writeback").when(p % 4 == 1, "parsing").when(p % 4 == 2, "attachment_preparation").otherwise("reviewing")
+    return x.select(read.alias("read"), prepared.alias("prepared"), comment.alias("comment"), state.retry_action(stage_).alias("retry")).groupBy("read", "prepared", "comment", "retry").agg(F.count("*").alias("n"))

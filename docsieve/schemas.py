@@ -13,6 +13,6 @@ HIT = (
 RULES = "rule_id bigint, rule_code string, rule_name string, risk_level string, rule_status string, match_mode string, match_text string, suggestion_text string, rule_version string"
 TASKS = "instance_id string, approval_code string, title string, applicant string, applied_at timestamp, task_status string, write_status string"
 
-#: Closed domains.
+# fixed values: closed domains
 RISK_WEIGHT = {"low": 1, "medium": 2, "high": 3}
 TRANSITIONS = {"pending": ["parsing"], "parsing": ["reviewing", "blocked"], "reviewing": ["blocked", "done"], "blocked": ["parsing", "reviewing"], "done": []}
