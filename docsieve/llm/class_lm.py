@@ -37,7 +37,9 @@ WORD_UNITS, ENDING_UNITS, BUCKETS, CLASSES = 32_000, 4_096, 64, 48
 #: Units that are clustered first, one by one, at most.
 SEEDS = 512
 #: Words whose counts are broadcast for scoring, at most (the most frequent).
-HEAD = 100_000
+HEAD = 150_000
+#: Bytes of text that scoring handles at once: it holds a score of arrays of the words.
+SCORED = 1 << 20
 #: Bytes of a word's ending.
 ENDING = 3
 #: Rounds of exchange, and the weight of the classes' own shares in a transition.
@@ -474,8 +476,8 @@ def refine(encoded: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS) -> t
     placed = saved(encoded.mapInArrow(_contexts(of), "w long, codes binary").repartition("w").sortWithinPartitions("w").mapInArrow(_place_tail(pairs), "w long, cls int, right int, n long"))
     tail = placed.filter("w is not null").select("w", "cls")
     of_w, of_left = tail.withColumnRenamed("cls", "right"), tail.withColumnRenamed("w", "lw")
-    both = encoded.mapInArrow(_tail_pairs, "lw long, w long").join(of_w, "w").groupBy("lw", "right").agg(F.count("*").alias("n"))
-    flat = both.join(of_left, "lw").select("cls", "right", "n").unionByName(placed.filter("w is null").select("cls", "right", "n"))
+    both = encoded.mapInArrow(_tail_pairs, "lw long, w long").join(of_w, "w").select("lw", "right")
+    flat = both.join(of_left, "lw").select("cls", "right", F.lit(1).cast("long").alias("n")).unionByName(placed.filter("w is null").select("cls", "right", "n"))
     out = words.astype(float)
     for r in flat.groupBy("cls", "right").agg(F.sum("n").alias("n")).collect():  # WIDE * WIDE at most
         out[r["cls"], r["right"]] += r["n"]
@@ -602,7 +604,7 @@ def _score(model: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
         known = _Heads(model)
         end_known = model.documents > 0
         end_base = float(model.base(np.array(model.documents)))
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SCORED):
             if len(known) > FLUSH:
                 known = _Heads(model)
             split = [text.lower().split() for text in blobs(batch)]

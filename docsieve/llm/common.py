@@ -12,16 +12,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsieve.sources.tables import spread, table
+
+__all__ = ["spread", "table"]
+
 #: Bytes of text that a numpy step handles at once; longer texts form a slice of their own.
 SLICE_BYTES = 4 << 20
 #: A side may be broadcast only below this many bytes; each use measures its side first.
 BROADCAST_BYTES = 16 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 #: The folder of each local application for which none is set.
 _OWN: dict[str, str] = {}
 
@@ -60,15 +60,6 @@ def fits_broadcast(rows: int, bytes_per_row: int) -> bool:
     return rows * bytes_per_row <= BROADCAST_BYTES
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt out to all cores where they come from fewer files than there are cores.
-
-    A file can be a single row group, which one task must read; many files are left as they are.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows
-
-
 def text_bytes(docs: DataFrame, *keep: str) -> DataFrame:
     """The kept columns and the text as UTF-8 bytes (null stays null)."""
     return spread(docs.select(*keep, F.col("text").cast("string").cast("binary").alias("text")))
