@@ -1,6 +1,6 @@
 """Surrogates for personal data: keyed, type-consistent replacements, the same for every mention of an entity.
 
-Mentions are found by patterns, in one scan of each text. A mention's canonical form is its entity: e-mail
+Mentions are found by patterns. A mention's canonical form is its entity: e-mail
 addresses in lower case, numbers by their digits (phones with their country code), secrets by their value. A
 name behind a title is made of entities, one for each part: so ``Mr. Karl Stein`` and a later ``Mr. Stein`` keep
 the same surname. Each entity draws a candidate from a keyed digest, of its own type, length and characters:
@@ -217,11 +217,11 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     table gives an empty table.
     """
     raw = boxed(docs).withColumn("text", F.col("text").cast("string"))
-    text = F.col("text")
-    found = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))
-    scanned = saved(raw.withColumn("found", F.coalesce(found, F.array().cast("array<string>"))).withColumn("key", F.monotonically_increasing_id()))
-    plain = scanned.filter(F.size("found") == 0).withColumns({"_entities": F.lit(0).cast("long"), "_types": F.lit("")})
-    marked = scanned.filter(F.size("found") > 0)
+    text, hinted = F.col("text"), F.col("text").rlike(_HINT)
+    plain = raw.filter(~F.coalesce(hinted & text.rlike(_ANY), F.lit(False))).withColumns({"_entities": F.lit(0).cast("long"), "_types": F.lit("")})
+    # a generator of one row: the filter does not search the text again
+    found = raw.filter(hinted).select("row", "text", F.explode(F.array(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))).alias("found"))
+    marked = saved(found.filter(F.size("found") > 0).withColumn("key", F.monotonically_increasing_id()))
     mentions = marked.select("key", F.posexplode("found").alias("pos", "mention"))
     typed = saved(_typed(mentions.select("mention").distinct()))
     parts = typed.select("mention", F.posexplode("parts").alias("at", "part")).select("mention", "at", "part.type", "part.entity")

@@ -64,5 +64,43 @@ def test_distinct_entities_stay_distinct(spark):
     assert len(rows) == 334 and len(set(made)) == 334 and not set(made) & {r["entity"] for r in rows}
 
 
+def test_names_link_by_their_parts(spark):
+    """A surname alone is that of the full name; titles without a gender are titles too."""
+    texts = ["Mr. Karl Stein wrote; later Mr. Stein left, and Mrs. Stein too.", "Dr. Jane Roe spoke with Prof. Roe and Mr. Karl Roe."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    a, b = (r["text"] for r in sorted(surrogates.pseudonymise(docs, "k").collect()))
+    given, surname = re.match(r"Mr\. (\w+) (\w+) wrote", a).groups()
+    assert f"later Mr. {surname} left, and Mrs. {surname} too." in a and "Stein" not in a
+    roe = re.match(r"Dr\. \w+ (\w+) spoke", b).group(1)
+    assert f"Prof. {roe} and Mr. {given} {roe}." in b and roe != surname and "Jane" not in b
+
+
+def test_phones_and_addresses_keep_what_they_must(spark):
+    text = "+44 791 112 3456, +1 791 112 3456, (791) 112-3456, +34 912 345 67, 10.1.2.3, 192.168.4.5, 172.20.1.9, 8.8.4.4"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    out = surrogates.pseudonymise(docs, "k").first()["text"].split(", ")
+    digits = [re.sub(r"\D", "", x) for x in out]
+    assert out[0].startswith("+44 ") and out[1].startswith("+1 ") and out[3].startswith("+34 ")
+    assert digits[0][2:] != digits[1][1:] == digits[2] and digits[3] != "3491234567"
+    assert out[4].startswith("10.") and out[5].startswith("192.168.") and out[6].startswith("172.20.") and not out[7].startswith("10.")
+    assert not set(out) & set(text.split(", "))
+
+
+def test_many_names_and_full_formats(spark, monkeypatch):
+    """More surnames than names of three syllables, and a format whose values are all taken."""
+    monkeypatch.setattr(surrogates, "DRAWS", 4)
+    many = spark.range(60_000).selectExpr("'surname' as type", "concat('N', id) as entity")
+    full = spark.range(1000).selectExpr("'secret' as type", "lpad(cast(id as string), 3, '0') as entity")
+    rows = surrogates.surrogates(many.unionByName(full), "k")
+    assert rows.count() == 61_000 == rows.select("type", "surrogate").distinct().count()
+    assert rows.filter("entity = surrogate").count() == 0 and rows.filter("type = 'secret' and length(surrogate) <> 3").count() == 0
+
+
+def test_shuffled_way_agrees(table, monkeypatch):
+    want = sorted(str(tuple(r)) for r in surrogates.pseudonymise(table, "k").collect())
+    monkeypatch.setattr(surrogates, "fits_broadcast", lambda rows, size: False)
+    assert sorted(str(tuple(r)) for r in surrogates.pseudonymise(table, "k").collect()) == want
+
+
 def test_empty(table):
     assert surrogates.pseudonymise(table.limit(0), "k").count() == 0
