@@ -67,6 +67,24 @@ def hybrid_version(version: str, fingerprint: Column) -> Column:
     return F.concat(F.lit(version + "-"), F.substring(fingerprint, 1, 12))
 
 
+def hybrid_parses(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """What asking a model about each read comes to: (document_read_snapshot_id, log_type, contract_parse_id,
+    parse_status).
+
+    ``asked``: extractor_version, error (null: the model answered), n_unresolved, all_found. ``known``: earlier parses
+    (extractor_version, llm_status, contract_parse_id). The latest parse of the same read and version is reused
+    unless it was degraded. An error degrades to the deterministic parse, which is partial then; with nothing
+    unresolved the model is not asked.
+    """
+    keys = ["document_read_snapshot_id", "extractor_version"]
+    best = known.groupBy(*keys).agg(F.max(F.struct("contract_parse_id", "llm_status")).alias("_k"))
+    met = asked.join(best, keys, "left")
+    reused = F.col("_k").isNotNull() & (F.col("_k.llm_status") != "degraded")
+    kind = F.when(reused, "LLM_CONTRACT_PARSE_REUSED").when(F.col("error").isNotNull(), "LLM_EXTRACTION_DEGRADED").when(F.col("n_unresolved") == 0, "LLM_EXTRACTION_SKIPPED").otherwise("LLM_EXTRACTION_COMPLETED")
+    status = F.when(~reused, F.when(F.col("error").isNotNull() | ~F.col("all_found"), "partial").otherwise("success"))
+    return met.select("document_read_snapshot_id", kind.alias("log_type"), F.when(reused, F.col("_k.contract_parse_id")).alias("contract_parse_id"), status.alias("parse_status"))
+
+
 def evaluate_semantic(clauses: DataFrame, rules: DataFrame, responses: DataFrame, blocks: DataFrame, key: str, configured: bool = True) -> DataFrame:
     """(key, rule_id, evaluation_status, decision, is_hit, evidence_text) for every document and semantic rule.
 

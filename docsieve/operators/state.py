@@ -7,19 +7,69 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.schemas import TRANSITIONS
+from docsieve.schemas import TRANSITIONS, WORKFLOW_EVENTS
 
 #: log2 of the events in a chunk at most, and of the chunks that a level puts together at most. Behind these levels
 #: a key has a chunk or two in each task that has events of it.
 CHUNK_BITS, LEVELS = 14, (17,)
 
 
-def allowed(state: Column, target: Column, transitions: dict[str, list[str]] = TRANSITIONS) -> Column:
-    out = F.lit(False)
-    for source, targets in transitions.items():
-        if targets:
-            out = out | ((state == source) & target.isin(*targets))
-    return out
+#: What an event makes of a state, and whether that counts as a retry. Events that a state has no move for are refused.
+Moves = dict[tuple[str, str], tuple[str, bool]]
+
+
+def transition_moves(transitions: dict[str, list[str]] = TRANSITIONS) -> Moves:
+    """Moves whose events are the states that they ask for; leaving ``blocked`` is a retry."""
+    return {(s, t): (t, s == "blocked") for s, targets in transitions.items() for t in targets}
+
+
+def workflow_moves() -> tuple[str, Moves]:
+    """The start and the moves of a task with its guards, in states ``status/write status/blocked stage``.
+
+    Events are those of ``WORKFLOW_EVENTS``; blocking names the stage. A retry needs a task that is to go back to
+    parsing, so one blocked in the write-back goes on by ``resume_writeback`` alone; OCR resumes only what document
+    reading blocked, and changes nothing for a task that is parsing.
+    """
+    start = "pending/not_written/"
+    moves: Moves = {}
+    open_, seen = [start], {start}
+    while open_:
+        state = open_.pop()
+        for event in WORKFLOW_EVENTS:
+            done = _after(*state.split("/"), event)
+            if done:
+                moves[state, event] = done
+                if done[0] not in seen:
+                    seen.add(done[0])
+                    open_.append(done[0])
+    return start, moves
+
+
+def _after(status: str, write: str, stage: str, event: str) -> tuple[str, bool] | None:
+    """A task's state after one event, and whether it was retried; None if its guards refuse."""
+    to = lambda new: new in TRANSITIONS[status]
+    kind, _, at = event.partition("@")
+    resumable = status == "blocked" and stage == "comment_writeback" and write == "failed"
+    if kind in ("start_parsing", "start_reviewing"):
+        new = kind.removeprefix("start_")
+        return (f"{new}/{write}/", False) if to(new) else None
+    if kind == "block":
+        return (f"blocked/{write}/{at}", False) if to("blocked") else None
+    if kind == "retry":
+        return (f"parsing/{write}/", True) if status == "blocked" and stage != "comment_writeback" else None
+    if kind == "resume_for_ocr":
+        if status == "parsing":
+            return f"{status}/{write}/{stage}", False
+        return (f"parsing/{write}/", True) if status == "blocked" and stage == "document_reading" else None
+    if kind == "start_write":
+        return (f"{status}/writing/{stage}", False) if status == "reviewing" and write in ("not_written", "failed") else None
+    if kind == "complete_write":
+        return ("done/success/", False) if status == "reviewing" and write == "writing" else None
+    if kind == "fail_write":
+        return ("blocked/failed/comment_writeback", False) if status == "reviewing" and write == "writing" else None
+    if kind == "block_write":
+        return ("blocked/failed/comment_writeback", False) if status == "reviewing" else None
+    return (f"reviewing/{write}/", True) if resumable else None  # resume_writeback
 
 
 def chunks(events: DataFrame, key: str, order: list[str], target: str) -> DataFrame:
@@ -36,21 +86,29 @@ def chunks(events: DataFrame, key: str, order: list[str], target: str) -> DataFr
 
 
 def replay(events: DataFrame, key: str, order: list[str], target: str, start: str = "pending", transitions: dict[str, list[str]] = TRANSITIONS) -> DataFrame:
-    """Per key: final state, accepted and rejected events, and retries (entries from blocked).
+    """``fold`` of events that name the state they ask for: per key the final state, accepted and rejected events,
+    and retries (entries from blocked)."""
+    return fold(events, key, order, target, start, transition_moves(transitions))
 
-    Events without a target are left out. Chunks of a key's events are folded side by side from every state they
+
+def fold(events: DataFrame, key: str, order: list[str], event: str, start: str, moves: Moves) -> DataFrame:
+    """Per key: final state, accepted and rejected events, and retries.
+
+    Rows without an event are left out. Chunks of a key's events are folded side by side from every state they
     could begin in; what a chunk makes of each state is then put together, in order and in levels, so that no row
     grows with a key.
     """
-    states = sorted({start, *transitions, *(t for targets in transitions.values() for t in targets)})
+    states = sorted({start, *(s for s, _ in moves), *(t for t, _ in moves.values())})
     zero = lambda s: F.struct(F.lit(s).alias("state"), *[F.lit(0).cast("bigint").alias(c) for c in ("accepted", "rejected", "retries")])
     one = lambda c: c.cast("bigint")
+    table = F.create_map(*[F.lit(x) for (s, e), (t, retried) in moves.items() for x in (f"{s}>{e}", f"{int(retried)}{t}")])
 
     def step(acc: Column, e: Column) -> Column:
-        ok = allowed(acc["state"], e["_to"], transitions)
+        move = F.try_element_at(table, F.concat(acc["state"], F.lit(">"), e["_to"]))
+        ok = move.isNotNull()
         return F.struct(
-            F.when(ok, e["_to"]).otherwise(acc["state"]).alias("state"), (acc["accepted"] + one(ok)).alias("accepted"),
-            (acc["rejected"] + one(~ok)).alias("rejected"), (acc["retries"] + one(ok & (acc["state"] == "blocked"))).alias("retries"),
+            F.coalesce(F.substr(move, F.lit(2)), acc["state"]).alias("state"), (acc["accepted"] + one(ok)).alias("accepted"),
+            (acc["rejected"] + one(~ok)).alias("rejected"), (acc["retries"] + F.coalesce(one(move.startswith("1")), F.lit(0))).alias("retries"),
         )
 
     def join(acc: Column, e: Column) -> Column:
@@ -60,7 +118,7 @@ def replay(events: DataFrame, key: str, order: list[str], target: str, start: st
     def from_all(step: Callable[[Column, Column], Column]) -> Column:
         return F.map_from_arrays(F.array(*[F.lit(s) for s in states]), F.array(*[F.aggregate("_e", zero(s), step) for s in states])).alias("_m")
 
-    done = chunks(events, key, order, target).select(key, "at", from_all(step))
+    done = chunks(events, key, order, event).select(key, "at", from_all(step))
     for bits in LEVELS:
         done = _listed(done.withColumn("up", F.shiftright("at", bits)), key, "up").select(key, F.col("up").alias("at"), from_all(join))
     return _listed(done, key).select(key, F.aggregate("_e", zero(start), join).alias("_s")).select(key, "_s.*")
@@ -99,3 +157,12 @@ def comment_outcome(has_result: Column, written: Column, text: Column, sent: Col
         F.when(~has_result, "REVIEW_RESULT_NOT_FOUND").when(written, "COMMENT_WRITE_REUSED").when(F.coalesce(F.trim(text), F.lit("")) == "", "COMMENT_TEXT_EMPTY")
         .when(~sent, "COMMENT_WRITE_FAILED").when(F.coalesce(F.trim(response_id), F.lit("")) == "", "COMMENT_RESPONSE_INVALID").otherwise("COMMENT_WRITE_SUCCEEDED")
     )
+
+
+def ocr_outcome(status: Column, stage: Column, has_main: Column, sha: Column, reused: Column, source: Column, read: Column) -> Column:
+    """Outcome of asking for OCR, the first rung that applies. ``source`` is the status of the latest read of the
+    file by another method, ``read`` the recognizer's own outcome (null: it succeeded)."""
+    return (
+        F.when(~status.isin("parsing", "blocked") | ((status == "blocked") & ~F.coalesce(stage == "document_reading", F.lit(False))), "DOCUMENT_OCR_NOT_ALLOWED").when(~has_main | sha.isNull(), "OCR_INPUT_FILE_NOT_FOUND").when(reused, "DOCUMENT_OCR_REUSED")
+        .when(source.isNull(), "OCR_REQUIRED_SNAPSHOT_NOT_FOUND").when(source == "success", "OCR_NOT_REQUIRED").when(source != "ocr_required", "OCR_REQUIRED_SNAPSHOT_NOT_FOUND").otherwise(F.coalesce(read, F.lit("DOCUMENT_OCR_SUCCEEDED")))
+    )

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 
+from docsieve.operators.state import workflow_moves
 from docsieve.plans import packs
+from docsieve.schemas import WORKFLOW_EVENTS
 
 _WS = "' ' || chr(9) || chr(13)"
 _BLOCKS = f"""
@@ -153,6 +155,9 @@ rolled AS (
 told AS (
   SELECT *, CASE WHEN contract_parse_id % 5 = 0 THEN 'RULE_REVIEW_NOT_FOUND' WHEN review_result_id IS NOT NULL THEN 'REVIEW_RESULT_REUSED' ELSE 'REVIEW_RESULT_CREATED' END AS outcome,
     CASE WHEN n = 0 THEN 'no rule hit, risk low' ELSE n || ' hits: ' || hi || ' high, ' || me || ' medium, ' || lo || ' low; first ' || names END AS summary FROM rolled)"""
+_START, _MOVES = workflow_moves()
+_MOVE = "CASE a.state || '>' || x.t " + " ".join(f"WHEN '{s}>{e}' THEN '{int(r)}{t}'" for (s, e), (t, r) in _MOVES.items()) + " END"
+_ACTION = "CASE event_id * 7 % " + str(len(WORKFLOW_EVENTS)) + " " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(WORKFLOW_EVENTS)) + " END"
 _MADE = "CASE WHEN outcome = 'REVIEW_RESULT_CREATED' THEN "
 
 ORACLES: dict[str, str] = {
@@ -250,4 +255,17 @@ SELECT read, prepared, comment, retry, count(*) AS n FROM (SELECT
   CASE WHEN l_partkey % 9 = 0 THEN 'ATTACHMENT_NOT_FOUND' WHEN l_partkey % 8 = 0 THEN 'MAIN_CONTRACT_NOT_FOUND' WHEN l_suppkey % 4 = 0 THEN 'UNSUPPORTED_ATTACHMENT_TYPE' WHEN l_suppkey % 6 = 0 THEN 'ATTACHMENT_DOWNLOAD_FAILED' WHEN l_suppkey % 2 = 0 THEN 'ATTACHMENT_REUSED' ELSE 'ATTACHMENT_UPDATED' END AS prepared,
   CASE WHEN l_partkey % 10 = 0 THEN 'REVIEW_RESULT_NOT_FOUND' WHEN l_partkey % 9 = 0 THEN 'COMMENT_WRITE_REUSED' WHEN l_partkey % 8 = 0 THEN 'COMMENT_TEXT_EMPTY' WHEN l_suppkey % 7 = 0 THEN 'COMMENT_WRITE_FAILED' WHEN l_suppkey % 5 = 0 THEN 'COMMENT_RESPONSE_INVALID' ELSE 'COMMENT_WRITE_SUCCEEDED' END AS comment,
   CASE l_partkey % 4 WHEN 0 THEN 'write_comment' WHEN 3 THEN NULL ELSE 'prepare_attachments' END AS retry FROM lineitem) GROUP BY 1, 2, 3, 4""",
+    "workflow_replay": f"""
+WITH e AS (SELECT user_id, list({{'t': t, 'state': '', 'accepted': 0::BIGINT, 'rejected': 0::BIGINT, 'retries': 0::BIGINT}} ORDER BY ts, event_id) AS l FROM (SELECT *, {_ACTION} AS t FROM events WHERE event_type <> 'signup') GROUP BY 1),
+f AS (SELECT user_id, list_reduce(list_prepend({{'t': NULL, 'state': '{_START}', 'accepted': 0::BIGINT, 'rejected': 0::BIGINT, 'retries': 0::BIGINT}}, l), lambda a, x:
+  {{'t': x.t, 'state': coalesce(substr({_MOVE}, 2), a.state), 'accepted': a.accepted + ({_MOVE} IS NOT NULL)::INT, 'rejected': a.rejected + ({_MOVE} IS NULL)::INT, 'retries': a.retries + coalesce(starts_with({_MOVE}, '1'), false)::INT}}) AS s FROM e)
+SELECT user_id, s.state AS state, s.accepted::BIGINT AS accepted, s.rejected::BIGINT AS rejected, s.retries::BIGINT AS retries FROM f""",
+    "hybrid_parses": """
+SELECT o_orderkey AS document_read_snapshot_id, CASE WHEN reused THEN 'LLM_CONTRACT_PARSE_REUSED' WHEN o_custkey % 5 = 0 THEN 'LLM_EXTRACTION_DEGRADED' WHEN o_custkey % 7 = 0 THEN 'LLM_EXTRACTION_SKIPPED' ELSE 'LLM_EXTRACTION_COMPLETED' END AS log_type,
+  CASE WHEN reused THEN o_orderkey * 2 END AS contract_parse_id, CASE WHEN NOT reused THEN CASE WHEN o_custkey % 5 = 0 OR o_orderstatus <> 'O' THEN 'partial' ELSE 'success' END END AS parse_status
+FROM (SELECT *, o_custkey % 4 = 0 AND o_orderstatus <> 'F' AS reused FROM orders)""",
+    "ocr_outcomes": """
+SELECT CASE WHEN st NOT IN ('parsing', 'blocked') OR (st = 'blocked' AND coalesce(stage, '') <> 'document_reading') THEN 'DOCUMENT_OCR_NOT_ALLOWED' WHEN l_partkey % 11 = 0 OR l_partkey % 7 = 0 THEN 'OCR_INPUT_FILE_NOT_FOUND' WHEN l_suppkey % 5 = 0 THEN 'DOCUMENT_OCR_REUSED'
+  WHEN src IS NULL THEN 'OCR_REQUIRED_SNAPSHOT_NOT_FOUND' WHEN src = 'success' THEN 'OCR_NOT_REQUIRED' WHEN src <> 'ocr_required' THEN 'OCR_REQUIRED_SNAPSHOT_NOT_FOUND' WHEN l_suppkey % 3 = 0 THEN 'OCR_EMPTY_RESULT' ELSE 'DOCUMENT_OCR_SUCCEEDED' END AS outcome, count(*) AS n
+FROM (SELECT *, ['parsing', 'blocked', 'reviewing', 'parsing'][l_partkey % 4 + 1] AS st, ['document_reading', 'parsing', NULL][l_suppkey % 3 + 1] AS stage, ['ocr_required', 'success', 'failed', NULL, 'ocr_required'][(l_partkey + l_suppkey) % 5 + 1] AS src FROM lineitem) GROUP BY 1""",
 }

@@ -12,6 +12,7 @@ from docsieve.functions.once import stage
 from docsieve.operators import extract, history, results, review, semantic, state
 from docsieve.operators.segment import lines, runs, sections
 from docsieve.plans import packs, review_plan
+from docsieve.schemas import WORKFLOW_EVENTS
 from docsieve.sources.tables import spread
 from docsieve.sources.tables import table as _table
 
@@ -221,6 +222,35 @@ def state_machine_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.replay(events, "user_id", ["ts", "event_id"], "target")
 
 
+@query
+def workflow_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guarded events of tasks: an event's number says which."""
+    start, moves = state.workflow_moves()
+    names = F.array(*[F.lit(e) for e in WORKFLOW_EVENTS])
+    action = F.element_at(names, (F.col("event_id") * 7 % len(WORKFLOW_EVENTS) + 1).cast("int"))
+    events = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") != "signup", action).alias("action"))
+    return state.fold(events, "user_id", ["ts", "event_id"], "action", start, moves)
+
+
+@query
+def hybrid_parses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parses with a model's help: reused if a parse of the same read and version was not degraded."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_read_snapshot_id"), "o_custkey", "o_orderstatus")
+    version = semantic.hybrid_version("2.0", F.sha2(F.lit("2.0|1.0|p|m"), 256))
+    known = orders.filter("o_custkey % 3 = 0").select("document_read_snapshot_id", F.lit("2.0-old").alias("extractor_version"), F.lit("completed").alias("llm_status"), F.lit(1).cast("bigint").alias("contract_parse_id"))
+    again = orders.filter("o_custkey % 4 = 0").select("document_read_snapshot_id", version.alias("extractor_version"), F.when(F.col("o_orderstatus") == "F", "degraded").otherwise("completed").alias("llm_status"), (F.col("document_read_snapshot_id") * 2).cast("bigint").alias("contract_parse_id"))
+    asked = orders.select("document_read_snapshot_id", version.alias("extractor_version"), F.when(F.col("o_custkey") % 5 == 0, "LlmTimeout").alias("error"), (F.col("o_custkey") % 7).alias("n_unresolved"), (F.col("o_orderstatus") == "O").alias("all_found"))
+    return semantic.hybrid_parses(asked, known.unionByName(again))
+
+
+@query
+def ocr_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    pick = lambda c, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (c % len(values) + 1).cast("int"))
+    found = state.ocr_outcome(pick(p, "parsing", "blocked", "reviewing", "parsing"), pick(s, "document_reading", "parsing", None), p % 11 != 0, F.when(p % 7 != 0, "sha"), s % 5 == 0, pick(p + s, "ocr_required", "success", "failed", None, "ocr_required"), F.when(s % 3 == 0, "OCR_EMPTY_RESULT"))
+    return _table(spark, sf_dir, "lineitem").select(found.alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 @query
 def lineage_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")

@@ -16,3 +16,6 @@ TASKS = "instance_id string, approval_code string, title string, applicant strin
 # fixed values: closed domains
 RISK_WEIGHT = {"low": 1, "medium": 2, "high": 3}
 TRANSITIONS = {"pending": ["parsing"], "parsing": ["reviewing", "blocked"], "reviewing": ["blocked", "done"], "blocked": ["parsing", "reviewing"], "done": []}
+WORKFLOW_EVENTS = (
+    "start_parsing", "start_reviewing", "block@parsing", "block@document_reading", "block@reviewing", "retry", "resume_for_ocr", "start_write", "complete_write", "fail_write", "block_write", "resume_writeback",
+)
