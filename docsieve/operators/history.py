@@ -44,6 +44,14 @@ def split_reuse(new: DataFrame, history: DataFrame, keys: list[str]) -> DataFram
     return new.join(known, keys, "left").select(*[new[c] for c in new.columns], F.when(F.col("_known"), "reused").otherwise("created").alias("outcome"))
 
 
+def reusable_reads(snapshots: DataFrame, version: str, method: str | None = None) -> DataFrame:
+    """(attachment_id, file_sha256, document_read_snapshot_id): the latest successful read of each file by a reader
+    version. Reads by any method count, unless one is named, as for OCR."""
+    own = snapshots.filter((F.col("read_status") == "success") & (F.col("reader_version") == version))
+    own = own if method is None else own.filter(F.col("read_method") == method)
+    return own.groupBy("attachment_id", "file_sha256").agg(F.max("document_read_snapshot_id").alias("document_read_snapshot_id"))
+
+
 def seed_missing(existing: DataFrame, defaults: DataFrame, key: str) -> DataFrame:
     """The defaults that are not there yet; existing rows are never changed."""
     return defaults.join(existing.select(key), key, "left_anti")
