@@ -268,4 +268,24 @@ FROM (SELECT *, o_custkey % 4 = 0 AND o_orderstatus <> 'F' AS reused FROM orders
 SELECT CASE WHEN st NOT IN ('parsing', 'blocked') OR (st = 'blocked' AND coalesce(stage, '') <> 'document_reading') THEN 'DOCUMENT_OCR_NOT_ALLOWED' WHEN l_partkey % 11 = 0 OR l_partkey % 7 = 0 THEN 'OCR_INPUT_FILE_NOT_FOUND' WHEN l_suppkey % 5 = 0 THEN 'DOCUMENT_OCR_REUSED'
   WHEN src IS NULL THEN 'OCR_REQUIRED_SNAPSHOT_NOT_FOUND' WHEN src = 'success' THEN 'OCR_NOT_REQUIRED' WHEN src <> 'ocr_required' THEN 'OCR_REQUIRED_SNAPSHOT_NOT_FOUND' WHEN l_suppkey % 3 = 0 THEN 'OCR_EMPTY_RESULT' ELSE 'DOCUMENT_OCR_SUCCEEDED' END AS outcome, count(*) AS n
 FROM (SELECT *, ['parsing', 'blocked', 'reviewing', 'parsing'][l_partkey % 4 + 1] AS st, ['document_reading', 'parsing', NULL][l_suppkey % 3 + 1] AS stage, ['ocr_required', 'success', 'failed', NULL, 'ocr_required'][(l_partkey + l_suppkey) % 5 + 1] AS src FROM lineitem) GROUP BY 1""",
+    "llm_merge_documents": f"""{_ALL},
+own AS (SELECT * FROM facts WHERE field IN ({", ".join(_q(n) for n in _PATTERNS)})),
+asked AS (SELECT doc_id, field, doc_id + length(field) AS k, (doc_id % 3)::INTEGER AS s, (doc_id % 3 + doc_id % 2)::INTEGER AS e, value, source_text, status FROM own),
+ranges AS (SELECT a.doc_id, a.field, count(b.idx) = e - s + 1 AS whole, string_agg(b.t, chr(10) ORDER BY b.idx) AS txt FROM asked a LEFT JOIN blocks b ON b.doc_id = a.doc_id AND b.idx BETWEEN a.s AND a.e GROUP BY a.doc_id, a.field, e, s),
+answers AS (
+  SELECT a.*, whole, CASE WHEN whole THEN txt END AS txt, CASE WHEN k % 4 = 0 THEN 'nowhere to be found' ELSE string_split(b.t, ' ')[1] END AS answer, CASE WHEN k % 7 = 0 THEN 'not_found' WHEN k % 11 = 0 THEN 'ambiguous' ELSE 'found' END AS said
+  FROM asked a JOIN ranges r ON r.doc_id = a.doc_id AND r.field = a.field LEFT JOIN blocks b ON b.doc_id = a.doc_id AND b.idx = a.s),
+noted AS (
+  SELECT *, CASE WHEN k % 13 = 0 THEN 'no_answer' WHEN status NOT IN ('not_found', 'ambiguous') THEN CASE WHEN answer IS NOT NULL AND answer IS DISTINCT FROM value THEN 'LLM_EXTRACTION_CONFLICT' ELSE 'not_requested' END
+    WHEN said = 'not_found' THEN 'unchanged' WHEN NOT whole THEN 'INVALID_BLOCK_RANGE' WHEN said = 'ambiguous' THEN 'ambiguous' WHEN NOT {_supported("coalesce(answer, '')", "txt")} THEN 'VALUE_NOT_IN_EVIDENCE' ELSE 'llm_verified' END AS note FROM answers)
+SELECT doc_id, field, CASE WHEN note = 'llm_verified' THEN answer WHEN note IN ('INVALID_BLOCK_RANGE', 'ambiguous', 'VALUE_NOT_IN_EVIDENCE') THEN NULL ELSE value END AS value,
+  CASE WHEN note = 'INVALID_BLOCK_RANGE' THEN NULL WHEN note IN ('ambiguous', 'VALUE_NOT_IN_EVIDENCE', 'llm_verified') THEN txt ELSE source_text END AS source_text,
+  CASE WHEN note = 'llm_verified' THEN 'found' WHEN note = 'INVALID_BLOCK_RANGE' THEN 'failed' WHEN note IN ('ambiguous', 'VALUE_NOT_IN_EVIDENCE') THEN 'ambiguous' ELSE status END AS extract_status, note FROM noted""",
+    "semantic_evaluation_documents": f"""{_ALL},
+grid AS (SELECT f.doc_id, r.rule_id, status, block_start, block_end, (f.doc_id % 4)::INTEGER AS s, (f.doc_id % 4 + f.doc_id % 3)::INTEGER AS e, f.doc_id + r.rule_id AS k FROM facts f JOIN (VALUES (1::BIGINT, 'the_part'), (2, 'of_part'), (3, 'and_part')) r(rule_id, field) ON r.field = f.field),
+met AS (SELECT g.doc_id, g.rule_id, any_value(status) AS status, any_value(k) AS k, any_value(s >= block_start AND e <= block_end) AND count(b.idx) = any_value(e - s + 1) AS good, string_agg(b.t, chr(10) ORDER BY b.idx) AS txt FROM grid g LEFT JOIN blocks b ON b.doc_id = g.doc_id AND b.idx BETWEEN s AND e GROUP BY 1, 2),
+said AS (SELECT *, CASE WHEN k % 13 = 0 THEN NULL WHEN k % 5 = 0 THEN 'not_hit' WHEN k % 7 = 0 THEN 'uncertain' WHEN k % 11 = 0 THEN NULL ELSE 'hit' END AS d FROM met),
+done AS (SELECT *, CASE WHEN status <> 'found' THEN 'skipped' WHEN d IS NULL OR k % 17 = 0 THEN 'degraded' WHEN d = 'hit' AND NOT coalesce(good, false) THEN 'rejected' ELSE 'success' END AS evaluation_status FROM said)
+SELECT doc_id, rule_id, evaluation_status, CASE WHEN evaluation_status IN ('skipped', 'rejected') THEN 'uncertain' WHEN evaluation_status = 'degraded' THEN NULL ELSE d END AS decision, evaluation_status = 'success' AND coalesce(d = 'hit', false) AS is_hit,
+  CASE WHEN evaluation_status = 'success' AND d = 'hit' THEN sha256(txt) END AS evidence_sha256 FROM done""",
 }

@@ -323,6 +323,33 @@ def llm_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.merge_answers(facts, answers, blocks, "doc_id")
 
 
+@query
+def llm_merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made-up answer for every document and field: its value, status and range follow from the ids."""
+    docs = review_plan.with_facts(_docs(spark, sf_dir))
+    facts = extract.long_facts(docs, packs.CORPUS, "doc_id").filter("section = 'basic_info'").select("doc_id", "field", "value", "source_text", "extract_status")
+    n, at = F.col("doc_id") + F.length("field"), (F.col("doc_id") % 3).cast("int")
+    words = F.split(tx.strip(F.get("blocks", at)["text"]), " ")
+    value = F.when(n % 4 == 0, "nowhere to be found").otherwise(F.get(words, F.lit(0)))
+    status = F.when(n % 7 == 0, "not_found").when(n % 11 == 0, "ambiguous").otherwise("found")
+    every = F.explode(F.array(*[F.lit(f.name) for f in packs.CORPUS.fields])).alias("field")
+    answers = docs.select("doc_id", "blocks", every).filter(n % 13 != 0).select("doc_id", F.lit(0).alias("place"), "field", value.alias("answer_value"), status.alias("answer_status"), at.alias("block_start"), (at + (F.col("doc_id") % 2).cast("int")).alias("block_end"))
+    return semantic.merge_answers(facts, answers, docs, "doc_id")
+
+
+@query
+def semantic_evaluation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rules on the parts of every document; the answers follow from the ids."""
+    docs = review_plan.with_facts(_docs(spark, sf_dir))
+    clauses = extract.long_facts(docs, packs.CORPUS, "doc_id").filter("section = 'clauses'").select("doc_id", "field", "extract_status", "position")
+    rules = spark.createDataFrame([(1, "the_part"), (2, "of_part"), (3, "and_part")], "rule_id bigint, target_clause string")
+    n, at = F.col("doc_id") + F.col("rule_id"), (F.col("doc_id") % 4).cast("int")
+    decision = F.when(n % 5 == 0, "not_hit").when(n % 7 == 0, "uncertain").when(n % 11 == 0, None).otherwise("hit")
+    answers = docs.select("doc_id", F.explode(F.array(*[F.lit(i).cast("bigint") for i in (1, 2, 3)])).alias("rule_id")).filter(n % 13 != 0).select("doc_id", "rule_id", decision.alias("decision"), at.alias("block_start"), (at + (F.col("doc_id") % 3).cast("int")).alias("block_end"), F.when(n % 17 == 0, "timeout").alias("error"))
+    done = semantic.evaluate_semantic(clauses, rules, answers, docs, "doc_id")
+    return done.select("doc_id", "rule_id", "evaluation_status", "decision", "is_hit", F.sha2("evidence_text", 256).alias("evidence_sha256"))
+
+
 @query
 def semantic_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = extract.long_facts(review_plan.with_facts(contract(spark), packs.CONTRACT), packs.CONTRACT, "doc_id").filter("section = 'clauses'")
