@@ -13,6 +13,14 @@ import re
 _CAREFUL = re.compile(r"(?<=\S)(?= \S)")
 
 
+def stand_ins() -> dict[int, str]:
+    """The printable characters that stand for bytes in byte-level vocabularies."""
+    # fixed values: bytes that stand for themselves; the others come behind, in order
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Uneven(Exception):
     """A piece with white space at an end, which the plain cut must not make."""
 

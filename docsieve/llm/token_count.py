@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.llm.common import blobs, slices, text_bytes
-from docsieve.llm.pieces import careful_cut, is_even, plain_cut
+from docsieve.llm.pieces import careful_cut, is_even, plain_cut, stand_ins
 
 #: Pieces that a worker keeps the counts of, and bytes of these pieces.
 CACHE, CACHE_BYTES = 700_000, 32 << 20
@@ -38,10 +38,7 @@ class Merges:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        # fixed values: the printable stand-ins of bytes in byte-level vocabularies
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        hidden = [b for b in range(256) if b not in shown]
-        stand_in = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        stand_in = stand_ins()
         vocabulary = spec["model"]["vocab"]
         self.of_byte = np.array([vocabulary[stand_in[b]] for b in range(256)], np.int64)
         self.width = 1 + max(vocabulary.values())
