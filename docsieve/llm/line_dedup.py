@@ -29,17 +29,20 @@ LG_K, NEAR = 12, 0.1
 
 
 def _is_long(line: Column) -> Column:
-    return F.length(line) - F.length(F.translate(line, " ", "")) >= LONG_SPACES
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= LONG_SPACES
 
 
-def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, line, place): where each line stands, a site or for long lines their surroundings."""
+def _occurrences(docs: DataFrame, sites: int, min_chars: int) -> DataFrame:
+    """(doc_id, line, place, least): where each line stands, a site or for long lines their surroundings, and how
+    many of these make it boilerplate."""
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     beside = lambda i: F.coalesce(F.get("lines", i), F.lit("\u0000"))
-    around = lambda x, i: F.when(_is_long(x), F.xxhash64(beside(i - 1), beside(i + 1)).cast("string")).otherwise(F.col("site"))
-    placed = F.filter(F.transform("lines", lambda x, i: F.struct(x.alias("line"), around(x, i).alias("place"))), lambda x: F.length(x["line"]) >= min_chars)
+    place = lambda x, i: F.when(x["long"], F.xxhash64(beside(i - 1), beside(i + 1)).cast("string")).otherwise(F.col("site")).alias("place")
+    told = F.transform("lines", lambda x: F.struct(x.alias("line"), _is_long(x).alias("long")))
+    placed = F.transform(told, lambda x, i: F.struct(x["line"].alias("line"), place(x, i), F.when(x["long"], SURROUNDINGS).otherwise(sites).alias("least")))
+    placed = F.filter(placed, lambda x: F.length(x["line"]) >= min_chars)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), lines.alias("lines"))
-    return rows.select("doc_id", F.explode(placed).alias("x")).select("doc_id", "x.line", "x.place")
+    return rows.select("doc_id", F.explode(placed).alias("x")).select("doc_id", "x.*")
 
 
 def boilerplate(docs: DataFrame, sites: int = SITES, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -48,18 +51,17 @@ def boilerplate(docs: DataFrame, sites: int = SITES, min_chars: int = MIN_CHARS)
 
     ``spread`` is exact near the threshold, else the sketch's estimate. A null source counts as one site.
     """
-    occurrences = _occurrences(docs, min_chars)
-    least = F.when(_is_long(F.col("line")), SURROUNDINGS).otherwise(sites)
+    occurrences = _occurrences(docs, sites, min_chars)
     hashed = occurrences.withColumn("h", F.xxhash64("line"))
-    often = saved(hashed.groupBy("h").agg(F.count("*").alias("n"), F.min(least).alias("least")).filter("n >= least").select("h"))
+    often = saved(hashed.groupBy("h").agg(F.count("*").alias("n"), F.min("least").alias("least")).filter("n >= least").select("h"))
     few = fits_broadcast(often.count(), 16)
     common = hashed.join(F.broadcast(often) if few else often, "h")
-    sketched = common.groupBy("line").agg(F.hll_sketch_agg("place", LG_K).alias("sketch"), F.min("doc_id").alias("holder"))
-    sketched = saved(sketched.select("line", "holder", F.hll_sketch_estimate("sketch").alias("spread")).withColumn("least", least))
+    sketched = common.groupBy("line").agg(F.hll_sketch_agg("place", LG_K).alias("sketch"), F.min("doc_id").alias("holder"), F.min("least").alias("least"))
+    sketched = saved(sketched.select("line", "holder", F.hll_sketch_estimate("sketch").alias("spread"), "least"))
     clear = sketched.filter(F.col("spread") > F.col("least") * (1 + NEAR)).select("line", "holder", "spread")
     near = sketched.filter(F.col("spread").between(F.floor(F.col("least") * (1 - NEAR)), F.col("least") * (1 + NEAR))).select("line", "holder", "least")
     size = near.agg(F.coalesce(F.sum(F.octet_length("line").cast("long") + 128), F.lit(0)).alias("n")).first()["n"]
-    exact = occurrences.join(F.broadcast(near) if fits_broadcast(size, 1) else near, "line").select("line", "holder", "least", "place").distinct().groupBy("line", "holder", "least").agg(F.count("*").alias("spread")).filter("spread >= least")
+    exact = occurrences.drop("least").join(F.broadcast(near) if fits_broadcast(size, 1) else near, "line").select("line", "holder", "least", "place").distinct().groupBy("line", "holder", "least").agg(F.count("*").alias("spread")).filter("spread >= least")
     return clear.unionByName(exact.select("line", "holder", "spread"))
 
 
