@@ -9,10 +9,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of files above this size is never dealt out, whatever the number of cores.
+SPREAD_BYTES = 1 << 30
+
+
+def _scanned_bytes(rows: DataFrame) -> int | None:
+    """Bytes of the files behind ``rows`` as the planner knows them; None if anything else is behind them."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = [leaves.apply(i) for i in range(leaves.size())]
+    if not leaves or any(x.getClass().getSimpleName() != "LogicalRelation" for x in leaves):
+        return None
+    return sum(int(str(x.stats().sizeInBytes())) for x in leaves)
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt out to all cores where they come from fewer files than there are cores.
+    """``rows`` dealt out to all cores where the scan of their files would leave cores idle.
 
-    A file can be a single row group, which one task must read; many files are left as they are.
+    A scan makes no splits below ``spark.sql.files.openCostInBytes``, so a small table has fewer splits than there are
+    cores, and a file can be one row group, which one task must read. Tables that give every core a split, tables above
+    ``SPREAD_BYTES`` and rows that come from anything but files are left as they are. No file is listed here.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    least = spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    size = _scanned_bytes(rows)
+    return rows.repartition(cores) if size is not None and size < min(cores * least, SPREAD_BYTES) else rows
