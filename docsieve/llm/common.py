@@ -60,7 +60,7 @@ def fits_broadcast(rows: int, bytes_per_row: int) -> bool:
     return rows * bytes_per_row <= BROADCAST_BYTES
 
 
-def text_bytes(docs: DataFrame, *keep: str) -> DataFrame:
+def text_bytes(docs: DataFrame, *keep: str | Column) -> DataFrame:
     """The kept columns and the text as UTF-8 bytes (null stays null)."""
     return spread(docs.select(*keep, F.col("text").cast("string").cast("binary").alias("text")))
 

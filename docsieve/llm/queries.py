@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import class_lm, decontaminate, lang_id, line_dedup, near_dedup, packing, quality, sharding, surrogates, token_count
+from docsieve.llm import alignment, class_lm, decontaminate, lang_id, line_dedup, near_dedup, packing, quality, sharding, surrogates, token_count
 from docsieve.llm.common import crc_mod, table
 
 #: The key of the surrogates in op8. A real run takes its own from a secret store.
@@ -60,9 +60,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_class_lm, op3_decontaminate, op4_quality_rules, op5_packing, op6_token_counts, op7_language, op8_surrogates, op9_line_spread, op10_sharding)
+    for f in (op1_near_dedup, op2_class_lm, op3_decontaminate, op4_quality_rules, op5_packing, op6_token_counts, op7_language, op8_surrogates, op9_line_spread, op10_sharding, op12_alignment)
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
