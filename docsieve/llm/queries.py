@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import alignment, class_lm, decontaminate, lang_id, line_dedup, near_dedup, packing, quality, sharding, surrogates, token_count
+from docsieve.llm import alignment, class_lm, decontaminate, kd_search, lang_id, line_dedup, near_dedup, packing, quality, sharding, surrogates, token_count
 from docsieve.llm.common import crc_mod, table
 
 #: The key of the surrogates in op8. A real run takes its own from a secret store.
@@ -60,13 +60,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_class_lm, op3_decontaminate, op4_quality_rules, op5_packing, op6_token_counts, op7_language, op8_surrogates, op9_line_spread, op10_sharding, op12_alignment)
+    for f in (op1_near_dedup, op2_class_lm, op3_decontaminate, op4_quality_rules, op5_packing, op6_token_counts, op7_language, op8_surrogates, op9_line_spread, op10_sharding, op11_top_k, op12_alignment)
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -131,5 +135,16 @@ WITH lines AS (
 )
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(removed, 0)::BIGINT AS n_removed, length(t)::BIGINT AS n_chars, sha256(t) AS text_sha256
 FROM documents d LEFT JOIN left_over USING (doc_id)
+""",
+    "op11_top_k": """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON c.vec_id IS DISTINCT FROM q.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
 """,
 }
