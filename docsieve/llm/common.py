@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.sources.shared import forget, saved, shared_dir
 from docsieve.sources.tables import spread, table
 
-__all__ = ["spread", "table"]
+__all__ = ["forget", "saved", "shared_dir", "spread", "table"]
 
 #: Bytes of text that a numpy step handles at once; longer texts form a slice of their own.
 SLICE_BYTES = 4 << 20
@@ -22,40 +21,6 @@ SLICE_BYTES = 4 << 20
 BROADCAST_BYTES = 16 << 20
 
 
-#: The folder of each local application for which none is set.
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as ``spark.checkpoint.dir`` names it. Only a local master may do without."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        return named
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
-    if sc.applicationId not in _OWN:
-        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="docsieve-")
-    return _OWN[sc.applicationId]
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docsieve-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.saved_path = path
-    return out
-
-
-def forget(*frames: DataFrame) -> None:
-    """Delete the files of ``saved`` tables that no later step reads."""
-    for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fits_broadcast(rows: int, bytes_per_row: int) -> bool:
     return rows * bytes_per_row <= BROADCAST_BYTES
 

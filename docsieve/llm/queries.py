@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import alignment, class_lm, decontaminate, kd_search, lang_id, line_dedup, near_dedup, packing, quality, sharding, surrogates, token_count
+from docsieve.llm import alignment, class_lm, decontaminate, kd_search, lang_id, line_dedup, near_dedup, packing, prefix_trie, quality, sharding, surrogates, token_count
 from docsieve.llm.common import crc_mod, table
 
 #: The key of the surrogates in op8. A real run takes its own from a secret store.
@@ -68,9 +68,13 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_class_lm, op3_decontaminate, op4_quality_rules, op5_packing, op6_token_counts, op7_language, op8_surrogates, op9_line_spread, op10_sharding, op11_top_k, op12_alignment)
+    for f in (op1_near_dedup, op2_class_lm, op3_decontaminate, op4_quality_rules, op5_packing, op6_token_counts, op7_language, op8_surrogates, op9_line_spread, op10_sharding, op11_top_k, op12_alignment, op13_prefix_trie)
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -146,5 +150,32 @@ WITH whole AS (
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+""",
+    "op13_prefix_trie": r"""
+WITH own AS (
+  SELECT conv_id, conv_id::VARCHAR AS id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), crc AS (
+  SELECT *, xor(list_reduce([4294967295] || range(8 * len(id)), lambda c, i: CASE
+    WHEN (CASE WHEN i % 8 = 0 THEN xor(c, ascii(id[i // 8 + 1])::BIGINT) ELSE c END) & 1 = 1
+    THEN xor((CASE WHEN i % 8 = 0 THEN xor(c, ascii(id[i // 8 + 1])::BIGINT) ELSE c END) >> 1, 3988292384)
+    ELSE (CASE WHEN i % 8 = 0 THEN xor(c, ascii(id[i // 8 + 1])::BIGINT) ELSE c END) >> 1 END), 4294967295) % 4 AS h FROM own
+), seq AS (
+  SELECT c.conv_id, list_concat(coalesce(b.l[1:c.h], []), c.l[c.h + 1:]) AS s FROM crc c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, d, s[1:d] AS p, s[d].t AS t, d = len(s) AS ends FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seq)
+), nodes AS (
+  SELECT d, p, min(conv_id) AS c, count(*) AS n, (count(*) - 1) * len(regexp_extract_all(coalesce(any_value(t), ''), '[^\x20\x09-\x0D]+')) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY d, p
+), families AS (
+  SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2
+), counted AS (
+  SELECT x.*, coalesce(f.n, 0) AS kids FROM nodes x LEFT JOIN families f USING (d, p)
+), sums AS (
+  SELECT a AS d, p[1:a] AS p, sum(saved) AS saved, count(*) FILTER (kids = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM counted) GROUP BY 1, 2
+)
+SELECT x.c AS conv_id, x.d AS depth, y.c AS parent_conv_id, x.n AS n_convs, x.kids AS n_children, s.leaves::BIGINT AS n_leaves,
+  s.saved::BIGINT AS saved_tokens, x.ends_sha256
+FROM counted x JOIN sums s ON s.d = x.d AND s.p = x.p LEFT JOIN nodes y ON y.d = x.d - 1 AND y.p = x.p[1:x.d - 1]
 """,
 }
