@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.operators.scan import last_before, ordered_scan, position
+
 
 class IdentityConflict(ValueError):
     """A batch names a known task by another code, or a known code with another task."""
@@ -83,12 +85,12 @@ def upsert(state: DataFrame, incoming: DataFrame, key: str, other_key: str, upda
     return both.select(*columns)
 
 
-def upsert_events(state: DataFrame, incoming: DataFrame, key: str, position: str) -> DataFrame:
-    """``incoming`` plus ``event``: created for the first row of an unseen key, else updated."""
-    first = F.row_number().over(Window.partitionBy(key).orderBy(position)) == 1
+def upsert_events(state: DataFrame, incoming: DataFrame, key: str, place: str) -> DataFrame:
+    """``incoming`` plus ``event``: created for the first row of an unseen key, else updated. A key may have any number
+    of rows; ``incoming`` is counted before."""
     known = state.select(key).distinct().withColumn("_known", F.lit(True))
-    marked = incoming.withColumn("_first", first).join(known, key, "left")
-    return marked.select(*[F.col(c) for c in incoming.columns], F.when(F.col("_first") & F.col("_known").isNull(), "created").otherwise("updated").alias("event"))
+    marked = ordered_scan(incoming, [key], [place], {"_nth": position()}).join(known, key, "left")
+    return marked.select(*[F.col(c) for c in incoming.columns], F.when((F.col("_nth") == 1) & F.col("_known").isNull(), "created").otherwise("updated").alias("event"))
 
 
 def conflicts(rows: DataFrame, key: str, other: str) -> DataFrame:
@@ -98,11 +100,12 @@ def conflicts(rows: DataFrame, key: str, other: str) -> DataFrame:
 
 
 def content_events(rows: DataFrame, keys: list[str], order: list[str], digest: str, exists: Column | None = None) -> DataFrame:
-    """``rows`` plus ``event`` by the digest of the version before: DOWNLOADED without one, REUSED if it is equal
-    and the file is still there, else UPDATED."""
-    before = F.lag(digest).over(Window.partitionBy(*keys).orderBy(*order))
+    """``rows`` plus ``event`` by the digest that the key has so far: DOWNLOADED without one, REUSED if it is equal and the
+    file is still there, else UPDATED. A row without a digest is a FAILED download: the key keeps the digest it
+    has, so the same content after it is reused. A key may have any number of rows; ``rows`` is counted before."""
     same = (F.col(digest) == F.col("_before")) & (F.lit(True) if exists is None else exists)
-    return rows.withColumn("_before", before).withColumn("event", F.when(F.col("_before").isNull(), "DOWNLOADED").when(same, "REUSED").otherwise("UPDATED")).drop("_before")
+    event = F.when(F.col(digest).isNull(), "FAILED").when(F.col("_before").isNull(), "DOWNLOADED").when(same, "REUSED").otherwise("UPDATED")
+    return ordered_scan(rows, keys, order, {"_before": last_before(F.col(digest), order)}).withColumn("event", event).drop("_before")
 
 
 def lineage(parses: DataFrame, snapshots: DataFrame, attachments: DataFrame) -> DataFrame:

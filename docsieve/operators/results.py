@@ -52,8 +52,8 @@ def hits_of_tasks(hits: DataFrame, parses: DataFrame, snapshots: DataFrame, atta
 
 def incomplete(parses: DataFrame, evaluations: DataFrame, rules: DataFrame) -> DataFrame:
     """(contract_parse_id, partial): whether a semantic rule has no evaluation, none that succeeded, or an
-    uncertain one."""
-    settled = latest_evaluations(evaluations, rules).filter("evaluation_status = 'success' and decision <> 'uncertain'")
+    uncertain one. A success without a decision is settled."""
+    settled = latest_evaluations(evaluations, rules).filter("evaluation_status = 'success' and not (decision <=> 'uncertain')")
     done = settled.groupBy("contract_parse_id").agg(F.count("*").alias("_done"))
     asked = rules.filter((F.col("rule_status") == "active") & (F.col("match_mode") == SEMANTIC)).agg(F.count("*").alias("_asked"))
     met = parses.select("contract_parse_id").join(done, "contract_parse_id", "left")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.functions.once import bind
 from docsieve.functions.text import regex, strip
+from docsieve.operators.scan import ordered_scan, running_count
 from docsieve.schemas import BLOCKS, CANDIDATE
 
 
@@ -83,5 +84,6 @@ def sections(ordered: Column, headings: dict[str, list[str]], numbered: str | No
 
 
 def runs(rows: DataFrame, key: str, order: str, starts: Column) -> DataFrame:
-    """``rows`` of a long table with ``section``: how many starting rows there were so far; 0 is the preamble."""
-    return rows.withColumn("section", F.sum(starts.cast("int")).over(Window.partitionBy(key).orderBy(order)).cast("bigint"))
+    """``rows`` of a long table with ``section``: how many starting rows there were so far; 0 is the preamble. A key may
+    have any number of rows; ``rows`` is counted before."""
+    return ordered_scan(rows, [key], [order], {"section": running_count(starts)})

@@ -71,13 +71,13 @@ def hybrid_parses(asked: DataFrame, known: DataFrame) -> DataFrame:
     """What asking a model about each read comes to: (document_read_snapshot_id, log_type, contract_parse_id,
     parse_status).
 
-    ``asked``: extractor_version, error (null: the model answered), n_unresolved, all_found. ``known``: earlier parses
-    (extractor_version, llm_status, contract_parse_id). The latest parse of the same read and version is reused
-    unless it was degraded. An error degrades to the deterministic parse, which is partial then; with nothing
-    unresolved the model is not asked.
+    ``asked``: extractor_name, extractor_version, error (null: the model answered), n_unresolved, all_found. ``known``:
+    earlier parses (extractor_name, extractor_version, parse_status, llm_status, contract_parse_id). The latest success
+    or partial parse of the same read, extractor and version is reused unless it was degraded. An error degrades
+    to the deterministic parse, which is partial then; with nothing unresolved the model is not asked.
     """
-    keys = ["document_read_snapshot_id", "extractor_version"]
-    best = known.groupBy(*keys).agg(F.max(F.struct("contract_parse_id", "llm_status")).alias("_k"))
+    keys = ["document_read_snapshot_id", "extractor_name", "extractor_version"]
+    best = known.filter(F.col("parse_status").isin("success", "partial")).groupBy(*keys).agg(F.max(F.struct("contract_parse_id", "llm_status")).alias("_k"))
     met = asked.join(best, keys, "left")
     reused = F.col("_k").isNotNull() & (F.col("_k.llm_status") != "degraded")
     kind = F.when(reused, "LLM_CONTRACT_PARSE_REUSED").when(F.col("error").isNotNull(), "LLM_EXTRACTION_DEGRADED").when(F.col("n_unresolved") == 0, "LLM_EXTRACTION_SKIPPED").otherwise("LLM_EXTRACTION_COMPLETED")

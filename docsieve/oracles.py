@@ -123,18 +123,18 @@ rules AS (SELECT * FROM (VALUES {", ".join("(" + str(r[0]) + "::BIGINT, " + ", "
 hits AS (
   SELECT l_orderkey * 10 + l_linenumber AS hit_id, l_orderkey AS contract_parse_id, l_linenumber AS rule_id, CASE WHEN l_linenumber >= 6 THEN '1.0-abc' WHEN l_returnflag = 'R' THEN '0.9' ELSE '1.0' END AS rule_version, 'rule ' || l_linenumber AS rule_name FROM lines),
 first_evals AS (
-  SELECT (l_orderkey * 10 + l_linenumber) * 2 AS evaluation_id, l_orderkey AS contract_parse_id, l_linenumber AS rule_id, CASE WHEN l_suppkey % 10 = 0 THEN '0.9' ELSE '1.0' END AS rule_version, 'fp' || (l_suppkey % 2) AS fp, 'success' AS status, 'hit' AS decision, l_orderkey * 10 + l_linenumber AS hit_id, l_partkey, l_linestatus
+  SELECT (l_orderkey * 10 + l_linenumber) * 2 AS evaluation_id, l_orderkey AS contract_parse_id, l_linenumber AS rule_id, CASE WHEN l_suppkey % 10 = 0 THEN '0.9' ELSE '1.0' END AS rule_version, 'fp' || (l_suppkey % 2) AS fp, 'success' AS status, 'hit' AS decision, l_orderkey * 10 + l_linenumber AS hit_id, l_partkey, l_suppkey, l_linestatus
   FROM lines WHERE l_linenumber >= 6),
 evaluations AS (
   SELECT evaluation_id, contract_parse_id, rule_id, rule_version, fp, status, decision, hit_id FROM first_evals
-  UNION ALL SELECT evaluation_id + 1, contract_parse_id, rule_id, rule_version, fp, CASE WHEN l_partkey % 3 = 1 THEN 'degraded' ELSE 'success' END, CASE l_partkey % 3 WHEN 0 THEN 'not_hit' WHEN 2 THEN 'uncertain' END, NULL FROM first_evals WHERE l_linestatus = 'F'),
+  UNION ALL SELECT evaluation_id + 1, contract_parse_id, rule_id, rule_version, fp, CASE WHEN l_partkey % 3 = 1 THEN 'degraded' ELSE 'success' END, CASE l_partkey % 3 WHEN 0 THEN CASE WHEN l_suppkey % 4 <> 0 THEN 'not_hit' END WHEN 2 THEN 'uncertain' END, NULL FROM first_evals WHERE l_linestatus = 'F'),
 latest AS (
   SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY contract_parse_id, e.rule_id ORDER BY evaluation_id DESC) AS rn FROM evaluations e JOIN rules r ON r.rule_id = e.rule_id AND r.rule_version = e.rule_version AND rule_status = 'active' AND match_mode = 'llm_semantic') WHERE rn = 1),
 current_hits AS (
   SELECT h.* FROM hits h JOIN rules r ON r.rule_id = h.rule_id AND r.rule_version = h.rule_version AND rule_status = 'active' AND match_mode <> 'llm_semantic'
   UNION ALL SELECT h.* FROM hits h WHERE hit_id IN (SELECT hit_id FROM latest WHERE hit_id IS NOT NULL)),
 partials AS (
-  SELECT o_orderkey AS contract_parse_id, count(l.rule_id) FILTER (status = 'success' AND decision <> 'uncertain') < (SELECT count(*) FROM rules WHERE rule_status = 'active' AND match_mode = 'llm_semantic') AS partial
+  SELECT o_orderkey AS contract_parse_id, count(l.rule_id) FILTER (status = 'success' AND decision IS DISTINCT FROM 'uncertain') < (SELECT count(*) FROM rules WHERE rule_status = 'active' AND match_mode = 'llm_semantic') AS partial
   FROM orders LEFT JOIN latest l ON l.contract_parse_id = o_orderkey GROUP BY 1),
 rule_set AS (SELECT sha256(string_agg(rule_code || '@' || rule_version, chr(10) ORDER BY rule_code)) AS rule_set_fingerprint FROM rules WHERE rule_status = 'active'),
 hit_parts AS (SELECT contract_parse_id, string_agg(p, chr(10) ORDER BY p) AS h FROM (SELECT contract_parse_id, hit_id || '@' || rule_id || '@' || rule_version AS p FROM current_hits) GROUP BY 1),
@@ -188,14 +188,14 @@ ORACLES: dict[str, str] = {
 WITH s AS (SELECT user_id, arg_max(event_type, event_id) AS t FROM events WHERE event_id % 2 = 0 GROUP BY 1), n AS (SELECT user_id, arg_max(event_type, event_id) AS t FROM events WHERE event_id % 2 = 1 GROUP BY 1)
 SELECT user_id::VARCHAR AS instance_id, 'code-' || user_id AS approval_code, coalesce(n.t, s.t) AS title, CASE WHEN s.t IS NULL THEN 'pending' ELSE 'reviewing' END AS task_status FROM s FULL JOIN n USING (user_id)""",
     "upsert_event_counts": """
-SELECT event, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup') THEN 'created' ELSE 'updated' END AS event
+SELECT event, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND user_id % 3 = 0) THEN 'created' ELSE 'updated' END AS event
 FROM events WHERE event_type <> 'signup') GROUP BY 1""",
     "identity_conflicts": """
 SELECT 'n' AS side, c_nationkey::VARCHAR AS value, count(DISTINCT c_mktsegment) AS others FROM customer GROUP BY 2 HAVING count(DISTINCT c_mktsegment) > 1
 UNION ALL SELECT 'c_mktsegment', c_mktsegment, count(DISTINCT c_nationkey) FROM customer GROUP BY 2 HAVING count(DISTINCT c_nationkey) > 1""",
     "content_change_events": """
-SELECT user_id, event, count(*) AS n FROM (SELECT user_id, CASE WHEN b IS NULL THEN 'DOWNLOADED' WHEN b = event_type AND event_id % 7 <> 0 THEN 'REUSED' ELSE 'UPDATED' END AS event
-FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)) GROUP BY 1, 2""",
+SELECT user_id, event, count(*) AS n FROM (SELECT user_id, CASE WHEN d IS NULL THEN 'FAILED' WHEN b IS NULL THEN 'DOWNLOADED' WHEN b = d AND event_id % 7 <> 0 THEN 'REUSED' ELSE 'UPDATED' END AS event
+FROM (SELECT *, last_value(d IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT *, CASE WHEN event_id % 11 <> 0 THEN event_type END AS d FROM events))) GROUP BY 1, 2""",
     "state_machine_replay": f"""
 WITH e AS (SELECT user_id, list({{'t': t, 'state': 'pending', 'accepted': 0::BIGINT, 'rejected': 0::BIGINT, 'retries': 0::BIGINT}} ORDER BY ts, event_id) AS l FROM (SELECT *, {_TARGET} AS t FROM events) WHERE t IS NOT NULL GROUP BY 1),
 f AS (SELECT user_id, list_reduce(list_prepend({{'t': NULL, 'state': 'pending', 'accepted': 0::BIGINT, 'rejected': 0::BIGINT, 'retries': 0::BIGINT}}, l), lambda a, x:
@@ -262,8 +262,8 @@ f AS (SELECT user_id, list_reduce(list_prepend({{'t': NULL, 'state': '{_START}',
 SELECT user_id, s.state AS state, s.accepted::BIGINT AS accepted, s.rejected::BIGINT AS rejected, s.retries::BIGINT AS retries FROM f""",
     "hybrid_parses": """
 SELECT o_orderkey AS document_read_snapshot_id, CASE WHEN reused THEN 'LLM_CONTRACT_PARSE_REUSED' WHEN o_custkey % 5 = 0 THEN 'LLM_EXTRACTION_DEGRADED' WHEN o_custkey % 7 = 0 THEN 'LLM_EXTRACTION_SKIPPED' ELSE 'LLM_EXTRACTION_COMPLETED' END AS log_type,
-  CASE WHEN reused THEN o_orderkey * 2 END AS contract_parse_id, CASE WHEN NOT reused THEN CASE WHEN o_custkey % 5 = 0 OR o_orderstatus <> 'O' THEN 'partial' ELSE 'success' END END AS parse_status
-FROM (SELECT *, o_custkey % 4 = 0 AND o_orderstatus <> 'F' AS reused FROM orders)""",
+  CASE WHEN reused THEN o_orderkey::BIGINT * 4 END AS contract_parse_id, CASE WHEN NOT reused THEN CASE WHEN o_custkey % 5 = 0 OR o_orderstatus <> 'O' THEN 'partial' ELSE 'success' END END AS parse_status
+FROM (SELECT *, o_custkey % 4 = 0 AND o_orderkey % 9 <> 0 AND o_orderstatus <> 'F' AS reused FROM orders)""",
     "ocr_outcomes": """
 SELECT CASE WHEN st NOT IN ('parsing', 'blocked') OR (st = 'blocked' AND coalesce(stage, '') <> 'document_reading') THEN 'DOCUMENT_OCR_NOT_ALLOWED' WHEN l_partkey % 11 = 0 OR l_partkey % 7 = 0 THEN 'OCR_INPUT_FILE_NOT_FOUND' WHEN l_suppkey % 5 = 0 THEN 'DOCUMENT_OCR_REUSED'
   WHEN src IS NULL THEN 'OCR_REQUIRED_SNAPSHOT_NOT_FOUND' WHEN src = 'success' THEN 'OCR_NOT_REQUIRED' WHEN src <> 'ocr_required' THEN 'OCR_REQUIRED_SNAPSHOT_NOT_FOUND' WHEN l_suppkey % 3 = 0 THEN 'OCR_EMPTY_RESULT' ELSE 'DOCUMENT_OCR_SUCCEEDED' END AS outcome, count(*) AS n

@@ -187,7 +187,7 @@ def dedup_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def upsert_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    events = history.upsert_events(rows.filter("event_type = 'signup'"), rows.filter("event_type <> 'signup'"), "user_id", "event_id")
+    events = history.upsert_events(rows.filter("event_type = 'signup' and user_id % 3 = 0"), rows.filter("event_type <> 'signup'"), "user_id", "event_id")
     return events.groupBy("event").agg(F.count("*").alias("n"))
 
 
@@ -207,7 +207,8 @@ def identity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def content_change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.col("event_type").alias("digest"), (F.col("event_id") % 7 != 0).alias("there"))
+    """An event is a download of the user's file: every eleventh fails, before every seventh the file is gone."""
+    events = _table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("digest"), (F.col("event_id") % 7 != 0).alias("there"))
     return history.content_events(events, ["user_id"], ["ts", "event_id"], "digest", F.col("there")).groupBy("user_id", "event").agg(F.count("*").alias("n"))
 
 
@@ -234,12 +235,19 @@ def workflow_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hybrid_parses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parses with a model's help: reused if a parse of the same read and version was not degraded."""
+    """Parses with a model's help: reused if the latest usable parse of the same read, extractor and version was not
+    degraded; later parses that failed, or of another extractor, do not count."""
     orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_read_snapshot_id"), "o_custkey", "o_orderstatus")
     version = semantic.hybrid_version("2.0", F.sha2(F.lit("2.0|1.0|p|m"), 256))
-    known = orders.filter("o_custkey % 3 = 0").select("document_read_snapshot_id", F.lit("2.0-old").alias("extractor_version"), F.lit("completed").alias("llm_status"), F.lit(1).cast("bigint").alias("contract_parse_id"))
-    again = orders.filter("o_custkey % 4 = 0").select("document_read_snapshot_id", version.alias("extractor_version"), F.when(F.col("o_orderstatus") == "F", "degraded").otherwise("completed").alias("llm_status"), (F.col("document_read_snapshot_id") * 2).cast("bigint").alias("contract_parse_id"))
-    asked = orders.select("document_read_snapshot_id", version.alias("extractor_version"), F.when(F.col("o_custkey") % 5 == 0, "LlmTimeout").alias("error"), (F.col("o_custkey") % 7).alias("n_unresolved"), (F.col("o_orderstatus") == "O").alias("all_found"))
+    key = F.col("document_read_snapshot_id").cast("bigint")
+    own, done, parse = F.lit("hybrid").alias("extractor_name"), F.lit("completed").alias("llm_status"), lambda x: x.alias("contract_parse_id")
+    status = F.when(key % 9 == 0, "failed").when(key % 2 == 0, "partial").otherwise("success").alias("parse_status")
+    known = orders.filter("o_custkey % 3 = 0").select("document_read_snapshot_id", own, F.lit("2.0-old").alias("extractor_version"), status, done, parse(F.lit(1).cast("bigint")))
+    again = orders.filter("o_custkey % 4 = 0").select("document_read_snapshot_id", own, version.alias("extractor_version"), status, F.when(F.col("o_orderstatus") == "F", "degraded").otherwise("completed").alias("llm_status"), parse(key * 4))
+    failed = orders.filter("o_custkey % 6 = 0").select("document_read_snapshot_id", own, version.alias("extractor_version"), F.lit("failed").alias("parse_status"), done, parse(key * 4 + 1))
+    other = orders.filter("o_custkey % 5 = 0").select("document_read_snapshot_id", F.lit("regex").alias("extractor_name"), version.alias("extractor_version"), status, done, parse(key * 4 + 2))
+    known = known.unionByName(failed).unionByName(other)
+    asked = orders.select("document_read_snapshot_id", own, version.alias("extractor_version"), F.when(F.col("o_custkey") % 5 == 0, "LlmTimeout").alias("error"), (F.col("o_custkey") % 7).alias("n_unresolved"), (F.col("o_orderstatus") == "O").alias("all_found"))
     return semantic.hybrid_parses(asked, known.unionByName(again))
 
 
@@ -380,7 +388,7 @@ class ReviewTables:
         later = lambda a, b, c: F.when(kind == 0, a).when(kind == 1, b).otherwise(c)
         common = [F.col("l_orderkey").cast("bigint").alias("contract_parse_id"), n.cast("bigint").alias("rule_id"), F.when(F.col("l_suppkey") % 10 == 0, "0.9").otherwise("1.0").alias("rule_version"), F.concat(F.lit("fp"), (F.col("l_suppkey") % 2).cast("string")).alias("evaluation_fingerprint")]
         first = semantic_.select((hit_id * 2).alias("evaluation_id"), *common, F.lit("success").alias("evaluation_status"), F.lit("hit").alias("decision"), hit_id.alias("hit_id"))
-        second = semantic_.filter("l_linestatus = 'F'").select((hit_id * 2 + 1).alias("evaluation_id"), *common, later("success", "degraded", "success").alias("evaluation_status"), later("not_hit", F.lit(None), "uncertain").alias("decision"), F.lit(None).cast("bigint").alias("hit_id"))
+        second = semantic_.filter("l_linestatus = 'F'").select((hit_id * 2 + 1).alias("evaluation_id"), *common, later("success", "degraded", "success").alias("evaluation_status"), later(F.when(F.col("l_suppkey") % 4 != 0, "not_hit"), F.lit(None), "uncertain").alias("decision"), F.lit(None).cast("bigint").alias("hit_id"))
         self.evaluations = first.unionByName(second)
         orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("contract_parse_id"), F.col("o_custkey").cast("bigint").alias("task_id"))
         self.parses = orders
