@@ -289,3 +289,15 @@ done AS (SELECT *, CASE WHEN status <> 'found' THEN 'skipped' WHEN d IS NULL OR
 SELECT doc_id, rule_id, evaluation_status, CASE WHEN evaluation_status IN ('skipped', 'rejected') THEN 'uncertain' WHEN evaluation_status = 'degraded' THEN NULL ELSE d END AS decision, evaluation_status = 'success' AND coalesce(d = 'hit', false) AS is_hit,
   CASE WHEN evaluation_status = 'success' AND d = 'hit' THEN sha256(txt) END AS evidence_sha256 FROM done""",
 }
+ORACLES["streamed_replay"] = ORACLES["state_machine_replay"]
+ORACLES["attachment_records"] = """
+SELECT user_id, event_type AS attachment, 'file ' || arg_max(event_id % 4, event_id) AS file_name, arg_max(sha256(value::VARCHAR), event_id) FILTER (event_id % 11 <> 0) AS sha256,
+  CASE WHEN max(event_id) % 11 = 0 THEN 'failed' ELSE 'success' END AS download_status, CASE WHEN max(event_id) % 11 = 0 THEN 'ATTACHMENT_DOWNLOAD_FAILED: no answer' END AS download_error, count(*) AS attempts
+FROM events GROUP BY 1, 2"""
+ORACLES["comment_marks"] = """
+WITH marks AS (
+  SELECT event_id - event_id % 5 + CASE WHEN event_id % 35 = 1 THEN 2 ELSE 0 END AS log_id, event_id, event_type AS said, CASE WHEN event_type = 'error' THEN 'COMMENT_WRITE_FAILED' END AS code
+  FROM events WHERE event_id % 5 IN (1, 2, 3) AND event_type <> 'signup'),
+last AS (SELECT log_id, arg_max(row(code, said), event_id) AS l, 'c' || max(event_id) FILTER (code IS NULL) AS id FROM marks GROUP BY 1),
+met AS (SELECT coalesce(a.event_id, m.log_id) AS log_id, a.event_id IS NULL AS unknown, m.log_id IS NULL AS open, l[1] AS code, l[2] AS said, id FROM (SELECT event_id FROM events WHERE event_id % 5 = 0) a FULL JOIN last m ON m.log_id = a.event_id)
+SELECT log_id, CASE WHEN unknown THEN 'unknown_log' WHEN open THEN 'writing' WHEN code IS NULL THEN 'success' ELSE 'failed' END AS write_status, id AS external_comment_id, code AS error_code, said AS response_text FROM met"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,11 @@ from docsieve.operators import extract, history, results, review, semantic, stat
 from docsieve.operators.segment import lines, runs, sections
 from docsieve.plans import packs, review_plan
 from docsieve.schemas import WORKFLOW_EVENTS
+from docsieve.sources.shared import shared_dir
 from docsieve.sources.tables import spread
 from docsieve.sources.tables import table as _table
+from docsieve.streaming import ledger, ordered
+from docsieve.streaming.ledger import stream_settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -223,6 +227,26 @@ def state_machine_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.replay(events, "user_id", ["ts", "event_id"], "target")
 
 
+@query
+def streamed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of ``state_machine_replay`` as a stream of many batches, in which an event can come up to a third of a
+    batch's time late. The result is that of the batch form."""
+    events = _table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", _target().alias("target"))
+    base, parts = f"{shared_dir(spark)}/docsieve-stream-{uuid.uuid4().hex}", 6
+    ends = events.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
+    width = ((ends["b"] or 0) - (ends["a"] or 0)) // parts + 1
+    arrival = F.unix_micros("ts") - (ends["a"] or 0) + F.pmod(F.xxhash64("event_id"), F.lit(width // 3 + 1))
+    for i in range(parts + 1):  # files of one batch after those of the one before
+        events.filter(F.floor(arrival / width) == i).write.mode("append").parquet(f"{base}/in")
+    delay = f"{2 * width // 1_000_000 + 1} seconds"
+    files = max(1, len(spark.read.parquet(f"{base}/in").inputFiles()) // parts)
+    with stream_settings(spark):
+        source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
+        told = ordered.replay_ordered(source, "user_id", "ts", "event_id", "target", delay)
+        ledger.write_stream(told, f"{base}/out", f"{base}/checkpoint")
+    return ledger.last_told(spark.read.parquet(f"{base}/out"), "user_id")
+
+
 @query
 def workflow_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guarded events of tasks: an event's number says which."""
@@ -490,6 +514,32 @@ def comments_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.write_comments(attempts.filter("attempt_id % 2 = 1"), attempts.filter("attempt_id % 10 = 0").select("instance_id", "review_id")).select("instance_id", "review_id", "attempt_id")
 
 
+@query
+def attachment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Download attempts of a user's files, added to a table in three batches, one of them repeated; every eleventh fails."""
+    failed = F.col("event_id") % 11 == 0
+    attempts = _table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.col("event_type").alias("attachment"), F.concat(F.lit("file "), (F.col("event_id") % 4).cast("string")).alias("file_name"),
+        F.when(~failed, F.sha2(F.col("value").cast("string"), 256)).alias("sha256"), F.when(failed, "ATTACHMENT_DOWNLOAD_FAILED: no answer").alias("error"),
+    )
+    table = f"{shared_dir(spark)}/docsieve-attempts-{uuid.uuid4().hex}"
+    for i in (0, 1, 1, 2, 0):
+        ledger.commit(attempts.filter(F.col("event_id") % 3 == i), i, table)
+    done = ledger.attachment_records(spark.read.parquet(table), ["user_id", "attachment"], "event_id")
+    return done.select("user_id", "attachment", "file_name", "sha256", "download_status", "download_error", "attempts")
+
+
+@query
+def comment_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth event is an attempt to write a comment, those behind it mark it; some mark what does not exist."""
+    events = _table(spark, sf_dir, "events").select("event_id", "event_type")
+    attempts = events.filter("event_id % 5 = 0").select(F.col("event_id").alias("log_id"))
+    error = F.when(F.col("event_type") == "error", "COMMENT_WRITE_FAILED")
+    log = F.col("event_id") - F.col("event_id") % 5 + F.when(F.col("event_id") % 35 == 1, 2).otherwise(0)
+    marks = events.filter("event_id % 5 in (1, 2, 3) and event_type <> 'signup'").select(log.alias("log_id"), "event_id", F.when(error.isNull(), F.concat(F.lit("c"), F.col("event_id").cast("string"))).alias("external_comment_id"), error.alias("error_code"), F.col("event_type").alias("response_text"))
+    return ledger.comment_logs(attempts, marks, "event_id")
+
+
 @query
 def outcome_ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of reading, preparing, writing back and retrying, with a line's numbers for conditions."""
