@@ -48,13 +48,13 @@ NEEDED = {
 
 
 def read_rules(table: DataFrame) -> list[Rule]:
-    """Rules of a rule table, by id, read to the driver to be compiled: MAX_RULES at most, more are an error.
+    """Rules of a rule table, by id, read to the driver to be compiled: MAX_RULES at most; ``rule_tables`` takes any number.
 
     A rule whose ``match_text`` is no object, or lacks a key that its mode needs, is an error too.
     """
     found = table.orderBy("rule_id").limit(MAX_RULES + 1).collect()
     if len(found) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+        raise ValueError(f"more than {MAX_RULES} rules: apply them by rule_tables.table_hits")
     rules = [Rule(r["rule_id"], r["rule_code"], r["rule_name"], r["risk_level"], r["match_mode"], json.loads(r["match_text"]), r["suggestion_text"], r["rule_version"], r["rule_status"]) for r in found]
     for rule in rules:
         missing = [k for k in NEEDED.get(rule.match_mode, ()) if not isinstance(rule.config, dict) or k not in rule.config]

@@ -206,9 +206,23 @@ SELECT user_id, s.state AS state, s.accepted::BIGINT AS accepted, s.rejected::BI
 WITH {_BLOCKS}, r AS (SELECT doc_id, (doc_id % 5)::INTEGER AS s, (doc_id % 5 + doc_id % 4 - 1)::INTEGER AS e FROM documents)
 SELECT r.doc_id, s AS start, e AS "end", s <= e AND count(b.idx) = e - s + 1 AS valid, CASE WHEN s <= e AND count(b.idx) = e - s + 1 THEN length(string_agg(t, chr(10) ORDER BY idx))::INTEGER END AS n_chars
 FROM r LEFT JOIN blocks b ON b.doc_id = r.doc_id AND b.idx BETWEEN s AND e GROUP BY 1, 2, 3""",
+    "range_coverage": f"""{_ALL},
+asked AS (SELECT doc_id, idx AS start, (last + doc_id % 3)::INTEGER AS "end", last FROM sects)
+SELECT a.doc_id, a.start, a."end", count(b.idx) = a."end" - a.start + 1 AS whole, a."end" <= any_value(a.last) AS within, count(b.idx) AS n_points, CASE WHEN count(b.idx) = a."end" - a.start + 1 THEN sum(length(b.t))::BIGINT END AS n_chars
+FROM asked a LEFT JOIN blocks b ON b.doc_id = a.doc_id AND b.idx BETWEEN a.start AND a."end" GROUP BY 1, 2, 3""",
     "value_in_evidence": f"""
-WITH w AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS v, array_to_string(string_split(text, ' ')[2:7], ' ') AS e FROM benchmark)
-SELECT item_id, {_supported("v", "e")} AS in_tail, {_supported("v", "(v || ' ' || e)")} AS in_all FROM w""",
+WITH v AS (
+  SELECT item_id, 0 AS place, text FROM benchmark UNION ALL
+  SELECT item_id, unnest(range(1, len(l) + 1)) AS place, unnest(l) AS text FROM (SELECT item_id, string_split(text, '.') AS l FROM benchmark)),
+folded AS (SELECT item_id, place::INTEGER AS place, lower({_FOLD_SUPPORT.format("text")}) AS v FROM v),
+docs AS (SELECT doc_id, lower({_FOLD_SUPPORT.format("text")}) AS t FROM documents)
+SELECT item_id, place, count(doc_id) AS n_docs, min(doc_id) AS first_doc FROM folded LEFT JOIN docs ON contains(t, v) WHERE v <> '' GROUP BY 1, 2""",
+    "keyword_rule_table": """
+WITH facts AS (
+  SELECT doc_id, 'title' AS path, string_split(text, chr(10))[1] AS txt FROM documents UNION ALL SELECT doc_id, 'body', text FROM documents),
+words AS (SELECT item_id, w, i FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM benchmark) WHERE length(w) >= 8),
+met AS (SELECT item_id AS rule_id, path, w AS keyword, doc_id, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY (path = 'title') <> (item_id % 2 = 0), i) AS rn FROM facts JOIN words ON contains(txt, w))
+SELECT rule_id, path, keyword, count(*) AS n_docs, min(doc_id) AS first_doc FROM met WHERE rn = 1 GROUP BY 1, 2, 3""",
     "filename_sanitize": r"""
 SELECT page_id, CASE WHEN n IN ('', '.', '..') THEN 'file' ELSE n END AS name, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g')[1:64] AS schema_name FROM (
   SELECT page_id, url, regexp_replace(trim(regexp_replace(string_split(replace(url || '?a=1*.', '\', '/'), '/')[-1], '[<>:"/\\|?*\x00-\x1f]', '_', 'g')), '[. ]+$', '') AS n FROM pages)""",
@@ -301,3 +315,4 @@ WITH marks AS (
 last AS (SELECT log_id, arg_max(row(code, said), event_id) AS l, 'c' || max(event_id) FILTER (code IS NULL) AS id FROM marks GROUP BY 1),
 met AS (SELECT coalesce(a.event_id, m.log_id) AS log_id, a.event_id IS NULL AS unknown, m.log_id IS NULL AS open, l[1] AS code, l[2] AS said, id FROM (SELECT event_id FROM events WHERE event_id % 5 = 0) a FULL JOIN last m ON m.log_id = a.event_id)
 SELECT log_id, CASE WHEN unknown THEN 'unknown_log' WHEN open THEN 'writing' WHEN code IS NULL THEN 'success' ELSE 'failed' END AS write_status, id AS external_comment_id, code AS error_code, said AS response_text FROM met"""
+ORACLES["rule_hits_by_table"] = ORACLES["rule_hits_all"]

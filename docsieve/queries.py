@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 
 from docsieve.functions import text as tx
 from docsieve.functions.once import stage
-from docsieve.operators import extract, history, results, review, semantic, state
+from docsieve.operators import containment, extract, history, intervals, results, review, rule_tables, semantic, state
 from docsieve.operators.segment import lines, runs, sections
 from docsieve.plans import packs, review_plan
-from docsieve.schemas import WORKFLOW_EVENTS
-from docsieve.sources.shared import shared_dir
+from docsieve.schemas import RULES, WORKFLOW_EVENTS
+from docsieve.sources.shared import saved, shared_dir
 from docsieve.sources.tables import spread
 from docsieve.sources.tables import table as _table
 from docsieve.streaming import ledger, ordered
@@ -301,10 +302,53 @@ def evidence_range_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.select("doc_id", "start", "end", F.col("e").isNotNull().alias("valid"), F.length("e.text").alias("n_chars"))
 
 
+@query
+def range_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the parts of every document a range from their start that goes up to two blocks too far, met with the block
+    table: whether all its blocks are there and within the part, their number and characters."""
+    docs = review_plan.with_blocks(_docs(spark, sf_dir))
+    parts = stage(docs, ordered=lines(F.col("blocks"))).select("doc_id", F.posexplode(sections(F.col("ordered"), packs.CORPUS.sections)).alias("n", "s"))
+    at = F.col("s.candidate.position")
+    asked = parts.select("doc_id", "n", at["block_start"].alias("start"), (at["block_end"] + (F.col("doc_id") % 3).cast("int")).alias("end"), at["block_start"].alias("first"), at["block_end"].alias("last"))
+    blocks = docs.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.block_index", tx.strip(F.col("b.text")).alias("text"), "b.page_number")
+    done = intervals.whole_ranges(asked, blocks, "doc_id", "n", "start", "end", "block_index", "text", "page_number")
+    within = intervals.inside(F.col("start"), F.col("end"), F.col("first"), F.col("last"))
+    return done.select("doc_id", "start", "end", "whole", within.alias("within"), "n_points", "n_chars")
+
+
 @query
 def value_in_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("value"), F.array_join(F.slice(F.split("text", " "), 2, 6), " ").alias("evidence"))
-    return words.select("item_id", tx.supported(F.col("value"), F.col("evidence")).alias("in_tail"), tx.supported(F.col("value"), F.concat("value", F.lit(" "), "evidence")).alias("in_all"))
+    """Benchmark texts, whole and by sentence (place from 1), folded: how many documents have them in their folded text."""
+    items = _table(spark, sf_dir, "benchmark").filter("item_id is not null").select("item_id", "text")
+    whole = items.select("item_id", F.lit(0).alias("place"), "text")
+    said = items.select("item_id", F.posexplode(F.split("text", r"\.", -1)).alias("at", "text")).select("item_id", (F.col("at") + 1).alias("place"), "text")
+    values = saved(whole.unionByName(said).select("item_id", "place", tx.folded(F.col("text")).alias("value")).filter("value <> ''").withColumn("value_id", F.monotonically_increasing_id()))
+    texts = _docs(spark, sf_dir).select("doc_id", tx.folded(F.col("text")).alias("text"))
+    found = containment.contained(texts, values.select("value_id", "value"), "doc_id", "value_id")
+    counted = found.groupBy("value_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    return values.join(counted, "value_id", "left").select("item_id", "place", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "first_doc")
+
+
+@query
+def rule_hits_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of ``rule_hits_all`` with the rules as rows of a table."""
+    facts = extract.long_facts(review_plan.with_facts(_docs(spark, sf_dir)), packs.CORPUS, "doc_id")
+    rows = [(r.rule_id, r.rule_code, r.rule_name, r.risk_level, r.rule_status, r.match_mode, json.dumps(r.config), r.suggestion, r.rule_version) for r in packs.CORPUS_RULES]
+    hits = rule_tables.table_hits(facts, spark.createDataFrame(rows, RULES), "doc_id", packs.CORPUS_METRICS, packs.CORPUS_WORDING)
+    return hits.select("doc_id", "rule_id", "rule_code", "risk_level", "evidence_type", "evidence_text", "actual_value", "expected_value", "evidence_position.block_start", "evidence_position.block_end")
+
+
+@query
+def keyword_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text is a rule with its long words for keywords, for first lines and whole texts in turns: how often
+    each word is the first that a document has."""
+    docs = _docs(spark, sf_dir)
+    field = lambda path, text: docs.select("doc_id", F.lit(path).alias("path"), text.alias("text"), F.lit(None).cast("int").alias("position"))
+    facts = field("title", F.substring_index("text", "\n", 1)).unionByName(field("body", F.col("text")))
+    long = F.filter(F.split("text", " "), lambda w: F.length(w) >= 8)
+    rules = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rule_id"), F.when(F.col("item_id") % 2 == 0, F.array(F.lit("title"), F.lit("body"))).otherwise(F.array(F.lit("body"), F.lit("title"))).alias("fields"), long.alias("keywords"))
+    found = rule_tables.keyword_matches(facts, rules, "doc_id")
+    return found.groupBy("rule_id", "path", "keyword").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 @query
