@@ -91,43 +91,64 @@ def replay(events: DataFrame, key: str, order: list[str], target: str, start: st
     return fold(events, key, order, target, start, transition_moves(transitions))
 
 
+#: Bits of the state, and of each count of a chunk, in the one number that a fold carries.
+STATE_BITS, COUNT_BITS = 8, 16
+_COUNTS = ("accepted", "rejected", "retries")
+
+
+def _codes(start: str, moves: Moves) -> tuple[list[str], list[str], list[int]]:
+    """States, events, and what an event adds to the number: for each state, then each event, the last one unknown."""
+    states = sorted({start, *(s for s, _ in moves), *(t for t, _ in moves.values())})
+    events = sorted({e for _, e in moves})
+    if len(states) > 1 << STATE_BITS:
+        raise ValueError(f"more than {1 << STATE_BITS} states")
+    one = [1 << STATE_BITS + i * COUNT_BITS for i in range(3)]
+    table = []
+    for i, s in enumerate(states):
+        for e in (*events, None):
+            move = moves.get((s, e))
+            table.append(states.index(move[0]) - i + one[0] + one[2] * bool(move[1]) if move else one[1])
+    return states, events, table
+
+
+def _coded(events: DataFrame, event: str, names: list[str]) -> DataFrame:
+    """``events`` that have one, by its number; what no state has a move for is the last."""
+    code = F.coalesce(*[F.when(F.col(event) == e, F.lit(i)) for i, e in enumerate(names)], F.lit(len(names))).cast("short")
+    return events.filter(F.col(event).isNotNull()).withColumn("_code", code)
+
+
 def fold(events: DataFrame, key: str, order: list[str], event: str, start: str, moves: Moves) -> DataFrame:
     """Per key: final state, accepted and rejected events, and retries.
 
     Rows without an event are left out. Chunks of a key's events are folded side by side from every state they
-    could begin in; what a chunk makes of each state is then put together, in order and in levels, so that no row
-    grows with a key.
+    could begin in, state and counts in one whole number; what a chunk makes of each state is then put together, in
+    order and in levels, so that no row grows with a key.
     """
-    states = sorted({start, *(s for s, _ in moves), *(t for t, _ in moves.values())})
-    zero = lambda s: F.struct(F.lit(s).alias("state"), *[F.lit(0).cast("bigint").alias(c) for c in ("accepted", "rejected", "retries")])
-    one = lambda c: c.cast("bigint")
-    table = F.create_map(*[F.lit(x) for (s, e), (t, retried) in moves.items() for x in (f"{s}>{e}", f"{int(retried)}{t}")])
-
-    def step(acc: Column, e: Column) -> Column:
-        move = F.try_element_at(table, F.concat(acc["state"], F.lit(">"), e["_to"]))
-        ok = move.isNotNull()
-        return F.struct(
-            F.coalesce(F.substr(move, F.lit(2)), acc["state"]).alias("state"), (acc["accepted"] + one(ok)).alias("accepted"),
-            (acc["rejected"] + one(~ok)).alias("rejected"), (acc["retries"] + F.coalesce(one(move.startswith("1")), F.lit(0))).alias("retries"),
-        )
+    states, names, table = _codes(start, moves)
+    added = F.expr(f"array({', '.join(f'{x}L' for x in table)})")
+    every = F.expr(f"sequence(0, {len(states) - 1})")
+    low = lambda x: x.bitwiseAND(F.lit((1 << STATE_BITS) - 1))
+    step = lambda acc, e: acc + F.get(added, (low(acc) * (len(names) + 1) + e["_to"]).cast("int"))
+    count = lambda x, i: F.shiftright(x, STATE_BITS + i * COUNT_BITS).bitwiseAND(F.lit((1 << COUNT_BITS) - 1))
+    wide = lambda x: F.struct(low(x).cast("int").alias("state"), *[count(x, i).alias(c) for i, c in enumerate(_COUNTS)])
+    zero = lambda i: F.struct(i.alias("state"), *[F.lit(0).cast("bigint").alias(c) for c in _COUNTS])
 
     def join(acc: Column, e: Column) -> Column:
-        then = F.element_at(e["_m"], acc["state"])
-        return F.struct(then["state"].alias("state"), *[(acc[c] + then[c]).alias(c) for c in ("accepted", "rejected", "retries")])
-
-    def from_all(step: Callable[[Column, Column], Column]) -> Column:
-        return F.map_from_arrays(F.array(*[F.lit(s) for s in states]), F.array(*[F.aggregate("_e", zero(s), step) for s in states])).alias("_m")
+        then = F.get(e["_m"], acc["state"])
+        return F.struct(then["state"].alias("state"), *[(acc[c] + then[c]).alias(c) for c in _COUNTS])
 
-    done = chunks(events, key, order, event).select(key, "at", from_all(step))
+    folded = F.transform(every, lambda i: F.aggregate("_e", i.cast("bigint"), step))
+    done = chunks(_coded(events, event, names), key, order, "_code").select(key, "at", F.transform(folded, wide).alias("_m"))
     for bits in LEVELS:
-        done = _listed(done.withColumn("up", F.shiftright("at", bits)), key, "up").select(key, F.col("up").alias("at"), from_all(join))
-    return _listed(done, key).select(key, F.aggregate("_e", zero(start), join).alias("_s")).select(key, "_s.*")
+        listed = _listed(done.withColumn("up", F.shiftright("at", bits)), key, "up")
+        done = listed.select(key, F.col("up").alias("at"), F.transform(every, lambda i: F.aggregate("_e", zero(i), join)).alias("_m"))
+    last = _listed(done, key).select(key, F.aggregate("_e", zero(F.lit(states.index(start))), join).alias("_s"))
+    return last.select(key, F.get(F.array(*[F.lit(s) for s in states]), F.col("_s.state")).alias("state"), *[f"_s.{c}" for c in _COUNTS])
 
 
 def _listed(done: DataFrame, *by: str) -> DataFrame:
-    """The chunks of each group in order; maps cannot be compared, and ``at`` alone tells chunks apart."""
-    before = lambda x, y: F.when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).otherwise(0)
-    return done.groupBy(*by).agg(F.collect_list(F.struct("at", "_m")).alias("_e")).withColumn("_e", F.array_sort("_e", before))
+    """The chunks of each group in order."""
+    return done.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "_m"))).alias("_e"))
 
 
 def retry_action(stage: Column) -> Column:
