@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.schemas import TRANSITIONS, WORKFLOW_EVENTS
+from docsieve.sources.shared import saved
 
 #: log2 of the events in a chunk at most, and of the chunks that a level puts together at most. Behind these levels
 #: a key has a chunk or two in each task that has events of it.
@@ -151,6 +154,73 @@ def _listed(done: DataFrame, *by: str) -> DataFrame:
     return done.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "_m"))).alias("_e"))
 
 
+def transition_log(events: DataFrame, key: str, order: list[str], event: str, start: str, moves: Moves) -> DataFrame:
+    """(key, order..., event, before, after, accepted) of every event: the states around it.
+
+    A chunk's first state comes from a walk over what the chunks of its key make of each state, one short row a chunk,
+    whatever the number of events; chunks are then walked side by side. Rows without an event are left out.
+    """
+    states, names, _ = _codes(start, moves)
+    after = np.array([[states.index(moves[s, e][0]) if (s, e) in moves else i for e in (*names, None)] for i, s in enumerate(states)], np.int32)
+    good = np.array([[(s, e) in moves for e in (*names, None)] for s in states])
+    dealt = saved(chunks(_coded(events, event, names), key, order, "_code"))
+    table = F.expr(f"array({', '.join(map(str, after.ravel()))})")
+    ends = F.transform(F.expr(f"sequence(0, {len(states) - 1})"), lambda i: F.aggregate("_e", i, lambda s, e: F.get(table, s * (len(names) + 1) + e["_to"])))
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    begin = states.index(start)
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, began = None, begin, False
+        for batch in batches:
+            firsts = []
+            for k, m in zip(batch.column(key).to_pylist(), batch.column("_m").to_pylist(), strict=True):
+                if k != now or not began:
+                    now, at, began = k, begin, True
+                firsts.append(at)
+                at = m[at]
+            yield batch.drop_columns("_m").append_column("_first", pa.array(firsts, pa.int32()))
+
+    def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, state = batch.column("_e").slice(i, 1).flatten(), batch.column("_first")[i].as_py()
+                codes = rows.field(rows.type.get_field_index("_to")).to_numpy()
+                before = np.empty(len(codes) + 1, np.int32)
+                for j, c in enumerate(codes.tolist()):
+                    before[j] = state
+                    state = after[state, c]
+                before[-1] = state
+                own = [pa.array([batch.column(key)[i].as_py()] * len(codes), batch.column(key).type), *(rows.field(rows.type.get_field_index(o)) for o in order)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(codes), pa.array(before[:-1]), pa.array(before[1:]), pa.array(good[before[:-1], codes])], [key, *order, "_to", "before", "after", "accepted"])
+
+    kind = lambda c: f"`{c}` {events.schema[c].dataType.simpleString()}"
+    made = dealt.select(key, "at", ends.alias("_m")).repartition(parts, key).sortWithinPartitions(key, "at")
+    firsts = made.mapInArrow(walk, f"{kind(key)}, at long, _first int")
+    placed = dealt.alias("d").join(firsts.alias("f"), F.col(f"d.{key}").eqNullSafe(F.col(f"f.{key}")) & (F.col("d.at") == F.col("f.at"))).select(f"d.{key}", "_e", "_first")
+    found = placed.mapInArrow(expand, f"{kind(key)}, {', '.join(map(kind, order))}, _to short, before int, after int, accepted boolean")
+    name = lambda c, of: F.get(F.array(*[F.lit(x) for x in of]), F.col(c).cast("int"))
+    return found.select(key, *order, name("_to", names).alias("event"), name("before", states).alias("before"), name("after", states).alias("after"), "accepted")
+
+
+# fixed values: level and type of the log rows that a change writes, by the kind of its event
+WORKFLOW_LOGS = {
+    "start_parsing": (("info", "status_change"),), "start_reviewing": (("info", "status_change"),), "block": (("info", "status_change"), ("error", "task_blocked")),
+    "retry": (("info", "status_change"), ("info", "manual_retry")), "resume_for_ocr": (("info", "status_change"), ("info", "DOCUMENT_OCR_RESUMED")), "start_write": (("info", "COMMENT_WRITE_STARTED"),),
+    "complete_write": (("info", "COMMENT_WRITE_SUCCEEDED"), ("info", "status_change"), ("info", "TASK_COMPLETED")), "fail_write": (("error", "COMMENT_WRITE_FAILED"), ("info", "status_change"), ("error", "task_blocked")),
+    "block_write": (("error", "COMMENT_WRITE_FAILED"), ("info", "status_change"), ("error", "task_blocked")), "resume_writeback": (("info", "status_change"), ("info", "COMMENT_WRITE_RETRY_RESUMED")),
+}
+
+
+def workflow_logs(log: DataFrame) -> DataFrame:
+    """The log rows that accepted events of ``workflow_moves`` write: the columns of ``transition_log`` and place, level,
+    log_type, from_status, to_status, stage. What changes nothing, and what is refused, writes none."""
+    kind = F.substring_index("event", "@", 1)
+    rows = F.coalesce(*[F.when(kind == k, F.array(*[F.struct(F.lit(level).alias("level"), F.lit(t).alias("log_type")) for level, t in x])) for k, x in WORKFLOW_LOGS.items()])
+    part = lambda c, i: F.get(F.split(c, "/"), F.lit(i))
+    changed = log.filter(F.col("accepted") & (F.col("before") != F.col("after")))
+    return changed.select("*", F.posexplode(rows).alias("place", "_l")).select(*log.columns, "place", "_l.*", part("before", 0).alias("from_status"), part("after", 0).alias("to_status"), part("after", 2).alias("stage"))
+
+
 def retry_action(stage: Column) -> Column:
     """What a retry does for a task blocked at a stage; null is refused."""
     return F.when(stage == "comment_writeback", "write_comment").when(stage.isin("attachment_preparation", "parsing"), "prepare_attachments")

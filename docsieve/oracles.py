@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from docsieve.operators.state import workflow_moves
+from docsieve.operators.state import WORKFLOW_LOGS, workflow_moves
 from docsieve.plans import packs
 from docsieve.schemas import WORKFLOW_EVENTS
 
@@ -316,3 +316,12 @@ last AS (SELECT log_id, arg_max(row(code, said), event_id) AS l, 'c' || max(even
 met AS (SELECT coalesce(a.event_id, m.log_id) AS log_id, a.event_id IS NULL AS unknown, m.log_id IS NULL AS open, l[1] AS code, l[2] AS said, id FROM (SELECT event_id FROM events WHERE event_id % 5 = 0) a FULL JOIN last m ON m.log_id = a.event_id)
 SELECT log_id, CASE WHEN unknown THEN 'unknown_log' WHEN open THEN 'writing' WHEN code IS NULL THEN 'success' ELSE 'failed' END AS write_status, id AS external_comment_id, code AS error_code, said AS response_text FROM met"""
 ORACLES["rule_hits_by_table"] = ORACLES["rule_hits_all"]
+_LOGS = " UNION ALL ".join(f"SELECT '{k}' AS kind, {i} AS place, '{level}' AS level, '{t}' AS log_type" for k, x in WORKFLOW_LOGS.items() for i, (level, t) in enumerate(x))
+ORACLES["workflow_logs"] = f"""
+WITH e AS (
+  SELECT user_id, list({{'t': t, 'n': event_id, 'state': '', 'log': []::STRUCT(n BIGINT, t VARCHAR, a VARCHAR, b VARCHAR)[]}} ORDER BY ts, event_id) AS l FROM (SELECT *, {_ACTION} AS t FROM events WHERE event_type <> 'signup') GROUP BY 1),
+f AS (SELECT user_id, unnest(list_reduce(list_prepend({{'t': NULL, 'n': 0::BIGINT, 'state': '{_START}', 'log': []::STRUCT(n BIGINT, t VARCHAR, a VARCHAR, b VARCHAR)[]}}, l), lambda a, x:
+  {{'t': x.t, 'n': x.n, 'state': coalesce(substr({_MOVE}, 2), a.state), 'log': list_append(a.log, {{'n': x.n, 't': x.t, 'a': a.state, 'b': coalesce(substr({_MOVE}, 2), a.state)}})}}).log) AS g FROM e),
+logs AS ({_LOGS})
+SELECT user_id, g.n AS event_id, place, level, log_type, string_split(g.a, '/')[1] AS from_status, string_split(g.b, '/')[1] AS to_status, string_split(g.b, '/')[3] AS stage
+FROM f JOIN logs ON kind = string_split(g.t, '@')[1] WHERE g.a <> g.b"""

@@ -248,14 +248,23 @@ def streamed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.last_told(spark.read.parquet(f"{base}/out"), "user_id")
 
 
-@query
-def workflow_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _workflow_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guarded events of tasks: an event's number says which."""
-    start, moves = state.workflow_moves()
     names = F.array(*[F.lit(e) for e in WORKFLOW_EVENTS])
     action = F.element_at(names, (F.col("event_id") * 7 % len(WORKFLOW_EVENTS) + 1).cast("int"))
-    events = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") != "signup", action).alias("action"))
-    return state.fold(events, "user_id", ["ts", "event_id"], "action", start, moves)
+    return _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") != "signup", action).alias("action"))
+
+
+@query
+def workflow_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.fold(_workflow_events(spark, sf_dir), "user_id", ["ts", "event_id"], "action", *state.workflow_moves())
+
+
+@query
+def workflow_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log rows that the accepted events write."""
+    log = state.transition_log(_workflow_events(spark, sf_dir), "user_id", ["ts", "event_id"], "action", *state.workflow_moves())
+    return state.workflow_logs(log).select("user_id", "event_id", "place", "level", "log_type", "from_status", "to_status", "stage")
 
 
 @query
