@@ -6,6 +6,7 @@ import hashlib
 
 from docsieve.operators.state import WORKFLOW_LOGS, workflow_moves
 from docsieve.plans import packs
+from docsieve.queries import RAW_ANSWERS
 from docsieve.schemas import WORKFLOW_EVENTS
 
 _WS = "' ' || chr(9) || chr(13)"
@@ -325,3 +326,14 @@ f AS (SELECT user_id, unnest(list_reduce(list_prepend({{'t': NULL, 'n': 0::BIGIN
 logs AS ({_LOGS})
 SELECT user_id, g.n AS event_id, place, level, log_type, string_split(g.a, '/')[1] AS from_status, string_split(g.b, '/')[1] AS to_status, string_split(g.b, '/')[3] AS stage
 FROM f JOIN logs ON kind = string_split(g.t, '@')[1] WHERE g.a <> g.b"""
+ORACLES["checked_answers"] = """
+WITH raw AS (SELECT event_id, event_id % 12 AS k, replace(""" + "[" + ", ".join(_q(x) for x in RAW_ANSWERS) + """][event_id % 12 + 1], '#', event_id::VARCHAR) AS t, event_id % 17 = 0 AS late, event_id % 19 = 0 AS refused FROM events),
+read AS (SELECT *, CASE WHEN json_valid(t) THEN t::JSON END AS j FROM raw),
+told AS (
+  SELECT *, CASE WHEN j IS NULL THEN 'NOT_JSON' WHEN json_type(j) <> 'OBJECT' THEN 'NOT_AN_OBJECT' WHEN len(list_filter(json_keys(j), lambda x: x NOT IN ('decision', 'reason', 'block_start', 'block_end'))) > 0 THEN 'EXTRA:more'
+    WHEN json_type(j->'decision') <> 'VARCHAR' THEN 'TYPE:decision' WHEN j->>'decision' NOT IN ('hit', 'not_hit', 'uncertain') THEN 'CHOICE:decision' WHEN NOT list_contains(json_keys(j), 'reason') THEN 'MISSING:reason'
+    WHEN j->>'reason' = '' THEN 'EMPTY:reason' WHEN j->>'block_start' IS NOT NULL AND try_cast(j->>'block_start' AS BIGINT) IS NULL THEN 'TYPE:block_start'
+    WHEN j->>'decision' = 'hit' AND j->>'block_start' IS NULL THEN 'NEEDS:block_start' WHEN j->>'decision' = 'hit' AND j->>'block_end' IS NULL THEN 'NEEDS:block_end' END AS fault FROM read),
+done AS (SELECT *, CASE WHEN late THEN 'LlmProviderTimeoutError' WHEN refused THEN 'LlmProviderError' WHEN fault IS NOT NULL THEN 'LlmResponseValidationError' END AS failure FROM told)
+SELECT event_id, failure, CASE WHEN failure = 'LlmResponseValidationError' THEN fault END AS fault, CASE WHEN failure IS NULL THEN j->>'decision' END AS decision, CASE WHEN failure IS NULL THEN j->>'reason' END AS reason,
+  CASE WHEN failure IS NULL THEN try_cast(j->>'block_start' AS BIGINT) END AS block_start, CASE WHEN failure IS NULL THEN try_cast(j->>'block_end' AS BIGINT) END AS block_end FROM done"""

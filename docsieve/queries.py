@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsieve.functions import answers
 from docsieve.functions import text as tx
 from docsieve.functions.once import stage
 from docsieve.operators import containment, extract, history, intervals, results, review, rule_tables, semantic, state
@@ -285,6 +286,28 @@ def hybrid_parses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.hybrid_parses(asked, known.unionByName(again))
 
 
+#: Raw answers by the remainder of an event's number by twelve, with the number for ``#``.
+RAW_ANSWERS = (
+    '{"decision": "hit", "reason": "r#", "block_start": #, "block_end": #}', '{"decision": "not_hit", "reason": "none"}', '{"decision": "hit", "reason": "cut', '{"decision": "uncertain", "reason": "r", "more": #}',
+    '{"decision": "not_hit"}', '{"decision": "not_hit", "reason": ""}', '{"decision": "maybe", "reason": "r"}', '{"decision": "hit", "reason": "r", "block_start": "x", "block_end": 1}',
+    '{"decision": "hit", "reason": "r", "block_start": #}', "[#]", '{"decision": "uncertain", "reason": "原因", "block_start": "#", "block_end": null}', '{"decision": 7, "reason": "r"}',
+)
+
+
+@query
+def checked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw answers in their envelope, good and bad, each with the class of its failure and its first fault."""
+    n = F.col("event_id")
+    text = F.replace(F.element_at(F.array(*[F.lit(x) for x in RAW_ANSWERS]), (n % len(RAW_ANSWERS) + 1).cast("int")), F.lit("#"), n.cast("string"))
+    raw = F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("message"))).alias("choices")))
+    calls = _table(spark, sf_dir, "events").select("event_id", (n % 17 == 0).alias("late"), F.when(n % 19 == 0, 503).otherwise(200).alias("status"), raw.alias("raw"))
+    read = stage(calls.withColumn("v", answers.content(F.col("raw"))), c=answers.checked(F.col("v"), answers.DECISION))
+    failure = answers.outcome(F.col("late"), F.col("status"), F.col("c.error"))
+    part = lambda x: F.when(failure.isNull(), F.col(f"c.{x}")).alias(x)
+    fault = F.when(failure == "LlmResponseValidationError", F.col("c.error"))
+    return read.select("event_id", failure.alias("failure"), fault.alias("fault"), part("decision"), part("reason"), part("block_start"), part("block_end"))
+
+
 @query
 def ocr_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s = F.col("l_partkey"), F.col("l_suppkey")
