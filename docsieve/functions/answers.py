@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docsieve.functions.once import bind
 
 @dataclass(frozen=True)
 class Part:
@@ -62,51 +63,64 @@ def content(raw: Column) -> Column:
     """The answer within a provider's envelope ``choices[0].message.content``: its text parsed, or an object as it is.
     Null if the envelope is none, or the text is no JSON."""
     found = F.try_variant_get(F.try_parse_json(raw), "$.choices[0].message.content", "variant")
-    return F.when(_type(found) == "STRING", F.try_parse_json(F.try_variant_get(found, "$", "string"))).otherwise(found)
+    return bind(found, lambda x: F.when(_type(x) == "STRING", F.try_parse_json(F.try_variant_get(x, "$", "string"))).otherwise(x))
 
 
 def checked(v: Column, shape: Shape) -> Column:
     """(error, parts...) of an answer: the error is null for a good one, else its first fault, in this order: NOT_JSON,
     NOT_AN_OBJECT, EXTRA:keys, then of each key MISSING, TYPE, CHOICE or EMPTY, then NEEDS:key. Parts of bad answers are
     null. Whole numbers may come as digits in a text; a key that comes twice makes the answer no JSON."""
-    names = [p.name for p in shape.parts]
-    extra = F.array_sort(F.array_except(F.json_object_keys(F.to_json(v)), F.array(*[F.lit(n) for n in names])))
-    at = {p.name: F.try_variant_get(v, f"$.{p.name}", "variant") for p in shape.parts}
-    there = lambda p: F.array_contains(F.json_object_keys(F.to_json(v)), p.name)
-    empty = lambda x: x.isNull() | (_type(x) == "VOID")
-    value = {p.name: F.try_variant_get(at[p.name], "$", "string") if p.kind == "string" else _whole(at[p.name]) for p in shape.parts}
-    faults: list[tuple[Column, Column]] = [(v.isNull(), F.lit("NOT_JSON")), (_type(v) != "OBJECT", F.lit("NOT_AN_OBJECT")), (F.size(extra) > 0, F.concat(F.lit("EXTRA:"), F.array_join(extra, ",")))]
+    return bind(v, lambda x: bind(_read(x, shape), lambda r: bind(_fault(r, shape), lambda e: F.struct(e.alias("error"), *[F.when(e.isNull(), r[f"value_{p.name}"]).alias(p.name) for p in shape.parts]))))
+
+
+def _read(v: Column, shape: Shape) -> Column:
+    """What the faults are found from, each worked out once: the answer's own type and keys, and of each part its type and
+    value."""
+    out = [v.isNotNull().alias("there"), _type(v).alias("type"), F.json_object_keys(F.to_json(v)).alias("keys")]
+    for p in shape.parts:
+        at = F.try_variant_get(v, f"$.{p.name}", "variant")
+        value = F.try_variant_get(at, "$", "string") if p.kind == "string" else bind(at, _whole)
+        out += [_type(at).alias(f"type_{p.name}"), value.alias(f"value_{p.name}")]
+    return F.struct(*out)
+
+
+def _fault(r: Column, shape: Shape) -> Column:
+    extra = F.array_sort(F.array_except(r["keys"], F.array(*[F.lit(p.name) for p in shape.parts])))
+    faults: list[tuple[Column, Column]] = [(~r["there"], F.lit("NOT_JSON")), (r["type"] != "OBJECT", F.lit("NOT_AN_OBJECT")), (F.size(extra) > 0, F.concat(F.lit("EXTRA:"), F.array_join(extra, ",")))]
     for p in shape.parts:
-        x = at[p.name]
-        kind = ~(_type(x) == "STRING") if p.kind == "string" else value[p.name].isNull()
+        kind, value = r[f"type_{p.name}"], r[f"value_{p.name}"]
+        there, empty = F.array_contains(r["keys"], p.name), kind.isNull() | (kind == "VOID")
+        wrong = kind != "STRING" if p.kind == "string" else value.isNull()
         if p.required:
-            faults.append((~there(p), F.lit(f"MISSING:{p.name}")))
-        faults.append(((~empty(x) if p.nullable else there(p)) & (kind | empty(x)), F.lit(f"TYPE:{p.name}")))
+            faults.append((~there, F.lit(f"MISSING:{p.name}")))
+        faults.append(((~empty if p.nullable else there) & (wrong | empty), F.lit(f"TYPE:{p.name}")))
         if p.choices:
-            faults.append((~empty(x) & ~value[p.name].isin(*p.choices), F.lit(f"CHOICE:{p.name}")))
+            faults.append((~empty & ~value.isin(*p.choices), F.lit(f"CHOICE:{p.name}")))
         if p.least:
-            faults.append((~empty(x) & (F.length(value[p.name]) < p.least), F.lit(f"EMPTY:{p.name}")))
+            faults.append((~empty & (F.length(value) < p.least), F.lit(f"EMPTY:{p.name}")))
     for name, wanted, others in shape.needs:
         for other in others:
-            blank = value[other].isNull() | (value[other].cast("string") == "")
-            faults.append(((value[name] == wanted) & blank, F.lit(f"NEEDS:{other}")))
-    error = reduce(lambda out, f: F.when(f[0], f[1]).otherwise(out), reversed(faults), F.lit(None).cast("string"))
-    return F.struct(error.alias("error"), *[F.when(error.isNull(), value[n]).alias(n) for n in names])
+            value = r[f"value_{other}"]
+            faults.append(((r[f"value_{name}"] == wanted) & (value.isNull() | (value.cast("string") == "")), F.lit(f"NEEDS:{other}")))
+    return reduce(lambda out, f: F.when(f[0], f[1]).otherwise(out), reversed(faults), F.lit(None).cast("string"))
 
 
 def checked_items(v: Column, shape: Shape, key: str = "items") -> Column:
     """(error, items): an object with one list of answers, all of which must be good. The first bad one's fault comes with
     its place: ITEM:place:fault. A list that is missing or none is MISSING:key or TYPE:key."""
-    entries = F.try_variant_get(v, f"$.{key}", "array<variant>")
-    keys = F.json_object_keys(F.to_json(v))
-    done = F.transform(entries, lambda x: checked(x, shape))
-    placed = F.filter(F.transform(done, lambda x, i: F.when(x["error"].isNotNull(), F.concat(F.lit("ITEM:"), i.cast("string"), F.lit(":"), x["error"]))), lambda e: e.isNotNull())
-    extra = F.array_sort(F.array_except(keys, F.array(F.lit(key))))
-    error = (
-        F.when(v.isNull(), "NOT_JSON").when(_type(v) != "OBJECT", "NOT_AN_OBJECT").when(F.size(extra) > 0, F.concat(F.lit("EXTRA:"), F.array_join(extra, ",")))
-        .when(~F.array_contains(keys, key), f"MISSING:{key}").when(entries.isNull(), f"TYPE:{key}").otherwise(F.get(placed, F.lit(0)))
-    )
-    return F.struct(error.alias("error"), F.when(error.isNull(), done).alias("items"))
+    def read(x: Column) -> Column:
+        entries = F.try_variant_get(x, f"$.{key}", "array<variant>")
+        return F.struct(x.isNotNull().alias("there"), _type(x).alias("type"), F.json_object_keys(F.to_json(x)).alias("keys"), F.transform(entries, lambda e: checked(e, shape)).alias("done"))
+
+    def told(r: Column) -> Column:
+        placed = F.filter(F.transform(r["done"], lambda x, i: F.when(x["error"].isNotNull(), F.concat(F.lit("ITEM:"), i.cast("string"), F.lit(":"), x["error"]))), lambda e: e.isNotNull())
+        extra = F.array_sort(F.array_except(r["keys"], F.array(F.lit(key))))
+        return (
+            F.when(~r["there"], "NOT_JSON").when(r["type"] != "OBJECT", "NOT_AN_OBJECT").when(F.size(extra) > 0, F.concat(F.lit("EXTRA:"), F.array_join(extra, ",")))
+            .when(~F.array_contains(r["keys"], key), f"MISSING:{key}").when(r["done"].isNull(), f"TYPE:{key}").otherwise(F.get(placed, F.lit(0)))
+        )
+
+    return bind(v, lambda x: bind(read(x), lambda r: bind(told(r), lambda e: F.struct(e.alias("error"), F.when(e.isNull(), r["done"]).alias("items")))))
 
 
 def outcome(timed_out: Column, status: Column, error: Column) -> Column:
