@@ -337,3 +337,14 @@ told AS (
 done AS (SELECT *, CASE WHEN late THEN 'LlmProviderTimeoutError' WHEN refused THEN 'LlmProviderError' WHEN fault IS NOT NULL THEN 'LlmResponseValidationError' END AS failure FROM told)
 SELECT event_id, failure, CASE WHEN failure = 'LlmResponseValidationError' THEN fault END AS fault, CASE WHEN failure IS NULL THEN j->>'decision' END AS decision, CASE WHEN failure IS NULL THEN j->>'reason' END AS reason,
   CASE WHEN failure IS NULL THEN try_cast(j->>'block_start' AS BIGINT) END AS block_start, CASE WHEN failure IS NULL THEN try_cast(j->>'block_end' AS BIGINT) END AS block_end FROM done"""
+ORACLES["incremental_review"] = f"""{_REVIEW},
+texts AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN doc_id % 11 <> 0 THEN coalesce(CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || ' ' || chr(10) WHEN doc_id % 7 = 1 THEN 'Old. ' || text ELSE text END, '') END AS old FROM documents),
+parts AS (
+  SELECT *, length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 10 AS good, length(regexp_replace(old, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 10 AS old_good, trim(t) = '' AS failed,
+    CASE WHEN good THEN list_filter(string_split(t, chr(10)), lambda x: trim(x, {_WS}) <> '') WHEN NOT failed THEN list_filter([t], lambda x: trim(x, {_WS} || chr(10)) <> '') END AS b,
+    CASE WHEN old_good THEN list_filter(string_split(old, chr(10)), lambda x: trim(x, {_WS}) <> '') WHEN trim(old) <> '' THEN list_filter([old], lambda x: trim(x, {_WS} || chr(10)) <> '') END AS old_b,
+    CASE WHEN good THEN NULL ELSE 1 END AS page FROM texts),
+marked AS (
+  SELECT *, NOT good OR t NOT IN (SELECT old FROM parts WHERE old IS NOT NULL) AS read_again, b IS NOT NULL AND len(b) > 0 AND (b, page) NOT IN (SELECT (old_b, CASE WHEN old_good THEN NULL ELSE 1 END) FROM parts WHERE old_b IS NOT NULL) AS parsed_again FROM parts)
+SELECT doc_id, CASE WHEN b IS NOT NULL THEN overall_risk_level END AS overall_risk_level, CASE WHEN b IS NOT NULL THEN n END AS hit_count, CASE WHEN b IS NOT NULL THEN summary_text END AS summary_text,
+  read_again, parsed_again, CASE WHEN parsed_again THEN 5 ELSE 0 END::BIGINT AS evaluated_again, parsed_again AS result_again FROM marked JOIN results USING (doc_id)"""
