@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from docsieve.llm import surrogates
 
@@ -87,13 +89,76 @@ def test_phones_and_addresses_keep_what_they_must(spark):
 
 
 def test_many_names_and_full_formats(spark, monkeypatch):
-    """More surnames than names of three syllables, and a format whose values are all taken."""
-    monkeypatch.setattr(surrogates, "DRAWS", 4)
-    many = spark.range(60_000).selectExpr("'surname' as type", "concat('N', id) as entity")
+    """More surnames than names of three syllables, and formats whose values are all taken: they grow, and no entity
+    gets another's value."""
+    monkeypatch.setattr(surrogates, "FULL", 3)
+    many = spark.range(60_000).selectExpr("'name' as type", "concat('n', id) as entity")
     full = spark.range(1000).selectExpr("'secret' as type", "lpad(cast(id as string), 3, '0') as entity")
-    rows = surrogates.surrogates(many.unionByName(full), "k")
-    assert rows.count() == 61_000 == rows.select("type", "surrogate").distinct().count()
-    assert rows.filter("entity = surrogate").count() == 0 and rows.filter("type = 'secret' and length(surrogate) <> 3").count() == 0
+    capitals = spark.range(26).selectExpr("'secret' as type", "chr(65 + id) as entity")
+    net = spark.range(65536).selectExpr("'ip' as type", "concat('192.168.', id div 256, '.', id % 256) as entity")
+    rows = surrogates.surrogates(many.unionByName(full).unionByName(capitals).unionByName(net), "k")
+    n = 60_000 + 1000 + 26 + 65536
+    assert rows.count() == n == rows.select("type", "surrogate").distinct().count()
+    plain = rows.select("type", F.when(F.col("type") == "name", F.initcap("entity")).otherwise(F.col("entity")).alias("x"))
+    assert plain.join(rows.select("type", F.col("surrogate").alias("x")), ["type", "x"]).count() == 0
+    assert rows.filter("type = 'ip' and not surrogate like '10.%' and not surrogate like '192.168.%'").count() == 0
+
+
+def words(text):
+    return re.findall(r"[\w’'-]+", text)
+
+
+def test_names_of_any_shape(spark):
+    """Runs of titles, many parts, particles, capitals, initials, possessives and bare words leave nothing in clear."""
+    texts = [
+        "Mr. Karl Heinz Stein came.", "Prof. Dr. Karl Stein spoke. Stein left, and so did Karl Stein.", "Dr. med. Jane Roe and MR. KARL STEIN and Mr. Karl.",
+        "Frau Anna von der Berg rief an; Frau von Berg auch.", "Mrs. J. R. Wood's house. The Woodlands stay, Wood goes.", "Sir Stein’s dog. A stein of beer.", "Karl Stein is nobody here.",
+    ]
+    out = [r["text"] for r in sorted(surrogates.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect())]
+    a = re.fullmatch(r"Mr\. (\w+) (\w+) (\w+) came\.", out[0])
+    karl, heinz, stein = a.groups()
+    assert len({karl, heinz, stein}) == 3 and not {karl, heinz, stein} & {"Karl", "Heinz", "Stein"}
+    assert out[1] == f"Prof. Dr. {karl} {stein} spoke. {stein} left, and so did {karl} {stein}."
+    jane, roe = re.match(r"Dr\. med\. (\w+) (\w+) and ", out[2]).groups()
+    assert out[2].endswith(f"and MR. {karl.upper()} {stein.upper()} and Mr. {karl}.") and not {"Jane", "Roe"} & {jane, roe}
+    anna, berg = re.match(r"Frau (\w+) von der (\w+) rief", out[3]).groups()
+    assert out[3] == f"Frau {anna} von der {berg} rief an; Frau von {berg} auch." or "Berg" not in out[3]
+    wood = re.match(r"Mrs\. [A-Z]\. [A-Z]\. (\w+)'s house", out[4]).group(1)
+    assert out[4].endswith(f"The Woodlands stay, {wood} goes.") and not out[4].startswith("Mrs. J. R.")
+    assert out[5] == f"Sir {stein}’s dog. A stein of beer." and out[6] == texts[6]
+    assert anna.lower().endswith(tuple(surrogates._SYLLABLES["latin"][1].split())) and karl.lower().endswith(tuple(surrogates._SYLLABLES["latin"][2].split()))
+
+
+def test_account_numbers_keep_their_check(spark):
+    docs = spark.createDataFrame([(1, "DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432")], "doc_id long, text string")
+    out = surrogates.pseudonymise(docs, "k").first()["text"].split(" and ")
+    for old, new in zip(("DE89370400440532013000", "GB82WEST12345698765432"), out, strict=True):
+        plain = new.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 and plain != old and plain[:2] == old[:2]
+
+
+def test_generated_documents(spark):
+    """Mentions of many entities in all formats: nothing is left, equal entities stay equal and others apart."""
+    rng = random.Random(7)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: (rng.choice("BDFGHJKLMNPRSTVW") + "".join(rng.choice("aeiou") + rng.choice("bdgklmnprst") for _ in range(rng.randint(2, 3))))
+    make = {
+        "email": lambda: f"{name().lower()}.{digits(2)}@{name().lower()}.com", "ip": lambda: ".".join(str(rng.randint(11, 126)) for _ in range(4)), "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "phone": lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{digits(4)}", "name": lambda: f"Mr. {name()} {name()}", "secret": lambda: f"token: {name()}{digits(8)}",
+    }
+    pool = [(k, f()) for k, f in make.items() for _ in range(30)]
+    docs = [(i, [rng.choice(pool) for _ in range(rng.randint(1, 6))]) for i in range(200)]
+    rows = [(i, " und ".join(f"{m} |" for _, m in found)) for i, found in docs]
+    out = {r["doc_id"]: r for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    new = {}
+    for i, found in docs:
+        parts = [p.rstrip(" |") for p in out[i]["text"].split(" und ")]
+        assert len(parts) == len(found) == out[i]["_entities"]
+        for entity, text in zip(found, parts, strict=True):
+            assert new.setdefault(entity, text) == text
+    for (k, old), text in new.items():
+        assert old != text and (k not in ("ip", "ssn", "phone") or re.sub(r"\d", "0", old) == re.sub(r"\d", "0", text) or k == "ip")
+    assert len(set(new.values())) == len(new) and not {m for _, m in pool} & set(new.values())
 
 
 def test_shuffled_way_agrees(table, monkeypatch):
