@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.functions.once import stage
 from docsieve.operators import review
 from docsieve.operators.history import latest
 
@@ -97,9 +98,42 @@ def checkpoint_mark(parse: Column, rule_set: Column) -> Column:
 
 
 def reviewed_parses(parses: DataFrame, logs: DataFrame, rule_set: Column) -> DataFrame:
-    """The (task_id, contract_parse_id) whose rule run with this set of rules a log row of the task ends."""
-    own = logs.filter(F.col("log_type").isin(*CHECKPOINTS)).select("task_id", "log_content")
-    return parses.withColumn("_mark", checkpoint_mark(F.col("contract_parse_id"), rule_set)).join(own, "task_id").filter("contains(log_content, _mark)").select("task_id", "contract_parse_id").distinct()
+    """The (task_id, contract_parse_id) whose rule run with this set of rules a log row of the task ends. What a log row
+    covers is read from its text, so that logs meet parses by both ids."""
+    # the fixed wording of ``checkpoint_mark``
+    parts = [F.regexp_extract("log_content", r"ContractParse: ([0-9]+)，RuleSet: ([0-9a-f]+)，", i) for i in (1, 2)]
+    own = logs.filter(F.col("log_type").isin(*CHECKPOINTS)).select("task_id", parts[0].try_cast("bigint").alias("contract_parse_id"), parts[1].alias("_set"))
+    return own.filter(F.col("_set") == rule_set).select("task_id", "contract_parse_id").distinct().join(parses.select("task_id", "contract_parse_id").distinct(), ["task_id", "contract_parse_id"])
+
+
+_HITS = "array<struct<hit_id: bigint, rule_id: bigint, rule_version: string, rule_code: string, rule_name: string, risk_level: string, hit_message: string, suggestion: string>>"
+_EVALUATIONS = "array<struct<rule_id: bigint, rule_version: string, evaluation_fingerprint: string, evaluation_status: string, decision: string>>"
+
+
+def per_parse(parses: DataFrame, hits: DataFrame, evaluations: DataFrame, rules: DataFrame) -> DataFrame:
+    """``parses`` with the state their results follow from, in one grouping: current ``hits`` and latest ``evaluations``
+    as arrays (one for each rule at most), ``partial`` as in ``incomplete``, and the two fingerprints."""
+    kind = lambda types: types.removeprefix("array<").removesuffix(">")
+    names = lambda types: [x.split(":")[0].strip() for x in kind(types).removeprefix("struct<").removesuffix(">").split(",")]
+    latest_ = latest_evaluations(evaluations, rules)
+    named = current_hits(hits, evaluations, rules).join(rules.select("rule_id", "rule_code", "risk_level"), "rule_id")
+    none = lambda types: F.lit(None).cast(kind(types))
+    both = named.select("contract_parse_id", F.struct(*names(_HITS)).cast(kind(_HITS)).alias("h"), none(_EVALUATIONS).alias("e")).unionByName(
+        latest_.select("contract_parse_id", none(_HITS).alias("h"), F.struct(*names(_EVALUATIONS)).cast(kind(_EVALUATIONS)).alias("e"))
+    )
+    found = both.groupBy("contract_parse_id").agg(F.collect_list("h").alias("hits"), F.collect_list("e").alias("evaluations"))
+    met = parses.join(found, "contract_parse_id", "left")
+    met = stage(met, hits=F.coalesce("hits", F.array().cast(_HITS)), evaluations=F.coalesce("evaluations", F.array().cast(_EVALUATIONS)))
+    asked = rules.filter((F.col("rule_status") == "active") & (F.col("match_mode") == SEMANTIC)).agg(F.count("*").alias("_asked"))
+    settled = F.size(F.filter("evaluations", lambda e: (e["evaluation_status"] == "success") & ~e["decision"].eqNullSafe("uncertain")))
+    lines = lambda c, part: F.array_join(F.array_sort(F.transform(c, part)), "\n")
+    hit_text = lines("hits", lambda h: F.concat_ws("@", h["hit_id"].cast("string"), h["rule_id"].cast("string"), h["rule_version"]))
+    said = lines("evaluations", lambda e: F.concat_ws("@", e["rule_id"].cast("string"), e["rule_version"], e["evaluation_fingerprint"], e["evaluation_status"], F.coalesce(e["decision"], F.lit("None"))))
+    # fixed values: what stands between hits and evaluations in the digest
+    text = F.when(F.size("evaluations") == 0, hit_text).otherwise(F.concat(hit_text, F.lit("\n--semantic--\n"), said))
+    return met.withColumns({
+        "partial": settled < asked.scalar(), "rule_set_fingerprint": review.rule_set_fingerprint(rules).scalar(), "rule_hit_fingerprint": F.sha2(text, 256),
+    })
 
 
 def fingerprints(parses: DataFrame, current: DataFrame, evaluations: DataFrame, rules: DataFrame) -> DataFrame:
@@ -121,16 +155,12 @@ def review_results(
     result with open semantic rules is partial and says so: ``note`` ends its summary, and its comment after ``joiner``.
     ``hits`` need rule_name, hit_message and suggestion for the texts.
     """
-    current = current_hits(hits, evaluations, rules).join(rules.select("rule_id", "rule_code", "risk_level"), "rule_id")
-    marks = fingerprints(parses, current, evaluations, rules)
-    done = reviewed_parses(parses.select("task_id", "contract_parse_id"), logs, review.rule_set_fingerprint(rules).scalar())
+    met = per_parse(parses.select("task_id", "contract_parse_id"), hits, evaluations, rules)
+    done = reviewed_parses(parses, logs, review.rule_set_fingerprint(rules).scalar()).select("contract_parse_id", F.lit(True).alias("_done")).distinct()
     keys = ["contract_parse_id", "rule_set_fingerprint", "rule_hit_fingerprint"]
     usable = results.filter((F.col("review_version") == version) & F.col("review_status").isin(*USABLE)).groupBy(*keys).agg(F.max("review_result_id").alias("review_result_id"))
-    listed = current.groupBy("contract_parse_id").agg(F.collect_list(F.struct("hit_id", "rule_id", "rule_code", "rule_name", "risk_level", "hit_message", "suggestion")).alias("hits"))  # one for each rule at most
-    met = parses.select("task_id", "contract_parse_id").join(marks, "contract_parse_id").join(listed, "contract_parse_id", "left")
-    met = met.join(incomplete(parses, evaluations, rules), "contract_parse_id").join(usable, keys, "left").join(done.select("contract_parse_id", F.lit(True).alias("_done")), "contract_parse_id", "left")
-    empty = F.array().cast("array<struct<hit_id: bigint, rule_id: bigint, rule_code: string, rule_name: string, risk_level: string, hit_message: string, suggestion: string>>")
-    built = review.review(met.withColumn("hits", F.coalesce("hits", empty)), words)
+    met = met.join(done, "contract_parse_id", "left").join(usable, keys, "left")
+    built = review.review(met, words)
     outcome = F.when(F.col("_done").isNull(), "RULE_REVIEW_NOT_FOUND").when(F.col("review_result_id").isNotNull(), "REVIEW_RESULT_REUSED").otherwise("REVIEW_RESULT_CREATED")
     made = F.col("outcome") == "REVIEW_RESULT_CREATED"
     text = lambda c, end: F.when(made, F.concat(c, F.when(F.col("partial"), F.lit(end)).otherwise("")))

@@ -495,7 +495,7 @@ class ReviewTables:
         mark = results.checkpoint_mark(F.col("contract_parse_id"), review.rule_set_fingerprint(self.rules).scalar())
         kind = F.when(F.col("contract_parse_id") % 5 == 0, "RULE_REVIEW_STARTED").otherwise("RULE_REVIEW_COMPLETED")
         self.logs = orders.select("task_id", kind.alias("log_type"), F.concat(F.lit("done, "), mark, F.lit("hits")).alias("log_content"))
-        marks = results.fingerprints(orders, self.current(), self.evaluations, self.rules).filter("contract_parse_id % 4 = 1")
+        marks = results.per_parse(orders.filter("contract_parse_id % 4 = 1"), self.hits, self.evaluations, self.rules)
         self.results = marks.select((F.col("contract_parse_id") + 7).alias("review_result_id"), "contract_parse_id", F.when(F.col("contract_parse_id") % 3 == 0, "failed").otherwise("completed").alias("review_status"), F.lit("1.0").alias("review_version"), "rule_set_fingerprint", "rule_hit_fingerprint")
 
     def current(self) -> DataFrame:
@@ -566,7 +566,7 @@ def results_with_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def current_result_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per parse the latest result whose fingerprints are current, whatever its version."""
     t = ReviewTables(spark, sf_dir)
-    marks = results.fingerprints(t.parses, t.current(), t.evaluations, t.rules)
+    marks = results.per_parse(t.parses, t.hits, t.evaluations, t.rules)
     more = t.results.withColumn("review_result_id", F.col("review_result_id") + 1_000_000_000).withColumn("rule_hit_fingerprint", F.when(F.col("contract_parse_id") % 8 == 1, F.lit("old")).otherwise(F.col("rule_hit_fingerprint")))
     return history.select_result(t.results.unionByName(more), marks)
 
