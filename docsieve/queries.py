@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -474,7 +475,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class ReviewTables:
-    """Review tables of the size of ``lineitem``: an order is a parse, its line numbers are hits of rule 1 to 7."""
+    """Review tables of the size of ``lineitem``, written as tables: an order is a parse, its line numbers are hits of rule
+    1 to 7."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         lines = _lines(spark, sf_dir)
@@ -482,21 +484,24 @@ class ReviewTables:
         n, hit_id = F.col("l_linenumber"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint")
         name = F.concat(F.lit("rule "), n.cast("string"))
         version = F.when(n >= 6, "1.0-abc").when(F.col("l_returnflag") == "R", "0.9").otherwise("1.0")
-        self.hits = lines.select(hit_id.alias("hit_id"), F.col("l_orderkey").cast("bigint").alias("contract_parse_id"), n.cast("bigint").alias("rule_id"), version.alias("rule_version"), name.alias("rule_name"), F.concat(F.lit("hit of "), name).alias("hit_message"), F.concat(F.lit("mend "), name).alias("suggestion"))
+        self.hits = saved(lines.select(hit_id.alias("hit_id"), F.col("l_orderkey").cast("bigint").alias("contract_parse_id"), n.cast("bigint").alias("rule_id"), version.alias("rule_version"), name.alias("rule_name"), F.concat(F.lit("hit of "), name).alias("hit_message"), F.concat(F.lit("mend "), name).alias("suggestion")))
         semantic_ = lines.filter("l_linenumber >= 6")
         kind = F.col("l_partkey") % 3
         later = lambda a, b, c: F.when(kind == 0, a).when(kind == 1, b).otherwise(c)
         common = [F.col("l_orderkey").cast("bigint").alias("contract_parse_id"), n.cast("bigint").alias("rule_id"), F.when(F.col("l_suppkey") % 10 == 0, "0.9").otherwise("1.0").alias("rule_version"), F.concat(F.lit("fp"), (F.col("l_suppkey") % 2).cast("string")).alias("evaluation_fingerprint")]
         first = semantic_.select((hit_id * 2).alias("evaluation_id"), *common, F.lit("success").alias("evaluation_status"), F.lit("hit").alias("decision"), hit_id.alias("hit_id"))
         second = semantic_.filter("l_linestatus = 'F'").select((hit_id * 2 + 1).alias("evaluation_id"), *common, later("success", "degraded", "success").alias("evaluation_status"), later(F.when(F.col("l_suppkey") % 4 != 0, "not_hit"), F.lit(None), "uncertain").alias("decision"), F.lit(None).cast("bigint").alias("hit_id"))
-        self.evaluations = first.unionByName(second)
+        self.evaluations = saved(first.unionByName(second))
         orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("contract_parse_id"), F.col("o_custkey").cast("bigint").alias("task_id"))
         self.parses = orders
         mark = results.checkpoint_mark(F.col("contract_parse_id"), review.rule_set_fingerprint(self.rules).scalar())
         kind = F.when(F.col("contract_parse_id") % 5 == 0, "RULE_REVIEW_STARTED").otherwise("RULE_REVIEW_COMPLETED")
         self.logs = orders.select("task_id", kind.alias("log_type"), F.concat(F.lit("done, "), mark, F.lit("hits")).alias("log_content"))
-        marks = results.per_parse(orders.filter("contract_parse_id % 4 = 1"), self.hits, self.evaluations, self.rules)
-        self.results = marks.select((F.col("contract_parse_id") + 7).alias("review_result_id"), "contract_parse_id", F.when(F.col("contract_parse_id") % 3 == 0, "failed").otherwise("completed").alias("review_status"), F.lit("1.0").alias("review_version"), "rule_set_fingerprint", "rule_hit_fingerprint")
+
+    @cached_property
+    def results(self) -> DataFrame:
+        marks = results.per_parse(self.parses.filter("contract_parse_id % 4 = 1"), self.hits, self.evaluations, self.rules)
+        return saved(marks.select((F.col("contract_parse_id") + 7).alias("review_result_id"), "contract_parse_id", F.when(F.col("contract_parse_id") % 3 == 0, "failed").otherwise("completed").alias("review_status"), F.lit("1.0").alias("review_version"), "rule_set_fingerprint", "rule_hit_fingerprint"))
 
     def current(self) -> DataFrame:
         return results.current_hits(self.hits, self.evaluations, self.rules)
