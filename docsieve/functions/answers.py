@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docsieve.functions.once import bind
+from docsieve.functions.text import strip
 
 @dataclass(frozen=True)
 class Part:
@@ -129,6 +130,18 @@ def outcome(timed_out: Column, status: Column, error: Column) -> Column:
     return F.when(timed_out, "LlmProviderTimeoutError").when(status.isNull() | (status >= 400), "LlmProviderError").when(error.isNotNull(), "LlmResponseValidationError")
 
 
+def valid_response(raw: Column) -> Column:
+    """Whether the answer to a written comment is an object with ``success`` true and texts that are not blank for
+    ``external_comment_id`` and ``message``."""
+    def good(v: Column) -> Column:
+        part = lambda n: F.try_variant_get(v, f"$.{n}", "variant")
+        filled = lambda n: bind(part(n), lambda x: (_type(x) == "STRING") & (strip(F.try_variant_get(x, "$", "string")) != ""))
+        yes = bind(part("success"), lambda x: (_type(x) == "BOOLEAN") & F.try_variant_get(x, "$", "boolean"))
+        return F.coalesce((_type(v) == "OBJECT") & yes & filled("external_comment_id") & filled("message"), F.lit(False))
+
+    return bind(F.try_parse_json(raw), good)
+
+
 def compact_json(*columns: Column | str) -> Column:
     """The columns as JSON without spaces; letters beyond ASCII stay, nulls are written."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

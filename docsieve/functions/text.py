@@ -69,6 +69,16 @@ def safe_name(c: Column, fallback: str) -> Column:
     return F.when(clean.isin("", ".", "..") | clean.isNull(), F.lit(fallback)).otherwise(clean)
 
 
+def storage_path(root: Column, code: Column, attachment: Column, name: Column) -> Column:
+    """Where an attachment's file is kept: ``root/code/attachment_name`` of safe names. An error if that lies anywhere but
+    right in the folder of its approval."""
+    # fixed values: what stands for a part of which nothing is left
+    folder = F.concat_ws("/", F.regexp_replace(root, r"/+\z", ""), safe_name(code, "unknown_approval"))
+    path = F.concat_ws("/", folder, F.concat_ws("_", safe_name(attachment, "attachment"), safe_name(name, "contract_file")))
+    within = F.substring_index(path, "/", -1).isin(".", "..") | ~path.startswith(F.concat(folder, F.lit("/"))) | F.substr(path, F.length(folder) + 2).contains("/")
+    return F.when(within, F.raise_error(F.concat(F.lit("the path leaves the folder of its approval: "), path)).cast("string")).otherwise(path)
+
+
 def schema_name(c: Column) -> Column:
     return F.substring(F.regexp_replace(c, r"[^A-Za-z0-9_-]", "_"), 1, 64)
 

@@ -108,6 +108,11 @@ def content_events(rows: DataFrame, keys: list[str], order: list[str], digest: s
     return ordered_scan(rows, keys, order, {"_before": last_before(F.col(digest), order)}).withColumn("event", event).drop("_before")
 
 
+def listed(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``rows`` plus ``place``, their number from 1 in the list of their key. A list may have any number of rows."""
+    return ordered_scan(rows, keys, order, {"place": position()})
+
+
 def lineage(parses: DataFrame, snapshots: DataFrame, attachments: DataFrame) -> DataFrame:
     """Parses with the task they belong to: parse to snapshot to attachment."""
     return parses.join(snapshots, "document_read_snapshot_id").join(attachments, "attachment_id")

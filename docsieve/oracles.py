@@ -6,7 +6,7 @@ import hashlib
 
 from docsieve.operators.state import WORKFLOW_LOGS, workflow_moves
 from docsieve.plans import packs
-from docsieve.queries import RAW_ANSWERS
+from docsieve.queries import RAW_ANSWERS, WRITE_RESPONSES
 from docsieve.schemas import WORKFLOW_EVENTS
 
 _WS = "' ' || chr(9) || chr(13)"
@@ -181,7 +181,7 @@ ORACLES: dict[str, str] = {
     "latest_per_key": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1",
     "latest_order_per_customer": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1",
     "latest_supersedes": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_type IN ('error', 'view')) WHERE rn = 1 AND event_type = 'error'",
-    "main_choice_by_priority": "SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY p, o_orderkey) AS rn FROM (SELECT *, CASE WHEN contains(o_orderpriority, 'URGENT') THEN 1 WHEN o_orderstatus = 'F' THEN 2 END AS p FROM orders) WHERE p IS NOT NULL) WHERE rn = 1",
+    "main_choice_by_priority": "SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY p, o_orderkey) AS rn FROM (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 1 WHEN contains(lower(o_orderpriority), 'urgent') OR contains(lower(o_orderpriority), 'high') THEN 2 END AS p FROM orders) WHERE p IS NOT NULL) WHERE rn = 1",
     "reuse_vs_new": "SELECT doc_id, first_id, CASE WHEN doc_id = first_id THEN 'created' ELSE 'reused' END AS outcome FROM (SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY sha256(text)) END AS first_id FROM documents)",
     "reuse_against_history": "SELECT doc_id, CASE WHEN sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) THEN 'reused' ELSE 'created' END AS outcome FROM documents WHERE doc_id % 2 = 1",
     "seed_missing_only": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 2)",
@@ -348,3 +348,12 @@ marked AS (
   SELECT *, NOT good OR t NOT IN (SELECT old FROM parts WHERE old IS NOT NULL) AS read_again, b IS NOT NULL AND len(b) > 0 AND (b, page) NOT IN (SELECT (old_b, CASE WHEN old_good THEN NULL ELSE 1 END) FROM parts WHERE old_b IS NOT NULL) AS parsed_again FROM parts)
 SELECT doc_id, CASE WHEN b IS NOT NULL THEN overall_risk_level END AS overall_risk_level, CASE WHEN b IS NOT NULL THEN n END AS hit_count, CASE WHEN b IS NOT NULL THEN summary_text END AS summary_text,
   read_again, parsed_again, CASE WHEN parsed_again THEN 5 ELSE 0 END::BIGINT AS evaluated_again, parsed_again AS result_again FROM marked JOIN results USING (doc_id)"""
+ORACLES["storage_paths"] = r"""
+SELECT page_id, '/store/' || ['A 1', 'unknown_approval', 'b_c', 'unknown_approval'][page_id % 4 + 1] || '/' || page_id || '_' || CASE WHEN n IN ('', '.', '..') THEN 'contract_file' ELSE n END AS path FROM (
+  SELECT page_id, regexp_replace(trim(regexp_replace(string_split(replace(url || '?a=1*.', '\\', '/'), '/')[-1], '[<>:"/\\|?*\x00-\x1f]', '_', 'g')), '[. ]+$', '') AS n FROM pages)"""
+ORACLES["listed_events"] = "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events"
+ORACLES["write_responses"] = """
+SELECT event_type, coalesce(json_type(j) = 'OBJECT' AND json_type(j->'success') = 'BOOLEAN' AND (j->>'success') = 'true' AND json_type(j->'external_comment_id') = 'VARCHAR' AND trim(j->>'external_comment_id') <> ''
+  AND json_type(j->'message') = 'VARCHAR' AND trim(j->>'message') <> '', false) AS valid, count(*) AS n
+FROM (SELECT event_type, CASE WHEN json_valid(t) THEN t::JSON END AS j FROM (SELECT event_type, """ + "[" + ", ".join(_q(x) for x in WRITE_RESPONSES) + """][event_id % """ + str(len(WRITE_RESPONSES)) + """ + 1] AS t FROM events)) GROUP BY 1, 2"""
+ORACLES["paged_pull"] = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5000"

@@ -17,6 +17,7 @@ from docsieve.operators import containment, extract, history, intervals, results
 from docsieve.operators.segment import lines, runs, sections
 from docsieve.plans import packs, recompute, review_plan
 from docsieve.schemas import RULES, WORKFLOW_EVENTS
+from docsieve.sources import paged
 from docsieve.sources.shared import saved, shared_dir
 from docsieve.sources.tables import spread
 from docsieve.sources.tables import table as _table
@@ -158,7 +159,7 @@ def latest_supersedes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def main_choice_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")
-    ladder = F.when(F.col("o_orderpriority").contains("URGENT"), 1).when(F.col("o_orderstatus") == "F", 2)
+    ladder = history.main_document(F.col("o_orderpriority"), F.col("o_orderstatus") == "F", ("urgent", "HIGH"))
     return history.choose_by_priority(orders, "o_custkey", ladder, "o_orderkey").select("o_custkey", "o_orderkey", "o_orderpriority")
 
 
@@ -309,6 +310,13 @@ def checked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("event_id", failure.alias("failure"), fault.alias("fault"), part("decision"), part("reason"), part("block_start"), part("block_end"))
 
 
+#: Answers to a written comment, the first two of them good.
+WRITE_RESPONSES = (
+    '{"success": true, "external_comment_id": "c1", "message": "ok"}', '{"success": true, "external_comment_id": " c ", "message": "写入", "more": 1}', '{"success": 1, "external_comment_id": "c", "message": "ok"}',
+    '{"success": true, "external_comment_id": " ", "message": "ok"}', '{"success": true, "external_comment_id": 7, "message": "ok"}', '{"success": true, "external_comment_id": "c"}', "[true]", "no json", '{"success": "true", "external_comment_id": "c", "message": "ok"}',
+)
+
+
 @query
 def ocr_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s = F.col("l_partkey"), F.col("l_suppkey")
@@ -390,6 +398,34 @@ def filename_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", tx.safe_name(F.concat("url", F.lit("?a=1*.")), "file").alias("name"), tx.schema_name(F.col("url")).alias("schema_name"))
 
 
+@query
+def storage_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    code = F.element_at(F.array(*[F.lit(x) for x in ("A 1", "..", "a/b:c", " ")]), (F.col("page_id") % 4 + 1).cast("int"))
+    return pages.select("page_id", tx.storage_path(F.lit("/store/"), code, F.col("page_id").cast("string"), F.concat("url", F.lit("?a=1*."))).alias("path"))
+
+
+@query
+def listed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.listed(_table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], ["event_id"])
+
+
+@query
+def write_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to written comments, good and bad, by the remainder of an event's number."""
+    raw = F.element_at(F.array(*[F.lit(x) for x in WRITE_RESPONSES]), (F.col("event_id") % len(WRITE_RESPONSES) + 1).cast("int"))
+    return _table(spark, sf_dir, "events").select("event_type", raw.alias("raw")).select("event_type", answers.valid_response(F.col("raw")).alias("valid")).groupBy("event_type", "valid").agg(F.count("*").alias("n"))
+
+
+@query
+def paged_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 5,000 of the orders as a paged source has them, pulled with that limit."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    folder = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/docsieve-pages-{uuid.uuid4().hex}"
+    paged.export(orders, "o_orderkey", folder, 16)
+    return paged.pending(spark, orders._jdf.schema().toDDL(), 5000, path=folder, key="o_orderkey")
+
+
 @query
 def date_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, "2026/99/99").otherwise(F.date_format("o_orderdate", "yyyy/M/d")).alias("written"))

@@ -37,19 +37,28 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", file_type(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("file_type"), "content", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
 
 
-def _words(part: ElementTree.Element) -> str:
-    """The text of one paragraph: runs with their tabs and line breaks."""
+def _run(run: ElementTree.Element) -> str:
+    """The text of a run: its own tabs and line breaks, a hyphen for one that does not break; page and column breaks, and
+    what stands in drawings and text boxes, are no text of it."""
     out = []
-    for x in part.iter():
+    for x in run:
         if x.tag == f"{_W}t":
             out.append(x.text or "")
-        elif x.tag == f"{_W}tab" and x.get(f"{_W}val") is None and x.get(f"{_W}pos") is None:
+        elif x.tag in (f"{_W}tab", f"{_W}ptab"):
             out.append("\t")
-        elif x.tag in (f"{_W}br", f"{_W}cr"):
+        elif x.tag == f"{_W}cr" or x.tag == f"{_W}br" and x.get(f"{_W}type", "textWrapping") == "textWrapping":
             out.append("\n")
+        elif x.tag == f"{_W}noBreakHyphen":
+            out.append("-")
     return "".join(out)
 
 
+def _words(part: ElementTree.Element) -> str:
+    """The text of one paragraph: its runs and those of its links. Runs that a change inserts or deletes are left out."""
+    runs = [r for x in part if x.tag in (f"{_W}r", f"{_W}hyperlink") for r in ([x] if x.tag == f"{_W}r" else x.findall(f"{_W}r"))]
+    return "".join(map(_run, runs))
+
+
 def _rows(table: ElementTree.Element) -> str:
     """Rows as lines, cells set apart by tabs; a cell that spans columns stands in each, blank rows are left out."""
     lines: list[str] = []
