@@ -67,6 +67,11 @@ def hybrid_version(version: str, fingerprint: Column) -> Column:
     return F.concat(F.lit(version + "-"), F.substring(fingerprint, 1, 12))
 
 
+def hybrid_version_of(version: Column, fingerprint: Column) -> Column:
+    """The version of what follows from a rule's version and an evaluation's fingerprint."""
+    return F.concat(version, F.lit("-"), F.substring(fingerprint, 1, 12))
+
+
 def hybrid_parses(asked: DataFrame, known: DataFrame) -> DataFrame:
     """What asking a model about each read comes to: (document_read_snapshot_id, log_type, contract_parse_id,
     parse_status).

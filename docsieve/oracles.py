@@ -6,6 +6,7 @@ import hashlib
 
 from docsieve.operators.state import WORKFLOW_LOGS, workflow_moves
 from docsieve.plans import packs
+from docsieve.plans.rule_run import SKIPPED
 from docsieve.queries import RAW_ANSWERS, WRITE_RESPONSES
 from docsieve.schemas import WORKFLOW_EVENTS
 
@@ -357,3 +358,36 @@ SELECT event_type, coalesce(json_type(j) = 'OBJECT' AND json_type(j->'success')
   AND json_type(j->'message') = 'VARCHAR' AND trim(j->>'message') <> '', false) AS valid, count(*) AS n
 FROM (SELECT event_type, CASE WHEN json_valid(t) THEN t::JSON END AS j FROM (SELECT event_type, """ + "[" + ", ".join(_q(x) for x in WRITE_RESPONSES) + """][event_id % """ + str(len(WRITE_RESPONSES)) + """ + 1] AS t FROM events)) GROUP BY 1, 2"""
 ORACLES["paged_pull"] = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5000"
+_RULE_FP = hashlib.sha256(b"1.0|1.0|p|m").hexdigest()
+_RUN = f"""{_REVIEW},
+asked AS (SELECT * FROM (VALUES (101::BIGINT, 'ASKED_1', 'asked 1', 'high', 'the_part'), (102, 'ASKED_2', 'asked 2', 'medium', 'of_part'), (103, 'ASKED_3', 'asked 3', 'low', 'and_part')) t(rule_id, rule_code, rule_name, risk_level, field)),
+grid AS (SELECT f.doc_id, r.*, status, block_start, block_end, (f.doc_id % 4)::INTEGER AS s, (f.doc_id % 4 + f.doc_id % 3)::INTEGER AS e, f.doc_id + r.rule_id - 100 AS k FROM facts f JOIN asked r ON r.field = f.field),
+met AS (SELECT g.doc_id, g.rule_id, any_value(g.rule_code) AS rule_code, any_value(g.rule_name) AS rule_name, any_value(g.risk_level) AS risk_level, any_value(g.status) AS status, any_value(g.k) AS k, any_value(s >= block_start AND e <= block_end) AND count(b.idx) = any_value(e - s + 1) AS good, string_agg(b.t, chr(10) ORDER BY b.idx) AS txt FROM grid g LEFT JOIN blocks b ON b.doc_id = g.doc_id AND b.idx BETWEEN s AND e GROUP BY 1, 2),
+said AS (SELECT *, CASE WHEN k % 13 = 0 THEN NULL WHEN k % 5 = 0 THEN 'not_hit' WHEN k % 7 = 0 THEN 'uncertain' WHEN k % 11 = 0 THEN NULL ELSE 'hit' END AS d FROM met),
+judged AS (SELECT *, CASE WHEN status <> 'found' THEN 'skipped' WHEN d IS NULL OR k % 17 = 0 THEN 'degraded' WHEN d = 'hit' AND NOT coalesce(good, false) THEN 'rejected' ELSE 'success' END AS st FROM said),
+told AS (
+  SELECT *, rule_id = 101 AND doc_id % 4 = 0 AND doc_id % 3 <> 0 AND doc_id % 8 <> 0 AS reused, CASE WHEN st IN ('skipped', 'rejected') THEN 'uncertain' WHEN st = 'degraded' THEN NULL ELSE d END AS decision, st = 'success' AND coalesce(d = 'hit', false) AS is_hit,
+    CASE WHEN k % 13 <> 0 THEN 'reason ' || k END AS reason FROM judged),
+run_hits AS (
+  SELECT doc_id, rule_id, rule_code, rule_name, risk_level, hit_message, CASE WHEN doc_id % 3 = 0 AND rule_id <= 3 THEN doc_id * 1000 + rule_id END AS hit_id, false AS sem, NOT (doc_id % 3 = 0 AND rule_id <= 3) AS created, rule_version, actual_value, evidence_text FROM hits
+  UNION ALL SELECT doc_id, rule_id, rule_code, rule_name, risk_level, reason, NULL, true, true, '1.0-{_RULE_FP[:12]}', 'semantic_hit', coalesce(txt, '') FROM told WHERE is_hit AND NOT reused
+  UNION ALL SELECT doc_id, rule_id, rule_code, rule_name, risk_level, reason, doc_id * 1000 + 101, true, false, NULL, NULL, NULL FROM told WHERE reused AND doc_id % 5 <> 0)"""
+ORACLES["rule_run_reviews"] = f"""{_RUN},
+a AS (
+  SELECT doc_id, count(*) FILTER (created) AS created_hit_count, count(*) FILTER (NOT created) AS reused_hit_count, count(*) AS hit_count, count(*) FILTER (risk_level = 'high') AS high_count, count(*) FILTER (risk_level = 'medium') AS medium_count,
+    count(*) FILTER (risk_level = 'low') AS low_count, string_agg(rule_name || ': ' || coalesce(hit_message, ''), chr(10) ORDER BY hit_id NULLS LAST, sem, rule_id) AS focus_points, string_agg(rule_code, ',' ORDER BY hit_id NULLS LAST, sem, rule_id) AS rule_codes FROM run_hits GROUP BY 1),
+e AS (
+  SELECT doc_id, count(*) FILTER (ev = 'evaluated') AS semantic_evaluated_count, count(*) FILTER (ev = 'degraded') AS semantic_degraded_count, count(*) FILTER (ev = 'uncertain') AS semantic_uncertain_count, count(*) FILTER (ev = 'reused') AS semantic_reused_count
+  FROM (SELECT doc_id, CASE WHEN reused THEN 'reused' WHEN st = 'degraded' THEN 'degraded' WHEN decision = 'uncertain' THEN 'uncertain' ELSE 'evaluated' END AS ev FROM told) GROUP BY 1)
+SELECT doc_id, coalesce(created_hit_count, 0)::BIGINT AS created_hit_count, coalesce(reused_hit_count, 0)::BIGINT AS reused_hit_count, coalesce(hit_count, 0)::BIGINT AS hit_count, coalesce(high_count, 0)::BIGINT AS high_count, coalesce(medium_count, 0)::BIGINT AS medium_count, coalesce(low_count, 0)::BIGINT AS low_count, coalesce(semantic_evaluated_count, 0)::BIGINT AS semantic_evaluated_count, coalesce(semantic_degraded_count, 0)::BIGINT AS semantic_degraded_count, coalesce(semantic_uncertain_count, 0)::BIGINT AS semantic_uncertain_count, coalesce(semantic_reused_count, 0)::BIGINT AS semantic_reused_count, 0::BIGINT AS skipped_future_llm_count, CASE WHEN high_count > 0 THEN 'high' WHEN medium_count > 0 THEN 'medium' ELSE 'low' END AS overall_risk_level, coalesce(focus_points, '') AS focus_points, coalesce(rule_codes, '') AS rule_codes,
+  CASE WHEN reused_hit_count > 0 AND created_hit_count = 0 THEN 'RULE_REVIEW_REUSED' ELSE 'RULE_REVIEW_COMPLETED' END AS log_type FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN e USING (doc_id)"""
+ORACLES["rule_run_evaluations"] = f"""{_RUN}
+SELECT doc_id, rule_id, '1.0' AS rule_version, '{_RULE_FP}' AS evaluation_fingerprint, st AS evaluation_status, decision, CASE WHEN st = 'skipped' THEN {_q(SKIPPED)} WHEN st <> 'degraded' THEN reason END AS reason,
+  '{{"provider":"p","model":"m","evaluator_version":"1.0","rule_code":"' || rule_code || '","error_type":' || CASE WHEN st <> 'degraded' THEN 'null' WHEN k % 17 = 0 AND k % 13 <> 0 THEN '"timeout"' ELSE '"LLM_PROVIDER_NOT_CONFIGURED"' END
+    || ',"error_message":' || CASE WHEN st = 'degraded' AND k % 17 = 0 AND k % 13 <> 0 THEN '"timeout"' ELSE 'null' END || '}}' AS metadata_json, CASE WHEN is_hit THEN '1.0-{_RULE_FP[:12]}' END AS hit_version FROM told WHERE NOT reused"""
+ORACLES["rule_run_stored_hits"] = f"""{_RUN}
+SELECT doc_id, rule_id, rule_version, sem AS is_semantic, actual_value, hit_message, sha256(evidence_text) AS evidence_sha256 FROM run_hits WHERE created"""
+ORACLES["rule_run_logs"] = f"""{_RUN}
+SELECT rule_code, CASE WHEN t IN ('LLM_RULE_EVALUATION_DEGRADED', 'LLM_RULE_SKIPPED_NO_CLAUSE', 'LLM_RULE_EVIDENCE_INVALID') THEN 'warning' ELSE 'info' END AS level, t AS log_type, count(*) AS n FROM (
+  SELECT rule_code, CASE WHEN reused THEN 'LLM_RULE_EVALUATION_REUSED' WHEN st = 'degraded' THEN 'LLM_RULE_EVALUATION_DEGRADED' WHEN st = 'skipped' THEN 'LLM_RULE_SKIPPED_NO_CLAUSE' WHEN st = 'rejected' THEN 'LLM_RULE_EVIDENCE_INVALID'
+    WHEN decision = 'uncertain' THEN 'LLM_RULE_UNCERTAIN' WHEN is_hit THEN 'LLM_RULE_HIT_CREATED' ELSE 'LLM_RULE_NOT_HIT' END AS t FROM told) GROUP BY 1, 2, 3"""

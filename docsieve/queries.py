@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from docsieve.functions import answers
 from docsieve.functions import text as tx
 from docsieve.functions.once import stage
-from docsieve.operators import containment, extract, history, intervals, results, review, rule_tables, semantic, state
+from docsieve.operators import containment, extract, history, intervals, results, review, rule_tables, rules, semantic, state
 from docsieve.operators.segment import lines, runs, sections
-from docsieve.plans import packs, recompute, review_plan
+from docsieve.plans import packs, recompute, review_plan, rule_run
 from docsieve.schemas import RULES, WORKFLOW_EVENTS
 from docsieve.sources import paged
 from docsieve.sources.shared import saved, shared_dir
@@ -504,6 +504,52 @@ def semantic_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("rule_id", "evaluation_status", "decision", "is_hit")
 
 
+class RuleRunTables:
+    """A rule run over all documents: the rules of the corpus and three semantic ones, with answers that follow from the
+    ids, the hits of every third document and evaluations of every fourth from an earlier run."""
+
+    PROVIDER = rule_run.Provider("p", "m")
+    RULES = (*packs.CORPUS_RULES, *(rules.Rule(100 + i, f"ASKED_{i}", f"asked {i}", level, "llm_semantic", {"target_clause": c}, "Ask.") for i, c, level in ((1, "the_part", "high"), (2, "of_part", "medium"), (3, "and_part", "low"))))
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        docs, doc = _docs(spark, sf_dir), F.col("doc_id")
+        n, at = doc + F.col("rule_id") - 100, (doc % 4).cast("int")
+        asked = docs.select("doc_id", F.explode(F.array(*[F.lit(i).cast("bigint") for i in (101, 102, 103)])).alias("rule_id"))
+        decision = F.when(n % 5 == 0, "not_hit").when(n % 7 == 0, "uncertain").when(n % 11 == 0, None).otherwise("hit")
+        error = F.when(n % 17 == 0, "timeout")
+        answers_ = asked.filter(n % 13 != 0).select("doc_id", "rule_id", decision.alias("decision"), F.concat(F.lit("reason "), n.cast("string")).alias("reason"), at.alias("block_start"), (at + (doc % 3).cast("int")).alias("block_end"), error.alias("error"), error.alias("error_message"))
+        hits = docs.filter("doc_id % 3 = 0").select("doc_id", F.explode(F.array(*[F.lit(i).cast("bigint") for i in (1, 2, 3)])).alias("rule_id")).select("*", F.lit("1.0").alias("rule_version"), (doc * 1000 + F.col("rule_id")).alias("hit_id"))
+        own = semantic.evaluation_fingerprint(F.lit("1.0"), "1.0", "p", "m")
+        evaluations = docs.filter("doc_id % 4 = 0").select((doc + 1).alias("evaluation_id"), "doc_id", F.lit(101).cast("bigint").alias("rule_id"), F.lit("1.0").alias("rule_version"), F.when(doc % 3 == 0, "other").otherwise(own).alias("evaluation_fingerprint"), F.when(doc % 8 == 0, "degraded").otherwise("success").alias("evaluation_status"), F.lit("hit").alias("decision"), F.when(doc % 5 != 0, doc * 1000 + 101).alias("hit_id"))
+        self.run = rule_run.run(docs, "doc_id", self.RULES, answers_, hits, evaluations, self.PROVIDER)
+
+
+@query
+def rule_run_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: the counts of the run, its hits in order, and how it ends."""
+    reviews = RuleRunTables(spark, sf_dir).run.reviews
+    return reviews.withColumns({"focus_points": F.array_join("focus_points", "\n"), "rule_codes": F.array_join("rule_codes", ",")})
+
+
+@query
+def rule_run_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluations that the run stores, and the version of the hit of each."""
+    return RuleRunTables(spark, sf_dir).run.evaluations
+
+
+@query
+def rule_run_stored_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits that the run stores."""
+    hits = RuleRunTables(spark, sf_dir).run.hits
+    return hits.select("doc_id", "rule_id", "rule_version", "is_semantic", "actual_value", "hit_message", F.sha2("evidence_text", 256).alias("evidence_sha256"))
+
+
+@query
+def rule_run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log rows of the semantic rules, counted."""
+    return RuleRunTables(spark, sf_dir).run.logs.groupBy("rule_code", "level", "log_type").agg(F.count("*").alias("n"))
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line for each number of an order: numbers repeat."""
     lines = _table(spark, sf_dir, "lineitem")
