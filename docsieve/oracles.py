@@ -391,3 +391,33 @@ ORACLES["rule_run_logs"] = f"""{_RUN}
 SELECT rule_code, CASE WHEN t IN ('LLM_RULE_EVALUATION_DEGRADED', 'LLM_RULE_SKIPPED_NO_CLAUSE', 'LLM_RULE_EVIDENCE_INVALID') THEN 'warning' ELSE 'info' END AS level, t AS log_type, count(*) AS n FROM (
   SELECT rule_code, CASE WHEN reused THEN 'LLM_RULE_EVALUATION_REUSED' WHEN st = 'degraded' THEN 'LLM_RULE_EVALUATION_DEGRADED' WHEN st = 'skipped' THEN 'LLM_RULE_SKIPPED_NO_CLAUSE' WHEN st = 'rejected' THEN 'LLM_RULE_EVIDENCE_INVALID'
     WHEN decision = 'uncertain' THEN 'LLM_RULE_UNCERTAIN' WHEN is_hit THEN 'LLM_RULE_HIT_CREATED' ELSE 'LLM_RULE_NOT_HIT' END AS t FROM told) GROUP BY 1, 2, 3"""
+_TYPES = ", ".join(_q(t) for t in packs.FILE_TYPES)
+_TASKS = """
+WITH tasks AS (SELECT c_custkey AS task_id, ['parsing', 'blocked', 'reviewing', 'parsing', 'blocked'][c_custkey % 5 + 1] AS status, ['document_reading', 'parsing', NULL][c_nationkey % 3 + 1] AS stage FROM customer),
+mains AS (SELECT o_custkey AS task_id, min(o_orderkey) AS attachment_id, arg_min(row(CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END), o_orderkey)[1] AS sha FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderstatus = 'O' GROUP BY 1),
+lines AS (SELECT l_orderkey, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2),
+snaps AS (
+  SELECT l_orderkey * 10 + n AS id, l_orderkey AS attachment_id, CASE WHEN p % 7 = 0 THEN 'old' ELSE o_orderpriority END AS sha, n % 3 = 0 AS is_ocr, CASE WHEN p % 5 = 0 THEN 'failed' WHEN n % 3 <> 0 AND p % 2 = 0 THEN 'ocr_required' ELSE 'success' END AS st, p % 3 <> 0 AS current_version
+  FROM lines JOIN orders ON o_orderkey = l_orderkey)"""
+ORACLES["prepared_tasks"] = f"""{_TASKS},
+offered AS (
+  SELECT o_custkey AS task_id, o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 1 WHEN o_orderkey % 6 = 0 THEN 2 END AS p, ['pdf', 'docx', 'txt', 'png'][o_orderkey % 4 + 1] AS kind, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS sha,
+    CASE WHEN o_orderkey % 4 <> 1 THEN CASE WHEN o_orderkey % 8 = 0 THEN 'old' ELSE o_orderpriority END END AS old, o_orderkey % 5 <> 0 AS there FROM orders WHERE o_custkey % 11 <> 0),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY p, id) AS rn FROM offered WHERE p IS NOT NULL) WHERE rn = 1)
+SELECT t.task_id, b.id AS attachment_id, CASE WHEN t.task_id NOT IN (SELECT task_id FROM offered) THEN 'ATTACHMENT_NOT_FOUND' WHEN b.id IS NULL THEN 'MAIN_CONTRACT_NOT_FOUND' WHEN kind NOT IN ({_TYPES}) THEN 'UNSUPPORTED_ATTACHMENT_TYPE'
+  WHEN sha IS NULL THEN 'ATTACHMENT_DOWNLOAD_FAILED' WHEN old IS NULL THEN 'ATTACHMENT_DOWNLOADED' WHEN old = sha AND there THEN 'ATTACHMENT_REUSED' ELSE 'ATTACHMENT_UPDATED' END AS outcome FROM tasks t LEFT JOIN best b USING (task_id)"""
+ORACLES["read_tasks"] = f"""{_TASKS},
+known AS (SELECT attachment_id, sha, max(id) AS id FROM snaps WHERE st = 'success' AND current_version GROUP BY 1, 2)
+SELECT t.task_id, m.attachment_id, CASE WHEN m.attachment_id IS NULL THEN 'DOCUMENT_FILE_NOT_FOUND' WHEN k.id IS NOT NULL THEN 'DOCUMENT_READ_REUSED' WHEN m.sha IS NULL THEN 'DOCUMENT_READ_FAILED' WHEN m.attachment_id % 5 = 0 THEN 'DOCUMENT_FILE_NOT_FOUND'
+  WHEN m.attachment_id % 9 = 0 THEN 'DOCUMENT_READ_FAILED' WHEN m.attachment_id % 4 = 0 THEN 'DOCUMENT_FILE_EMPTY' WHEN m.attachment_id % 2 = 0 THEN 'DOCUMENT_OCR_REQUIRED' ELSE 'DOCUMENT_READ_SUCCESS' END AS outcome, k.id AS document_read_snapshot_id
+FROM tasks t LEFT JOIN mains m USING (task_id) LEFT JOIN known k ON k.attachment_id = m.attachment_id AND k.sha = m.sha"""
+ORACLES["ocr_tasks"] = f"""{_TASKS},
+known AS (SELECT attachment_id, sha, max(id) AS id FROM snaps WHERE st = 'success' AND current_version AND is_ocr GROUP BY 1, 2),
+source AS (SELECT attachment_id, sha, arg_max(st, id) AS st FROM snaps WHERE NOT is_ocr GROUP BY 1, 2)
+SELECT t.task_id, m.attachment_id, CASE WHEN status NOT IN ('parsing', 'blocked') OR (status = 'blocked' AND coalesce(stage, '') <> 'document_reading') THEN 'DOCUMENT_OCR_NOT_ALLOWED' WHEN m.attachment_id IS NULL OR m.sha IS NULL THEN 'OCR_INPUT_FILE_NOT_FOUND'
+  WHEN k.id IS NOT NULL THEN 'DOCUMENT_OCR_REUSED' WHEN s.st IS NULL THEN 'OCR_REQUIRED_SNAPSHOT_NOT_FOUND' WHEN s.st = 'success' THEN 'OCR_NOT_REQUIRED' WHEN s.st <> 'ocr_required' THEN 'OCR_REQUIRED_SNAPSHOT_NOT_FOUND'
+  WHEN m.attachment_id % 2 = 0 THEN 'OCR_EMPTY_RESULT' ELSE 'DOCUMENT_OCR_SUCCEEDED' END AS outcome, k.id AS document_read_snapshot_id
+FROM tasks t LEFT JOIN mains m USING (task_id) LEFT JOIN known k ON k.attachment_id = m.attachment_id AND k.sha = m.sha LEFT JOIN source s ON s.attachment_id = m.attachment_id AND s.sha = m.sha"""
+ORACLES["written_back_tasks"] = f"""{_TASKS}
+SELECT task_id, CASE WHEN task_id % 10 <> 0 THEN task_id * 2 END AS review_result_id, CASE WHEN task_id % 10 = 0 THEN 'REVIEW_RESULT_NOT_FOUND' WHEN task_id % 9 = 0 THEN 'COMMENT_WRITE_REUSED' WHEN status <> 'reviewing' THEN 'INVALID_TASK_STATE'
+  WHEN task_id % 8 = 0 THEN 'COMMENT_TEXT_EMPTY' WHEN task_id % 7 = 0 THEN 'COMMENT_WRITE_FAILED' WHEN task_id % 5 = 1 THEN 'COMMENT_RESPONSE_INVALID' ELSE 'COMMENT_WRITE_SUCCEEDED' END AS outcome FROM tasks"""

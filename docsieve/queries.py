@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docsieve.functions import answers
 from docsieve.functions import text as tx
 from docsieve.functions.once import stage
-from docsieve.operators import containment, extract, history, intervals, results, review, rule_tables, rules, semantic, state
+from docsieve.operators import containment, extract, history, intervals, results, review, rule_tables, rules, semantic, state, workflow
 from docsieve.operators.segment import lines, runs, sections
 from docsieve.plans import packs, recompute, review_plan, rule_run
 from docsieve.schemas import RULES, WORKFLOW_EVENTS
@@ -725,3 +725,56 @@ def outcome_ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
     comment = state.comment_outcome(p % 10 != 0, p % 9 == 0, F.when(p % 8 == 0, " ").otherwise("text"), s % 7 != 0, F.when(s % 5 == 0, "").otherwise("id"))
     stage_ = F.when(p % 4 == 0, "comment_writeback").when(p % 4 == 1, "parsing").when(p % 4 == 2, "attachment_preparation").otherwise("reviewing")
     return x.select(read.alias("read"), prepared.alias("prepared"), comment.alias("comment"), state.retry_action(stage_).alias("retry")).groupBy("read", "prepared", "comment", "retry").agg(F.count("*").alias("n"))
+
+
+class TaskTables:
+    """Tables of tasks: customers are tasks, orders their attachments, lines the reads of these."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        pick = lambda c, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (c % len(values) + 1).cast("int"))
+        c = F.col("c_custkey")
+        self.tasks = _table(spark, sf_dir, "customer").select(c.alias("task_id"), pick(c, "parsing", "blocked", "reviewing", "parsing", "blocked").alias("task_status"), pick(F.col("c_nationkey"), "document_reading", "parsing", None).alias("blocked_stage"))
+        o = F.col("o_orderkey")
+        orders = _table(spark, sf_dir, "orders")
+        digest = F.when(o % 7 != 0, F.col("o_orderpriority"))
+        self.attachments = orders.select(F.col("o_custkey").alias("task_id"), o.alias("attachment_id"), (o % 3 != 0).alias("is_main_contract"), F.when(F.col("o_orderstatus") == "O", "success").otherwise("failed").alias("download_status"), digest.alias("sha256"))
+        name = F.concat(F.when(o % 6 == 0, "Main Contract").otherwise("file"), F.lit("."), pick(o, "pdf", "DOCX", "txt", "png"))
+        self.offered = orders.filter("o_custkey % 11 <> 0").select(F.col("o_custkey").alias("task_id"), o.alias("attachment_id"), name.alias("file_name"), (o % 10 == 0).alias("flagged"), digest.alias("sha256"))
+        self.known = orders.filter("o_orderkey % 4 <> 1").select(o.alias("attachment_id"), F.when(o % 8 == 0, "old").otherwise(F.col("o_orderpriority")).alias("sha256"), (o % 5 != 0).alias("there"))
+        self.files = orders.filter("o_orderkey % 5 <> 0").select(o.alias("attachment_id"), (o % 4).alias("size"), (o % 9 != 0).alias("readable"))
+        self.reads = orders.select(o.alias("attachment_id"), F.when(o % 2 == 0, "DOCUMENT_OCR_REQUIRED").alias("error_code"))
+        self.recognised = orders.select(o.alias("attachment_id"), F.when(o % 2 == 0, "OCR_EMPTY_RESULT").alias("error_code"))
+        p, n = F.col("l_partkey"), F.col("l_linenumber")
+        met = _lines(spark, sf_dir).join(orders.select(o.alias("l_orderkey"), "o_orderpriority"), "l_orderkey")
+        method = F.when(n % 3 == 0, "ocr").otherwise("pdf_text")
+        status = F.when(p % 5 == 0, "failed").when((n % 3 != 0) & (p % 2 == 0), "ocr_required").otherwise("success")
+        self.snapshots = met.select((F.col("l_orderkey") * 10 + n).cast("bigint").alias("document_read_snapshot_id"), F.col("l_orderkey").alias("attachment_id"), F.when(p % 7 == 0, "old").otherwise(F.col("o_orderpriority")).alias("file_sha256"), method.alias("read_method"), status.alias("read_status"), F.when(p % 3 == 0, "0.9").otherwise("1.0").alias("reader_version"))
+        t = F.col("task_id")
+        self.choice = self.tasks.filter("task_id % 10 <> 0").select("task_id", (t * 2).alias("review_result_id"))
+        self.results = self.choice.select("review_result_id", F.when(t % 8 == 0, " ").otherwise("text").alias("comment_text"))
+        self.logs = self.choice.filter("task_id % 9 < 2").select("review_result_id", F.when(t % 9 == 0, "success").otherwise("failed").alias("write_status"))
+        self.responses = self.tasks.select("task_id", (t % 7 != 0).alias("sent"), (t % 5 != 1).alias("valid"))
+
+
+@query
+def prepared_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = TaskTables(spark, sf_dir)
+    return workflow.prepared(t.tasks, t.offered, t.known, ("contract",), packs.FILE_TYPES)
+
+
+@query
+def read_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = TaskTables(spark, sf_dir)
+    return workflow.read(t.tasks, t.attachments, t.files, t.snapshots, t.reads, "1.0")
+
+
+@query
+def ocr_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = TaskTables(spark, sf_dir)
+    return workflow.ocr(t.tasks, t.attachments, t.snapshots, t.recognised, "1.0")
+
+
+@query
+def written_back_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = TaskTables(spark, sf_dir)
+    return workflow.written_back(t.tasks, t.choice, t.results, t.logs, t.responses)
