@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -51,17 +54,28 @@ def unboxed(df: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``limit`` bytes of text at most."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = np.asarray(batch.column(column).fill_null(b"").to_numpy(zero_copy_only=False), dtype=object)
-        ends = np.cumsum([len(x) for x in sizes])
-        start = 0
-        while start < batch.num_rows:
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.asarray(batch.column(column).fill_null(b"").to_numpy(zero_copy_only=False), dtype=object)
+            ends = np.cumsum([len(x) for x in sizes])
+            start = 0
+            while start < batch.num_rows:
+                base = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+                yield batch.slice(start, stop - start)
+                start = stop
+    finally:
+        release()
+
+
+def release() -> None:
+    """Give free memory back to the system, so that a worker between two tasks holds little of the first."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def blobs(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
