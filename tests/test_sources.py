@@ -47,6 +47,15 @@ def test_files_are_read_by_type(spark, tmp_path):
             assert outcome["pages.pdf"] == ("success", None, 3) and [tuple(b)[1:] for b in rows["pages.pdf"]["blocks"]] == [(1, 0), (3, 1)]
 
 
+def test_text_of_runs(spark, tmp_path):
+    """Changes, text boxes and page breaks are no text of a paragraph; links are, and a hyphen that does not break."""
+    run = lambda inner: f"<w:r>{inner}</w:r>"
+    body = "<w:p>" + run("<w:t>one</w:t><w:noBreakHyphen/><w:t>two</w:t>") + "<w:ins>" + run("<w:t> new</w:t>") + "</w:ins>" + "<w:hyperlink>" + run("<w:t> link</w:t>") + "</w:hyperlink>"
+    body += run('<w:br w:type="page"/><w:t> three</w:t><w:br w:type="textWrapping"/><w:cr/><w:t>four</w:t><w:ptab/>') + run(f"<w:pict><w:txbxContent>{p('box')}</w:txbxContent></w:pict><w:t>five</w:t>") + "</w:p>"
+    docx(tmp_path / "runs.docx", body)
+    assert documents.docx_blocks((tmp_path / "runs.docx").read_bytes()) == ["one-two link three\n\nfour\tfive"]
+
+
 def test_appended_tables_grow(spark, tmp_path):
     path = str(tmp_path / "logs")
     for i in range(2):
@@ -81,3 +90,31 @@ def test_stream_writes_comments_once(spark, tmp_path):
     seen = []
     stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda b, _: seen.extend((r["instance_id"], r["review_id"]) for r in b.collect())).trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == len(set(seen)) == 15
+
+
+def test_spread_goes_by_bytes(spark, tmp_path):
+    """A file that gives every core a split is not dealt out, a small one is, however many files there are."""
+    from docsieve.sources import tables
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "small"))
+    spark.range(1000).repartition(3 * cores).write.parquet(str(tmp_path / "many"))
+    assert tables.spread(spark.read.parquet(str(tmp_path / "small"))).rdd.getNumPartitions() == cores
+    assert tables.spread(spark.read.parquet(str(tmp_path / "many"))).rdd.getNumPartitions() == cores
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64")
+    try:
+        whole = spark.read.parquet(str(tmp_path / "small"))
+        assert tables.spread(whole).rdd.getNumPartitions() == whole.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    made = spark.range(10).repartition(2)
+    assert tables.spread(made).rdd.getNumPartitions() == 2
+
+
+def test_storage_paths(spark):
+    from docsieve.functions.text import storage_path
+
+    rows = spark.createDataFrame([("A-1", "x", "a.pdf"), ("..", "", ".."), ("a/../b", "c:d", "e\\\\f/g?.docx"), (None, None, None)], "code string, att string, name string")
+    got = [r[0] for r in rows.select(storage_path(F.lit("/root/"), F.col("code"), F.col("att"), F.col("name"))).collect()]
+    assert got == ["/root/A-1/x_a.pdf", "/root/unknown_approval/attachment_contract_file", "/root/b/c_d_g_.docx", "/root/unknown_approval/attachment_contract_file"]
