@@ -114,7 +114,7 @@ def _supported(value: str, evidence: str) -> str:
     return f"({v} <> '' AND contains(lower({e}), lower({v})))"
 
 
-_RULE_SET = hashlib.sha256("\n".join(sorted(f"{r.rule_code}@{r.rule_version}" for r in packs.CONTRACT_RULES)).encode()).hexdigest()
+# fixed values: what the fixture of the contract domain must give
 _GOLDEN_BASIC = (("contract_title", "软件采购合同", 0), ("contract_number", "HT-2026-0098", 1), ("signing_party", "星河科技有限公司（虚构）", 2), ("counterparty", "远航软件服务有限公司（虚构）", 3), ("amount", "500000", 4), ("currency", "CNY", 4), ("effective_date", "2026-10-01", 5), ("expiry_date", "2027-09-30", 6))
 _GOLDEN_CLAUSES = (("payment_clause", 7, 9, 1), ("delivery_clause", 10, 11, 2), ("acceptance_clause", 12, 13, 2), ("breach_clause", 14, 15, 2), ("confidentiality_clause", 16, 17, 2), ("data_clause", 18, 19, 2), ("intellectual_property_clause", 20, 21, 2), ("dispute_resolution_clause", 22, 23, 2))
 _GOLDEN = ", ".join([f"('basic_info', '{f}', '{v}', 'found', {b}, {b}, 1, 1)" for f, v, b in _GOLDEN_BASIC] + [f"('clauses', '{f}', NULL, 'found', {a}, {b}, {p}, 2)" for f, a, b, p in _GOLDEN_CLAUSES])
@@ -177,7 +177,7 @@ ORACLES: dict[str, str] = {
     "focus_points_topk": f"{_REVIEW}\nSELECT doc_id, place::INTEGER AS place, rule_code, risk_level FROM placed WHERE place <= 3",
     "review_summary_text": f"{_REVIEW}\nSELECT doc_id, overall_risk_level, summary_text, 'review: ' || overall_risk_level || chr(10) || chr(10) || summary_text || CASE WHEN n = 0 THEN chr(10) || chr(10) || 'nothing found' ELSE chr(10) || chr(10) || 'focus:' || chr(10) || focus || chr(10) || chr(10) || 'advice:' || chr(10) || advice END AS comment_text FROM results",
     "risk_by_label": f"{_REVIEW}\nSELECT quality, overall_risk_level, count(*) AS n_docs FROM rolled LEFT JOIN labels USING (doc_id) GROUP BY 1, 2",
-    "rule_set_fingerprint": f"SELECT '{_RULE_SET}' AS rule_set_fingerprint",
+    "rule_set_fingerprint": "SELECT sha256(string_agg(p, chr(10) ORDER BY p)) AS rule_set_fingerprint FROM (SELECT 'RULE_' || item_id || '@' || length(text) AS p FROM benchmark WHERE item_id % 3 <> 0)",
     "hit_set_fingerprint": f"{_REVIEW}\nSELECT doc_id, sha256(string_agg(p, chr(10) ORDER BY p)) AS rule_hit_fingerprint FROM (SELECT doc_id, (doc_id * 100 + rule_id) || '@' || rule_id || '@' || rule_version AS p FROM hits) GROUP BY 1",
     "latest_per_key": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1",
     "latest_order_per_customer": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1",
@@ -229,10 +229,14 @@ SELECT rule_id, path, keyword, count(*) AS n_docs, min(doc_id) AS first_doc FROM
 SELECT page_id, CASE WHEN n IN ('', '.', '..') THEN 'file' ELSE n END AS name, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g')[1:64] AS schema_name FROM (
   SELECT page_id, url, regexp_replace(trim(regexp_replace(string_split(replace(url || '?a=1*.', '\', '/'), '/')[-1], '[<>:"/\\|?*\x00-\x1f]', '_', 'g')), '[. ]+$', '') AS n FROM pages)""",
     "date_normalize": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders",
-    "contract_golden_facts": f"SELECT * FROM (VALUES {_GOLDEN}) t(section, field, value, extract_status, block_start, block_end, page_start, page_end)",
-    "contract_golden_hits": "SELECT 'DISPUTE_JURISDICTION_PRESENT' AS rule_code, 'low' AS overall_risk_level, '人民法院' AS actual_value, 22 AS block_start, 23 AS block_end",
-    "llm_merge": "SELECT 1::BIGINT AS doc_id, * FROM (VALUES ('a', 'HT-1', 'No. HT' || chr(10) || '-1 end', 'found', 'llm_verified'), ('b', 'x', 'x', 'found', 'LLM_EXTRACTION_CONFLICT'), ('c', NULL, '-1 end', 'ambiguous', 'VALUE_NOT_IN_EVIDENCE'), ('d', NULL, NULL, 'failed', 'INVALID_BLOCK_RANGE'), ('e', NULL, NULL, 'failed', 'LLM_EXTRACTION_CONFLICT'), ('f', NULL, NULL, 'not_found', 'unchanged')) t(field, value, source_text, extract_status, note)",
-    "semantic_evaluation": "SELECT rule_id::BIGINT AS rule_id, evaluation_status, decision, is_hit FROM (VALUES (10, 'success', 'hit', true), (11, 'rejected', 'uncertain', false), (12, 'success', 'not_hit', false), (13, 'degraded', NULL, false)) t(rule_id, evaluation_status, decision, is_hit)",
+    "contract_golden_facts": f"""
+SELECT o_orderkey::BIGINT AS doc_id, section, field, CASE field WHEN 'contract_number' THEN 'HT-2026-' || o_orderkey WHEN 'amount' THEN floor(o_totalprice)::BIGINT::VARCHAR WHEN 'effective_date' THEN strftime(o_orderdate, '%Y-%m-%d')
+  WHEN 'expiry_date' THEN strftime(o_orderdate::DATE + 365, '%Y-%m-%d') ELSE value END AS value, extract_status, block_start, block_end, page_start, page_end FROM orders, (VALUES {_GOLDEN}) t(section, field, value, extract_status, block_start, block_end, page_start, page_end)""",
+    "contract_golden_hits": "SELECT o_orderkey::BIGINT AS doc_id, 'DISPUTE_JURISDICTION_PRESENT' AS rule_code, 'low' AS overall_risk_level, '人民法院' AS actual_value, 22 AS block_start, 23 AS block_end FROM orders",
+    "llm_merge": """
+SELECT c_custkey::BIGINT AS doc_id, field, replace(value, '#', c_custkey::VARCHAR) AS value, replace(source_text, '#', c_custkey::VARCHAR) AS source_text, extract_status, note FROM customer, (VALUES ('a', 'HT-#', 'No. HT' || chr(10) || '-# end', 'found', 'llm_verified'), ('b', 'x', 'x', 'found', 'LLM_EXTRACTION_CONFLICT'),
+  ('c', NULL, '-# end', 'ambiguous', 'VALUE_NOT_IN_EVIDENCE'), ('d', NULL, NULL, 'failed', 'INVALID_BLOCK_RANGE'), ('e', NULL, NULL, 'failed', 'LLM_EXTRACTION_CONFLICT'), ('f', NULL, NULL, 'not_found', 'unchanged')) t(field, value, source_text, extract_status, note)""",
+    "semantic_evaluation": "SELECT o_orderkey::BIGINT AS doc_id, rule_id::BIGINT AS rule_id, evaluation_status, decision, is_hit FROM orders, (VALUES (10, 'success', 'hit', true), (11, 'rejected', 'uncertain', false), (12, 'success', 'not_hit', false), (13, 'degraded', NULL, false)) t(rule_id, evaluation_status, decision, is_hit)",
     "limit_before_merge": "SELECT CASE WHEN rn = 1 THEN 'created' ELSE 'updated' END AS event, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000)) GROUP BY 1",
     "current_hits": f"{_LADDER}\nSELECT contract_parse_id, hit_id, rule_id::BIGINT AS rule_id, rule_version FROM current_hits",
     "hits_of_tasks": f"{_LADDER}\nSELECT c_nationkey::BIGINT AS task_id, rule_code, risk_level, count(*) AS n_hits, max(hit_id) AS last_hit FROM hits h JOIN orders ON o_orderkey = contract_parse_id JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT * FROM rules WHERE rule_id <> 4) r ON r.rule_id = h.rule_id GROUP BY 1, 2, 3",

@@ -16,7 +16,7 @@ from docsieve.functions.once import stage
 from docsieve.operators import containment, extract, history, intervals, results, review, rule_tables, rules, semantic, state, workflow
 from docsieve.operators.segment import lines, runs, sections
 from docsieve.plans import packs, recompute, review_plan, rule_run
-from docsieve.schemas import RULES, WORKFLOW_EVENTS
+from docsieve.schemas import BLOCKS, RULES, WORKFLOW_EVENTS
 from docsieve.sources import paged
 from docsieve.sources.shared import saved, shared_dir
 from docsieve.sources.tables import spread
@@ -123,13 +123,11 @@ def risk_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.join(labels, "doc_id", "left").groupBy("quality", "overall_risk_level").agg(F.count("*").alias("n_docs"))
 
 
-def _rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(r.rule_id, r.rule_code, r.rule_version, r.rule_status) for r in packs.CONTRACT_RULES], "rule_id bigint, rule_code string, rule_version string, rule_status string")
-
-
 @query
 def rule_set_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.rule_set_fingerprint(_rule_table(spark))
+    """The digest of a rule set in which every benchmark text is a rule, versioned by its length; every third is inactive."""
+    rules_ = _table(spark, sf_dir, "benchmark").select(F.concat(F.lit("RULE_"), F.col("item_id").cast("string")).alias("rule_code"), F.length("text").cast("string").alias("rule_version"), F.when(F.col("item_id") % 3 == 0, "inactive").otherwise("active").alias("rule_status"))
+    return review.rule_set_fingerprint(rules_)
 
 
 @query
@@ -447,25 +445,48 @@ def contract(spark: SparkSession, blocks: tuple[str, ...] = CONTRACT_BLOCKS) ->
     return spark.createDataFrame(rows, "doc_id bigint, blocks array<struct<text: string, page_number: int, block_index: int>>")
 
 
+def _contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, blocks): every order as a contract, the fixture with the order's number, amount and date."""
+    day = lambda c: F.concat(F.year(c).cast("string"), F.lit("年"), F.month(c).cast("string"), F.lit("月"), F.dayofmonth(c).cast("string"), F.lit("日"))
+    own = {
+        "合同编号：": F.concat(F.lit("HT-2026-"), F.col("o_orderkey").cast("string")), "合同总金额为人民币": F.concat(F.floor("o_totalprice").cast("string"), F.lit("元整。")),
+        "生效日期：": day(F.col("o_orderdate")), "到期日期：": day(F.date_add("o_orderdate", 365)),
+    }
+    text = lambda t: next((F.concat(F.lit(lead), value) for lead, value in own.items() if t.startswith(lead)), F.lit(t))
+    block = lambda i, t: F.struct(text(t).alias("text"), F.lit(1 if i <= 8 else 2).alias("page_number"), F.lit(i).alias("block_index"))
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    return stage(orders.withColumn("doc_id", F.col("o_orderkey").cast("bigint")), blocks=F.array(*[block(i, t) for i, t in enumerate(CONTRACT_BLOCKS)]).cast(BLOCKS)).select("doc_id", "blocks")
+
+
 @query
 def contract_golden_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = extract.long_facts(review_plan.with_facts(contract(spark), packs.CONTRACT), packs.CONTRACT, "doc_id")
+    facts = extract.long_facts(review_plan.with_facts(_contracts(spark, sf_dir), packs.CONTRACT), packs.CONTRACT, "doc_id")
     value = F.when(F.col("section") == "basic_info", F.col("value"))
-    return facts.select("section", "field", value.alias("value"), "extract_status", "position.block_start", "position.block_end", "position.page_start", "position.page_end")
+    return facts.select("doc_id", "section", "field", value.alias("value"), "extract_status", "position.block_start", "position.block_end", "position.page_start", "position.page_end")
 
 
 @query
 def contract_golden_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = review_plan.reviewed_contracts(contract(spark))
-    return review_plan.hit_rows(done, "doc_id", "overall_risk_level").select("rule_code", "overall_risk_level", "actual_value", "evidence_position.block_start", "evidence_position.block_end")
+    done = review_plan.reviewed_contracts(_contracts(spark, sf_dir))
+    return review_plan.hit_rows(done, "doc_id", "overall_risk_level").select("doc_id", "rule_code", "overall_risk_level", "actual_value", "evidence_position.block_start", "evidence_position.block_end")
 
 
 @query
 def llm_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = spark.createDataFrame([(1, "a", None, None, "not_found"), (1, "b", "x", "x", "found"), (1, "c", None, "p\nq", "ambiguous"), (1, "d", None, None, "not_found"), (1, "e", None, None, "failed"), (1, "f", None, None, "not_found")], "doc_id bigint, field string, value string, source_text string, extract_status string")
-    answers = spark.createDataFrame([(1, 0, "a", "HT-1", "found", 0, 1), (1, 1, "b", "y", "found", 0, 0), (1, 2, "c", "zz", "found", 1, 1), (1, 3, "d", "n", "found", 1, 9), (1, 4, "e", "k", "found", 0, 0), (1, 5, "f", None, "not_found", None, None), (1, 6, "a", "other", "found", 0, 0)], "doc_id bigint, place int, field string, answer_value string, answer_status string, block_start int, block_end int")
-    blocks = contract(spark, ("No. HT", "-1 end", "rest"))
-    return semantic.merge_answers(facts, answers, blocks, "doc_id")
+    """Six facts and seven answers of every customer, one of each outcome."""
+    key = F.col("c_custkey")
+    number = F.concat(F.lit("HT-"), key.cast("string"))
+    docs = _table(spark, sf_dir, "customer").select(key.cast("bigint").alias("doc_id"), number.alias("number"))
+    rows = lambda *values: F.inline(F.array(*values))
+    none, text = F.lit(None).cast("string"), F.lit
+    fact = lambda field, value, source, status: F.struct(F.lit(field).alias("field"), value.alias("value"), source.alias("source_text"), F.lit(status).alias("extract_status"))
+    facts = docs.select("doc_id", rows(fact("a", none, none, "not_found"), fact("b", text("x"), text("x"), "found"), fact("c", none, text("p\nq"), "ambiguous"), fact("d", none, none, "not_found"), fact("e", none, none, "failed"), fact("f", none, none, "not_found")))
+    number_ = F.lit(None).cast("int")
+    answer = lambda place, field, value, status, a, b: F.struct(F.lit(place).alias("place"), F.lit(field).alias("field"), value.alias("answer_value"), F.lit(status).alias("answer_status"), (number_ if a is None else F.lit(a)).alias("block_start"), (number_ if b is None else F.lit(b)).alias("block_end"))
+    given = docs.select("doc_id", rows(answer(0, "a", F.col("number"), "found", 0, 1), answer(1, "b", text("y"), "found", 0, 0), answer(2, "c", text("zz"), "found", 1, 1), answer(3, "d", text("n"), "found", 1, 9), answer(4, "e", text("k"), "found", 0, 0), answer(5, "f", none, "not_found", None, None), answer(6, "a", text("other"), "found", 0, 0)))
+    parts = (text("No. HT"), F.concat(F.lit("-"), F.col("doc_id").cast("string"), F.lit(" end")), text("rest"))
+    blocks = docs.select("doc_id", F.array(*[F.struct(t.alias("text"), F.lit(1).alias("page_number"), F.lit(i).alias("block_index")) for i, t in enumerate(parts)]).cast(BLOCKS).alias("blocks"))
+    return semantic.merge_answers(facts, given, blocks, "doc_id")
 
 
 @query
@@ -497,11 +518,15 @@ def semantic_evaluation_documents(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @query
 def semantic_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = extract.long_facts(review_plan.with_facts(contract(spark), packs.CONTRACT), packs.CONTRACT, "doc_id").filter("section = 'clauses'")
-    rules = spark.createDataFrame([(r.rule_id, r.config["target_clause"]) for r in packs.CONTRACT_RULES if r.match_mode == "llm_semantic"], "rule_id bigint, target_clause string")
-    answers = spark.createDataFrame([(1, 10, "hit", 14, 15, None), (1, 11, "hit", 999, 999, None), (1, 12, "not_hit", None, None, None)], "doc_id bigint, rule_id bigint, decision string, block_start int, block_end int, error string")
-    done = semantic.evaluate_semantic(facts.select("doc_id", "field", "extract_status", "position"), rules, answers, contract(spark), "doc_id")
-    return done.select("rule_id", "evaluation_status", "decision", "is_hit")
+    """The semantic rules of the contract domain on every order's contract: a hit, a range that is not there, no hit, no
+    answer."""
+    contracts = _contracts(spark, sf_dir)
+    facts = extract.long_facts(review_plan.with_facts(contracts, packs.CONTRACT), packs.CONTRACT, "doc_id").filter("section = 'clauses'")
+    rules_ = spark.createDataFrame([(r.rule_id, r.config["target_clause"]) for r in packs.CONTRACT_RULES if r.match_mode == "llm_semantic"], "rule_id bigint, target_clause string")
+    answer = lambda rule, said, a, b: F.struct(F.lit(rule).cast("bigint").alias("rule_id"), F.lit(said).alias("decision"), F.lit(a).cast("int").alias("block_start"), F.lit(b).cast("int").alias("block_end"), F.lit(None).cast("string").alias("error"))
+    given = contracts.select("doc_id", F.inline(F.array(answer(10, "hit", 14, 15), answer(11, "hit", 999, 999), answer(12, "not_hit", None, None))))
+    done = semantic.evaluate_semantic(facts.select("doc_id", "field", "extract_status", "position"), rules_, given, contracts, "doc_id")
+    return done.select("doc_id", "rule_id", "evaluation_status", "decision", "is_hit")
 
 
 class RuleRunTables:
