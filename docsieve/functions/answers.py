@@ -142,6 +142,11 @@ def valid_response(raw: Column) -> Column:
     return bind(F.try_parse_json(raw), good)
 
 
+def compact_list(c: Column) -> Column:
+    """An array of structs as JSON like ``compact_json``."""
+    return F.to_json(c, {"ignoreNullFields": "false"})
+
+
 def compact_json(*columns: Column | str) -> Column:
     """The columns as JSON without spaces; letters beyond ASCII stay, nulls are written."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

@@ -106,7 +106,7 @@ def reviewed_parses(parses: DataFrame, logs: DataFrame, rule_set: Column) -> Dat
     return own.filter(F.col("_set") == rule_set).select("task_id", "contract_parse_id").distinct().join(parses.select("task_id", "contract_parse_id").distinct(), ["task_id", "contract_parse_id"])
 
 
-_HITS = "array<struct<hit_id: bigint, rule_id: bigint, rule_version: string, rule_code: string, rule_name: string, risk_level: string, hit_message: string, suggestion: string>>"
+_HITS = "array<struct<hit_id: bigint, rule_id: bigint, rule_version: string, rule_code: string, rule_name: string, risk_level: string, hit_message: string, suggestion: string, evidence_type: string, evidence_text: string>>"
 _EVALUATIONS = "array<struct<rule_id: bigint, rule_version: string, evaluation_fingerprint: string, evaluation_status: string, decision: string>>"
 
 
@@ -116,6 +116,8 @@ def per_parse(parses: DataFrame, hits: DataFrame, evaluations: DataFrame, rules:
     kind = lambda types: types.removeprefix("array<").removesuffix(">")
     names = lambda types: [x.split(":")[0].strip() for x in kind(types).removeprefix("struct<").removesuffix(">").split(",")]
     latest_ = latest_evaluations(evaluations, rules)
+    for c in ("evidence_type", "evidence_text"):
+        hits = hits if c in hits.columns else hits.withColumn(c, F.lit(None).cast("string"))
     named = current_hits(hits, evaluations, rules).join(rules.select("rule_id", "rule_code", "risk_level"), "rule_id")
     none = lambda types: F.lit(None).cast(kind(types))
     both = named.select("contract_parse_id", F.struct(*names(_HITS)).cast(kind(_HITS)).alias("h"), none(_EVALUATIONS).alias("e")).unionByName(
@@ -148,7 +150,7 @@ def review_results(
     parses: DataFrame, hits: DataFrame, evaluations: DataFrame, rules: DataFrame, logs: DataFrame, results: DataFrame, words: review.Phrases, version: str, note: str, joiner: str
 ) -> DataFrame:
     """Per parse (task_id, contract_parse_id) what generating its result comes to: ``outcome``, the result's texts
-    and status, its fingerprints, ``review_result_id`` of a reused result, and ``hit_ids``.
+    and status, its fingerprints, ``review_result_id`` of a reused result, ``hit_ids`` and ``focus_points``.
 
     Outcomes: RULE_REVIEW_NOT_FOUND without a finished rule run for the current rules (nothing is made then),
     REVIEW_RESULT_REUSED if a usable result of this version has both fingerprints, else REVIEW_RESULT_CREATED. A
@@ -170,9 +172,36 @@ def review_results(
         F.when(made, F.when(F.col("partial"), "partial").otherwise("completed")).alias("review_status"), F.when(made, F.col("overall_risk_level")).alias("overall_risk_level"),
         text(F.col("summary_text"), note).alias("summary_text"), text(F.col("comment_text"), joiner + note).alias("comment_text"),
         F.when(made, F.array_sort(F.transform("hits", lambda h: h["hit_id"]))).alias("hit_ids"),
+        F.when(made, F.transform("hits", lambda h: F.struct(*[h[c].alias(k) for k, c in _FOCUS.items()]))).alias("focus_points"),
     )
 
 
+# fixed values: the keys of a focus point
+_FOCUS = {"rule_code": "rule_code", "rule_name": "rule_name", "risk_level": "risk_level", "message": "hit_message", "suggestion": "suggestion", "evidence_type": "evidence_type", "evidence_text": "evidence_text"}
+
+
+def task_results(
+    tasks: DataFrame, choice: DataFrame, hits: DataFrame, evaluations: DataFrame, rules: DataFrame, logs: DataFrame, results: DataFrame, words: review.Phrases, version: str, note: str, joiner: str
+) -> DataFrame:
+    """Per task (task_id, task_status) what generating its result comes to, as ``review_results`` for the parse that
+    ``choice`` (task_id, contract_parse_id) has for it, and ``focus_points``: the hits with their evidence, in order.
+
+    A task that is neither parsing nor reviewing is INVALID_TASK_STATE; one without a parse CONTRACT_PARSE_NOT_FOUND;
+    one that is not reviewing has no finished rule run, so it is RULE_REVIEW_NOT_FOUND.
+    """
+    asked = tasks.filter(F.col("task_status").isin("parsing", "reviewing")).select("task_id").join(choice, "task_id")
+    made = review_results(asked, hits, evaluations, rules, logs, results, words, version, note, joiner)
+    own = made.select("task_id", "contract_parse_id", F.col("outcome").alias("_outcome"), "review_result_id", "review_status", "overall_risk_level", "summary_text", "comment_text", "focus_points")
+    met = tasks.select("task_id", "task_status").join(own, "task_id", "left")
+    outcome = (
+        F.when(~F.col("task_status").isin("parsing", "reviewing"), "INVALID_TASK_STATE").when(F.col("contract_parse_id").isNull(), "CONTRACT_PARSE_NOT_FOUND")
+        .when(F.col("task_status") != "reviewing", "RULE_REVIEW_NOT_FOUND").otherwise(F.col("_outcome"))
+    )
+    met = met.withColumn("outcome", outcome)
+    kept = F.col("outcome") == F.col("_outcome")
+    return met.select("task_id", "contract_parse_id", "outcome", *[F.when(kept, F.col(c)).alias(c) for c in own.columns[3:]])
+
+
 def failed_results(parses: DataFrame, current: DataFrame, error: Column) -> DataFrame:
     """The snapshot of a result that could not be built: no texts, the risk of its hits, the error."""
     level = current.groupBy("contract_parse_id").agg(F.max(review.weight(F.col("risk_level"))).alias("_w"))

@@ -425,3 +425,16 @@ FROM tasks t LEFT JOIN mains m USING (task_id) LEFT JOIN known k ON k.attachment
 ORACLES["written_back_tasks"] = f"""{_TASKS}
 SELECT task_id, CASE WHEN task_id % 10 <> 0 THEN task_id * 2 END AS review_result_id, CASE WHEN task_id % 10 = 0 THEN 'REVIEW_RESULT_NOT_FOUND' WHEN task_id % 9 = 0 THEN 'COMMENT_WRITE_REUSED' WHEN status <> 'reviewing' THEN 'INVALID_TASK_STATE'
   WHEN task_id % 8 = 0 THEN 'COMMENT_TEXT_EMPTY' WHEN task_id % 7 = 0 THEN 'COMMENT_WRITE_FAILED' WHEN task_id % 5 = 1 THEN 'COMMENT_RESPONSE_INVALID' ELSE 'COMMENT_WRITE_SUCCEEDED' END AS outcome FROM tasks"""
+ORACLES["task_results"] = f"""{_LADDER},
+points AS (
+  SELECT contract_parse_id, '[' || string_agg('{{"rule_code":"' || rule_code || '","rule_name":"' || rule_name || '","risk_level":"' || risk_level || '","message":"hit of ' || rule_name || '","suggestion":"mend ' || rule_name
+    || '","evidence_type":"source","evidence_text":"text of ' || rule_name || '"}}', ',' ORDER BY place) || ']' AS points FROM placed GROUP BY 1),
+chosen AS (SELECT o_custkey AS task_id, max(o_orderkey) AS contract_parse_id FROM orders WHERE o_custkey % 9 <> 0 GROUP BY 1),
+tasks AS (SELECT c_custkey::BIGINT AS task_id, ['reviewing', 'parsing', 'reviewing', 'blocked', 'reviewing'][c_custkey % 5 + 1] AS status FROM customer),
+ends AS (
+  SELECT t.task_id, CASE WHEN status <> 'blocked' THEN c.contract_parse_id END AS parse, CASE WHEN status = 'blocked' THEN 'INVALID_TASK_STATE' WHEN c.contract_parse_id IS NULL THEN 'CONTRACT_PARSE_NOT_FOUND' WHEN status <> 'reviewing' THEN 'RULE_REVIEW_NOT_FOUND' ELSE outcome END AS outcome,
+    outcome AS own, told.* EXCLUDE (outcome, task_id), points FROM tasks t LEFT JOIN chosen c USING (task_id) LEFT JOIN told ON told.contract_parse_id = c.contract_parse_id LEFT JOIN points p ON p.contract_parse_id = c.contract_parse_id)
+SELECT task_id, parse AS contract_parse_id, outcome, CASE WHEN outcome = 'REVIEW_RESULT_REUSED' THEN review_result_id END AS review_result_id, {_MADE} CASE WHEN partial THEN 'partial' ELSE 'completed' END END AS review_status, {_MADE} risk END AS overall_risk_level,
+  {_MADE} summary || CASE WHEN partial THEN 'Some rules are open.' ELSE '' END END AS summary_text,
+  {_MADE} 'review: ' || risk || chr(10) || chr(10) || summary || CASE WHEN n = 0 THEN chr(10) || chr(10) || 'nothing found' ELSE chr(10) || chr(10) || 'focus:' || chr(10) || focus || chr(10) || chr(10) || 'advice:' || chr(10) || advice END
+    || CASE WHEN partial THEN chr(10) || chr(10) || 'Note: Some rules are open.' ELSE '' END END AS comment_text, {_MADE} coalesce(points, '[]') END AS focus_points FROM ends"""
