@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
+import mmap
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -70,11 +70,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         release()
 
 
+#: Resident bytes above which a worker gives memory back.
+RESIDENT = 256 << 20
+
+
 def release() -> None:
-    """Give free memory back to the system, so that a worker between two tasks holds little of the first."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(AttributeError, OSError):  # only the GNU C library has it
+    """Give free memory back to the system, so that a large worker between two tasks holds little of the first."""
+    with contextlib.suppress(AttributeError, OSError):  # only Linux tells the size so, only the GNU C library trims
+        with open("/proc/self/statm") as f:
+            if int(f.read().split()[1]) * mmap.PAGESIZE < RESIDENT:
+                return
+        pa.default_memory_pool().release_unused()
         ctypes.CDLL(None).malloc_trim(0)
 
 
