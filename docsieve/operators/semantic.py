@@ -98,12 +98,16 @@ def evaluate_semantic(clauses: DataFrame, rules: DataFrame, responses: DataFrame
     an error is degraded without a decision; a hit whose range is not whole or leaves the clause is rejected
     and uncertain.
     """
-    grid = clauses.join(rules.select("rule_id", "target_clause"), F.col("field") == F.col("target_clause"))
-    met = grid.join(responses, [key, "rule_id"], "left").join(blocks.select(key, "blocks"), key, "left")
+    grid = clauses.join(F.broadcast(rules.select("rule_id", "target_clause")), F.col("field") == F.col("target_clause"))
+    # blocks are met by the key alone and left behind with the evidence; their bytes say little of their size in memory, so
+    # that they must not be broadcast
+    told = responses.join(blocks.select(key, "blocks").hint("merge"), key, "left")
+    told = stage(told, _found=evidence(F.col("blocks"), F.col("block_start"), F.col("block_end"))).drop("blocks")
+    met = grid.join(told.hint("merge"), [key, "rule_id"], "left")
     usable = (F.col("extract_status") == "found") & F.col("position").isNotNull()
     ev = evidence(F.col("blocks"), F.col("block_start"), F.col("block_end"))
     inside = (F.col("block_start") >= F.col("position.block_start")) & (F.col("block_end") <= F.col("position.block_end"))
-    met = stage(met, _ev=F.when(inside, ev))
+    met = met.withColumn("_ev", F.when(inside, F.col("_found")))
     status = F.when(~usable, "skipped").when(F.lit(not configured) | F.col("decision").isNull() | F.col("error").isNotNull(), "degraded").when((F.col("decision") == "hit") & F.col("_ev").isNull(), "rejected").otherwise("success")
     out = met.withColumn("evaluation_status", F.coalesce(status, F.lit("skipped")))
     s = F.col("evaluation_status")

@@ -16,3 +16,9 @@ def plan(df) -> str:
 def test_contracts_are_dealt_out(spark):
     """A table of short rows in one split is work for all cores."""
     assert queries._contracts(spark, SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_only_rules_are_broadcast(spark):
+    """Contracts are small in their files and large in memory."""
+    found = plan(queries.QUERIES["semantic_evaluation"](spark, SMALL))
+    assert found.count("BroadcastExchange") == 1
