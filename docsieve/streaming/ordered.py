@@ -27,8 +27,8 @@ class OrderedReplay(StatefulProcessor):
     it in whatever order they came.
 
     New events join the list; what is told is the value with the whole list folded on top, in order, so a late event
-    takes its place among those told before. A timer at an event's time moves what the watermark has passed from
-    the list to the value: the list holds the events of one delay, however long the stream runs. With a time to
+    takes its place among those told before. A timer at the time of a key's first waiting event moves what the watermark
+    has passed from the list to the value: there is one for a key, not for each event, and the list holds the events of one delay, however long the stream runs. With a time to
     live, a key that nothing is heard of loses its state.
     """
 
@@ -46,12 +46,18 @@ class OrderedReplay(StatefulProcessor):
     def _waiting(self) -> list[tuple]:
         return [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
 
+    def _wake(self, micros: int) -> None:
+        """A timer for the first event that waits; it moves all that the watermark has passed and sets the next one."""
+        self.handle.registerTimer(micros // 1000 + 1)
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         new = [e for part in rows for e in zip(part["event_micros"].tolist(), part["event_place"].tolist(), part["event_name"].tolist(), strict=True)]
+        waiting = self._waiting()
         self.waiting.appendList(new)
-        for at in {e[0] // 1000 + 1 for e in new}:
-            self.handle.registerTimer(at)
-        told = reduce(lambda held, e: _step(self.moves, held, e[2]), sorted(self._waiting()), self._held())
+        first = min(new)[0]
+        if not waiting or first < min(waiting)[0]:
+            self._wake(first)
+        told = reduce(lambda held, e: _step(self.moves, held, e[2]), sorted(waiting + new), self._held())
         yield pd.DataFrame({self.key: [key[0]], "state": [told[0]], **{c: [n] for c, n in zip(_COUNTS, told[1:], strict=True)}})
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
@@ -62,6 +68,8 @@ class OrderedReplay(StatefulProcessor):
             self.settled.update(reduce(lambda held, e: _step(self.moves, held, e[2]), done, self._held()))
             rest = waiting[len(done) :]
             self.waiting.put(rest) if rest else self.waiting.clear()
+            if rest:
+                self._wake(rest[0][0])
         yield from ()
 
     def close(self) -> None:

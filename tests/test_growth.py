@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from paths import DATA
 
 from docsieve import queries
+from docsieve.operators import state
+from docsieve.streaming import ordered
 
 SMALL = f"{DATA}/sf0.001"
 
@@ -22,3 +25,29 @@ def test_only_rules_are_broadcast(spark):
     """Contracts are small in their files and large in memory."""
     found = plan(queries.QUERIES["semantic_evaluation"](spark, SMALL))
     assert found.count("BroadcastExchange") == 1
+
+
+def test_one_timer_for_a_key(spark):
+    class Held:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+        update = put = lambda self, x: setattr(self, "held", x)
+        clear = lambda self: setattr(self, "held", None)
+        appendList = lambda self, x: setattr(self, "held", [*(self.held or []), *x])  # noqa: E731, N815
+
+    class Handle:
+        timers = []
+        getValueState = getListState = lambda self, *a, **k: Held()  # noqa: E731, N815
+        registerTimer = lambda self, at: self.timers.append(at)  # noqa: E731, N815
+
+    class Timers:
+        getCurrentWatermarkInMs = lambda self: 50  # noqa: E731, N815
+
+    replay = ordered.OrderedReplay("k", "pending", state.transition_moves(), None)
+    replay.init(handle := Handle())
+    rows = pd.DataFrame([(1000 * i, i, "parsing") for i in range(100)], columns=["event_micros", "event_place", "event_name"])
+    list(replay.handleInputRows(("a",), iter([rows]), None))
+    assert handle.timers == [1]
+    list(replay.handleExpiredTimer(("a",), Timers(), None))
+    assert handle.timers == [1, 51] and len(replay.waiting.held) == 50
