@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pytest
 from paths import DATA
 
 from docsieve import queries
@@ -51,3 +52,9 @@ def test_one_timer_for_a_key(spark):
     assert handle.timers == [1]
     list(replay.handleExpiredTimer(("a",), Timers(), None))
     assert handle.timers == [1, 51] and len(replay.waiting.held) == 50
+
+
+@pytest.mark.parametrize("name", ["current_hits", "semantic_incomplete", "review_result", "failed_results", "results_with_hits"])
+def test_rows_are_not_dealt_out_by_rule(spark, name):
+    """There are few rules: by them all rows would meet in few tasks."""
+    assert "hashpartitioning(rule_id" not in plan(queries.QUERIES[name](spark, SMALL))
