@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.functions.once import bind, stage
@@ -30,9 +30,15 @@ def merge_answers(facts: DataFrame, answers: DataFrame, blocks: DataFrame, key:
     value is noted as a conflict. Of several answers to a field the first counts. Answers to unknown fields
     are left out.
     """
-    first = answers.withColumn("_n", F.row_number().over(Window.partitionBy(key, "field").orderBy("place"))).filter("_n = 1").drop("_n")
-    met = facts.join(first, [key, "field"], "left").join(blocks.select(key, "blocks"), key, "left")
-    met = stage(met, _ev=evidence(F.col("blocks"), F.col("block_start"), F.col("block_end")))
+    parts = ("place", "answer_value", "answer_status", "block_start", "block_end")
+    first = answers.groupBy(key, "field").agg(F.min(F.struct(*parts)).alias("_a")).select(key, F.struct("field", "_a.*").alias("_a"))
+    # blocks meet the answers of their document in one row, facts meet what is left of both: all by the key alone, nothing
+    # is broadcast, and blocks are exchanged once
+    told = first.groupBy(key).agg(F.collect_list("_a").alias("_told")).join(blocks.select(key, "blocks").hint("merge"), key, "left")
+    told = stage(told, _told=F.transform("_told", lambda a: F.struct(a.alias("a"), evidence(F.col("blocks"), a["block_start"], a["block_end"]).alias("ev")))).select(key, "_told")
+    met = facts.join(told.hint("merge"), key, "left")
+    met = stage(met, _t=F.get(F.filter("_told", lambda t: t["a"]["field"] == F.col("field")), F.lit(0)))
+    met = met.select(*facts.columns, "_t.a.answer_value", "_t.a.answer_status", F.col("_t.ev").alias("_ev"))
     open_ = F.col("extract_status").isin("not_found", "ambiguous")
     text = F.col("_ev.text")
     note = (
@@ -105,7 +111,6 @@ def evaluate_semantic(clauses: DataFrame, rules: DataFrame, responses: DataFrame
     told = stage(told, _found=evidence(F.col("blocks"), F.col("block_start"), F.col("block_end"))).drop("blocks")
     met = grid.join(told.hint("merge"), [key, "rule_id"], "left")
     usable = (F.col("extract_status") == "found") & F.col("position").isNotNull()
-    ev = evidence(F.col("blocks"), F.col("block_start"), F.col("block_end"))
     inside = (F.col("block_start") >= F.col("position.block_start")) & (F.col("block_end") <= F.col("position.block_end"))
     met = met.withColumn("_ev", F.when(inside, F.col("_found")))
     status = F.when(~usable, "skipped").when(F.lit(not configured) | F.col("decision").isNull() | F.col("error").isNotNull(), "degraded").when((F.col("decision") == "hit") & F.col("_ev").isNull(), "rejected").otherwise("success")

@@ -58,3 +58,11 @@ def test_one_timer_for_a_key(spark):
 def test_rows_are_not_dealt_out_by_rule(spark, name):
     """There are few rules: by them all rows would meet in few tasks."""
     assert "hashpartitioning(rule_id" not in plan(queries.QUERIES[name](spark, SMALL))
+
+
+@pytest.mark.parametrize("name", ["llm_merge", "llm_merge_documents"])
+def test_documents_are_exchanged_once(spark, name):
+    """Facts, answers and blocks of a document meet by its key alone, in parts that grow in number with the table."""
+    found = plan(queries.QUERIES[name](spark, SMALL))
+    exchanges = [x for x in found.splitlines() if "Exchange" in x]
+    assert exchanges and all("REPARTITION_BY_NUM" in x or "Reused" in x for x in exchanges) and "Broadcast" not in found
