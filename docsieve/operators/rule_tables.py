@@ -80,7 +80,10 @@ def keyword_matches(facts: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     read = facts.join(F.broadcast(words.select("path").distinct()), "path", "left_semi")  # the paths of a pack
     read = saved(read.select(key, "path", "text", "position").withColumn("fact_id", F.monotonically_increasing_id()))
     pairs = contained(read.select("fact_id", "text"), numbered.select("word_id", F.col("keyword").alias("value")), "fact_id", "word_id")
-    met = pairs.join(numbered, "word_id").join(read, "fact_id").join(words, ["path", "keyword"])
+    # texts stay behind: a common word would bring those of all that have it to one task
+    said = words.join(numbered, "keyword")
+    said = F.broadcast(said) if words.count() <= BROADCAST_ROWS else said
+    met = pairs.join(read.select("fact_id", key, "path"), "fact_id").join(said, ["path", "word_id"])
     best = met.groupBy(key, "rule_id").agg(F.min_by(F.struct("path", "keyword", "fact_id"), F.struct("field_place", "word_place", "fact_id")).alias("b"))
     first = best.select(key, "rule_id", "b.*")
     return first.join(read.select("fact_id", "text", "position"), "fact_id").select(key, "rule_id", "path", "keyword", "text", "position")

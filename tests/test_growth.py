@@ -66,3 +66,7 @@ def test_documents_are_exchanged_once(spark, name):
     found = plan(queries.QUERIES[name](spark, SMALL))
     exchanges = [x for x in found.splitlines() if "Exchange" in x]
     assert exchanges and all("REPARTITION_BY_NUM" in x or "Reused" in x for x in exchanges) and "Broadcast" not in found
+
+
+def test_texts_do_not_meet_by_keyword(spark):
+    assert "hashpartitioning(path" not in plan(queries.QUERIES["keyword_rule_table"](spark, SMALL))
