@@ -7,7 +7,8 @@ import pytest
 from paths import DATA
 
 from docsieve import queries
-from docsieve.operators import state
+from docsieve.operators import results, state
+from docsieve.sources import shared, tables
 from docsieve.streaming import ordered
 
 SMALL = f"{DATA}/sf0.001"
@@ -70,3 +71,34 @@ def test_documents_are_exchanged_once(spark, name):
 
 def test_texts_do_not_meet_by_keyword(spark):
     assert "hashpartitioning(path" not in plan(queries.QUERIES["keyword_rule_table"](spark, SMALL))
+
+
+@pytest.mark.parametrize("name", ["current_hits", "semantic_incomplete", "review_result", "task_results", "results_with_hits", "current_result_choice"])
+def test_parts_of_reviews_do_not_grow(spark, name, monkeypatch):
+    """Rows that are sorted on the way are dealt out before, in parts that grow in number with the tables."""
+    monkeypatch.setattr(tables, "parts", lambda *rows, part_bytes=0: 97)
+    monkeypatch.setattr(results, "parts", lambda *rows, part_bytes=0: 97)
+    found = plan(queries.QUERIES[name](spark, SMALL))
+    dealt = [x for x in found.splitlines() if "REPARTITION_BY_NUM" in x]
+    assert dealt and all(", 97)" in x for x in dealt)
+
+
+def test_parts_grow_with_the_files(spark, tmp_path):
+    rows = spark.range(100_000).selectExpr("id", "uuid() as text").repartition(1)
+    rows.write.parquet(str(tmp_path / "a"))
+    rows = spark.read.parquet(str(tmp_path / "a"))
+    assert tables.parts(rows, rows, part_bytes=100_000) > 1.9 * tables.parts(rows, part_bytes=100_000) > 8
+    assert tables.parts(rows.groupBy("id").count(), rows) >= tables.parts(rows)
+
+
+def test_lines_are_grouped_in_one_stage(spark):
+    """The least of texts is found by sorting: no split of the table is sorted before the exchange."""
+    found = plan(queries._lines(spark, SMALL))
+    assert found.count("Exchange") == 1 and "REPARTITION_BY_NUM" in found
+    assert found.index("SortAggregate") < found.index("Exchange") and "SortAggregate" not in found[found.index("Exchange"):]
+
+
+def test_files_of_reviews_have_few_rows(spark):
+    """Rows that compress well are bounded in number for each file, so that a scan's task has few of them."""
+    kept = shared.saved(spark.range(1000).repartition(1), 100)
+    assert len(kept.inputFiles()) == 10 and kept.count() == 1000
