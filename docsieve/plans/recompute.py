@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.functions.once import stage
-from docsieve.functions.text import meaningful, set_fingerprint
+from docsieve.functions.text import meaningful, set_fingerprint, strip
 from docsieve.operators import extract, review, rules
 from docsieve.operators.segment import page_blocks, split_blocks
 from docsieve.plans import packs
@@ -70,8 +70,10 @@ class Review:
 
     def run(self, docs: DataFrame, batch: int) -> DataFrame:
         """(doc_id, overall_risk_level, hit_count, summary_text, comment_text, read_again, ocr_again, parsed_again,
-        evaluated_again, result_again) of ``docs`` (doc_id, text): the last five say what this batch worked out for the
-        document's content, evaluated_again how many rules. Equal texts are one content; a null text is an empty one."""
+        result_again, evaluated_again, nothing_found) of ``docs`` (doc_id, text): the five before the last say what this
+        batch worked out for the document's content, evaluated_again how many rules; nothing_found: recognition finds no
+        line in a text that is more than spaces, so there is no parse. Equal texts are one content; a null text is an
+        empty one."""
         content = F.coalesce(F.col("text"), F.lit(""))
         docs = saved(docs.select("doc_id", content.alias("text"), F.sha2(content, 256).alias("sha")))
         texts = docs.groupBy(F.col("sha").alias("key")).agg(F.first("text").alias("text"))
@@ -90,7 +92,11 @@ class Review:
         inputs = blocks.groupBy("key").agg(F.first("blocks").alias("blocks")).withColumn("version", F.lit(self.extractor))
 
         def parse(x: DataFrame) -> DataFrame:
-            found = extract.facts(x, self.pack).withColumn("parse_status", extract.parse_status(self.pack))
+            # a block that recognition made of several lines is read line by line, as the same text is without it
+            each = F.flatten(F.transform("blocks", lambda b: F.transform(F.filter(F.split(b["text"], "\n", -1), lambda t: strip(t) != ""), lambda t: F.struct(t.alias("text"), b["page_number"].alias("page_number")))))
+            blocks = F.transform(each, lambda b, i: F.struct(b["text"].alias("text"), b["page_number"].alias("page_number"), i.alias("block_index"))).cast(BLOCKS)
+            lined = F.exists("blocks", lambda b: b["text"].contains("\n"))
+            found = extract.facts(x.withColumn("blocks", F.when(lined, blocks).otherwise(F.col("blocks"))), self.pack).withColumn("parse_status", extract.parse_status(self.pack))
             return found.select("key", "version", F.lit("success").alias("status"), "parse_status", F.to_json("facts", {"ignoreNullFields": "false"}).alias("facts"))
 
         parses, parsed_again = self._level("parse", batch, inputs, ["key", "version"], parse)
@@ -123,4 +129,5 @@ class Review:
         counted = evaluated_again.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("evaluated_again"))
         seen = seen.join(counted, F.col("parse") == F.col("k"), "left").drop("k").join(results.withColumnRenamed("key", "k"), F.col("parse") == F.col("k"), "left")
         flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("read_again", "ocr_again", "parsed_again", "result_again")]
-        return seen.select("doc_id", "overall_risk_level", "hit_count", "summary_text", "comment_text", *flags, F.coalesce("evaluated_again", F.lit(0)).alias("evaluated_again"))
+        nothing = F.col("parse").isNull() & (F.regexp_replace("text", r"\p{Zs}", "") != "")
+        return seen.select("doc_id", "overall_risk_level", "hit_count", "summary_text", "comment_text", *flags, F.coalesce("evaluated_again", F.lit(0)).alias("evaluated_again"), nothing.alias("nothing_found"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import duckdb
 import pytest
 
+from docsieve.oracles import ORACLES
 from docsieve.plans import packs, recompute
+from docsieve.queries import QUERIES
 from docsieve.streaming import ledger
 
 TEXTS = {
@@ -78,3 +81,15 @@ def test_a_killed_run_is_repeated(spark, tmp_path, monkeypatch):
 
 def test_no_documents(spark, tmp_path):
     assert recompute.Review(spark, str(tmp_path / "t")).run(docs(spark, {1: "a"}).limit(0), 0).count() == 0
+
+
+def test_odd_texts_equal_sql(spark, tmp_path):
+    """Short texts of several lines, and texts in which recognition finds nothing."""
+    texts = ["\n", "\t", " ", "", None, "  \n \n", "a\nOf b", "a@b.cc\nX", "%%%\n###\n", "Hi.\n", "Of a\nOf b", "And x\n\nThe y", "A b c d e f g h i j\nOf k"] * 3
+    rows_ = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string").coalesce(1)
+    rows_.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    told = con.execute(ORACLES["incremental_review"])
+    names = [c[0] for c in told.description]
+    assert sorted(map(str, told.fetchall())) == sorted(str(tuple(r)) for r in QUERIES["incremental_review"](spark, str(tmp_path)).select(*names).collect())
