@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -32,15 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docsieve.llm.common import blobs, saved, slices, text_bytes
+from docsieve.llm.common import blobs, cuts, release, saved, slices, text_bytes
 from docsieve.llm.pieces import stand_ins
 
 #: Stripes of A ids. A block has (A ids / STRIPES) x (B ids) cells of 8 bytes, 25 MB for 50,000 and 32,000 ids.
 STRIPES = 512
 #: Bytes of compressed links of one stripe that one task scores, about.
 SCORED_BYTES = 32 << 20
-#: Bytes of text that a task aligns at once, and rows: a row's number in its slice must fit 16 bits.
+#: Bytes of text whose links are one slice, and rows: a row's number in its slice must fit 16 bits.
 SLICE, SLICE_ROWS = 4 << 20, 1 << 16
+#: Bytes of text that a task aligns at once, and pieces that it gives to the tokenizers at once: what these return for a
+#: piece is many times as large.
+ALIGNED, SETTLED = 512 << 10, 1 << 13
 #: Pieces, and bytes of them, that a worker keeps.
 KEPT, KEPT_BYTES = 400_000, 32 << 20
 #: Cells of partial counts that a task holds before it sends them on.
@@ -121,9 +125,11 @@ class Aligner:
 
     def _settle(self) -> None:
         """Work out the pieces that wait."""
-        pieces, self.waiting = self.waiting, []
-        if not pieces:
-            return
+        while pieces := self.waiting[:SETTLED]:
+            self._work_out(pieces)
+            del self.waiting[:SETTLED]
+
+    def _work_out(self, pieces: list[str]) -> None:
         raw = [p.encode("utf-8", "replace") for p in pieces]
         a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
         b = self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)  # B puts a space before all
@@ -194,6 +200,7 @@ class Aligner:
 
 @lru_cache(maxsize=1)
 def _aligner(a_path: str, b_path: str) -> Aligner:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, whatever the machine has
     return Aligner(a_path, b_path)
 
 
@@ -234,25 +241,33 @@ def _align(a_path: str, b_path: str, stripes: int) -> _STEP:
         wide = len(aligner.b_bytes)
         try:
             for batch in (x.slice(i, SLICE_ROWS) for x in slices(batches, limit=SLICE) for i in range(0, x.num_rows, SLICE_ROWS)):
-                texts, links, cells = aligner.align(blobs(batch))
-                ids = batch.column("doc_id").to_pylist()
-                yield _rows(_NAMES, _TYPES, [(d, number, i, *t[:4], hashlib.sha256(t[4].encode()).hexdigest() if t[0] else "", None, None) for i, (d, t) in enumerate(zip(ids, texts, strict=True))])
+                rows, links, cells = [], [], []
+                for part in cuts(batch, limit=ALIGNED):
+                    texts, owner, found = aligner.align(blobs(part))
+                    links.append(owner + len(rows))
+                    cells.append(found)
+                    ids = part.column("doc_id").to_pylist()
+                    rows += [(d, number, i, *t[:4], hashlib.sha256(t[4].encode()).hexdigest() if t[0] else "", None, None) for i, (d, t) in enumerate(zip(ids, texts, strict=True), len(rows))]
+                    del texts
+                yield _rows(_NAMES, _TYPES, rows)
+                links, cells = np.concatenate(links), np.concatenate(cells)
                 a, b = np.divmod(cells, wide)
                 high = -(-len(aligner.a_bytes) // stripes) * wide
                 keys, times = np.unique((((a % stripes) * high + a // stripes * wide + b) << 16) | links, return_counts=True)
                 stripe, cell = np.divmod(keys >> 16, high)
-                cuts = np.searchsorted(stripe, np.arange(stripes + 1))
+                bounds = np.searchsorted(stripe, np.arange(stripes + 1))
                 out = []
-                for s in np.flatnonzero(np.diff(cuts)):
-                    part = slice(cuts[s], cuts[s + 1])
+                for s in np.flatnonzero(np.diff(bounds)):
+                    part = slice(bounds[s], bounds[s + 1])
                     first = np.flatnonzero(np.diff(cell[part], prepend=-1))
-                    runs = np.diff(first, append=cuts[s + 1] - cuts[s])
+                    runs = np.diff(first, append=bounds[s + 1] - bounds[s])
                     out.append((None, number, *[None] * 6, int(s), _packed(np.diff(cell[part][first], prepend=0), runs, keys[part] & 0xFFFF, times[part] - 1)))
                 if out:
                     yield _rows(_NAMES, _TYPES, out)
                 number += 1
         finally:
             aligner.forget()
+            release()
 
     return align
 

@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,20 +57,22 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
     """Cut record batches so that each holds about ``limit`` bytes of text at most."""
     try:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes = np.asarray(batch.column(column).fill_null(b"").to_numpy(zero_copy_only=False), dtype=object)
-            ends = np.cumsum([len(x) for x in sizes])
-            start = 0
-            while start < batch.num_rows:
-                base = ends[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-                yield batch.slice(start, stop - start)
-                start = stop
+            yield from cuts(batch, column, limit)
     finally:
         release()
 
 
+def cuts(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut one record batch so that each part holds about ``limit`` bytes of text at most."""
+    ends = np.cumsum(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 #: Resident bytes above which a worker gives memory back.
 RESIDENT = 256 << 20
 

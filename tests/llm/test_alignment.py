@@ -103,3 +103,41 @@ def test_partial_counts_and_forgetting(spark, monkeypatch):
 
 def test_empty(empty):
     assert got(empty) == []
+
+
+def test_tokenizers_get_bounded_runs_of_pieces(monkeypatch):
+    """What they return for a piece is many times as large as the piece: a slice of new words is not given to them at once."""
+    monkeypatch.setattr(alignment, "SETTLED", 7, raising=False)
+    aligner, sizes = alignment.Aligner(public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model")), []
+
+    class Counted:
+        def encode_batch_fast(self, pieces, **how):
+            sizes.append(len(pieces))
+            return A.encode_batch_fast(pieces, **how)
+
+    text = " ".join(f"word{i}" for i in range(100))
+    whole = aligner.align([text.encode(), b"", "a ▁ b".encode()])
+    aligner.forget()
+    aligner.a = Counted()
+    again = aligner.align([text.encode(), b"", "a ▁ b".encode()])
+    assert whole[0] == again[0] and (whole[1] == again[1]).all() and (whole[2] == again[2]).all()
+    assert max(sizes) == 7 and sum(sizes) > 100
+
+
+def test_slices_are_aligned_in_parts(spark, monkeypatch):
+    """Numbers of documents run on over the parts of a slice; an idle worker gives back what the pieces took."""
+    import pyarrow as pa
+
+    rows = [(i, x) for i, x in enumerate(ODD * 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([x.encode() for _, x in rows])], ["doc_id", "text"])
+    monkeypatch.setattr(alignment, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    calls, kept = [], []
+    monkeypatch.setattr(alignment, "release", lambda: kept.append(len(alignment._aligner(*paths).groups)), raising=False)
+    paths = public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model")
+    step = alignment._align(*paths, 8)
+    whole = [x.to_pylist() for x in step([batch])]
+    own = alignment.Aligner.align
+    monkeypatch.setattr(alignment, "ALIGNED", 50, raising=False)
+    monkeypatch.setattr(alignment.Aligner, "align", lambda self, texts: calls.append(len(texts)) or own(self, texts))
+    assert [x.to_pylist() for x in step([batch])] == whole
+    assert len(calls) > 5 and sum(calls) == len(rows) and kept == [0, 0]
