@@ -27,6 +27,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,7 +100,8 @@ class _Places(dict):
         if place is None:
             place = -1 - len(self.hashes)
             self.hashes.append(xxhash.xxh64_intdigest(word, 42))  # as the SQL function xxhash64 has it
-            self.units.append(unit_of(word, {}, self.endings))
+            unit = self.endings.get(word[-ENDING:])
+            self.units.append(unit_of(word, {}, {}) if unit is None else unit)
         self[word] = place
         return place
 
@@ -248,9 +250,10 @@ def _cells(of: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
                 left, right = of[a], of[b]
                 known = right >= 0
                 near = known & (a < UNITS)
-                total += np.bincount(a[near] * CELLS + np.where(a == b, SELF, right)[near], minlength=len(total))
+                # added in place: a run of texts touches few of the cells
+                np.add.at(total, a[near] * CELLS + np.where(a == b, SELF, right)[near], 1)
                 near = (left >= 0) & (b < UNITS) & (a != b)
-                total += np.bincount(b[near] * CELLS + WIDE + left[near], minlength=len(total))
+                np.add.at(total, b[near] * CELLS + WIDE + left[near], 1)
                 near = (left >= 0) & known
                 pair = left * WIDE + right
                 pairs += np.bincount(pair[near], minlength=len(pairs))
@@ -265,13 +268,13 @@ def _cells(of: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs, deflated behind that number of bytes."""
+    """Counts in as few bytes each as the largest needs, compressed behind that number of bytes."""
     width = next(w for w in (1, 2, 4, 8) if int(counts.max()) < 1 << 8 * w)
-    return bytes([width]) + zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(counts.astype(f"<u{width}").tobytes())
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob[1:]), f"<u{blob[0]}").astype(np.int64)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), f"<u{blob[0]}").astype(np.int64)
 
 
 def _is_tail(ids: np.ndarray) -> np.ndarray:
@@ -575,16 +578,23 @@ class _Heads(dict):
     (0 if it is not there; the class is that of its ending then)."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.units, self.endings, self.head, self.of_unit = model.units, model.endings, model.head, model.of_unit.tolist()
         self.words: list[bytes] = []
         self.cls, self.n = array("h"), array("q")
 
     def __missing__(self, word: bytes) -> int:
-        m = self.model
         self[word] = place = len(self.words)
         self.words.append(word)
-        self.cls.append(int(m.of_unit[unit_of(word, m.units, m.endings)]))
-        self.n.append(m.head.get(word, 0))
+        n = self.head.get(word)
+        if n is None:  # the units of a model are the words of its head
+            unit = self.endings.get(word[-ENDING:])
+            if unit is None:
+                unit = unit_of(word, {}, {})
+            self.n.append(0)
+        else:
+            unit = self.units[word]
+            self.n.append(n)
+        self.cls.append(self.of_unit[unit])
         return place
 
 
@@ -607,11 +617,11 @@ def _score(model: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
         for batch in slices(batches, limit=SCORED):
             if len(known) > FLUSH:
                 known = _Heads(model)
-            split = [text.lower().split() for text in blobs(batch)]
-            sizes = np.array([len(x) for x in split], np.int64)
+            words = [np.fromiter(map(known.__getitem__, x), np.int64, len(x)) for x in (text.lower().split() for text in blobs(batch))]
+            sizes = np.array([len(x) for x in words], np.int64)
             docs = len(sizes)
-            word = np.concatenate([np.fromiter(map(known.__getitem__, x), np.int64, len(x)) for x in split])
-            del split
+            word = np.concatenate(words)
+            del words
             cls, n, doc = np.array(known.cls, np.int64)[word], np.array(known.n, np.int64)[word], np.repeat(np.arange(docs), sizes)
             head = n > 0
             tail, place, times = np.unique(doc[~head] * len(known) + word[~head], return_inverse=True, return_counts=True)

@@ -229,3 +229,25 @@ def test_language_awkward_rows(spark, tricky, tricky_rows, empty, docs):
             assert (r["lang_pred"] == "und") == (not letters)
     assert lang_id.predict(empty, model).count() == 0
     assert {r["lang_pred"] for r in lang_id.predict(tricky, lang_id.fit_on(empty)).collect()} == {"und"}
+
+
+def test_cells_are_added_in_place(monkeypatch):
+    """A run of texts touches few cells: no array of all units' cells is made for each run; the counts are the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    from docsieve.llm import class_lm as c
+
+    sizes, own = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, minlength=0, **k: sizes.append(minlength) or own(*a, minlength=minlength, **k))
+    runs = [np.array([c.START_ID, 0, 0, 1, c.END_ID, c.START_ID, 1, c.END_ID]), np.array([c.START_ID, 1, 0, c.END_ID])]
+    of = np.zeros(c.UNITS + 2, np.int64)
+    of[[1, c.END_ID, c.START_ID]] = 1, c.CLASSES, c.START
+    batch = pa.RecordBatch.from_arrays([pa.array([x.astype(np.uint16).tobytes() for x in runs], pa.binary())], ["ids"])
+    out = next(c._cells(of)(iter([batch])))
+    cells = {k: c._unpacked(v) for k, v in zip(out.column("block").to_pylist(), out.column("cells").to_pylist(), strict=True)}
+    assert max(sizes) == c.WIDE**2
+    zero, one = cells[0][: c.CELLS], cells[0][c.CELLS : 2 * c.CELLS]
+    assert (zero[c.SELF], zero[1], zero[c.CLASSES], zero[c.WIDE + c.START], zero[c.WIDE + 1], zero.sum()) == (1, 1, 1, 1, 1, 5)
+    assert (one[0], one[c.CLASSES], one[c.WIDE], one[c.WIDE + c.START], one.sum()) == (1, 2, 1, 2, 6)
+    assert cells[c.ALL_PAIRS].sum() == 9
