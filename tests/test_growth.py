@@ -102,3 +102,18 @@ def test_files_of_reviews_have_few_rows(spark):
     """Rows that compress well are bounded in number for each file, so that a scan's task has few of them."""
     kept = shared.saved(spark.range(1000).repartition(1), 100)
     assert len(kept.inputFiles()) == 10 and kept.count() == 1000
+
+
+@pytest.mark.parametrize("name", ["current_hits", "semantic_incomplete", "review_result", "result_hit_links"])
+def test_no_exchange_of_reviews_has_fixed_parts(spark, name, monkeypatch):
+    """Where joins are too large for a broadcast, each exchange by keys has parts that grow in number with the tables: none
+    has ``spark.sql.shuffle.partitions`` of them at any size."""
+    monkeypatch.setattr(tables, "parts", lambda *rows, part_bytes=0: 97)
+    monkeypatch.setattr(results, "parts", lambda *rows, part_bytes=0: 97)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = plan(queries.QUERIES[name](spark, SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [x for x in found.splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and [x.strip()[:150] for x in exchanges if ", 97)" not in x] == []
