@@ -104,7 +104,7 @@ def test_files_of_reviews_have_few_rows(spark):
     assert len(kept.inputFiles()) == 10 and kept.count() == 1000
 
 
-@pytest.mark.parametrize("name", ["current_hits", "semantic_incomplete", "review_result", "task_results", "result_hit_links"])
+@pytest.mark.parametrize("name", ["current_hits", "semantic_incomplete", "review_result", "task_results", "result_hit_links", "results_with_hits", "failed_results"])
 def test_no_exchange_of_reviews_has_fixed_parts(spark, name, monkeypatch):
     """Where joins are too large for a broadcast, each exchange by keys has parts that grow in number with the tables: none
     has ``spark.sql.shuffle.partitions`` of them at any size."""
