@@ -119,3 +119,48 @@ def test_records_after_failures(spark):
     marks = spark.createDataFrame([(1, 1, "c1", None, "ok"), (1, 2, None, "F", "bad"), (2, 1, None, "F", "bad"), (2, 2, "c2", None, "ok"), (3, 1, None, "F", None), (9, 1, "c", None, "ok")], "log_id long, no int, external_comment_id string, error_code string, response_text string")
     logs = {r["log_id"]: tuple(r)[1:] for r in ledger.comment_logs(attempts, marks, "no").collect()}
     assert logs == {1: ("failed", "c1", "F", "bad"), 2: ("success", "c2", None, "ok"), 3: ("failed", None, "F", None), 4: ("writing", None, None, None), 9: ("unknown_log", "c", None, "ok")}
+
+
+def test_keys_of_a_group_share_one_state():
+    """Many keys in one call, and one timer; a group that is timed out settles what the watermark has passed."""
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, passed, at = False, False, -2_000, None  # noqa: N815
+        getCurrentWatermarkMs = lambda self: self.passed  # noqa: E731, N815
+        setTimeoutTimestamp = lambda self, at: setattr(self, "at", at)  # noqa: E731, N815
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+    step, held = ordered.group_step("pending", state.transition_moves()), State()
+
+    def run(*rows):
+        out = list(step((0,), iter([pd.DataFrame(rows, columns=["event_key", "event_micros", "event_place", "event_name"])]), held))
+        return sorted(tuple(r) for r in out[0].to_numpy().tolist())
+
+    assert run(("=a", 3_000_000, 1, "reviewing"), ("", -1_000_000, 0, "parsing")) == [("", "parsing", 1, 0, 0), ("=a", "pending", 0, 1, 0)] and held.at == 1
+    assert run(("=a", 1_000_000, 0, "parsing")) == [("=a", "reviewing", 2, 0, 0)]  # it comes late and takes its place; keys without events are not told
+    held.hasTimedOut, held.passed = True, 2_000
+    assert list(step((0,), iter([]), held)) == [] and held.at == 3001
+    held.hasTimedOut = False
+    assert run(("=a", 4_000_000, 2, "done"), ("", 5_000_000, 2, "blocked")) == [("", "blocked", 2, 0, 0), ("=a", "done", 3, 0, 0)]
+
+
+def test_keys_are_streamed_in_groups(spark, tmp_path):
+    """States of single keys cost a call for each part of each. A key that is null keeps its place."""
+    rows = [(None if i % 7 == 0 else i % 300, datetime(2024, 1, 1) + timedelta(minutes=i), i, "parsing" if i % 3 else "reviewing") for i in range(900)]
+    table = spark.createDataFrame(rows, "k long, ts timestamp, no long, target string")
+    for i in range(3):
+        table.filter(F.floor(F.col("no") / 300) == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    with ledger.stream_settings(spark):
+        source = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        told = ordered.replay_ordered(source, "k", "ts", "no", "target", "1 hour", groups=4)
+        assert "event_group" in told._jdf.queryExecution().analyzed().toString()
+        ledger.write_stream(told, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    columns = ["state", "accepted", "rejected", "retries"]
+    last = {r["k"]: tuple(r[c] for c in columns) for r in ledger.last_told(spark.read.parquet(str(tmp_path / "out")), "k").collect()}
+    want = {}
+    for k, _, _, target in rows:
+        want[k] = ordered._step(state.transition_moves(), want.get(k, ("pending", 0, 0, 0)), target)
+    assert last == want
