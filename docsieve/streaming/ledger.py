@@ -44,7 +44,7 @@ def commit(batch: DataFrame, batch_id: int, table: str) -> bool:
     if fs.exists(target):
         return False
     aside = f"{table}/_aside/{uuid.uuid4().hex}"
-    batch.drop("batch_id").write.parquet(aside)
+    batch.drop("batch_id").write.option("compression", "zstd").parquet(aside)
     fs.mkdirs(at(table))
     won = not fs.exists(target) and fs.rename(at(aside), target)
     if not won:

@@ -93,3 +93,12 @@ def test_odd_texts_equal_sql(spark, tmp_path):
     told = con.execute(ORACLES["incremental_review"])
     names = [c[0] for c in told.description]
     assert sorted(map(str, told.fetchall())) == sorted(str(tuple(r)) for r in QUERIES["incremental_review"](spark, str(tmp_path)).select(*names).collect())
+
+
+def test_long_columns_are_written_in_the_tables_alone(spark, tmp_path, monkeypatch):
+    """Intermediates have keys and marks; what a level makes is written once."""
+    written, saved = [], recompute.saved
+    monkeypatch.setattr(recompute, "saved", lambda df, *rest: written.extend(df.columns) or saved(df, *rest))
+    recompute.Review(spark, str(tmp_path / "t")).run(docs(spark, TEXTS), 0)
+    assert written and not {"text", "blocks", "facts", "hit", "hits"} & set(written)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
