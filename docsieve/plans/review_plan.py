@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.functions.once import stage
-from docsieve.operators import extract, review, rules
+from docsieve.operators import block_facts, extract, review, rules
 from docsieve.operators.segment import split_blocks
 from docsieve.plans import packs
 
@@ -17,21 +17,23 @@ def with_blocks(docs: DataFrame, text: str = "text", separator: str = "\n") -> D
     return stage(docs, blocks=split_blocks(F.col(text), separator))
 
 
-def with_facts(docs: DataFrame, pack: extract.Pack = packs.CORPUS) -> DataFrame:
-    """Documents (with text or blocks) plus facts and parse_status."""
+def with_facts(docs: DataFrame, pack: extract.Pack = packs.CORPUS, by_block: bool = False) -> DataFrame:
+    """Documents (with text or blocks) plus facts and parse_status. ``by_block``: blocks are short and repeat, so that
+    each text is read once (``block_facts``)."""
     staged = docs if "blocks" in docs.columns else with_blocks(docs)
-    return extract.facts(staged, pack).withColumn("parse_status", extract.parse_status(pack))
+    read = block_facts.facts if by_block else extract.facts
+    return read(staged, pack).withColumn("parse_status", extract.parse_status(pack))
 
 
-def with_hits(docs: DataFrame, pack: extract.Pack = packs.CORPUS, rule_set: Iterable[rules.Rule] = packs.CORPUS_RULES, metrics: dict[str, str] = packs.CORPUS_METRICS, wording: rules.Wording = packs.CORPUS_WORDING, every_fact: bool = True) -> DataFrame:
+def with_hits(docs: DataFrame, pack: extract.Pack = packs.CORPUS, rule_set: Iterable[rules.Rule] = packs.CORPUS_RULES, metrics: dict[str, str] = packs.CORPUS_METRICS, wording: rules.Wording = packs.CORPUS_WORDING, every_fact: bool = True, by_block: bool = False) -> DataFrame:
     """``with_facts`` plus the rule hits. Without ``every_fact`` only the facts that the rules name are worked out,
     and there is no parse_status."""
     rule_set = tuple(rule_set)
     if every_fact:
-        found = with_facts(docs, pack)
+        found = with_facts(docs, pack, by_block)
     else:
         pack = pack.only(rules.paths_of(rule_set))
-        found = extract.facts(docs if "blocks" in docs.columns else with_blocks(docs), pack)
+        found = (block_facts.facts if by_block else extract.facts)(docs if "blocks" in docs.columns else with_blocks(docs), pack)
     return stage(found, hits=rules.hits(rule_set, pack, metrics, wording))
 
 
