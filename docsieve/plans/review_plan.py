@@ -42,9 +42,9 @@ def reviewed(docs: DataFrame, phrases: review.Phrases = packs.CORPUS_PHRASES, **
     return review.review(with_hits(docs, **kwargs), phrases)
 
 
-def reviewed_contracts(docs: DataFrame) -> DataFrame:
+def reviewed_contracts(docs: DataFrame, every_fact: bool = True) -> DataFrame:
     """The review of Chinese contracts given with their blocks."""
-    return reviewed(docs, packs.CONTRACT_PHRASES, pack=packs.CONTRACT, rule_set=packs.CONTRACT_RULES, metrics=packs.CONTRACT_METRICS, wording=packs.CONTRACT_WORDING)
+    return reviewed(docs, packs.CONTRACT_PHRASES, every_fact=every_fact, by_block=True, pack=packs.CONTRACT, rule_set=packs.CONTRACT_RULES, metrics=packs.CONTRACT_METRICS, wording=packs.CONTRACT_WORDING)
 
 
 def hit_rows(docs_with_hits: DataFrame, *keys: str) -> DataFrame:

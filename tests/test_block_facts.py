@@ -43,7 +43,7 @@ def test_contracts_are_read_by_block(spark):
     """Each block is met with each field and keyword by interpreted expressions otherwise, a millisecond a contract."""
     from paths import DATA
 
-    for found in (review_plan.with_facts(_contracts(spark, f"{DATA}/sf0.001"), packs.CONTRACT, by_block=True),):
+    for found in (review_plan.with_facts(_contracts(spark, f"{DATA}/sf0.001"), packs.CONTRACT, by_block=True), review_plan.reviewed_contracts(_contracts(spark, f"{DATA}/sf0.001"), every_fact=False)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1 and "rlike" not in plan.lower()
 
