@@ -52,3 +52,13 @@ def test_patterns_that_differ_are_refused():
     with pytest.raises(ValueError, match="not read the same"):
         block_facts.pattern(r"\w+")
     assert block_facts.pattern(r"[^\s]{1,2}\s").search("a\x1c ").group() == "a\x1c "
+
+
+def test_clauses_of_rules_alone_are_read(spark):
+    """No rule of a model asks for amounts and dates."""
+    from paths import DATA
+
+    from docsieve.queries import QUERIES
+
+    plan = QUERIES["semantic_evaluation"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "contract_number" not in plan and "payment_clause" not in plan
